@@ -1,0 +1,9 @@
+"""Queries over the driver's tables and the DuckDB SQL that gives the same rows."""
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
