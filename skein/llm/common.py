@@ -84,3 +84,17 @@ class WordHasher:
                 if w not in seen:
                     seen[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 7)
             return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, n: int) -> list[tuple[str, int]]:
+    """At most n labelled rows outside the held-out fold, as (text, label), in a fixed order.
+
+    The ids come first, from the narrow labels table, in the order of a hash of
+    the id; n bounds what is broadcast and what reaches the driver. Null
+    labels are left out, a null text is empty.
+    """
+    chosen = pick(labels, "doc_id", label).where(F.col(label).isNotNull() & (fold(F.col("doc_id"), folds) != held))
+    chosen = chosen.where("doc_id is not null").dropDuplicates().orderBy(F.xxhash64("doc_id"), label).limit(n)
+    joined = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    joined = joined.orderBy(F.xxhash64("doc_id"), "text", label).limit(n).collect()
+    return [(r["text"] or "", r[label]) for r in joined]
