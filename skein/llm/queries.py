@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, simhash_index, toxicity
+from . import language, phrase_prints, sentencepiece_codec, simhash_index, toxicity
 from .common import table
 
 
@@ -20,13 +20,23 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and whether they decode to its text."""
+    return sentencepiece_codec.encoded(table(spark, sf_dir, "documents"))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return phrase_prints.document_prints(table(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     return language.identify_languages(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash, op5_toxicity, op10_language)}
+    return {f.__name__: f for f in (op4_simhash, op5_toxicity, op8_sentencepiece, op9_fingerprints, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
