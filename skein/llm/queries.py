@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, phrase_prints, sentencepiece_codec, simhash_index, toxicity
+from . import html_labeller, language, phrase_prints, sentencepiece_codec, simhash_index, toxicity
 from .common import table
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_labeller.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents: 3-word shingles, links of at most 2 bits."""
     return simhash_index.simhash_components(table(spark, sf_dir, "documents"), k=3, radius=2)
@@ -36,7 +41,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash, op5_toxicity, op8_sentencepiece, op9_fingerprints, op10_language)}
+    return {f.__name__: f for f in (op2_html, op4_simhash, op5_toxicity, op8_sentencepiece, op9_fingerprints, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
