@@ -353,7 +353,11 @@ def made_page(rng: np.random.Generator) -> tuple[str, set[str]]:
         words = [made() for _ in range(rng.integers(low, high))]
         style = rng.random()
         text = " ".join(words)
-        if style < 0.15:
+        if rng.random() < 0.05:
+            text = " ".join(w for w in words[:6] for _ in range(rng.integers(2, 15)))
+        elif rng.random() < 0.05:
+            text = " | ".join(words)
+        elif style < 0.15:
             text = text.upper()
         elif style < 0.8 and low > 3:
             text = re.sub(r" (\w+) (\w)", lambda m: f" {m[1]}{'.' if rng.random() < 0.2 else ''} {m[2]}", text).capitalize() + "."
