@@ -281,7 +281,7 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def train(pages: int = 1200, epochs: int = 3, seed: int = 11, rate: float = 0.006) -> Labeller:
+def train(pages: int = 1600, epochs: int = 4, seed: int = 11, rate: float = 0.006) -> Labeller:
     rng = np.random.default_rng(seed)
     made = [made_page(rng) for _ in range(pages)]
     cut = [blocks_of(page) for page, _ in made]
@@ -307,7 +307,7 @@ def train(pages: int = 1200, epochs: int = 3, seed: int = 11, rate: float = 0.00
             for k, grad in enumerate([*back, np.einsum("tb,tbh->h", dz, h), dz.sum(keepdims=True)[0]]):
                 first[k] = 0.9 * first[k] + 0.1 * grad
                 second[k] = 0.999 * second[k] + 0.001 * grad * grad
-                params[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                params[k] -= (rate * (1 - step / (1 + epochs * len(groups))) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return net
 
 
