@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_labeller, language, phrase_prints, sentencepiece_codec, simhash_index, toxicity
+from . import html_labeller, language, licenses, phrase_prints, quality, sentencepiece_codec, simhash_index, toxicity
 from .common import table
 
 
@@ -25,6 +25,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected quality grade of every document and whether it is selected."""
+    return quality.quality_grades(table(spark, sf_dir, "documents"), quality.grade_table(table(spark, sf_dir, "labels")))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License families of all paragraphs that may be a license notice."""
+    return licenses.license_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and whether they decode to its text."""
     return sentencepiece_codec.encoded(table(spark, sf_dir, "documents"))
@@ -41,7 +51,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html, op4_simhash, op5_toxicity, op8_sentencepiece, op9_fingerprints, op10_language)}
+    return {f.__name__: f for f in (op2_html, op4_simhash, op5_toxicity, op6_quality, op7_licenses, op8_sentencepiece, op9_fingerprints, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
