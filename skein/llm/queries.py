@@ -6,15 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_labeller, language, licenses, phrase_prints, quality, sentencepiece_codec, simhash_index, toxicity
+from . import cross_polytope, html_labeller, language, licenses, mixing, phrase_prints, quality, sentencepiece_codec, simhash_index, toxicity
 from .common import table
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every vector whose id is divisible by 100."""
+    return cross_polytope.nearest_neighbours(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, k=10)
+
+
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_labeller.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source-mixed order of the documents: as even as a repetition limit of 1.25 allows, as
+    many tokens as there are."""
+    return mixing.mixed(table(spark, sf_dir, "documents"), mixing.Target(repetition=1.25))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents: 3-word shingles, links of at most 2 bits."""
     return simhash_index.simhash_components(table(spark, sf_dir, "documents"), k=3, radius=2)
@@ -51,7 +62,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html, op4_simhash, op5_toxicity, op6_quality, op7_licenses, op8_sentencepiece, op9_fingerprints, op10_language)}
+    return {f.__name__: f for f in (op1_neighbours, op2_html, op3_mixing, op4_simhash, op5_toxicity, op6_quality, op7_licenses, op8_sentencepiece, op9_fingerprints, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
