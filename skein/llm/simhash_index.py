@@ -126,6 +126,26 @@ class GrayIndex:
             i, j = ci[ok], cj[ok]
         return tuple(np.concatenate(x) for x in zip(*found)) if found else (i[:0], j[:0])
 
+    def within(self, value: np.uint64, radius: int, wanted: np.ndarray) -> np.ndarray:
+        """Positions of the wanted leaves within the radius of a value. Going down, each child
+        adds the differences on the bits that it fixes and its parent leaves open; a group
+        that already differs in too many bits is dropped as a whole."""
+        i, seen = np.zeros(1, np.int64), np.zeros(1, np.uint64)
+        differ = np.zeros(1, np.int64)
+        for level in range(len(self.levels) - 1, -1, -1):
+            ones, zeros = self.levels[level]
+            fixed = ~(ones[i] ^ zeros[i])
+            differ = differ + np.bitwise_count((ones[i] ^ value) & fixed & ~seen)
+            keep = differ <= radius
+            i, differ, fixed = i[keep], differ[keep], fixed[keep]
+            if level == 0:
+                return i[wanted[i]]
+            n = len(self.levels[level - 1][0])
+            children = (i[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+            ok = children < n
+            i, differ, seen = children[ok], np.repeat(differ, FANOUT)[ok], np.repeat(fixed, FANOUT)[ok]
+        return i
+
 
 def _spanning(values: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     """Those of the links (i, j) that join something new."""
