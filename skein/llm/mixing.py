@@ -25,6 +25,8 @@ from .common import checkpoint, pick
 #: Blocks of all sources together, about, and of one source at most.
 BLOCKS, BLOCKS_OF_SOURCE = 65_536, 1_024
 SECTIONS, ROUNDS = 32, 5
+#: Rows of a plan table that are broadcast at most (some 10 MB); beyond, it is joined by shuffle.
+BROADCAST_ROWS = 200_000
 SEED = 9
 PASS, ORDER = "pass", "place"
 
@@ -43,6 +45,11 @@ class Target:
     keep_all: bool = False
 
 
+def _sent(small: DataFrame) -> DataFrame:
+    """A materialised table, broadcast if its counted rows are few: the documents then stay where they are."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
 def token_count(text: Column) -> Column:
     """Words between white space; 0 for null."""
     return F.coalesce(F.size(F.filter(F.split(text, "[ \t\n\r\f\\x0B]+"), lambda w: w != "")), F.lit(0)).cast("long")
@@ -122,7 +129,7 @@ def mix(docs: DataFrame, target: Target, doc_id: str = "doc_id", text: str = "te
     rows = plain.withColumn("t", token_count(col(text))).withColumn("s", F.coalesce(F.concat(F.lit("="), col(source)), F.lit("")))
     key = F.coalesce(col(doc_id).cast("string"), F.lit(""))
     sources = checkpoint(rows.groupBy(F.col("s").alias("source")).agg(F.sum("t").alias("tokens")))
-    chosen = checkpoint(plan(sources, fit_exponent(sources, target), target)).select(F.col("source").alias("s"), "passes", "rest", "blocks")
+    chosen = _sent(checkpoint(plan(sources, fit_exponent(sources, target), target))).select(F.col("source").alias("s"), "passes", "rest", "blocks")
     rows = rows.join(chosen, "s").withColumn("b", F.pmod(F.xxhash64(F.lit(SEED), key), F.col("blocks")).cast("int"))
 
     # of the last pass: which blocks are taken whole, and what is left for the one on the edge
@@ -131,7 +138,7 @@ def mix(docs: DataFrame, target: Target, doc_id: str = "doc_id", text: str = "te
     before = F.sum("bt").over(Window.partitionBy("s").orderBy(order, "b").rowsBetween(Window.unboundedPreceding, -1))
     table = table.withColumn("left", F.col("rest") - F.coalesce(before, F.lit(0)))
     table = checkpoint(table.select("s", "b", "left", ((F.col("left") > 0) & (F.col("bt") <= F.col("left"))).alias("whole"), ((F.col("left") > 0) & (F.col("bt") > F.col("left"))).alias("edge")))
-    rows = rows.join(table, ["s", "b"])
+    rows = rows.join(_sent(table), ["s", "b"])
 
     def taken(part: DataFrame, passes: Column) -> DataFrame:
         out = part.withColumn("k", F.explode(passes))
