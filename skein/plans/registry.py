@@ -1,9 +1,295 @@
 """Queries over the driver's tables and the DuckDB SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from ..functions import text, udfs
+from ..operators import fts, render, search
+from ..schema import Filters
+from . import views
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+LISTED = ("id", "provider", "title", "summary", "cwd", "repo_root", "created_at", "updated_at", "message_count", "parse_warning")
+SINCE = "2023-12-20 00:00:00"
+#: A phrase and words for search, each in a minority of the sessions.
+QUERY, RARE, NOTHING = "und der", "thering keit", "zzqxj wvvk"
+SESSION_FIELDS = ("title", "summary", "preview_text", "transcript_text")
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _sessions_sql(select: str, more: str = "") -> str:
+    return f"with {views.SESSIONS_SQL}{more} {select}"
+
+
+_LISTED = ", ".join(LISTED)
+
+
+def _listing(f: Filters) -> Query:
+    return lambda spark, d: search.list_recent(views.sessions(spark, d), f).select(*LISTED)
+
+
+def _list_sql(where: str, limit: int) -> str:
+    return _sessions_sql(f"select {_LISTED} from sessions where {where} order by updated_at desc nulls last, id limit {limit}")
+
+
+for _name, _filters, _where in (
+    ("list_recent", Filters(limit=25), "true"),
+    ("list_by_provider", Filters(provider="codex", limit=20), "provider = 'codex'"),
+    ("list_by_path_prefix", Filters(path_prefix="/REPO/src1", limit=50), "(lower(coalesce(cwd, '')) like '/repo/src1%' or lower(coalesce(repo_root, '')) like '/repo/src1%')"),
+    ("list_since", Filters(since=SINCE, limit=50), f"coalesce(updated_at, created_at) >= timestamp '{SINCE}'"),
+    ("list_combined", Filters(provider="claude", path_prefix="/repo/src_", since=SINCE, limit=10), f"provider = 'claude' and (coalesce(cwd, '') like '/repo/src_%' or coalesce(repo_root, '') like '/repo/src_%') and coalesce(updated_at, created_at) >= timestamp '{SINCE}'"),
+    ("warnings_only", Filters(warnings_only=True, limit=50), "parse_warning is not null and parse_warning <> ''"),
+):
+    _QUERIES[_name], _SQL[_name] = _listing(_filters), _list_sql(_where, _filters.limit)
+
+
+@query(_sessions_sql("select provider, count(*) as n from sessions group by provider"))
+def counts_by_provider(spark, d):
+    return search.counts_by_provider(views.sessions(spark, d))
+
+
+@query(_sessions_sql("select count(*) as n from sessions where parse_warning is not null and parse_warning <> ''"))
+def count_parse_warnings(spark, d):
+    return search.parse_warnings(views.sessions(spark, d))
+
+
+@query(_sessions_sql("select p.provider, coalesce(n, 0) as n from (values ('claude'), ('codex'), ('cursor'), ('antigravity')) p(provider) left join (select provider, count(*) as n from sessions where message_count > 6 group by provider) using (provider)"))
+def provider_health_counts(spark, d):
+    known = spark.range(1).select(F.explode(F.array(*map(F.lit, ("claude", "codex", "cursor", "antigravity")))).alias("provider"))
+    counts = search.counts_by_provider(views.sessions(spark, d).where("message_count > 6"))
+    return known.join(counts, "provider", "left").select("provider", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(f"with {views.FOLDS_SQL} select session_id, first_user, last_user, message_count from folds")
+def first_last_user(spark, d):
+    return views.folds(views.messages(spark, d)).select("session_id", "first_user", "last_user", "message_count")
+
+
+@query(f"with {views.FOLDS_SQL} select session_id, transcript_text from folds")
+def transcript_agg(spark, d):
+    return views.folds(views.messages(spark, d)).select("session_id", "transcript_text")
+
+
+@query(_sessions_sql("select id, title, summary, preview_text from sessions"))
+def titles_and_previews(spark, d):
+    return views.sessions(spark, d).select("id", "title", "summary", "preview_text")
+
+
+@query(f"select conv_id, turn, {views.SUBSTANTIVE} as kept from conversations")
+def substantive_filter(spark, d):
+    return views.table(spark, d, "conversations").select("conv_id", "turn", text.substantive(F.col("text")).alias("kept"))
+
+
+@query("""select conv_id, turn, (conv_id % 2 = 0 and contains(t, '<local-command-caveat>')) or contains(t, '<command-name>/exit</command-name>') as skipped
+ from (select conv_id, turn, case turn % 3 when 0 then '<local-command-caveat>' || text when 1 then text || '<command-name>/exit</command-name>' else text end as t from conversations)""")
+def skip_filter(spark, d):
+    marked = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("<local-command-caveat>"), "text")).when(F.col("turn") % 3 == 1, F.concat("text", F.lit("<command-name>/exit</command-name>"))).otherwise(F.col("text"))
+    return views.table(spark, d, "conversations").select("conv_id", "turn", text.skipped(marked, F.col("conv_id") % 2 == 0).alias("skipped"))
+
+
+def _rank_sql(q: str, repo: str | None = None, fields=search.SOURCES, base: str = "sessions", recency: bool = True) -> str:
+    low = q.lower()
+    words = low.split()
+    parts, hits = [], []
+    for name, column, whole in fields:
+        v = views.ASCII.format(f"coalesce({column}, '')")
+        h = " + ".join(f"cast(contains({v}, '{w}') as int)" for w in words) or "0"
+        parts.append(f"case when contains({v}, '{low}') then {whole} else 0 end + ({h}) * 40 as s_{name}, {h} as h_{name}")
+        hits.append(f"h_{name}")
+    best = f"greatest({', '.join(f's_{n}' for n, _, _ in fields)})"
+    source = "case " + " ".join(f"when s_{n} = {best} then '{n}'" for n, _, _ in fields) + " end"
+    value = "case " + " ".join(f"when s_{n} = {best} then coalesce({c}, '')" for n, c, _ in fields) + " end"
+    score = " + ".join(f"s_{n}" for n, _, _ in fields)
+    if recency:
+        score += f" + coalesce((90 - least(greatest(datesub('day', updated_at, timestamp '{views.AS_OF}'), 0), 90)) * 2, 0)"
+    if len(words) > 1:
+        score += f" + case when greatest({', '.join(hits)}) = {len(words)} then 150 else 0 end"
+    if repo:
+        score += f" + case when repo_root = '{repo}' then 200 else 0 end"
+    return f", parts as (select *, {', '.join(parts)} from {base}), ranked as (select *, cast({score} as bigint) as score, {source} as match_source, {value} as match_value from parts)"
+
+
+HIT = ("id", "score", "match_source", "match_value", "updated_at")
+_TOP = f"select {', '.join(HIT)} from ranked where score > 0 order by score desc, updated_at desc nulls last, id limit "
+
+
+def _search(q: str, f: Filters, repo: str | None = None, index: bool = False, prefilter: bool = False) -> Query:
+    def run(spark, d):
+        s = views.sessions(spark, d)
+        built = (fts.postings(s, SESSION_FIELDS), fts.lengths(s, SESSION_FIELDS)) if index else None
+        transcripts = s.select(F.col("id").alias("session_id"), "transcript_text")
+        return search.search(s.drop("transcript_text"), transcripts, q, f, views.AS_OF, repo, built, prefilter=prefilter).select(*HIT)
+
+    return run
+
+
+for _name, _q, _f, _repo, _where in (
+    ("search_lexical", QUERY, Filters(limit=25), None, "true"),
+    ("search_one_word", "The", Filters(limit=25), None, "true"),
+    ("search_repo_boost", QUERY, Filters(limit=25), "/repo/src4", "true"),
+    ("search_filtered", QUERY, Filters(provider="cursor", since=SINCE, limit=10), None, f"provider = 'cursor' and coalesce(updated_at, created_at) >= timestamp '{SINCE}'"),
+    ("search_nothing_matches", NOTHING, Filters(limit=25), "/repo/src4", "true"),
+    ("search_blank", "", Filters(limit=10), None, "true"),
+):
+    _QUERIES[_name] = _search(_q, _f, _repo)
+    _SQL[_name] = _sessions_sql(_TOP + str(_f.limit), f", pool as (select * from sessions where {_where})" + _rank_sql(_q, _repo, base="pool"))
+
+
+@query(_sessions_sql("select id, score, match_source from ranked", _rank_sql(QUERY)))
+def best_match_source(spark, d):
+    return search.ranked(views.sessions(spark, d), QUERY, views.AS_OF).select("id", "score", "match_source")
+
+
+@query(_sessions_sql(f"select id, coalesce((90 - least(greatest(datesub('day', updated_at, timestamp '{views.AS_OF}'), 0), 90)) * 2, 0) as points from sessions"))
+def recency_score(spark, d):
+    return views.sessions(spark, d).select("id", search.recency(F.col("updated_at"), text.as_timestamp(views.AS_OF)).alias("points"))
+
+
+def _terms_sql(base: str, key: str, fields) -> str:
+    each = " union all ".join(f"select {key} as id, {k} as field, unnest(regexp_extract_all(strip_accents(lower(coalesce({f}, ''))), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')) as term from {base}" for k, f in enumerate(fields))
+    return f"terms as ({each}), docs as (select b.{key} as id, coalesce(n, 0) as len from {base} b left join (select id, count(*) as n from terms group by id) t on t.id = b.{key})"
+
+
+def _bm25_sql(base: str, key: str, fields, words: list[str], k: int) -> str:
+    listed = ", ".join(f"('{w}')" for w in words)
+    return f"""{_terms_sql(base, key, fields)}, wanted(term) as (values {listed}),
+hits as (select id, term, count(*) as tf from terms join wanted using (term) group by id, term),
+df as (select term, count(*) as n from hits group by term), stats as (select count(*) as n, avg(len) as avg_len from docs),
+scored as (select id, sum(case when ln((s.n - df.n + 0.5) / (df.n + 0.5)) <= 0 then 1e-6 else ln((s.n - df.n + 0.5) / (df.n + 0.5)) end
+  * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) as bm25 from hits join df using (term) join docs using (id) cross join stats s group by id),
+top as (select id, round(bm25, 6) as bm25 from scored order by round(bm25, 6) desc, id limit {k})"""
+
+
+@query(_sessions_sql("select id, bm25 from top", ", " + _bm25_sql("sessions", "id", SESSION_FIELDS, RARE.split(), 30)))
+def fts_bm25_topk(spark, d):
+    s = views.sessions(spark, d)
+    return fts.top(fts.postings(s, SESSION_FIELDS), fts.lengths(s, SESSION_FIELDS), RARE, 30)
+
+
+_QUERIES["search_two_phase"] = _search(RARE, Filters(limit=5), index=True)
+_SQL["search_two_phase"] = _sessions_sql(_TOP + "5", ", " + _bm25_sql("sessions", "id", SESSION_FIELDS, RARE.split(), 25) + ", pool as (select * from sessions where id in (select id from top))" + _rank_sql(RARE, base="pool"))
+_QUERIES["search_fallback"] = _search(NOTHING, Filters(limit=15), index=True)
+_SQL["search_fallback"] = _sessions_sql(_TOP + "15", _rank_sql(NOTHING))
+_QUERIES["search_prefiltered"] = _search(RARE, Filters(provider="claude", limit=4), index=True, prefilter=True)
+_SQL["search_prefiltered"] = _sessions_sql(_TOP + "4", ", base as (select * from sessions where provider = 'claude'), allterms as (select 1), " + _bm25_sql("base", "id", SESSION_FIELDS, RARE.split(), 20) + ", pool as (select * from base where id in (select id from top))" + _rank_sql(RARE, base="pool"))
+
+
+@query(_sessions_sql("select id, provider, title from sessions where id = 'Codex:1' or provider_session_id = 'Codex:1' or lower(id) like 'codex:1%' or lower(provider_session_id) like 'codex:1%'"))
+def resolve_prefix(spark, d):
+    return search.resolve(views.sessions(spark, d), "Codex:1").select("id", "provider", "title")
+
+
+@query(_sessions_sql("select id, regexp_replace(preview_text, '(?i)(the and|the)', '[[\\1]]', 'g') as marked from sessions".replace("(the and|the)", "(schung und|schung|und)")))
+def highlight(spark, d):
+    return views.sessions(spark, d).select("id", text.highlighted(F.col("preview_text"), "schung und").alias("marked"))
+
+
+_AGE = f"epoch(timestamp '{views.AS_OF}' - updated_at)"
+
+
+@query(_sessions_sql(f"""select id, case when updated_at is null then '-' when {_AGE} < 60 then 'just now' when {_AGE} < 3600 then cast(floor({_AGE} / 60) as bigint) || 'm ago'
+ when {_AGE} < 86400 then cast(floor({_AGE} / 3600) as bigint) || 'h ago' when {_AGE} < 2592000 then cast(floor({_AGE} / 86400) as bigint) || 'd ago' else strftime(updated_at, '%Y-%m-%d') end as age from sessions"""))
+def relative_age(spark, d):
+    return views.sessions(spark, d).select("id", text.relative_age(F.col("updated_at"), text.as_timestamp(views.AS_OF)).alias("age"))
+
+
+@query(_sessions_sql("select id, array_to_string(list_slice(string_split(transcript_text, chr(10)), 1, 5), chr(10)) as head from sessions"))
+def max_lines(spark, d):
+    return views.sessions(spark, d).select("id", text.first_lines(F.col("transcript_text"), 5).alias("head"))
+
+
+def _ranked_table(name: str, key: str, field: str, q: str, k: int) -> Query:
+    def run(spark, d):
+        rows = views.table(spark, d, name)
+        return fts.top(fts.postings(rows, (field,), key), fts.lengths(rows, (field,), key), q, k)
+
+    return run
+
+
+_QUERIES["documents_search"] = _ranked_table("documents", "doc_id", "text", "idiot tionheit", 40)
+_SQL["documents_search"] = f"with {_bm25_sql('documents', 'doc_id', ('text',), ['idiot', 'tionheit'], 40)} select id, bm25 from top"
+_QUERIES["pages_search"] = _ranked_table("pages", "page_id", "html", "casino win", 40)
+_SQL["pages_search"] = f"with {_bm25_sql('pages', 'page_id', ('html',), ['casino', 'win'], 40)} select id, bm25 from top"
+
+_FILES = "select user_id as path_id, event_id, ts, cast(value * 1000 as bigint) as size from events"
+
+
+@query(f"""with log as ({_FILES}), seen as (select path_id, arg_max(event_id, event_id) as mtime, arg_max(size, event_id) as size from log where event_id % 3 <> 0 group by path_id),
+found as (select path_id, arg_max(event_id, event_id) as mtime, arg_max(size, event_id) as size from log group by path_id)
+select f.path_id, f.mtime, f.size from found f where not exists (select 1 from seen s where s.path_id = f.path_id and s.mtime = f.mtime and s.size = f.size)""")
+def incremental_anti_join(spark, d):
+    log = views.table(spark, d, "events").select(F.col("user_id").alias("path_id"), "event_id", (F.col("value") * 1000).alias("v"))
+    size = F.round(F.col("v")).cast("long")
+    state = lambda rows: rows.groupBy("path_id").agg(F.max("event_id").alias("mtime"), F.max_by(size, "event_id").alias("size"))
+    return state(log).join(state(log.where("event_id % 3 <> 0")), ["path_id", "mtime", "size"], "left_anti")
+
+
+@query("""select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1""")
+def upsert_latest_wins(spark, d):
+    last = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    return views.table(spark, d, "events").withColumn("rn", F.row_number().over(last)).where("rn = 1").select("user_id", "event_id", "event_type")
+
+
+@query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
+def json_props_extract(spark, d):
+    return views.table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+_MD = """'# ' || coalesce(title, id) || chr(10) || chr(10) || '- Provider: ' || provider || chr(10) || '- Session ID: ' || provider_session_id || chr(10) || '- CWD: ' || coalesce(cwd, '-') || chr(10)
+ || '- Updated At: ' || coalesce(strftime(updated_at, '%Y-%m-%dT%H:%M:%S') || case when microsecond(updated_at) % 1000000 = 0 then '' else '.' || lpad(cast(microsecond(updated_at) % 1000000 as varchar), 6, '0') end || '+00:00', '-')
+ || chr(10) || chr(10) || '## Preview' || chr(10) || chr(10) || preview_text || chr(10) || chr(10) || '## Transcript' || chr(10) || chr(10) || '```' || chr(10) || transcript_text || chr(10) || '```' || chr(10)"""
+
+
+@query(_sessions_sql(f"select id, {_MD} as exported from sessions"))
+def export_markdown(spark, d):
+    return views.sessions(spark, d).select("id", render.exported("markdown").alias("exported"))
+
+
+@query(_sessions_sql("select id, coalesce(title, id) || chr(10) || chr(10) || transcript_text || chr(10) as exported from sessions"))
+def export_text(spark, d):
+    return views.sessions(spark, d).select("id", render.exported("text").alias("exported"))
+
+
+@query(_sessions_sql("select id, case provider when 'claude' then 'claude --resume ' || provider_session_id when 'codex' then 'codex resume ' || provider_session_id end as command from sessions"))
+def resume_command(spark, d):
+    return views.sessions(spark, d).select("id", render.resume_command().alias("command"))
+
+
+@query()
+def transcript_summary(spark, d):
+    """Turns of each transcript and its short form (tests hold it against a model)."""
+    return views.sessions(spark, d).select("id", udfs.summary("transcript_text").alias("summary"))
+
+
+@query()
+def match_snippet(spark, d):
+    return views.sessions(spark, d).select("id", udfs.snippet(F.col("transcript_text"), QUERY).alias("snippet"))
+
+
+@query()
+def fuzzy_title(spark, d):
+    return views.sessions(spark, d).select("id", udfs.fuzzy(F.col("title"), "undder").alias("fuzzy"))
