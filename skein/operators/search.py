@@ -55,7 +55,7 @@ def _source_score(value: Column, whole: int, query: str, words: list[str], fuzzy
 def recency(updated: Column, as_of: Column) -> Column:
     """Two points for each of the last 90 days that a session is younger than."""
     days = F.least(F.greatest(text.days_since(updated, as_of), F.lit(0)), F.lit(90))
-    return F.coalesce((90 - days) * 2, F.lit(0)).cast("long")
+    return F.when(updated.isNull(), 0).otherwise((90 - days) * 2).cast("long")
 
 
 def ranked(rows: DataFrame, query: str, as_of, current_repo: str | None = None, fuzzy: Callable[[Column, str], Column] | None = None) -> DataFrame:

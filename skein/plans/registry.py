@@ -125,7 +125,7 @@ def _rank_sql(q: str, repo: str | None = None, fields=search.SOURCES, base: str
     value = "case " + " ".join(f"when s_{n} = {best} then coalesce({c}, '')" for n, c, _ in fields) + " end"
     score = " + ".join(f"s_{n}" for n, _, _ in fields)
     if recency:
-        score += f" + coalesce((90 - least(greatest(datesub('day', updated_at, timestamp '{views.AS_OF}'), 0), 90)) * 2, 0)"
+        score += f" + case when updated_at is null then 0 else (90 - least(greatest(datesub('day', updated_at, timestamp '{views.AS_OF}'), 0), 90)) * 2 end"
     if len(words) > 1:
         score += f" + case when greatest({', '.join(hits)}) = {len(words)} then 150 else 0 end"
     if repo:
@@ -164,7 +164,7 @@ def best_match_source(spark, d):
     return search.ranked(views.sessions(spark, d), QUERY, views.AS_OF).select("id", "score", "match_source")
 
 
-@query(_sessions_sql(f"select id, coalesce((90 - least(greatest(datesub('day', updated_at, timestamp '{views.AS_OF}'), 0), 90)) * 2, 0) as points from sessions"))
+@query(_sessions_sql(f"select id, case when updated_at is null then 0 else (90 - least(greatest(datesub('day', updated_at, timestamp '{views.AS_OF}'), 0), 90)) * 2 end as points from sessions"))
 def recency_score(spark, d):
     return views.sessions(spark, d).select("id", search.recency(F.col("updated_at"), text.as_timestamp(views.AS_OF)).alias("points"))
 
