@@ -37,14 +37,23 @@ def lengths(rows: DataFrame, fields=FIELDS, key: str = "id") -> DataFrame:
     return rows.select(F.col(key).alias("id"), functools.reduce(lambda a, b: a + b, sizes).cast("long").alias("len"))
 
 
-def _matches(index: DataFrame, parts: list[str]) -> DataFrame:
-    """(id, tf) of a term or phrase."""
-    first = index.where(F.col("term") == parts[0]).select("id", "tf", "positions")
-    for k, part in enumerate(parts[1:], 1):
-        other = index.where(F.col("term") == part).select("id", F.col("positions").alias("then"))
-        first = first.join(other, "id").withColumn("positions", F.array_intersect("positions", _back("then", k)))
-        first = first.select("id", F.size("positions").cast("long").alias("tf"), "positions").where("tf > 0")
-    return first.select("id", "tf")
+def _matches(index: DataFrame, phrases: list[list[str]]) -> DataFrame:
+    """(q, id, tf): in which documents and how often each phrase of terms is."""
+    found = []
+    times = [(p[0], k) for k, p in enumerate(phrases) if len(p) == 1]
+    if times:  # all single terms in one pass; a word that repeats counts again
+        words = sorted({w for w, _ in times})
+        numbers = functools.reduce(lambda c, w: c.when(F.col("term") == w, F.array(*[F.lit(k) for v, k in times if v == w])), words, F)
+        found.append(index.where(F.col("term").isin(words)).select(F.explode(numbers).alias("q"), "id", "tf"))
+    for k, parts in enumerate(phrases):
+        if len(parts) == 1:
+            continue
+        first = index.where(F.col("term") == parts[0]).select("id", "positions")
+        for n, part in enumerate(parts[1:], 1):
+            other = index.where(F.col("term") == part).select("id", F.col("positions").alias("then"))
+            first = first.join(other, "id").select("id", F.array_intersect("positions", _back("then", n)).alias("positions"))
+        found.append(first.select(F.lit(k).alias("q"), "id", F.size("positions").cast("long").alias("tf")).where("tf > 0"))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def _back(column: str, k: int):
@@ -56,11 +65,12 @@ def bm25(index: DataFrame, docs: DataFrame, query: str) -> DataFrame:
     wanted = text.query_terms(query)
     if not wanted:
         return docs.select("id", F.lit(0.0).alias("bm25")).limit(0)
-    hits = functools.reduce(DataFrame.unionByName, [_matches(index, p).withColumn("q", F.lit(k)) for k, p in enumerate(wanted)])
+    hits = _matches(index, wanted)
     df = hits.groupBy("q").agg(F.count("*").alias("df"))
     stats = docs.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = df.join(F.broadcast(stats)).select("q", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"), "avg_len")  # a row for each query word
+    weights = df.join(F.broadcast(stats)).select(  # one row of totals
+        "q", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"), "avg_len")
     scored = hits.join(F.broadcast(weights), "q").join(docs, "id")
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     return scored.groupBy("id").agg(F.sum(F.col("idf") * tf).alias("bm25"))

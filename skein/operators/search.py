@@ -103,9 +103,9 @@ def search(
         postings, lengths = index
         if prefilter:
             postings, lengths = (d.join(pool.select("id"), "id", "left_semi") for d in index)
-        candidates = fts.top(postings, lengths, query, f.limit * CANDIDATES).select("id")
-        if not candidates.isEmpty():
-            pool = pool.join(candidates, "id", "left_semi")
+        found = fts.top(postings, lengths, query, f.limit * CANDIDATES).select("id").collect()  # a bounded few
+        if found:
+            pool = pool.join(F.broadcast(sessions.sparkSession.createDataFrame(found, postings.select("id").schema)), "id", "left_semi")
     hits = ranked(with_transcripts(pool, transcripts), query, as_of, current_repo, fuzzy).where("score > 0")
     top = hits.orderBy(F.desc("score"), F.desc_nulls_last("updated_at"), "id").limit(f.limit)
     return top.withColumn("match_snippet", snippet(F.col("match_value"), query)) if snippet else top
