@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..schema import PROVIDERS
 
 AS_OF = "2024-02-01 00:00:00"
-PROVIDER_OF = F.element_at(F.array(*map(F.lit, ("claude", "codex", "cursor", "antigravity"))), (F.col("conv_id") % 4 + 1).cast("int"))
+
+
+def provider_of(conv_id: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, PROVIDERS)), (conv_id % 4 + 1).cast("int"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation is a session of the provider its id picks."""
     rows = table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
-    return rows.select("conv_id", F.concat(PROVIDER_OF, F.lit(":"), F.col("conv_id")).alias("session_id"), F.col("turn").alias("seq"), "role", "text")
+    return rows.select("conv_id", F.concat(provider_of(F.col("conv_id")), F.lit(":"), F.col("conv_id")).alias("session_id"), F.col("turn").alias("seq"), "role", "text")
 
 
 def folds(rows: DataFrame) -> DataFrame:
