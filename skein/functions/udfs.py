@@ -180,7 +180,7 @@ def json_line(line: str):
 def _on_texts(f, kind):
     @F.arrow_udf(kind)
     def run(values: pa.Array) -> pa.Array:
-        return pa.array([f(v) for v in values.to_pylist()])
+        return pa.array([f(v) for v in values.to_pylist()], {"string": pa.string(), "long": pa.int64()}[kind])
 
     return run
 
