@@ -151,7 +151,7 @@ def mix(docs: DataFrame, target: Target, doc_id: str = "doc_id", text: str = "te
     full = taken(rows, F.when(counted > 0, F.sequence(F.lit(0), counted - 1)).otherwise(F.array().cast("array<int>")))
     in_block = Window.partitionBy("s", "b").orderBy(F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "passes", key), 44), key).rowsBetween(Window.unboundedPreceding, -1)
     edge = rows.where("edge").withColumn("had", F.coalesce(F.sum("t").over(in_block), F.lit(0))).where("had < left")
-    return full.unionByName(taken(edge, F.array("passes")))
+    return full.union(taken(edge, F.array("passes")))
 
 
 def mixed(docs: DataFrame, target: Target) -> DataFrame:
