@@ -1,13 +1,14 @@
-"""Near-duplicate groups by word shingles, found through SimHash.
+"""Near-duplicate groups by word shingles, found through min-hash bands and SimHash.
 
 Two documents are linked if the Jaccard likeness of their sets of 5-word
-shingles is at least 0.8. SimHash fingerprints (of 3-word shingles) find the
-candidates, an exact comparison of the shingle sets confirms them:
+shingles is at least 0.8. Bands of min-hashes find the candidates, SimHash
+fingerprints (of 3-word shingles) thin them out, and an exact comparison of the
+shingle sets confirms them:
 
 1. Equal word sequences form a class; only classes are compared.
-2. Each class gets, in each of TABLES tables, a key of some fingerprint bits and
-   the keys that differ from it in its WEAK least certain ones: an edit flips
-   the bits whose votes are nearly even.
+2. Each class gets a key of each of BANDS bands of min-hashes of its shingle set.
+   Their number follows the likeness alone, so a link's chance to be found
+   does not fall as the table grows.
 3. Classes of one key whose fingerprints are within RADIUS bits (found by a
    Gray-order index) and whose min-hash nibbles mostly agree are candidates.
    Only a spanning forest of them leaves the group.
@@ -21,7 +22,6 @@ and no task holds more than two parts.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +35,16 @@ from .components import connected_components
 from .simhash_index import SEED, GrayIndex, shingles
 
 SHINGLE, SIMILARITY = 5, (4, 5)  # at least 4/5
-TABLES, WEAK, RADIUS = 5, 3, 13
+#: Bands, and min-hashes in each: a pair of likeness s shares no key with probability
+#: (1 - s**BAND)**BANDS, 1.2e-7 at 0.8, whatever the number of rows.
+BANDS, BAND = 40, 5
+RADIUS = 13
 NIBBLES, NIBBLES_EQUAL = 16, 8
 #: Most members of a part.
 GROUP_PART, CELL_PART = 20_000, 3_000
 SMALL = 16
 _HASH = WordHasher()
+_FACTORS, _TERMS = np.random.default_rng(31).integers(0, 1 << 64, (2, BANDS * BAND), np.uint64) | np.array([[1], [0]], np.uint64)
 
 
 def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -61,8 +65,8 @@ def _ascii_words(text: str) -> list[str]:
     return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
 
 
-def sketch(text: str | None, bits: int) -> tuple[bytes, int, int, list[int]]:
-    """(class key, fingerprint, nibbles, table keys) of a text."""
+def sketch(text: str | None) -> tuple[bytes, int, int, list[int]]:
+    """(class key, fingerprint, nibbles, band keys) of a text."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     same = xxhash.xxh3_128_digest(b" ".join(words), 5)
     parts = shingles(words, 3)
@@ -81,18 +85,21 @@ def sketch(text: str | None, bits: int) -> tuple[bytes, int, int, list[int]]:
         empty = least == np.uint64(0xFFFFFFFFFFFFFFFF)
         value = np.where(empty, np.uint64(0), (least >> np.uint64(5)) % np.uint64(15) + np.uint64(1))
         nibbles = int((value << (np.arange(NIBBLES, dtype=np.uint64) * np.uint64(4))).sum())
-    keys = []
-    for t in range(TABLES):
-        places = _places(t, bits)
-        own = sum(1 << int(p) for p in places if fp >> int(p) & 1)
-        weak = places[np.argsort(np.abs(votes[places]), kind="stable")[:WEAK]]
-        flips = [sum(1 << int(p) for k, p in enumerate(weak) if c >> k & 1) for c in range(1 << len(weak))]
-        keys += [xxhash.xxh64_intdigest((own ^ f).to_bytes(8, "big"), 100 + t) for f in flips]
-    return same, fp, nibbles, keys
+    return same, fp, nibbles, band_keys(names)
 
 
-def _places(table: int, bits: int) -> np.ndarray:
-    return np.sort(np.random.default_rng([31, table]).permutation(64)[:bits])
+def band_keys(names: np.ndarray) -> list[int]:
+    """A key of each band of min-hashes of a set; none of the empty set."""
+    if not len(names):
+        return []
+    least = np.full(len(_FACTORS), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(names), 2048):
+        least = np.minimum(least, (names[at : at + 2048, None] * _FACTORS + _TERMS).min(axis=0))
+    least = least.reshape(BANDS, BAND)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for k in range(BAND):
+        key = mix(key + least[:, k])
+    return key.tolist()
 
 
 def _alike(nibbles_a: np.ndarray, nibbles_b: np.ndarray) -> np.ndarray:
@@ -257,12 +264,11 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     own = pick(docs, "doc_id", "text").where("doc_id is not null")
-    bits = min(32, max(10, math.ceil(math.log2(max(2, own.count()))) + 1))
 
     @F.arrow_udf("struct<same:binary,fp:long,nibbles:long,keys:array<long>>")
     def sketched(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            got = [sketch(t, bits) for t in batch.to_pylist()]
+            got = [sketch(t) for t in batch.to_pylist()]
             signed = lambda x: np.array(x, np.uint64).view(np.int64)
             keys = pa.array(signed([k for *_, ks in got for k in ks]))
             ends = np.cumsum([0, *(len(ks) for *_, ks in got)])

@@ -99,6 +99,23 @@ def test_near_duplicate_groups(spark, monkeypatch, part):
     assert got == {i: least[roots[k]] for k, (i, _) in enumerate(rows)}
 
 
+def edited_pairs(n, sizes=(12, 40, 200), seed=21):
+    """Pairs of texts whose likeness is 0.8 or little more: the second has a block appended."""
+    rng = np.random.default_rng(seed)
+    for k in range(n):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, sizes[k % len(sizes)])]
+        yield " ".join(words), " ".join(words + [f"x{x}" for x in rng.integers(0, 10**9, (len(words) - 4) // 4)])
+
+
+def test_keys_do_not_depend_on_the_row_count():
+    keys = [[set(simhash_dedup.sketch(t)[-1]) for t in pair] for pair in edited_pairs(600)]
+    assert all(a & b for a, b in keys)
+    shared = np.mean([len(a & b) / simhash_dedup.BANDS for a, b in keys])
+    assert 0.29 < shared < 0.40  # 0.8**5 = 0.33, a little more where 0.8 is not met exactly
+    alone = [a for a, _ in keys]
+    assert not any(alone[k] & alone[k - 1] for k in range(len(alone)))
+
+
 def test_keep_one(spark):
     rows = varied(30, 8) + ODD
     out = simhash_dedup.keep_one(docs(spark, rows))
