@@ -69,7 +69,7 @@ def sketch(text: str | None) -> tuple[bytes, int, int, list[int]]:
     """(class key, fingerprint, nibbles, band keys) of a text."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     same = xxhash.xxh3_128_digest(b" ".join(words), 5)
-    parts = shingles(words, 3)
+    parts = sorted(set(shingles(words, 3)))  # a link is between sets: repeats have no vote
     votes, n = np.zeros(64, np.int64), len(parts)
     for at in range(0, n, 65536):
         h = np.array([xxhash.xxh64_intdigest(x, SEED) for x in parts[at : at + 65536]], ">u8")

@@ -116,6 +116,20 @@ def test_keys_do_not_depend_on_the_row_count():
     assert not any(alone[k] & alone[k - 1] for k in range(len(alone)))
 
 
+def repeated_lines(n=20, seed=22):
+    """Pairs of texts with nearly equal shingle sets, in which a line stands twice and many times."""
+    rng = np.random.default_rng(seed)
+    for k in range(n):
+        words, line = ([f"w{x}" for x in rng.integers(0, 10**9, m)] for m in (100, 8))
+        yield " ".join(words + line * 2), " ".join(words + line * (10, 20, 60)[k % 3])
+
+
+def test_repeated_lines(spark):
+    rows = [(k, t) for k, t in enumerate(t for pair in repeated_lines() for t in pair)]
+    got = dict(map(tuple, simhash_dedup.near_duplicate_groups(docs(spark, rows)).collect()))
+    assert got == {k: k - k % 2 for k, _ in rows}
+
+
 def test_keep_one(spark):
     rows = varied(30, 8) + ODD
     out = simhash_dedup.keep_one(docs(spark, rows))
