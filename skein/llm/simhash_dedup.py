@@ -1,17 +1,16 @@
-"""Near-duplicate groups by word shingles, found through min-hash bands and SimHash.
+"""Near-duplicate groups by word shingles, found through min-hash bands.
 
 Two documents are linked if the Jaccard likeness of their sets of 5-word
-shingles is at least 0.8. Bands of min-hashes find the candidates, SimHash
-fingerprints (of 3-word shingles) thin them out, and an exact comparison of the
-shingle sets confirms them:
+shingles is at least 0.8. Bands of min-hashes find the candidates, an exact
+comparison of the shingle sets confirms them. (A SimHash distance is no gate:
+any radius that thins candidates out also drops links.)
 
 1. Equal word sequences form a class; only classes are compared.
 2. Each class gets a key of each of BANDS bands of min-hashes of its shingle set.
    Their number follows the likeness alone, so a link's chance to be found
    does not fall as the table grows.
-3. Classes of one key whose fingerprints are within RADIUS bits (found by a
-   Gray-order index) and whose min-hash nibbles mostly agree are candidates.
-   Only a spanning forest of them leaves the group.
+3. Classes of one key are candidates unless the sizes of their sets, or 64
+   parity bits of them, rule a link out.
 4. The components of the candidates are cells; a cell's texts meet once, and a
    search over the documents not yet linked gives the exact links' forest.
 
@@ -32,16 +31,14 @@ from pyspark.sql import functions as F
 
 from .common import WordHasher, checkpoint, mix, pick, small_batches
 from .components import connected_components
-from .simhash_index import SEED, GrayIndex, shingles
 
 SHINGLE, SIMILARITY = 5, (4, 5)  # at least 4/5
 #: Bands, and min-hashes in each: a pair of likeness s shares no key with probability
 #: (1 - s**BAND)**BANDS, 1.2e-7 at 0.8, whatever the number of rows.
 BANDS, BAND = 40, 5
-RADIUS = 13
-NIBBLES, NIBBLES_EQUAL = 16, 8
 #: Most members of a part.
 GROUP_PART, CELL_PART = 20_000, 3_000
+#: Most members of a group whose pairs are compared one by one.
 SMALL = 16
 _HASH = WordHasher()
 _FACTORS, _TERMS = np.random.default_rng(31).integers(0, 1 << 64, (2, BANDS * BAND), np.uint64) | np.array([[1], [0]], np.uint64)
@@ -66,26 +63,12 @@ def _ascii_words(text: str) -> list[str]:
 
 
 def sketch(text: str | None) -> tuple[bytes, int, int, list[int]]:
-    """(class key, fingerprint, nibbles, band keys) of a text."""
+    """(class key, size of the shingle set, parity bits, band keys) of a text."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     same = xxhash.xxh3_128_digest(b" ".join(words), 5)
-    parts = sorted(set(shingles(words, 3)))  # a link is between sets: repeats have no vote
-    votes, n = np.zeros(64, np.int64), len(parts)
-    for at in range(0, n, 65536):
-        h = np.array([xxhash.xxh64_intdigest(x, SEED) for x in parts[at : at + 65536]], ">u8")
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    votes = (2 * votes - n)[::-1]  # place 0 is the lowest bit
-    fp = sum(1 << k for k in np.flatnonzero(votes > 0).tolist())
     names = shingle_set(text)
-    nibbles = 0
-    if len(names):
-        place = (names % np.uint64(NIBBLES)).astype(np.intp)
-        least = np.full(NIBBLES, np.uint64(0xFFFFFFFFFFFFFFFF))
-        np.minimum.at(least, place, mix(names))
-        empty = least == np.uint64(0xFFFFFFFFFFFFFFFF)
-        value = np.where(empty, np.uint64(0), (least >> np.uint64(5)) % np.uint64(15) + np.uint64(1))
-        nibbles = int((value << (np.arange(NIBBLES, dtype=np.uint64) * np.uint64(4))).sum())
-    return same, fp, nibbles, band_keys(names)
+    odd = np.bincount((mix(names) >> np.uint64(58)).astype(np.intp), minlength=64) & 1
+    return same, len(names), sum(1 << k for k in np.flatnonzero(odd).tolist()), band_keys(names)
 
 
 def band_keys(names: np.ndarray) -> list[int]:
@@ -102,53 +85,13 @@ def band_keys(names: np.ndarray) -> list[int]:
     return key.tolist()
 
 
-def _alike(nibbles_a: np.ndarray, nibbles_b: np.ndarray) -> np.ndarray:
-    """Whether enough min-hash nibbles agree, of those that either side has."""
-    x, either = nibbles_a ^ nibbles_b, nibbles_a | nibbles_b
-    ones = np.uint64(0x1111111111111111)
-
-    def used(v: np.ndarray) -> np.ndarray:
-        v = v | v >> np.uint64(1)
-        return np.bitwise_count((v | v >> np.uint64(2)) & ones).astype(np.int64)
-
-    n, differ = used(either), used(x)
-    return (n - differ) * NIBBLES >= NIBBLES_EQUAL * n
-
-
-def group_forest(fp: np.ndarray, nibbles: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning forest (pairs of positions) of a group's candidates: the search goes on from
-    each reached member over those not yet reached."""
-    if len(fp) <= SMALL:
-        i, j = np.triu_indices(len(fp), 1)
-        near = (np.bitwise_count(fp[i] ^ fp[j]) <= RADIUS) & _alike(nibbles[i], nibbles[j])
-        return list(zip(i[near].tolist(), j[near].tolist()))
-    values, inverse = np.unique(fp, return_inverse=True)
-    index = GrayIndex(values)
-    members: list[list[int]] = [[] for _ in values]
-    where = {v: k for k, v in enumerate(index.values.tolist())}
-    for m, v in enumerate(values[inverse].tolist()):
-        members[where[v]].append(m)
-    left = np.array([len(m) for m in members])
-    out: list[tuple[int, int]] = []
-    free = np.ones(len(fp), bool)
-    for start in range(len(fp)):
-        if not free[start]:
-            continue
-        free[start] = False
-        left[where[int(fp[start])]] -= 1
-        queue = [start]
-        while queue:
-            a = queue.pop()
-            spots = index.within(fp[a], RADIUS, left > 0)
-            near = np.array([m for s in spots for m in members[s] if free[m]], np.intp)
-            if len(near):
-                near = near[_alike(nibbles[a], nibbles[near])]
-            for m in near.tolist():
-                free[m] = False
-                left[where[int(fp[m])]] -= 1
-                out.append((a, m))
-                queue.append(m)
-    return out
+def _may_link(size_a: np.ndarray, parity_a: np.ndarray, size_b: np.ndarray, parity_b: np.ndarray) -> np.ndarray:
+    """False only of pairs that cannot reach SIMILARITY: by the sizes of the sets, or as each
+    place where the parities differ holds a shingle that one set lacks."""
+    part, whole = SIMILARITY
+    lacking = np.bitwise_count(parity_a ^ parity_b).astype(np.int64)
+    near = whole * np.minimum(size_a, size_b) >= part * np.maximum(size_a, size_b)
+    return near & ((part + whole) * lacking <= (whole - part) * (size_a + size_b))
 
 
 def set_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -204,14 +147,16 @@ def _pairs_of_parts(rows: DataFrame, key: str, limit: int, spread: Column) -> Da
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
-    """classes (node, fp, nibbles, keys) -> (u, v): forest of candidates in each group."""
+    """classes (node, size, parity, keys) -> (u, v): edges whose components hold all links of each
+    group. Small groups give each pair that may link; others a chain by size, broken where the
+    sizes are too far apart for a link across."""
 
     @F.arrow_udf("array<struct<u:long,v:long>>")
     def search(groups: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in groups:
             flat = batch.flatten()
-            node, fp, nib = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("node", "fp", "nibbles"))
-            fp, nib = fp.view(np.uint64), nib.view(np.uint64)
+            node, size, parity = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("node", "size", "parity"))
+            parity = parity.view(np.uint64)
             length = np.array(batch.value_lengths())
             at = np.concatenate([[0], np.cumsum(length)])
             us, vs, owner = [], [], []
@@ -219,24 +164,25 @@ def _candidates(classes: DataFrame) -> DataFrame:
                 own = np.flatnonzero(length == m)
                 i, j = np.triu_indices(m, 1)
                 a, b = (at[own][:, None] + i).ravel(), (at[own][:, None] + j).ravel()
-                near = (np.bitwise_count(fp[a] ^ fp[b]) <= RADIUS) & _alike(nib[a], nib[b])
+                near = _may_link(size[a], parity[a], size[b], parity[b])
                 us.append(a[near])
                 vs.append(b[near])
                 owner.append(np.repeat(own, len(i))[near])
             for g in np.flatnonzero(length > SMALL):
-                found = np.array(group_forest(fp[at[g] : at[g + 1]], nib[at[g] : at[g + 1]]), np.int64).reshape(-1, 2) + at[g]
-                us.append(found[:, 0])
-                vs.append(found[:, 1])
-                owner.append(np.full(len(found), g))
+                order = at[g] + np.argsort(size[at[g] : at[g + 1]], kind="stable")
+                near = SIMILARITY[1] * size[order[:-1]] >= SIMILARITY[0] * size[order[1:]]
+                us.append(order[:-1][near])
+                vs.append(order[1:][near])
+                owner.append(np.full(len(us[-1]), g))
             u, v, owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs, owner))
             order = np.argsort(owner, kind="stable")
             links = pa.StructArray.from_arrays([pa.array(node[u[order]]), pa.array(node[v[order]])], names=["u", "v"])
             ends = np.concatenate([[0], np.cumsum(np.bincount(owner.astype(np.intp), minlength=len(length)))])
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), links)
 
-    keyed = classes.select("node", "fp", "nibbles", F.explode("keys").alias("key"))
+    keyed = classes.select("node", "size", "parity", F.explode("keys").alias("key"))
     met = _pairs_of_parts(keyed, "key", GROUP_PART, F.xxhash64("node"))
-    groups = met.groupBy("key", "low", "high").agg(F.collect_list(F.struct("node", "fp", "nibbles")).alias("g")).where(F.size("g") > 1)
+    groups = met.groupBy("key", "low", "high").agg(F.collect_list(F.struct("node", "size", "parity")).alias("g")).where(F.size("g") > 1)
     return groups.select(F.inline(search("g"))).where("u <> v").distinct()
 
 
@@ -265,7 +211,7 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     own = pick(docs, "doc_id", "text").where("doc_id is not null")
 
-    @F.arrow_udf("struct<same:binary,fp:long,nibbles:long,keys:array<long>>")
+    @F.arrow_udf("struct<same:binary,size:long,parity:long,keys:array<long>>")
     def sketched(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
             got = [sketch(t) for t in batch.to_pylist()]
@@ -273,13 +219,13 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
             keys = pa.array(signed([k for *_, ks in got for k in ks]))
             ends = np.cumsum([0, *(len(ks) for *_, ks in got)])
             yield pa.StructArray.from_arrays(
-                [pa.array([s for s, *_ in got], pa.binary()), pa.array(signed([f for _, f, *_ in got])), pa.array(signed([n for _, _, n, _ in got])), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), keys)],
-                names=["same", "fp", "nibbles", "keys"],
+                [pa.array([s for s, *_ in got], pa.binary()), pa.array([n for _, n, *_ in got], pa.int64()), pa.array(signed([p for _, _, p, _ in got])), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), keys)],
+                names=["same", "size", "parity", "keys"],
             )
 
     rows = checkpoint(own.select("doc_id", sketched("text").alias("s")).select("doc_id", "s.*"))
     node = F.xxhash64("same")
-    named = rows.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("nibbles").alias("nibbles"), F.first("keys").alias("keys"))
+    named = rows.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("parity").alias("parity"), F.first("keys").alias("keys"))
     classes = checkpoint(named.withColumn("node", node))
     cells = connected_components(_candidates(classes)).withColumnRenamed("root", "cell")
     placed = checkpoint(classes.select("same", "doc_id", "node").join(cells, "node").select("same", "doc_id", "cell"))

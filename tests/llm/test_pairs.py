@@ -116,6 +116,26 @@ def test_keys_do_not_depend_on_the_row_count():
     assert not any(alone[k] & alone[k - 1] for k in range(len(alone)))
 
 
+@pytest.mark.parametrize("small", [16, 1])
+def test_links_near_the_limit(spark, monkeypatch, small):
+    monkeypatch.setattr(simhash_dedup, "SMALL", small)
+    rows = [(k, t) for k, t in enumerate(t for pair in edited_pairs(300, seed=23) for t in pair)]
+    got = dict(map(tuple, simhash_dedup.near_duplicate_groups(docs(spark, rows)).collect()))
+    assert got == {k: k - k % 2 for k, _ in rows}
+
+
+def test_may_link_drops_no_link():
+    rng = np.random.default_rng(24)
+    for n in range(1, 160):
+        a = rng.integers(0, 1 << 62, n + n // 4, dtype=np.uint64)
+        sets = [a[: n + int(rng.integers(0, n // 4 + 1))], a[n // 9 :], a, rng.permutation(a)[:n]]
+        size, odd = np.array([len(s) for s in sets]), [np.bincount((simhash_dedup.mix(s) >> np.uint64(58)).astype(int), minlength=64) & 1 for s in sets]
+        parity = np.array([sum(1 << k for k in np.flatnonzero(o).tolist()) for o in odd], np.uint64)
+        i, j = np.triu_indices(len(sets), 1)
+        alike = np.array([5 * len(np.intersect1d(sets[p], sets[q])) >= 4 * len(np.union1d(sets[p], sets[q])) for p, q in zip(i, j)])
+        assert simhash_dedup._may_link(size[i], parity[i], size[j], parity[j])[alike].all()
+
+
 def repeated_lines(n=20, seed=22):
     """Pairs of texts with nearly equal shingle sets, in which a line stands twice and many times."""
     rng = np.random.default_rng(seed)
