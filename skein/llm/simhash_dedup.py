@@ -62,13 +62,16 @@ def _ascii_words(text: str) -> list[str]:
     return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
 
 
+def class_of(text: str | None) -> bytes:
+    """The name of a text's word sequence."""
+    return xxhash.xxh3_128_digest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), 5)
+
+
 def sketch(text: str | None) -> tuple[bytes, int, int, list[int]]:
     """(class key, size of the shingle set, parity bits, band keys) of a text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    same = xxhash.xxh3_128_digest(b" ".join(words), 5)
     names = shingle_set(text)
     odd = np.bincount((mix(names) >> np.uint64(58)).astype(np.intp), minlength=64) & 1
-    return same, len(names), sum(1 << k for k in np.flatnonzero(odd).tolist()), band_keys(names)
+    return class_of(text), len(names), sum(1 << k for k in np.flatnonzero(odd).tolist()), band_keys(names)
 
 
 def band_keys(names: np.ndarray) -> list[int]:
@@ -190,8 +193,9 @@ def _confirmed(texts: DataFrame, cells: DataFrame) -> DataFrame:
     """texts (doc_id, text), cells (same, doc_id, cell) -> (u, v): forest of the exact links of each cell."""
 
     def link(group: pa.Table) -> pa.Table:
-        text = dict(zip(group.column("same").to_pylist(), group.column("text").to_pylist()))
-        same = [s for s, t in text.items() if xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()), 5) == s]
+        # an id that repeats with other texts brings those too
+        text = {s: t for s, t in zip(group.column("same").to_pylist(), group.column("text").to_pylist()) if class_of(t) == s}
+        same = list(text)
         found = set_forest([shingle_set(text[s]) for s in same])
         return pa.table({"u": pa.array([same[a] for a, _ in found], pa.binary()), "v": pa.array([same[b] for _, b in found], pa.binary())})
 
@@ -207,6 +211,11 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     part; repeated rows stay repeated; an empty table gives an empty result; other
     columns are ignored.
     """
+    return _grouped(docs).select("doc_id", "group_id")
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """near_duplicate_groups with the class of each row, same, and the name of its group, root."""
     spark = docs.sparkSession
     small_batches(spark)
     own = pick(docs, "doc_id", "text").where("doc_id is not null")
@@ -232,21 +241,31 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     links = connected_components(_confirmed(own, placed)).withColumnRenamed("node", "same")
     grouped = classes.select("same", "doc_id").join(links, "same", "left").withColumn("root", F.coalesce("root", "same"))
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("group_id"))
-    return rows.select("doc_id", "same").join(grouped.join(least, "root").select("same", "group_id"), "same").select("doc_id", "group_id")
+    return rows.select("doc_id", "same").join(grouped.join(least, "root").select("same", "root", "group_id"), "same")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, of which each near-duplicate group keeps one: that with
-    the smallest doc_id (one of them, if the id repeats). Rows without an id all stay."""
+    the smallest doc_id (one of them, if the id repeats; texts of one id that are no near
+    duplicates are in groups of their own). Rows without an id all stay."""
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    key = f"c{names.index('doc_id')}"
-    rows = checkpoint(near_duplicate_groups(docs))
-    per_id = rows.groupBy("doc_id").agg(F.min("group_id").alias("group_id"), F.count("*").alias("n"))
-    lost = per_id.where("group_id <> doc_id").select(F.col("doc_id").alias(key))
-    left = plain.join(lost, key, "left_anti")
-    twice = per_id.where("n > 1 and group_id = doc_id").select(F.col("doc_id").alias(key))
+    key, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
+    rows = checkpoint(_grouped(docs).select("doc_id", "same", "root"))
+    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "same")).alias("first"))
+    marked = rows.join(first, "root").select("doc_id", "same", (F.struct("doc_id", "same") == F.col("first")).alias("kept"))
+    per_id = marked.groupBy(F.col("doc_id").alias(key)).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    left = plain.join(per_id.where("not kept").select(key), key, "left_anti")
+    twice = per_id.where("n > 1 and kept").select(key)
     if not twice.isEmpty():
-        one = left.join(twice, key, "left_semi").orderBy(*plain.columns).dropDuplicates([key])
-        left = left.join(twice, key, "left_anti").unionByName(one)
+
+        @F.arrow_udf("binary")
+        def classes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in texts:
+                yield pa.array(list(map(class_of, batch.to_pylist())), pa.binary())
+
+        kept = marked.where("kept").select(F.col("doc_id").alias(key), "same").distinct()
+        one = left.join(twice, key, "left_semi").withColumn("same", classes(text)).join(kept, [key, "same"], "left_semi")
+        one = one.orderBy(*plain.columns).dropDuplicates([key, "same"])
+        left = left.join(twice, key, "left_anti").unionByName(one.drop("same"))
     return left.select(*plain.columns).toDF(*names)

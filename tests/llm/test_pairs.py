@@ -164,6 +164,14 @@ def test_keep_one(spark):
     assert simhash_dedup.keep_one(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_repeated_ids_of_other_texts(spark):
+    a, b = next(edited_pairs(1, (60,), seed=25))
+    c, d, e = (" ".join(f"{x}{k}" for k in range(50)) for x in "cde")
+    rows = [(1, a), (5, b), (5, c), (5, c), (6, d), (6, e), (7, e), (8, d + " more")]
+    out = [tuple(r)[:2] for r in simhash_dedup.keep_one(docs(spark, rows)).collect()]
+    assert sorted(out) == sorted([(1, a), (5, c), (6, d), (6, e)])
+
+
 def test_set_forest():
     rng = np.random.default_rng(2)
     sets = [np.unique(np.concatenate([np.arange(50) + 1000 * (k % 4), rng.integers(5000, 9000, rng.integers(0, 14))])).astype(np.uint64) for k in range(60)] + [np.zeros(0, np.uint64)] * 2
