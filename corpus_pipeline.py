@@ -29,7 +29,10 @@ def _where(docs: DataFrame, value: str, made, keep) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those whose text is null or has no letter go."""
-    identify = language.identifier(spark, language.train(language.sample(docs)))
+    net = language.train(language.sample(docs))
+    if not net.langs:  # nothing to learn from: all that has a letter stays
+        return _where(docs, "letter", lambda text: text.rlike(r"\p{L}"), lambda letter: letter)
+    identify = language.identifier(spark, net)
     return _where(docs, "r", identify, lambda r: r["lang_pred"] != language.UNKNOWN)
 
 

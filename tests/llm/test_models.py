@@ -239,5 +239,11 @@ def test_stages_take_odd_tables(spark, sf_dir):
             assert stage(spark, table, sf_dir).count() >= 0
 
 
+def test_language_stage_without_languages(spark, sf_dir):
+    docs = odd(spark).withColumn("lang", F.lit(None).cast("string"))
+    out = corpus_pipeline.identify_language(spark, docs, sf_dir)
+    assert out.columns == docs.columns and sorted(r["text"] for r in out.collect()) == sorted(t for _, t in ODD if t and any(map(str.isalpha, t)))
+
+
 def test_all_queries_are_registered():
     assert [q.split("_")[0] for q in queries.queries()] == [f"op{k}" for k in range(1, 11)]
