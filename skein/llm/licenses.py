@@ -2,11 +2,12 @@
 
 Training (numpy, on the driver, from the texts below; no input is needed)
 gives sparse multinomial logistic weights over word n-grams, calibrated by a
-temperature, with a class for everything that is no license. The classifier is
-defined on paragraphs that hold a cue (part of a word that every known notice
-has); all others are `unknown` by definition and give no row.
+temperature, with a class for everything that is no license. Every paragraph
+(line) is judged; those without a cue (part of a word that most known notices
+have) that come out `unknown` give no row. Lines without any of the words that
+evidence() lists need no scoring: the weights prove them unknown.
 
-Scanning uses SQL functions alone: paragraphs with a cue, their n-grams, a
+Scanning uses SQL functions alone: paragraphs to score, their n-grams, a
 join with the weight table (some hundred rows, fixed by the training texts), a
 softmax, and the overlap with the predicted family's templates.
 """
@@ -160,8 +161,7 @@ def _examples(seed: int = 5, per_text: int = 14) -> list[tuple[set[str], str]]:
         if rng.random() < 0.3:
             text = f"{noise(rng.integers(1, 12))} {text}" if rng.random() < 0.5 else f"{text} {noise(rng.integers(1, 25))}"
         text = str(rng.choice(PREFIXES)) + text + str(rng.choice(SUFFIXES))
-        if has_cue(text):
-            out.append((ngrams_of(words_of(text)), label))
+        out.append((ngrams_of(words_of(text)), label))
 
     for label, texts in TEMPLATES.items():
         for text in texts:
@@ -216,19 +216,42 @@ def fitted() -> tuple[list[str], np.ndarray, dict[str, np.ndarray], float]:
     return classes, b, {g: w[k] for g, k in vocabulary.items() if kept[k]}, float(temperature)
 
 
+@functools.cache
+def evidence() -> tuple[str, ...]:
+    """Words without which no text reaches a family: the n-grams free of them cannot, all
+    together, make any family likelier than LEAST_PROBABILITY against `unknown`."""
+    classes, bias, weights, temperature = fitted()
+    unknown = classes.index(UNKNOWN)
+    grams = {g: np.maximum(w - w[unknown], 0) for g, w in weights.items()}
+    short = bias[unknown] - bias + temperature * np.log(LEAST_PROBABILITY / (1 - LEAST_PROBABILITY)) - 1e-6
+    short[unknown] = np.inf
+    out: list[str] = []
+    while grams and (sum(grams.values()) >= short).any():
+        worth: dict[str, float] = {}
+        over = sum(grams.values()) >= short
+        for g, w in grams.items():
+            for word in set(g.split()):
+                worth[word] = worth.get(word, 0.0) + float(w[over].sum())
+        out.append(max(sorted(worth), key=worth.__getitem__))
+        grams = {g: w for g, w in grams.items() if out[-1] not in g.split()}
+    return tuple(out)
+
+
 def _pairs(words: list[str]) -> list[str]:
     return sorted({" ".join(p) for p in zip(words, words[1:])}) or words
 
 
 def _paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, row, paragraph, words of all paragraphs that hold a cue. row tells repeated documents apart."""
+    """doc_id, row, paragraph, words, cue of all paragraphs that hold a cue or a word of
+    evidence(). row tells repeated documents apart."""
     text = F.coalesce("text", F.lit(""))
     lower = F.lower(F.col("line"))
-    cue = functools.reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(c)) for c in CUES])
-    own = functools.reduce(lambda a, b: a | b, [F.contains(lower, F.lit(c)) for c in CUES])
-    whole = docs.where(cue).select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(text, "\n")).alias("paragraph", "line"))
+    any_of = lambda c, parts: functools.reduce(lambda a, b: a | b, [F.contains(c, F.lit(p)) for p in parts])
+    whole = docs.where(any_of(F.lower(text), [*CUES, *evidence()])).select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(text, "\n")).alias("paragraph", "line"))
+    near = whole.where(any_of(lower, [*CUES, *evidence()]))
     words = F.filter(F.split(lower, "[^a-z0-9]+"), lambda w: w != "")
-    return whole.where(own).select("doc_id", "row", "paragraph", words.alias("words"))
+    found = near.select("doc_id", "row", "paragraph", words.alias("words"), any_of(lower, CUES).alias("cue"))
+    return found.where(F.col("cue") | F.arrays_overlap("words", F.array(*map(F.lit, evidence()))))
 
 
 def _runs(words: Column, n: int) -> Column:
@@ -238,14 +261,14 @@ def _runs(words: Column, n: int) -> Column:
 
 
 def license_paragraphs(docs: DataFrame) -> DataFrame:
-    """Of docs (doc_id, text), every paragraph (line) with a cue word -> doc_id, paragraph
+    """Of docs (doc_id, text), every paragraph (line) with a cue word or of a family -> doc_id, paragraph
     (from 0), family, probability, overlap, confirmed.
 
     family is the most probable license if its calibrated probability is at least
     LEAST_PROBABILITY, else `unknown`; overlap is the largest share of word pairs
     that the paragraph and one of the family's templates have in common, of the
     smaller of the two (0 for unknown); confirmed if it is at least LEAST_OVERLAP.
-    Paragraphs without a cue are `unknown` by definition and give no row, as do
+    Paragraphs without a cue that are `unknown` give no row, as do
     null and empty texts; repeated documents and null ids give their own rows;
     an empty table gives an empty result; other columns are ignored.
     """
@@ -254,15 +277,15 @@ def license_paragraphs(docs: DataFrame) -> DataFrame:
     weight_table = _table(spark, [(g, w.tolist()) for g, w in weights.items()], "gram string, w array<double>")
     templates = _table(spark, [(label, _pairs(words_of(t))) for label, texts in TEMPLATES.items() for t in texts], "family string, template array<string>")
     rows = _paragraphs(pick(docs, "doc_id", "text"))
-    hits = rows.select("doc_id", "row", "paragraph", "words", F.explode_outer(F.array_distinct(F.concat(*[_runs(F.col("words"), n) for n in NGRAMS]))).alias("gram")).join(F.broadcast(weight_table), "gram", "left")
+    hits = rows.select("doc_id", "row", "paragraph", "words", "cue", F.explode_outer(F.array_distinct(F.concat(*[_runs(F.col("words"), n) for n in NGRAMS]))).alias("gram")).join(F.broadcast(weight_table), "gram", "left")
     sums = [F.sum(F.coalesce(F.col("w")[k], F.lit(0.0))).alias(f"s{k}") for k in range(len(classes))]
-    summed = hits.groupBy("row", "paragraph").agg(F.first("doc_id").alias("doc_id"), F.first("words").alias("words"), *sums)
+    summed = hits.groupBy("row", "paragraph").agg(F.first("doc_id").alias("doc_id"), F.first("words").alias("words"), F.first("cue").alias("cue"), *sums)
     logits = F.array(*[(F.round(F.col(f"s{k}") + float(bias[k]), 9) / temperature) for k in range(len(classes))])
-    scored = summed.select("doc_id", "row", "paragraph", "words", logits.alias("z"))
+    scored = summed.select("doc_id", "row", "paragraph", "words", "cue", logits.alias("z"))
     top = F.array_max("z")
     scored = scored.withColumn("best", F.array_position("z", top) - 1).withColumn("probability", 1 / F.aggregate("z", F.lit(0.0), lambda acc, z: acc + F.exp(z - top)))
     named = F.array(*map(F.lit, classes))[F.col("best").cast("int")]
-    scored = scored.withColumn("family", F.when(F.col("probability") >= LEAST_PROBABILITY, named).otherwise(UNKNOWN))
+    scored = scored.withColumn("family", F.when(F.col("probability") >= LEAST_PROBABILITY, named).otherwise(UNKNOWN)).where(F.col("cue") | (F.col("family") != UNKNOWN))
     words = F.col("words")
     pairs = F.when(F.size(words) > 1, F.array_distinct(_runs(words, 2))).otherwise(words)
     compared = scored.withColumn("pairs", pairs).join(F.broadcast(templates), "family", "left")

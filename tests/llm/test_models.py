@@ -210,6 +210,14 @@ def test_licenses(spark, sf_dir):
     assert licenses.license_paragraphs(docs.limit(0)).count() == 0
 
 
+def test_licenses_without_a_cue(spark):
+    notices = ["Available under CC BY-SA 4.0", "plain words of the text", "Text under CC BY-NC 4.0 here", "mit dem Zug nach Hause"]
+    assert not any(map(licenses.has_cue, notices))
+    got = licenses.license_paragraphs(spark.createDataFrame([(1, "\n".join(notices))], "doc_id long, text string")).collect()
+    want = {(k, model_family(licenses.words_of(t))[0]) for k, t in enumerate(notices)}
+    assert {(r["paragraph"], r["family"]) for r in got} == {(k, f) for k, f in want if f != licenses.UNKNOWN} >= {(0, "cc-by-sa")}
+
+
 def test_pipeline(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
     columns = docs.columns
