@@ -31,6 +31,10 @@ def test_toxicity_held_out(spark, sf_dir):
     assert toxicity.toxicity_scores(odd(spark).limit(0), labels.limit(0)).count() == 0
 
 
+def test_toxicity_sample_is_not_cut():
+    assert toxicity.SAMPLE_ROWS >= 12_000
+
+
 def test_ftrl_is_sparse_and_separates():
     rows = [(f"some plain words number {k} {'awful mess' if k % 3 == 0 else 'kind note'}", int(k % 3 == 0)) for k in range(150)]
     m = toxicity.train(rows, l1=1.0)
