@@ -8,15 +8,20 @@ from __future__ import annotations
 
 import tempfile
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words kept in a worker's hash cache before it is emptied.
 CACHE_WORDS = 400_000
-#: Rows in an Arrow batch; with texts of a few KB a batch stays at some MB.
-ARROW_ROWS = 1000
+#: Bytes of text that a text function holds as Python strings at once (a longer text is alone).
+PIECE_BYTES = 4 << 20
+#: Bytes of text that a training sample brings to the driver at most.
+SAMPLE_BYTES = 64 << 20
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -33,17 +38,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound what one Arrow batch of texts can hold."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def _cut(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of at most `limit` bytes of text (one value at least). Spark
+    bounds the batches themselves by its maxBytesPerBatch."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+        yield at, to - at
+        at = to
+
+
+def pieces(batches: Iterator[pa.Array], limit: int = PIECE_BYTES) -> Iterator[list[str | None]]:
+    """The values of string batches as lists of bounded size."""
+    for batch in batches:
+        for at, n in _cut(batch, limit):
+            yield batch.slice(at, n).to_pylist()
+
+
+def row_pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Record batches cut to a bounded size of a string column."""
+    for batch in batches:
+        for at, n in _cut(batch.column(column), limit):
+            yield batch.slice(at, n)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder of spark.checkpoint.dir and cut its lineage."""
+    """Materialise df in the shared folder of spark.checkpoint.dir and cut its lineage.
+
+    Without that setting a local session, whose driver is its only executor, gets
+    a folder of its own; any other session raises.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="ckpt")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
@@ -86,15 +120,30 @@ class WordHasher:
             return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
 
 
+def texts_of(docs: DataFrame, chosen: DataFrame, columns: list[str], n: int, limit: int = SAMPLE_BYTES) -> list:
+    """Rows (text, *columns) of docs for the chosen ids (doc_id and maybe other columns, few rows), in the
+    order of a hash of the id: the first n at most, and no more than hold `limit` bytes of text.
+
+    Sizes come to the driver first, texts only of the rows that are kept.
+    """
+    keys = [c for c in chosen.columns if c in docs.columns]
+    joined = docs.join(F.broadcast(chosen), keys).withColumn("h", F.xxhash64("doc_id")).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)))
+    order = ["h", "doc_id", *columns, "size"]
+    sizes = joined.select(*order).orderBy(*order).limit(n).collect()
+    kept = int(np.searchsorted(np.cumsum([r["size"] for r in sizes]), limit, side="right")) if sizes else 0
+    if not kept:
+        return []
+    edge = sizes[kept - 1]["h"]
+    return joined.where(F.col("h") <= edge).orderBy(*order, "text").limit(kept).select("text", *columns).collect()
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, n: int) -> list[tuple[str, int]]:
     """At most n labelled rows outside the held-out fold, as (text, label), in a fixed order.
 
     The ids come first, from the narrow labels table, in the order of a hash of
-    the id; n bounds what is broadcast and what reaches the driver. Null
-    labels are left out, a null text is empty.
+    the id; n and SAMPLE_BYTES bound what is broadcast and what reaches the
+    driver. Null labels are left out, a null text is empty.
     """
     chosen = pick(labels, "doc_id", label).where(F.col(label).isNotNull() & (fold(F.col("doc_id"), folds) != held))
     chosen = chosen.where("doc_id is not null").dropDuplicates().orderBy(F.xxhash64("doc_id"), label).limit(n)
-    joined = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    joined = joined.orderBy(F.xxhash64("doc_id"), "text", label).limit(n).collect()
-    return [(r["text"] or "", r[label]) for r in joined]
+    return [(r["text"] or "", r[label]) for r in texts_of(pick(docs, "doc_id", "text"), chosen, [label], n)]

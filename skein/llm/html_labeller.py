@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, pick, small_batches
+from .common import WordHasher, pick, pieces
 
 #: Element names of the HTML standard.
 BLOCK_TAGS = frozenset(
@@ -450,9 +450,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     @F.arrow_udf("string")
     def main_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array(extract(sent.value, batch.to_pylist()), pa.string())
+        for own in pieces(batches):
+            yield pa.array(extract(sent.value, own), pa.string())
 
-    small_batches(pages.sparkSession, 250)
     out = pick(pages, "page_id", "url", "html").select("page_id", "url", main_text("html").alias("text"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, pick, small_batches
+from .common import fold, pick, pieces, texts_of
 
 WINDOW = 192
 WIDTHS = (2, 3, 5)
@@ -150,11 +150,13 @@ def predict(net: ByteCnn, texts: list[str | None]) -> tuple[list[str], np.ndarra
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
     """The bounded training sample, chosen by a hash of the id outside the held-out fold."""
     keyed = pick(docs, "doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
+    # the counts say which hashes can be among a language's first; the others never meet in a task
     ids = keyed.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    ranked = ids.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("rank") <= per_language)
+    reach = ids.groupBy("lang").agg((F.lit(3.0 * per_language + 100) / F.count("*")).alias("reach"))
+    near = ids.join(reach, "lang").where(F.shiftrightunsigned("h", 11) * 2.0**-53 < F.col("reach"))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 11), "doc_id"))).where(F.col("rank") <= per_language)
     chosen = ranked.orderBy("rank", "lang").limit(rows).select("doc_id", "lang").distinct()
-    found = keyed.join(F.broadcast(chosen), ["doc_id", "lang"]).orderBy(F.xxhash64("doc_id"), "lang", "text").limit(rows).collect()
-    return [(r["text"] or "", r["lang"]) for r in found]
+    return [(r["text"] or "", r["lang"]) for r in texts_of(keyed, chosen, ["lang"], rows)]
 
 
 def identifier(spark, net: ByteCnn):
@@ -163,11 +165,10 @@ def identifier(spark, net: ByteCnn):
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def identify(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
-            langs, scores = predict(sent.value, batch.to_pylist())
+        for own in pieces(texts):
+            langs, scores = predict(sent.value, own)
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], names=["lang_pred", "score"])
 
-    small_batches(spark)
     return identify
 
 
@@ -176,8 +177,8 @@ def identify_languages(docs: DataFrame) -> DataFrame:
 
     Learns from text and non-null lang outside the held-out fold. A text that is
     null or has no letter is `und` with score 0, as is every text if nothing can
-    be learned; a null doc_id belongs to the fold of the empty text; repeated
-    rows stay repeated; an empty table gives an empty result; other columns are
+    be learned; of equally likely languages the first in the alphabet counts; a null
+    doc_id belongs to the fold of the empty text; repeated rows stay repeated; an empty table gives an empty result; other columns are
     ignored.
     """
     identify = identifier(docs.sparkSession, train(sample(docs)))

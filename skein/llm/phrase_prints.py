@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pick, small_batches
+from .common import mix, pick, row_pieces
 
 BINS = 64
 FIRST_LEVEL = 2
@@ -155,10 +155,7 @@ def _in_order(docs: DataFrame) -> DataFrame:
     cuts = np.unique(np.array(cuts or [], np.int64))
 
     def ranges(ids: pa.Array) -> pa.Array:
-        known = ids.fill_null(0).to_numpy(zero_copy_only=False)
-        at = np.searchsorted(cuts, known, side="right") + 1
-        at[ids.is_null().to_numpy(zero_copy_only=False)] = 0
-        return pa.array(at.astype(np.int32))
+        return pa.array(np.searchsorted(cuts, ids.to_numpy(zero_copy_only=False), side="right").astype(np.int32))
 
     @F.arrow_udf("int")
     def place(ids: pa.Array) -> pa.Array:
@@ -177,45 +174,57 @@ def _in_order(docs: DataFrame) -> DataFrame:
         )
 
     dealt = docs.select("doc_id", "text", F.inline(homes("doc_id")))
-    return dealt.repartition(parts, "range").sortWithinPartitions("range", "tail", F.asc_nulls_first("doc_id"), "text")
+    return dealt.repartition(parts, "range").sortWithinPartitions("range", "tail", "doc_id", "text")
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def _rows(ids: list, texts: list[str], following: list[str], own: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
+    """Result rows of documents with the texts that follow them and the fingerprints of both."""
+    edited = [edited_text(t, f) for t, f in zip(texts, following)]
+    changed = fingerprint_many(edited)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(ids, pa.int64()),
+            pa.array(list(map(len, texts)), pa.int64()),
+            pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited], pa.string()),
+            pa.array(as_hex(own), pa.string()),
+            pa.array(as_hex(changed), pa.string()),
+            pa.array(likeness(own, changed), pa.float64()),
+            pa.array(likeness(own, after), pa.float64()),
+        ],
+        names=[c.split()[0] for c in SCHEMA.split(", ")],
+    )
+
+
 def document_prints(docs: DataFrame) -> DataFrame:
     """Every row of docs (doc_id, text) -> doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next.
 
     The next document is the one with the next doc_id, after the last the first;
-    rows of one id stand in order of text, null ids come before all others. A
-    null text counts as empty (n_chars 0, all-zero fingerprint, likeness 1 to
-    another empty one). A single row follows itself; an empty table gives an
-    empty result; other columns are ignored.
+    rows of one id stand in order of text. A row without an id has no place in
+    that order and follows itself, as does a single row. A null text counts as
+    empty (n_chars 0, all-zero fingerprint, likeness 1 to another empty one); an
+    empty table gives an empty result; other columns are ignored.
     """
-    small_batches(docs.sparkSession, 200)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int | None, str, int, bool]] = []  # the row whose next is not yet known
-        for batch in batches:
-            rows = held + [(i, t or "", r, tail) for i, t, r, tail in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "range", "tail")))]
-            held = rows[-1:]
-            prints = fingerprint_many([t for _, t, _, _ in rows])
-            use = [k for k in range(len(rows) - 1) if not rows[k][3]]  # each is followed by a row of its range
-            edited = [edited_text(rows[k][1], rows[k + 1][1]) for k in use]
-            changed = fingerprint_many(edited)
-            own, following = prints[use], prints[[k + 1 for k in use]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([rows[k][0] for k in use], pa.int64()),
-                    pa.array([len(rows[k][1]) for k in use], pa.int64()),
-                    pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited], pa.string()),
-                    pa.array(as_hex(own), pa.string()),
-                    pa.array(as_hex(changed), pa.string()),
-                    pa.array(likeness(own, changed), pa.float64()),
-                    pa.array(likeness(own, following), pa.float64()),
-                ],
-                names=[c.split()[0] for c in SCHEMA.split(", ")],
-            )
-
-    return _in_order(pick(docs, "doc_id", "text")).mapInArrow(run, SCHEMA)
+        held: list[tuple[int, str, bool]] = []  # the row whose next is not yet known
+        print_held = np.zeros((0, BINS), np.uint16)
+        for batch in row_pieces(batches, "text"):
+            new = [(i, t or "", tail) for i, t, tail in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "tail")))]
+            rows, prints = held + new, np.concatenate([print_held, fingerprint_many([t for _, t, _ in new])])
+            held, print_held = rows[-1:], prints[-1:]
+            use = [k for k in range(len(rows) - 1) if not rows[k][2]]  # each is followed by a row of its range
+            yield _rows([rows[k][0] for k in use], [rows[k][1] for k in use], [rows[k + 1][1] for k in use], prints[use], prints[[k + 1 for k in use]])
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_pieces(batches, "text"):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            prints = fingerprint_many(texts)
+            yield _rows([None] * len(texts), texts, texts, prints, prints)
+
+    rows = pick(docs, "doc_id", "text")
+    ordered = _in_order(rows.where("doc_id is not null")).mapInArrow(run, SCHEMA)
+    return ordered.unionByName(rows.where("doc_id is null").mapInArrow(alone, SCHEMA))

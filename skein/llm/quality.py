@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, fold, labelled_sample, mix, pick, small_batches
+from .common import CACHE_WORDS, fold, labelled_sample, mix, pick, pieces
 
 BITS = 14
 #: Labelled rows that training reads at most.
@@ -149,11 +149,10 @@ def quality_grades(docs: DataFrame, graded: DataFrame, reach: int = 1, rows: int
         m = sent.value
         steps = np.diff(m.grades)
         above = [k for k, g in enumerate(m.grades[1:]) if g >= reach]
-        for batch in texts:
-            p = m.reach(m.margins(batch.to_pylist()))
-            tail = p[:, above[0]] if above and m.grades[0] < reach else np.full(len(batch), float(m.grades[0] >= reach))
+        for own in pieces(texts):
+            p = m.reach(m.margins(own))
+            tail = p[:, above[0]] if above and m.grades[0] < reach else np.full(len(own), float(m.grades[0] >= reach))
             yield pa.StructArray.from_arrays([pa.array(m.grades[0] + p @ steps), pa.array(tail)], names=["expected_grade", "tail_probability"])
 
-    small_batches(docs.sparkSession)
     out = pick(docs, "doc_id", "text").select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), grade("text").alias("r"))
     return out.select("doc_id", "held_out", "r.expected_grade", "r.tail_probability", (F.col("r.tail_probability") >= 0.5).alias("selected"))

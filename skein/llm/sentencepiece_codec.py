@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, small_batches
+from .common import pick, pieces
 
 MARK = "▁"
 #: Chunks remembered by a worker before its cache is emptied; longer ones are not kept.
@@ -241,15 +241,13 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, text: str =
         if key not in _CODECS:
             _CODECS[key] = Codec(sent.value)
         codec = _CODECS[key]
-        for batch in texts:
-            rows = batch.to_pylist()
+        for rows in pieces(texts):
             flat, ends = codec.encode_flat(rows)
             back = codec.decode([flat[a:b].tolist() for a, b in zip(ends, ends[1:])])
             want = [t or "" for t in rows] if codec.plain else [codec.normalize(t or "").replace(MARK, " ")[codec.model.dummy_prefix :] for t in rows]
             same = [a == b or a == b.replace(MARK, " ") for a, b in zip(back, want)]
             yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(same, pa.bool_())], names=["token_ids", "round_trip"])
 
-    small_batches(docs.sparkSession, 400)
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     made = {"token_ids": F.col("__piece.token_ids"), "n_tokens": F.size("__piece.token_ids"), "round_trip": F.col("__piece.round_trip")}
     with_codes = plain.withColumn("__piece", encode(F.col(f"c{docs.columns.index(text)}")))

@@ -1,22 +1,28 @@
-"""Near-duplicate groups by word shingles, found through min-hash bands.
+"""Near-duplicate groups by word shingles, found through SimHash and min-hash bands.
 
 Two documents are linked if the Jaccard likeness of their sets of 5-word
-shingles is at least 0.8. Bands of min-hashes find the candidates, an exact
-comparison of the shingle sets confirms them. (A SimHash distance is no gate:
-any radius that thins candidates out also drops links.)
+shingles is at least 0.8. Candidates come from the Gray-order SimHash index
+and from bands of min-hashes; an exact comparison of the shingle sets confirms
+them. The index alone cannot: at a likeness of 0.8 two fingerprints differ in
+9 to 10 of 64 bits on average, at which distance unrelated ones begin to be.
 
 1. Equal word sequences form a class; only classes are compared.
-2. Each class gets a key of each of BANDS bands of min-hashes of its shingle set.
-   Their number follows the likeness alone, so a link's chance to be found
+2. Each class gets a SimHash fingerprint of its set of shingles and a key of each of
+   BANDS bands of min-hashes. Fingerprints within RADIUS bits are candidates.
+   The bands' number follows the likeness alone, so a link's chance to be found
    does not fall as the table grows.
 3. Classes of one key are candidates unless the sizes of their sets, or 64
    parity bits of them, rule a link out.
 4. The components of the candidates are cells; a cell's texts meet once, and a
    search over the documents not yet linked gives the exact links' forest.
 
-Groups of step 3 and cells of step 4 beyond a size are split into parts, and
-every pair of parts meets in a task of its own, so that no candidate is lost
-and no task holds more than two parts.
+A cell of more than CELL_PART classes is cut into parts, to each of which the
+cell's leaders are added: most members of a group of copies are linked through
+them. What is then outside of the cell's largest group meets every part, so the
+work on a cell grows with its size and not with its square, unless most of it
+is apart. Groups of step 3 beyond a size are split so that every pair of parts
+meets in a task of its own. No candidate is lost, and no task holds more than
+two parts.
 """
 
 from __future__ import annotations
@@ -26,18 +32,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHasher, checkpoint, mix, pick, small_batches
+from .common import WordHasher, checkpoint, mix, pick, pieces
 from .components import connected_components
+from .simhash_index import links as near_fingerprints
 
 SHINGLE, SIMILARITY = 5, (4, 5)  # at least 4/5
 #: Bands, and min-hashes in each: a pair of likeness s shares no key with probability
 #: (1 - s**BAND)**BANDS, 1.2e-7 at 0.8, whatever the number of rows.
 BANDS, BAND = 40, 5
-#: Most members of a part.
-GROUP_PART, CELL_PART = 20_000, 3_000
+#: Bits in which the fingerprints of candidates of the SimHash index differ at most.
+RADIUS = 3
+#: Most members of a part, and leaders of a cell.
+GROUP_PART, CELL_PART, LEADERS = 20_000, 500, 8
 #: Most members of a group whose pairs are compared one by one.
 SMALL = 16
 _HASH = WordHasher()
@@ -67,11 +76,19 @@ def class_of(text: str | None) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), 5)
 
 
-def sketch(text: str | None) -> tuple[bytes, int, int, list[int]]:
-    """(class key, size of the shingle set, parity bits, band keys) of a text."""
+def sketch(text: str | None) -> tuple[bytes, int, int, int, list[int]]:
+    """(class key, size of the shingle set, parity bits, SimHash of the set, band keys) of a text."""
     names = shingle_set(text)
     odd = np.bincount((mix(names) >> np.uint64(58)).astype(np.intp), minlength=64) & 1
-    return class_of(text), len(names), sum(1 << k for k in np.flatnonzero(odd).tolist()), band_keys(names)
+    return class_of(text), len(names), sum(1 << k for k in np.flatnonzero(odd).tolist()), set_fingerprint(names), band_keys(names)
+
+
+def set_fingerprint(names: np.ndarray) -> int:
+    """SimHash of a set of 64-bit names: the bits that over half of them have."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(names), 65536):
+        ones += np.unpackbits(names[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(names)).tobytes(), "big")
 
 
 def band_keys(names: np.ndarray) -> list[int]:
@@ -189,8 +206,18 @@ def _candidates(classes: DataFrame) -> DataFrame:
     return groups.select(F.inline(search("g"))).where("u <> v").distinct()
 
 
-def _confirmed(texts: DataFrame, cells: DataFrame) -> DataFrame:
-    """texts (doc_id, text), cells (same, doc_id, cell) -> (u, v): forest of the exact links of each cell."""
+def _same_fingerprints(classes: DataFrame) -> DataFrame:
+    """classes (node, fp) -> (u, v): candidates by the SimHash index, equal fingerprints included."""
+    first = checkpoint(classes.groupBy("fp").agg(F.min("node").alias("node")))
+    equal = classes.join(first.withColumnRenamed("node", "v"), "fp").where("node <> v").select(F.col("node").alias("u"), "v")
+    found = near_fingerprints(first.select("fp"), RADIUS)
+    ends = found.join(first.select(F.col("fp").alias("u"), F.col("node").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("node").alias("b")), "v")
+    return equal.unionByName(ends.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+def _linked(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """texts (doc_id, text), rows (same, doc_id, cell, low, high) -> (u, v): forest of the exact
+    links among the rows of each (cell, low, high)."""
 
     def link(group: pa.Table) -> pa.Table:
         # an id that repeats with other texts brings those too
@@ -199,8 +226,32 @@ def _confirmed(texts: DataFrame, cells: DataFrame) -> DataFrame:
         found = set_forest([shingle_set(text[s]) for s in same])
         return pa.table({"u": pa.array([same[a] for a, _ in found], pa.binary()), "v": pa.array([same[b] for _, b in found], pa.binary())})
 
-    rows = _pairs_of_parts(cells, "cell", CELL_PART, F.xxhash64("same")).join(texts, "doc_id")
-    return rows.groupBy("cell", "low", "high").applyInArrow(link, "u binary, v binary")
+    return rows.select("same", "doc_id", "cell", "low", "high").join(texts, "doc_id").groupBy("cell", "low", "high").applyInArrow(link, "u binary, v binary")
+
+
+def _groups(texts: DataFrame, cells: DataFrame) -> DataFrame:
+    """texts (doc_id, text), cells (same, doc_id, cell) -> (node, root): the exact links' groups."""
+    parts = cells.groupBy("cell").agg(F.ceil(F.count("*") / CELL_PART).cast("int").alias("parts"))
+    big = checkpoint(parts.where("parts > 1"))
+    cut = cells.join(big, "cell", "left").withColumn("low", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("same"), F.col("parts"))).otherwise(0).cast("int"))
+    cut = cut.select("same", "doc_id", "cell", "low", F.lit(-1).alias("high"))
+    slot = F.pmod(F.xxhash64("same", F.lit(1)), F.lit(LEADERS))
+    first = cells.join(big, "cell").groupBy("cell", slot).agg(F.min(F.struct("same", "doc_id")).alias("x"), F.first("parts").alias("parts"))
+    leaders = first.select("x.same", "x.doc_id", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("low"), F.lit(-1).alias("high"))
+    links = checkpoint(_linked(texts, cut.unionByName(leaders)))
+    groups = checkpoint(connected_components(links))
+    if big.isEmpty():
+        return groups
+    # of the big cells: what is not in the largest group meets every part
+    placed = cells.join(big, "cell").join(groups.withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
+    most = placed.groupBy("cell", "root").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max(F.struct("n", "root")).alias("most"))
+    rest = placed.join(most.select("cell", F.col("most.root").alias("largest")), "cell").where("root <> largest").select("same", "doc_id", "cell", "parts")
+    rest = checkpoint(rest)
+    sizes = rest.groupBy("cell").agg(F.ceil(F.count("*") / CELL_PART).cast("int").alias("rests"))
+    asks = rest.join(sizes, "cell").select("same", "doc_id", "cell", F.pmod(F.xxhash64("same"), F.col("rests")).cast("int").alias("high"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("low"))
+    own = cut.drop("high").join(sizes, "cell").select("same", "doc_id", "cell", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("high"), "low")
+    more = _linked(texts, asks.unionByName(own))
+    return connected_components(links.unionByName(more))
 
 
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
@@ -216,30 +267,30 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
 
 def _grouped(docs: DataFrame) -> DataFrame:
     """near_duplicate_groups with the class of each row, same, and the name of its group, root."""
-    spark = docs.sparkSession
-    small_batches(spark)
     own = pick(docs, "doc_id", "text").where("doc_id is not null")
 
-    @F.arrow_udf("struct<same:binary,size:long,parity:long,keys:array<long>>")
+    @F.arrow_udf("struct<same:binary,size:long,parity:long,fp:long,keys:array<long>>")
     def sketched(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
-            got = [sketch(t) for t in batch.to_pylist()]
+        for piece in pieces(texts):
+            got = [sketch(t) for t in piece]
             signed = lambda x: np.array(x, np.uint64).view(np.int64)
             keys = pa.array(signed([k for *_, ks in got for k in ks]))
             ends = np.cumsum([0, *(len(ks) for *_, ks in got)])
             yield pa.StructArray.from_arrays(
-                [pa.array([s for s, *_ in got], pa.binary()), pa.array([n for _, n, *_ in got], pa.int64()), pa.array(signed([p for _, _, p, _ in got])), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), keys)],
-                names=["same", "size", "parity", "keys"],
+                [pa.array([s for s, *_ in got], pa.binary()), pa.array([n for _, n, *_ in got], pa.int64()), pa.array(signed([p for _, _, p, *_ in got])), pa.array(signed([f for *_, f, _ in got])), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), keys)],
+                names=["same", "size", "parity", "fp", "keys"],
             )
 
     rows = checkpoint(own.select("doc_id", sketched("text").alias("s")).select("doc_id", "s.*"))
     node = F.xxhash64("same")
-    named = rows.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("parity").alias("parity"), F.first("keys").alias("keys"))
+    named = rows.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("parity").alias("parity"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     classes = checkpoint(named.withColumn("node", node))
-    cells = connected_components(_candidates(classes)).withColumnRenamed("root", "cell")
+    # the empty set has no bands, and is alone in its class
+    found = _candidates(classes).unionByName(_same_fingerprints(classes.where("size > 0").select("node", "fp")))
+    cells = connected_components(found).withColumnRenamed("root", "cell")
     placed = checkpoint(classes.select("same", "doc_id", "node").join(cells, "node").select("same", "doc_id", "cell"))
-    links = connected_components(_confirmed(own, placed)).withColumnRenamed("node", "same")
-    grouped = classes.select("same", "doc_id").join(links, "same", "left").withColumn("root", F.coalesce("root", "same"))
+    groups = _groups(own, placed).withColumnRenamed("node", "same")
+    grouped = classes.select("same", "doc_id").join(groups, "same", "left").withColumn("root", F.coalesce("root", "same"))
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("group_id"))
     return rows.select("doc_id", "same").join(grouped.join(least, "root").select("same", "root", "group_id"), "same")
 
@@ -261,11 +312,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
         @F.arrow_udf("binary")
         def classes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for batch in texts:
-                yield pa.array(list(map(class_of, batch.to_pylist())), pa.binary())
+            for piece in pieces(texts):
+                yield pa.array(list(map(class_of, piece)), pa.binary())
 
         kept = marked.where("kept").select(F.col("doc_id").alias(key), "same").distinct()
         one = left.join(twice, key, "left_semi").withColumn("same", classes(text)).join(kept, [key, "same"], "left_semi")
-        one = one.orderBy(*plain.columns).dropDuplicates([key, "same"])
+        first = Window.partitionBy(key, "same").orderBy(F.xxhash64(*plain.columns), *plain.columns)
+        one = one.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
         left = left.join(twice, key, "left_anti").unionByName(one.drop("same"))
     return left.select(*plain.columns).toDF(*names)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, fold, labelled_sample, mix, pick, small_batches
+from .common import WordHasher, fold, labelled_sample, mix, pick, pieces
 
 BITS = 20
 #: Labelled rows that training reads at most.
@@ -107,10 +107,9 @@ def scorer(spark, model: FtrlModel):
     @F.arrow_udf("double")
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         dense = sent.value.dense()
-        for batch in texts:
-            yield pa.array(score_texts(sent.value, dense, batch.to_pylist()))
+        for own in pieces(texts):
+            yield pa.array(score_texts(sent.value, dense, own))
 
-    small_batches(spark)
     return score
 
 

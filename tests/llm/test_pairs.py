@@ -1,9 +1,13 @@
 """SimHash components, near-duplicate groups, fingerprints and neighbours against brute force."""
 
 import hashlib
+import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from skein.llm import cross_polytope, phrase_prints, simhash_dedup, simhash_index
 
@@ -42,8 +46,10 @@ def docs(spark, rows):
     return spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA + ", Text string, fingerprint int")
 
 
-@pytest.mark.parametrize("radius", [2, 6])
-def test_components(spark, radius):
+@pytest.mark.parametrize("radius, key_rows", [(2, 50_000), (6, 50_000), (2, 2), (3, 3)])
+def test_components(spark, monkeypatch, radius, key_rows):
+    monkeypatch.setattr(simhash_index, "KEY_ROWS", key_rows)  # 2: keys are refined
+    monkeypatch.setattr(simhash_index, "TREE_ROWS", key_rows * 4)
     rows = varied() + ODD
     got = simhash_index.simhash_components(docs(spark, rows), radius=radius).collect()
     fps = [simhash_index.fingerprint(t) for _, t in rows]
@@ -64,6 +70,49 @@ def test_fingerprint_is_by_the_word():
     assert simhash_index.fingerprint("É x y") != simhash_index.fingerprint("é x y")
 
 
+def votes(text, k=3):
+    """The contract word for word: counted votes of each bit."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    parts = [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] if len(words) >= k else [" ".join(words)] * bool(words)
+    hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in parts]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def test_fingerprint_by_counting(spark):
+    for _, t in varied(24, 11) + [(0, ""), (0, "one"), (0, "Two\u00a0words X"), (0, "a b c a b c a b c"), (0, "\x1ca b\x0bc\u2003d e")]:
+        assert simhash_index.fingerprint(t) == votes(t)
+    # of one shingle the fingerprint is its hash, which Spark computes too
+    row = spark.range(1).select(*[F.xxhash64(F.lit(t)).alias(f"h{k}") for k, t in enumerate(["a b c", "single", "é ü ß"])]).first()
+    assert [simhash_index.fingerprint(t) for t in ("A b  C", "single", "é\nü ß")] == [h & (2**64 - 1) for h in row]
+
+
+def test_index_prunes_real_fingerprints():
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()
+    fps = np.unique(np.array([simhash_index.fingerprint(t) for t in texts], np.uint64))
+    want = []
+    for at in range(0, len(fps), 500):
+        i, j = np.nonzero(np.bitwise_count(fps[at : at + 500, None] ^ fps[None]) <= 2)
+        want += [(a, b) for a, b in zip((i + at).tolist(), j.tolist()) if a < b]
+    place = {x: k for k, x in enumerate(fps.tolist())}
+    got, compared = [], 0
+    for mask in simhash_index.blocks(0, 2):
+        index = simhash_index.GrayIndex(fps, mask)
+        for i, j in index.links(2):
+            got += [(place[a], place[b]) for a, b in zip(index.values[i].tolist(), index.values[j].tolist())]
+        compared += index.compared
+    assert want and union(len(fps), got) == union(len(fps), want)
+    assert 0 < compared < 0.01 * len(fps) ** 2 / 2
+
+
+def test_blocks_are_refined():
+    for radius in (1, 2, 3, 6):
+        level = simhash_index.blocks(0, radius)
+        assert sum(level) == simhash_index.ALL and len(level) == radius + 1
+        for mask in level:
+            finer = simhash_index.blocks(mask, radius)
+            assert all(m & mask == mask and m != mask for m in finer) and [a for a in finer if bin(a).count("1") > 64] == []
+
+
 def test_gray_index():
     rng = np.random.default_rng(0)
     v = np.unique((rng.integers(0, 1 << 62, 12, dtype=np.uint64)[:, None] ^ (np.uint64(1) << rng.integers(0, 30, (12, 4, 60), dtype=np.uint64)).sum(axis=1).astype(np.uint64)).ravel())
@@ -71,12 +120,12 @@ def test_gray_index():
     order = np.argsort(gray)
     assert all(int(a ^ b).bit_count() == 1 for a, b in zip(order, order[1:]))
     index = simhash_index.GrayIndex(v)
-    i, j = index.pairs(3)
+    i, j = map(np.concatenate, zip(*index.links(3)))
     d = np.bitwise_count(index.values[:, None] ^ index.values[None])
     links = np.argwhere(np.triu(d <= 3, 1))
     assert union(len(v), zip(i.tolist(), j.tolist())) == union(len(v), links.tolist())
     assert (np.bitwise_count(index.values[i] ^ index.values[j]) <= 3).all()
-    near = index.within(index.values[5], 7, np.ones(len(v), bool))
+    near = index.within(index.values[5], 7)
     assert sorted(near.tolist()) == np.flatnonzero(d[5] <= 7).tolist()
 
 
@@ -172,6 +221,29 @@ def test_repeated_ids_of_other_texts(spark):
     assert sorted(out) == sorted([(1, a), (5, c), (6, d), (6, e)])
 
 
+def test_a_large_cell_costs_in_proportion(spark, monkeypatch):
+    """Near copies of one text, and some that only a copy links to: all groups, few rows met."""
+    monkeypatch.setattr(simhash_dedup, "CELL_PART", 40)
+    rng = np.random.default_rng(26)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(2000):
+        own = list(base)
+        own[int(rng.integers(300))] = f"x{k}"
+        rows.append((k, " ".join(own)))
+    # a chain: each is within the limit of the one before it, the last ones not of the base
+    chain = list(base)
+    for k in range(12):
+        chain = chain[6:] + [f"c{k}_{i}" for i in range(6)]
+        rows.append((5000 + k, " ".join(chain)))
+    met = []
+    linked = simhash_dedup._linked
+    monkeypatch.setattr(simhash_dedup, "_linked", lambda texts, r: (met.append(r.count()), linked(texts, r))[1])
+    got = dict(map(tuple, simhash_dedup.near_duplicate_groups(spark.createDataFrame(rows, SCHEMA)).collect()))
+    assert set(got.values()) == {0} and len(got) == 2012
+    assert met[0] < 1.3 * 2012 and sum(met) < 4 * 2012
+
+
 def test_set_forest():
     rng = np.random.default_rng(2)
     sets = [np.unique(np.concatenate([np.arange(50) + 1000 * (k % 4), rng.integers(5000, 9000, rng.integers(0, 14))])).astype(np.uint64) for k in range(60)] + [np.zeros(0, np.uint64)] * 2
