@@ -4,7 +4,9 @@ A page is cut into leaf blocks: runs of text between block-level tags. Each
 block is a vector of its hashed tag path (names, class and id words of its
 ancestors), its hashed words and some figures. A bidirectional LSTM in numpy
 reads the page's blocks in order and labels each one main text or not, so that
-a block is judged by the whole page around it.
+a block is judged by the whole page around it, however long: long pages go
+through the network in chunks that hand their state on, which gives what one run
+would. Cutting takes time in proportion to the page, whatever its tags.
 
 The network is trained here, on pages from the generator `made_page`, which
 knows the label of every block; training is deterministic and needs no input.
@@ -40,22 +42,33 @@ IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 PATH_BUCKETS, WORD_BUCKETS, FIGURES = 192, 64, 6  # the word bucket is the top 6 bits of a hash
 INPUT = PATH_BUCKETS + WORD_BUCKETS + FIGURES
 HIDDEN = 20
-#: Blocks of a page that the network reads at once, with LAP blocks of context on either side.
-CHUNK, LAP = 400, 40
+#: Blocks of a page that the network reads at once.
+CHUNK = 400
+#: An element that these do not end: LIMITS stand between an element and what it would end.
+LIMITS = ("ul", "ol", "dl", "table", "select")
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
-)
+_QUOTED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _SPACE = re.compile(r"\s+")
 _HASH = WordHasher()
 
 
+class Element:
+    """An open element; elements share their ancestors. mask: path buckets of itself and all of them."""
+
+    __slots__ = ("tag", "parent", "depth", "mask")
+
+    def __init__(self, tag: str, parent: Element | None, mask: int):
+        self.tag, self.parent, self.mask = tag, parent, mask | (parent.mask if parent else 0)
+        self.depth = parent.depth + 1 if parent else 1
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[tuple[str, ...], ...]
+    element: Element | None
     linked: int = 0
 
 
@@ -76,102 +89,149 @@ def _closing(tag: str) -> re.Pattern:
     return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
 
 
+@functools.lru_cache(20_000)
+def _mask(tag: str, attrs: str) -> int:
+    """Path buckets of an element: of its names if it is of block level, else of its tag."""
+    names = _names(tag, attrs) if tag in BLOCK_TAGS else (tag,)
+    return functools.reduce(lambda m, n: m | 1 << _bucket("t", n), names, 0)
+
+
+def tokens_of(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, value, attributes) of a page in one pass: `text` and `raw` (text without references),
+    `open` and `close` with lower-case tags; comments, declarations and the content of raw
+    elements are left out. A sign that begins no tag is text. Once a quotation mark is open
+    up to the end of the page, quotation marks count no more."""
+    at, end, last = 0, len(page), page.rfind(">")
+    pattern = _QUOTED
+    while at < end:
+        start = page.find("<", at)
+        m = stop = kind = None
+        while start >= 0:
+            if page.startswith("<!--", start):
+                stop = page.find("-->", start + 4)
+                stop = end if stop < 0 else stop + 3
+            elif page.startswith("<![CDATA[", start):
+                kind, close = "raw", page.find("]]>", start)
+                stop = end if close < 0 else close + 3
+            elif start > last:  # no tag ends any more
+                start = max(page.find("<!--", start), page.find("<![CDATA[", start))
+                continue
+            elif page[start + 1] in "!?":
+                stop = page.find(">", start) + 1
+            elif (m := pattern.match(page, start)) is not None:
+                stop = m.end()
+            elif pattern is _QUOTED and _PLAIN.match(page, start):
+                pattern = _PLAIN
+                continue
+            else:
+                start = page.find("<", start + 1)
+                continue
+            break
+        if text := page[at : start if stop else end]:
+            yield "text", text, ""
+        if not stop:
+            return
+        at = stop
+        if kind == "raw":
+            yield "raw", page[start + 9 : stop].removesuffix("]]>"), ""
+        if m is None:
+            continue
+        tag, attrs = m[2].lower(), m[3]
+        if m[1]:
+            yield "close", tag, ""
+        elif tag in RAW_TAGS and not attrs.endswith("/"):
+            shut = _closing(tag).search(page, at)
+            at = shut.end() if shut else end
+            if tag in BLOCK_TAGS:
+                yield "flush", tag, ""
+        else:
+            yield "open", tag, attrs
+
+
 def blocks_of(page: str | None) -> list[Block]:
-    """Leaf blocks in page order, white space and character references resolved; none for null."""
-    page = page or ""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    """Leaf blocks in page order, white space and the character references of each run of
+    text resolved; none for null."""
+    stack: list[Element] = []
+    where: dict[str, list[int]] = {}  # places of each tag's open elements
+    block_at: list[int] = []  # places of block-level ones
     out: list[Block] = []
     parts: list[str] = []
-    linked, links = 0, 0
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, tuple(names for _, names in stack), min(linked, len(text))))
+                out.append(Block(text, stack[-1] if stack else None, min(linked, len(text))))
             parts.clear()
         linked = 0
 
-    def close(k: int) -> None:
-        nonlocal links, in_head
-        for tag, _ in stack[k:]:
-            links -= tag == "a"
-            in_head &= tag != "head"
-        del stack[k:]
+    def last(tag: str) -> int:
+        own = where.get(tag)
+        return own[-1] if own else -1
 
-    at, end, in_head = 0, len(page), False
-    while at < end:
-        start = page.find("<", at)
-        m = None
-        while start >= 0 and (m := _TOKEN.match(page, start)) is None:
-            start = page.find("<", start + 1)  # a bare sign is text
-        text = page[at : start if m else end]
-        if text and not in_head:
-            parts.append(text)
-            if links:
-                linked += len(text)
-        if m is None:
-            break
-        at = m.end()
-        tag = m[2] or m[5]
-        if tag is None:
-            if m[0].startswith("<![CDATA["):
-                parts.append(html.escape(m[0][9:].removesuffix("]]>")))
-            continue
-        tag, attrs = tag.lower(), (m[3] if m[2] else m[6]) or ""
-        if m[1] or m[4]:
+    def close(k: int) -> None:
+        while len(stack) > k:
+            tag = stack.pop().tag
+            where[tag].pop()
             if tag in BLOCK_TAGS:
+                block_at.pop()
+
+    for kind, value, attrs in tokens_of(page or ""):
+        if kind in ("text", "raw"):
+            if last("head") < 0:
+                text = html.unescape(value) if kind == "text" else value
+                parts.append(text)
+                if last("a") >= 0:
+                    linked += len(text)
+        elif kind == "flush":
+            flush()
+        elif kind == "close":
+            if value in BLOCK_TAGS:
                 flush()
-            elif tag == "br":
+            elif value == "br":
                 parts.append(" ")
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-            continue
-        if tag in RAW_TAGS and not attrs.endswith("/"):
-            shut = _closing(tag).search(page, at)
-            at = shut.end() if shut else end
-            if tag in BLOCK_TAGS:
+            if last(value) >= 0:
+                close(last(value))
+        else:
+            if value in BLOCK_TAGS:
                 flush()
-            continue
-        if tag in BLOCK_TAGS:
-            flush()
-            ended = IMPLIED.get(tag, set()) | {"p"}
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ended:
-                    close(k)
-                    break
-                if stack[k][0] in ("ul", "ol", "dl", "table", "select") or (stack[k][0] in BLOCK_TAGS and tag not in IMPLIED):
-                    break
-            if in_head and tag != "head":
-                close(next(k for k, (t, _) in enumerate(stack) if t == "head"))
-        elif tag == "br":
-            parts.append(" ")
-        if tag not in VOID_TAGS and not attrs.endswith("/"):
-            stack.append((tag, _names(tag, attrs) if tag in BLOCK_TAGS else (tag,)))
-            links += tag == "a"
-            in_head |= tag == "head"
+                if value in IMPLIED:
+                    k = max(map(last, [*IMPLIED[value], "p"]))
+                    if k > max(map(last, LIMITS)):
+                        close(k)
+                elif block_at and stack[block_at[-1]].tag == "p":
+                    close(block_at[-1])
+                if last("head") >= 0 and value != "head":
+                    close(last("head"))
+            elif value == "br":
+                parts.append(" ")
+            if value not in VOID_TAGS and not attrs.endswith("/"):
+                where.setdefault(value, []).append(len(stack))
+                if value in BLOCK_TAGS:
+                    block_at.append(len(stack))
+                stack.append(Element(value, stack[-1] if stack else None, _mask(value, attrs)))
     flush()
     return out
 
 
 @functools.lru_cache(50_000)
-def _path_buckets(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
-    own = {_bucket("t", name) for names in path for name in names}
-    if path:
-        own.add(_bucket("leaf", path[-1][0]))
+def _path_buckets(mask: int, leaf: str) -> np.ndarray:
+    own = {k for k in range(PATH_BUCKETS) if mask >> k & 1}
+    if leaf:
+        own.add(_bucket("leaf", leaf))
     return np.array(sorted(own), np.intp)
 
 
-def vectors_of(pages: list[list[Block]]) -> list[np.ndarray]:
-    """For each page the matrix of its blocks, one row each."""
+def vectors_of(pages: list[list[Block]], at: int = 0, total: int | None = None) -> list[np.ndarray]:
+    """For each page the matrix of its blocks, one row each. With `total` the blocks are those
+    from `at` on of a page of so many."""
     blocks = [b for page in pages for b in page]
     x = np.zeros((len(blocks), INPUT), np.float32)
     if not blocks:
         return [x for _ in pages]
-    paths = [_path_buckets(b.path) for b in blocks]
+    paths = [_path_buckets(b.element.mask, b.element.tag) if b.element else _path_buckets(0, "") for b in blocks]
     x[np.repeat(np.arange(len(blocks)), list(map(len, paths))), np.concatenate(paths)] = 1
     words = [b.text.lower().split() for b in blocks]
     n = np.array(list(map(len, words)))
@@ -181,8 +241,9 @@ def vectors_of(pages: list[list[Block]]) -> list[np.ndarray]:
     x[:, PATH_BUCKETS : PATH_BUCKETS + WORD_BUCKETS] = counts.reshape(-1, WORD_BUCKETS) * share[:, None]
     size = np.array([len(b.text) for b in blocks])
     ends = np.array([sum(map(b.text.count, ".!?:;,")) for b in blocks])
-    place = np.concatenate([np.arange(len(p)) / max(1, len(p)) for p in pages])
-    x[:, -FIGURES:] = np.stack([np.log1p(n) / 5, np.array([b.linked for b in blocks]) / size, np.minimum(1, ends / np.maximum(1, n) * 4), place, np.array([len(b.path) for b in blocks]) / 10, size < 60], axis=1)
+    place = np.concatenate([(at + np.arange(len(p))) / max(1, total or len(p)) for p in pages])
+    depth = np.array([b.element.depth if b.element else 0 for b in blocks])
+    x[:, -FIGURES:] = np.stack([np.log1p(n) / 5, np.array([b.linked for b in blocks]) / size, np.minimum(1, ends / np.maximum(1, n) * 4), place, np.minimum(depth, 50) / 10, size < 60], axis=1)
     return np.split(x, np.cumsum([len(p) for p in pages])[:-1])
 
 
@@ -200,10 +261,10 @@ class Lstm:
         b[HIDDEN : 2 * HIDDEN] = 1
         return cls(*(rng.normal(0, s, shape).astype(np.float32) for s, shape in ((0.08, (INPUT, 4 * HIDDEN)), (0.15, (HIDDEN, 4 * HIDDEN)))), b)
 
-    def run(self, x: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """x: time x batch x input. Padded steps (mask 0) leave the state as it was."""
-        h = np.zeros((x.shape[1], HIDDEN), np.float32)
-        c = h.copy()
+    def run(self, x: np.ndarray, mask: np.ndarray, keep: list | None = None, state: list | None = None) -> np.ndarray:
+        """x: time x batch x input. Padded steps (mask 0) leave the state as it was. state holds
+        what a run before this one left, and then what this one leaves."""
+        h, c = state if state else (np.zeros((x.shape[1], HIDDEN), np.float32) for _ in range(2))
         z0 = x.reshape(-1, INPUT) @ self.wx
         z0 = z0.reshape(len(x), -1, 4 * HIDDEN) + self.b
         out = np.empty((len(x), x.shape[1], HIDDEN), np.float32)
@@ -220,6 +281,8 @@ class Lstm:
             c = np.where(m, c_new, c)
             h = np.where(m, o * tanh_c, h)
             out[t] = h
+        if state is not None:
+            state[:] = [h, c]
         return out
 
     def back(self, x: np.ndarray, kept: list, dout: np.ndarray) -> list[np.ndarray]:
@@ -253,25 +316,34 @@ class Labeller:
         h = np.concatenate([a, z], axis=2)
         return h @ self.w + self.b, h
 
-    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """Whether each block is main text, for pages of block vectors. Long pages go in
-        overlapping chunks; pages of like length share a batch."""
-        pieces = []
-        for p, x in enumerate(pages):
-            for at in range(0, len(x), CHUNK):
-                low, high = max(0, at - LAP), min(len(x), at + CHUNK + LAP)
-                pieces.append((high - low, p, at, low, high))
-        out = [np.zeros(len(x), bool) for x in pages]
-        pieces.sort()
-        for k in range(0, len(pieces), 32):
-            group = pieces[k : k + 32]
-            x, mask = _padded([pages[p][low:high] for _, p, _, low, high in group])
+    def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
+        """Whether each block is main text, for pages of blocks. Pages of like length share a
+        batch; of a long page only a chunk's vectors and all blocks' states are held."""
+        out = [np.zeros(0, bool) for _ in pages]
+        short = sorted((len(own), p) for p, own in enumerate(pages) if 0 < len(own) <= CHUNK)
+        for k in range(0, len(short), 32):
+            group = [p for _, p in short[k : k + 32]]
+            x, mask = _padded(vectors_of([pages[p] for p in group]))
             z, _ = self.logits(x, mask)
-            for col, (_, p, at, low, high) in enumerate(group):
-                stop = min(at + CHUNK, len(pages[p]))
-                out[p][at:stop] = z[at - low : stop - low, col] > 0
+            for col, p in enumerate(group):
+                out[p] = z[: len(pages[p]), col] > 0
+        for p, own in enumerate(pages):
+            if len(own) > CHUNK:
+                out[p] = self._long(own) > 0
         return out
 
+    def _long(self, blocks: list[Block]) -> np.ndarray:
+        """Logits of one page's blocks, read in chunks that hand their state on."""
+        n = len(blocks)
+        z = np.full(n, self.b[0], np.float32)
+        starts = list(range(0, n, CHUNK))
+        for lstm, order, flip, w in ((self.ahead, starts, 1, self.w[:HIDDEN]), (self.behind, starts[::-1], -1, self.w[HIDDEN:])):
+            state: list = []
+            for at in order:
+                x = vectors_of([blocks[at : at + CHUNK]], at, n)[0][::flip, None]
+                z[at : at + CHUNK] += (lstm.run(x, np.ones(x.shape[:2], bool), state=state)[:, 0] @ w)[::flip]
+        return z
+
 
 def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     x = np.zeros((max(map(len, pages)), len(pages), INPUT), np.float32)
@@ -434,7 +506,7 @@ def made_page(rng: np.random.Generator) -> tuple[str, set[str]]:
 
 def extract(net: Labeller, pages: list[str | None]) -> list[str]:
     cut = [blocks_of(p) for p in pages]
-    kept = net.label(vectors_of(cut))
+    kept = net.label(cut)
     return ["\n".join(b.text for b, k in zip(own, keep) if k) for own, keep in zip(cut, kept)]
 
 
@@ -443,8 +515,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     text joins the blocks labelled main text, in page order, by line ends; it is
     empty for null and empty html and for pages without such a block. The whole
-    html is read, whatever its length; repeated rows and null ids stay as they
-    are; an empty table gives an empty result; other columns are ignored.
+    html is read, whatever its length; a block with even odds is no main text;
+    repeated rows and null ids stay as they are; the network is trained on the
+    driver at the first use in a process, which takes about a minute; an empty table gives an empty result; other columns are ignored.
     """
     sent = pages.sparkSession.sparkContext.broadcast(trained())
 

@@ -1,6 +1,8 @@
 """Trained operators on held-out rows, the codec's round trip and parity, mixing, licenses and the pipeline."""
 
 import math
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -74,6 +76,41 @@ def test_ordinal_thresholds_are_ordered():
     assert (np.diff(margins) > 0).all() and (np.diff(m.reach(margins), axis=1) <= 0).all()
 
 
+class Article(HTMLParser):
+    """The text blocks inside of article elements, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.parts, self.blocks = 0, [], []
+
+    def handle_starttag(self, tag, attrs):
+        self.cut(tag)
+        self.open += tag == "article"
+
+    def handle_endtag(self, tag):
+        self.cut(tag)
+        self.open -= tag == "article"
+
+    def handle_data(self, data):
+        if self.open:
+            self.parts.append(data)
+
+    def cut(self, tag):
+        if tag == "br":
+            self.parts.append(" ")
+        elif tag not in ("a", "b", "i", "em", "strong", "span", "code", "img", "u", "small", "sup", "sub"):
+            text = " ".join("".join(self.parts).split())
+            self.blocks += [text] * bool(text)
+            self.parts = []
+
+
+def article_of(page):
+    p = Article()
+    p.feed(page)
+    p.close()
+    return "\n".join(p.blocks)
+
+
 def test_html(spark, sf_dir):
     net = html_labeller.trained()
     page = """<html><head><title>T</title><script>var a="</p><p>no";</script></head><body><nav><ul><li><a href=/>Home</a></li><li><a href=/a>About us</a></li></ul></nav>
@@ -86,7 +123,7 @@ def test_html(spark, sf_dir):
     for _ in range(60):
         made, wanted = html_labeller.made_page(rng)
         blocks = html_labeller.blocks_of(made)
-        labels = net.label(html_labeller.vectors_of([blocks]))[0]
+        labels = net.label([blocks])[0]
         wrong += sum((b.text in wanted) != k for b, k in zip(blocks, labels))
         total += len(blocks)
     assert wrong < 0.03 * total
@@ -94,19 +131,40 @@ def test_html(spark, sf_dir):
     got = {r["page_id"]: r for r in html_labeller.extract_pages(pages).collect()}
     right = 0
     for r in pages.collect():
-        blocks = html_labeller.blocks_of(r["html"])
-        right += got[r["page_id"]]["text"] == "\n".join(b.text for b in blocks if any(names[0] == "article" for names in b.path))
+        right += got[r["page_id"]]["text"] == article_of(r["html"])
         assert got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"])
     assert right >= 0.96 * len(got)
     strange = spark.createDataFrame([(None, None, None, "x"), (1, "u", "", "x"), (1, "u", "<p>" * 300 + "deep", "x")], "page_id long, url string, html string, text string")
     assert html_labeller.extract_pages(strange).count() == 3 and html_labeller.extract_pages(strange.limit(0)).count() == 0
 
 
-def test_long_pages_are_labelled_in_chunks():
+def test_long_pages_are_read_as_a_whole(monkeypatch):
     net = html_labeller.trained()
-    blocks = html_labeller.blocks_of("<nav><a href=/>Home</a></nav><article>" + "<p>Some words of the long text here.</p>" * 1500 + "</article><footer>end</footer>")
-    labels = net.label(html_labeller.vectors_of([blocks]))[0]
-    assert len(labels) == 1502 and labels[1:-1].mean() > 0.99
+    page = "<nav><a href=/>Home</a></nav><article>" + "<p>Some words of the long text here.</p><ul><li>an item of it</li><li>one more, and longer.</li></ul>" * 500 + "</article><footer>end</footer>"
+    blocks = html_labeller.blocks_of(page)
+    chunked = net._long(blocks)
+    x, mask = html_labeller._padded(html_labeller.vectors_of([blocks]))
+    whole, _ = net.logits(x, mask)
+    assert len(blocks) == 1502 and np.allclose(whole[:, 0], chunked, atol=1e-4)
+    assert (net.label([blocks])[0] == (chunked > 0)).all() and (chunked[1:-1] > 0).mean() > 0.9
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 1_700_000, "<a \"x>\" " * 600_000, "<div>" * 100_000 + "deep" + "</x>" * 100_000, "<div>" * 50_000 + "<li>x" * 50_000, "</p>" * 500_000, "<script>" * 300_000, "<!-- " * 500_000, "&amp" * 500_000, "<p>" * 400_000, "< " * 1_000_000, "<b><p>" * 100_000],
+    ids=range(11),
+)
+def test_cutting_takes_linear_time(page):
+    began = time.perf_counter()
+    html_labeller.blocks_of(page)
+    assert time.perf_counter() - began < 20
+
+
+def test_references_end_with_their_run():
+    blocks = lambda t: [b.text for b in html_labeller.blocks_of(t)]
+    assert blocks("<p>&am<b>p;</b> x &lt;b&gt; &amp;lt;</p>") == ["&amp; x <b> &lt;"]
+    assert blocks("<p>a <![CDATA[b &amp; c]]> d<!-- e --> f</p>") == ["a b &amp; c d f"]
+    assert blocks("a <b title='x>y'>c</b> d < e <f") == ["a c d < e <f"]
 
 
 def test_codec(spark, sf_dir):
