@@ -3,18 +3,19 @@
 Training (numpy, on the driver, from the texts below; no input is needed)
 gives sparse multinomial logistic weights over word n-grams, calibrated by a
 temperature, with a class for everything that is no license. Every paragraph
-(line) is judged; those without a cue (part of a word that most known notices
-have) that come out `unknown` give no row. Lines without any of the words that
-evidence() lists need no scoring: the weights prove them unknown.
+is judged. A paragraph is a line, with the lines that follow it where it looks
+hard-wrapped. Paragraphs without any of the words that evidence() derives
+from the weights need no scoring: the weights prove that they are no license.
 
 Scanning uses SQL functions alone: paragraphs to score, their n-grams, a
-join with the weight table (some hundred rows, fixed by the training texts), a
-softmax, and the overlap with the predicted family's templates.
+join with the weight table (its size is fixed by the training texts), a softmax,
+and the overlap with the predicted family's templates.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 
 import numpy as np
@@ -26,7 +27,11 @@ from .common import pick
 UNKNOWN = "unknown"
 #: Least calibrated probability, and least share of common word pairs with a template.
 LEAST_PROBABILITY, LEAST_OVERLAP = 0.6, 0.6
+#: Least calibrated probability of being any license that gives a row.
+LEAST_LICENSE = 0.5
 NGRAMS = (1, 2, 3)
+#: A line that goes on in the next one: of the usual width, not ended by a mark.
+WRAPPED = r"(?m)^([^\n]{40,100}[^\n.!?:;])\r?\n(?=[^\s])"
 
 #: Usual notices of well-known licenses, and their names.
 TEMPLATES = {
@@ -36,22 +41,36 @@ TEMPLATES = {
         "This project is licensed under the terms of the MIT license.",
         "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'The Software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.',
+        "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software.",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        'The software is provided "as is" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness.',
+        "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
     ],
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
         "Released under the Apache 2.0 license.",
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
     ],
     "gpl-2.0": [
         "This work is licensed under the GNU General Public License, version 2.",
         "Licensed under the GNU GPL version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+        "Distributed under the GPL v2.",
         "Released under the GNU General Public License, version 2 or later.",
         "SPDX-License-Identifier: GPL-2.0-only",
     ],
     "gpl-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "Licensed under the GNU GPL version 3.",
+        "Distributed under the GPL v3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, either version 3 of the License, or any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
@@ -69,11 +88,17 @@ TEMPLATES = {
         "Licensed under the BSD 3-Clause License.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        'This software is provided by the copyright holders and contributors "as is" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.',
+        "In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages however caused and on any theory of liability.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, Version 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
         "SPDX-License-Identifier: MPL-2.0",
     ],
     "cc-by": [
@@ -96,15 +121,21 @@ TEMPLATES = {
         "This work is dedicated to the public domain under the CC0 1.0 Universal license.",
         "SPDX-License-Identifier: CC0-1.0",
     ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "SPDX-License-Identifier: Unlicense",
+    ],
     "proprietary": [
+        "Alle Rechte vorbehalten.",
+        "Tous droits réservés.",
+        "Todos los derechos reservados.",
         "All rights reserved.",
         "Copyright Example Corporation. All rights reserved.",
         "This software is proprietary and confidential. Unauthorized copying is prohibited. All rights reserved.",
     ],
 }
-#: Parts of words that every license notice above has one of.
-CUES = ["licen", "gnu", "gpl", "apache", "bsd", "mozilla", "creative commons", "cc0", "spdx", "rights reserved", "redistribut", "permission is hereby", "proprietary"]
-#: Sentences with such words that are no license.
+#: Sentences with the words of notices that are no license.
 OTHERS = [
     "She renewed her driving license last week.",
     "The bar lost its liquor licence after the fire.",
@@ -129,7 +160,23 @@ OTHERS = [
     "Permission is hereby requested to leave the room.",
     "She works in the public sector under a new license scheme.",
     "Version 2.0 of the game needs no license key.",
+    "The software is sold without a manual.",
+    "All rights of way are shown on the map of the county.",
+    "The terms of the contract were published in the public record.",
+    "Copies of the report are distributed free of charge to any person who asks.",
+    "The author was granted permission to use the name of the holder in the film.",
+    "The binary form of the number has eight digits.",
+    "The claim for damages was liable to fail in court.",
+    "There is no warranty on the car, express or implied, said the dealer.",
+    "General conditions of sale apply to the public.",
+    "Die Rechte der Frau wurden 1919 in der Verfassung verankert.",
+    "Les droits de l'homme sont universels.",
+    "Los derechos humanos son para todos.",
+    "Notice of the meeting must be included in the following list.",
+    "The mit student published a paper on the version of the source code.",
 ]
+#: English words that are in most texts. An n-gram of these alone is no feature.
+COMMON = frozenset("a all an and any are as at be been but by can do for from had has have he her his i if in into is it its may me my no not of on or other out she so such than that the their them there they this to up was we were what which who will with you your".split())
 PREFIXES = ["", "", "", "// ", "# ", "* ", "Note: ", "Copyright (c) 2020 Jane Roe. ", "The text is here. "]
 SUFFIXES = ["", "", "", " See the file for details.", " Please read it.", " (c) 2021"]
 
@@ -139,12 +186,8 @@ def words_of(text: str) -> list[str]:
     return [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w]
 
 
-def has_cue(text: str) -> bool:
-    return any(c in text.lower() for c in CUES)
-
-
 def ngrams_of(words: list[str]) -> set[str]:
-    return {" ".join(words[i : i + n]) for n in NGRAMS for i in range(len(words) - n + 1)}
+    return {" ".join(words[i : i + n]) for n in NGRAMS for i in range(len(words) - n + 1) if not COMMON.issuperset(words[i : i + n])}
 
 
 def _examples(seed: int = 5, per_text: int = 14) -> list[tuple[set[str], str]]:
@@ -155,6 +198,10 @@ def _examples(seed: int = 5, per_text: int = 14) -> list[tuple[set[str], str]]:
 
     def add(text: str, label: str) -> None:
         words = text.split()
+        if len(words) > 12 and rng.random() < 0.4:  # a part of a long notice
+            n = rng.integers(8, len(words))
+            at = rng.integers(0, len(words) - n + 1)
+            words = words[at : at + n]
         if len(words) > 8:
             words = [w for w in words if rng.random() > 0.04]
         text = " ".join(words)
@@ -170,9 +217,11 @@ def _examples(seed: int = 5, per_text: int = 14) -> list[tuple[set[str], str]]:
     for text in OTHERS:
         for _ in range(per_text * 2):
             add(text, UNKNOWN)
-    for cue in CUES:
-        for _ in range(per_text):
-            add(f"{noise(rng.integers(0, 12))} {cue} {noise(rng.integers(0, 12))}", UNKNOWN)
+    # words of notices alone or in pairs say little
+    words = sorted({w for texts in TEMPLATES.values() for t in texts for w in words_of(t)})
+    for k in range(len(words) * 2):
+        own = " ".join([words[k % len(words)], *rng.choice(words, rng.integers(0, 2))])
+        add(f"{noise(rng.integers(0, 12))} {own} {noise(rng.integers(0, 12))}", UNKNOWN)
     return out
 
 
@@ -218,19 +267,20 @@ def fitted() -> tuple[list[str], np.ndarray, dict[str, np.ndarray], float]:
 
 @functools.cache
 def evidence() -> tuple[str, ...]:
-    """Words without which no text reaches a family: the n-grams free of them cannot, all
-    together, make any family likelier than LEAST_PROBABILITY against `unknown`."""
+    """Words without which no text gives a row: the n-grams free of them cannot, all together,
+    raise the odds of any family against `unknown` to its share of LEAST_LICENSE."""
     classes, bias, weights, temperature = fitted()
     unknown = classes.index(UNKNOWN)
     grams = {g: np.maximum(w - w[unknown], 0) for g, w in weights.items()}
-    short = bias[unknown] - bias + temperature * np.log(LEAST_PROBABILITY / (1 - LEAST_PROBABILITY)) - 1e-6
+    share = LEAST_LICENSE / (1 - LEAST_LICENSE) / (len(classes) - 1)
+    short = bias[unknown] - bias + temperature * np.log(share) - 1e-6
     short[unknown] = np.inf
     out: list[str] = []
     while grams and (sum(grams.values()) >= short).any():
         worth: dict[str, float] = {}
         over = sum(grams.values()) >= short
         for g, w in grams.items():
-            for word in set(g.split()):
+            for word in set(g.split()) - COMMON:
                 worth[word] = worth.get(word, 0.0) + float(w[over].sum())
         out.append(max(sorted(worth), key=worth.__getitem__))
         grams = {g: w for g, w in grams.items() if out[-1] not in g.split()}
@@ -241,17 +291,18 @@ def _pairs(words: list[str]) -> list[str]:
     return sorted({" ".join(p) for p in zip(words, words[1:])}) or words
 
 
+def paragraphs_of(text: str | None) -> list[str]:
+    """Paragraphs of a text, as the SQL side cuts them."""
+    return re.sub(WRAPPED, r"\1 ", text or "").split("\n")
+
+
 def _paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, row, paragraph, words, cue of all paragraphs that hold a cue or a word of
-    evidence(). row tells repeated documents apart."""
-    text = F.coalesce("text", F.lit(""))
-    lower = F.lower(F.col("line"))
-    any_of = lambda c, parts: functools.reduce(lambda a, b: a | b, [F.contains(c, F.lit(p)) for p in parts])
-    whole = docs.where(any_of(F.lower(text), [*CUES, *evidence()])).select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(text, "\n")).alias("paragraph", "line"))
-    near = whole.where(any_of(lower, [*CUES, *evidence()]))
-    words = F.filter(F.split(lower, "[^a-z0-9]+"), lambda w: w != "")
-    found = near.select("doc_id", "row", "paragraph", words.alias("words"), any_of(lower, CUES).alias("cue"))
-    return found.where(F.col("cue") | F.arrays_overlap("words", F.array(*map(F.lit, evidence()))))
+    """doc_id, row, paragraph, words of all paragraphs that hold a word of evidence(). row
+    tells repeated documents apart."""
+    listed = F.array(*map(F.lit, evidence()))
+    whole = docs.where(F.col("text").isNotNull()).select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(F.regexp_replace("text", WRAPPED, "$1 "), "\n")).alias("paragraph", "line"))
+    words = F.filter(F.split(F.lower("line"), "[^a-z0-9]+"), lambda w: w != "")
+    return whole.select("doc_id", "row", "paragraph", words.alias("words")).where(F.arrays_overlap("words", listed))
 
 
 def _runs(words: Column, n: int) -> Column:
@@ -261,31 +312,34 @@ def _runs(words: Column, n: int) -> Column:
 
 
 def license_paragraphs(docs: DataFrame) -> DataFrame:
-    """Of docs (doc_id, text), every paragraph (line) with a cue word or of a family -> doc_id, paragraph
+    """Of docs (doc_id, text), every paragraph that is likely a license -> doc_id, paragraph
     (from 0), family, probability, overlap, confirmed.
 
-    family is the most probable license if its calibrated probability is at least
+    A paragraph gives a row if the calibrated probability that it is of any
+    family is at least LEAST_LICENSE. family is the most probable one (the first
+    in the alphabet of equal ones) if its own probability is at least
     LEAST_PROBABILITY, else `unknown`; overlap is the largest share of word pairs
     that the paragraph and one of the family's templates have in common, of the
     smaller of the two (0 for unknown); confirmed if it is at least LEAST_OVERLAP.
-    Paragraphs without a cue that are `unknown` give no row, as do
-    null and empty texts; repeated documents and null ids give their own rows;
-    an empty table gives an empty result; other columns are ignored.
+    Null and empty texts give no row; repeated documents and null ids give their
+    own rows; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     classes, bias, weights, temperature = fitted()
-    weight_table = _table(spark, [(g, w.tolist()) for g, w in weights.items()], "gram string, w array<double>")
-    templates = _table(spark, [(label, _pairs(words_of(t))) for label, texts in TEMPLATES.items() for t in texts], "family string, template array<string>")
+    unknown = classes.index(UNKNOWN)
+    weight_table = _table(spark, [{"gram": g, "w": w.tolist()} for g, w in weights.items()], "gram string, w array<double>")
+    templates = _table(spark, [{"family": label, "template": _pairs(words_of(t))} for label, texts in TEMPLATES.items() for t in texts], "family string, template array<string>")
     rows = _paragraphs(pick(docs, "doc_id", "text"))
-    hits = rows.select("doc_id", "row", "paragraph", "words", "cue", F.explode_outer(F.array_distinct(F.concat(*[_runs(F.col("words"), n) for n in NGRAMS]))).alias("gram")).join(F.broadcast(weight_table), "gram", "left")
-    sums = [F.sum(F.coalesce(F.col("w")[k], F.lit(0.0))).alias(f"s{k}") for k in range(len(classes))]
-    summed = hits.groupBy("row", "paragraph").agg(F.first("doc_id").alias("doc_id"), F.first("words").alias("words"), F.first("cue").alias("cue"), *sums)
+    hits = rows.select("doc_id", "row", "paragraph", "words", F.explode(F.array_distinct(F.concat(*[_runs(F.col("words"), n) for n in NGRAMS]))).alias("gram")).join(F.broadcast(weight_table), "gram")
+    sums = [F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(len(classes))]
+    summed = hits.groupBy("row", "paragraph").agg(F.first("doc_id").alias("doc_id"), F.first("words").alias("words"), *sums)
     logits = F.array(*[(F.round(F.col(f"s{k}") + float(bias[k]), 9) / temperature) for k in range(len(classes))])
-    scored = summed.select("doc_id", "row", "paragraph", "words", "cue", logits.alias("z"))
+    scored = summed.select("doc_id", "row", "paragraph", "words", logits.alias("z"))
     top = F.array_max("z")
-    scored = scored.withColumn("best", F.array_position("z", top) - 1).withColumn("probability", 1 / F.aggregate("z", F.lit(0.0), lambda acc, z: acc + F.exp(z - top)))
+    scored = scored.withColumn("best", F.array_position("z", top) - 1).withColumn("total", F.aggregate("z", F.lit(0.0), lambda acc, z: acc + F.exp(z - top)))
+    scored = scored.where(1 - F.exp(F.col("z")[unknown] - top) / F.col("total") >= LEAST_LICENSE)
     named = F.array(*map(F.lit, classes))[F.col("best").cast("int")]
-    scored = scored.withColumn("family", F.when(F.col("probability") >= LEAST_PROBABILITY, named).otherwise(UNKNOWN)).where(F.col("cue") | (F.col("family") != UNKNOWN))
+    scored = scored.withColumn("probability", 1 / F.col("total")).withColumn("family", F.when(F.col("probability") >= LEAST_PROBABILITY, named).otherwise(UNKNOWN))
     words = F.col("words")
     pairs = F.when(F.size(words) > 1, F.array_distinct(_runs(words, 2))).otherwise(words)
     compared = scored.withColumn("pairs", pairs).join(F.broadcast(templates), "family", "left")
@@ -296,9 +350,6 @@ def license_paragraphs(docs: DataFrame) -> DataFrame:
     return result.select("doc_id", "paragraph", "family", "probability", "overlap", ((F.col("family") != UNKNOWN) & (F.col("overlap") >= LEAST_OVERLAP)).alias("confirmed"))
 
 
-def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A few rows as a relation of literals, without Python on the executors."""
-    key, values = (c.split()[0] for c in schema.split(", "))
-    kind = schema.split("array<")[1].rstrip(">")
-    structs = [F.struct(F.lit(k).alias(key), F.array(*map(F.lit, v)).cast(f"array<{kind}>").alias(values)) for k, v in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """Rows as a relation of one literal, without Python on the executors."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")))
