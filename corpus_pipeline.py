@@ -15,6 +15,8 @@ from skein.llm.common import checkpoint, table
 
 ORACLE_SQL = None
 
+#: Languages that stay, None for all that can be learned, and the least score of the predicted one.
+LANGUAGES, LEAST_SCORE = None, 0.5
 #: Sources are evened out as far as no document is taken over twice and each once.
 MIX = mixing.Target(repetition=2.0, keep_all=True)
 
@@ -28,12 +30,17 @@ def _where(docs: DataFrame, value: str, made, keep) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: those whose text is null or has no letter go."""
+    """Documents whose predicted language is one of LANGUAGES with a score of LEAST_SCORE or more.
+
+    Texts that are null or have no letter are in no language and go. Where no
+    language can be learned, all others stay.
+    """
     net = language.train(language.sample(docs))
     if not net.langs:  # nothing to learn from: all that has a letter stays
         return _where(docs, "letter", lambda text: text.rlike(r"\p{L}"), lambda letter: letter)
     identify = language.identifier(spark, net)
-    return _where(docs, "r", identify, lambda r: r["lang_pred"] != language.UNKNOWN)
+    wanted = sorted(net.langs if LANGUAGES is None else set(net.langs) & set(LANGUAGES))
+    return _where(docs, "r", identify, lambda r: r["lang_pred"].isin(wanted) & (r["score"] >= LEAST_SCORE))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +50,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (5-word shingles, likeness of 0.8 or more)."""
+    """One document of each group of near duplicates (5-word shingles, likeness of 0.8 or more):
+    candidates from the SimHash index and, as that alone misses links, from min-hash bands."""
     return simhash_dedup.keep_one(docs)
 
 

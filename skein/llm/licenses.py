@@ -4,12 +4,13 @@ Training (numpy, on the driver, from the texts below; no input is needed)
 gives sparse multinomial logistic weights over word n-grams, calibrated by a
 temperature, with a class for everything that is no license. Every paragraph
 is judged. A paragraph is a line, with the lines that follow it where it looks
-hard-wrapped. Paragraphs without any of the words that evidence() derives
-from the weights need no scoring: the weights prove that they are no license.
+hard-wrapped. Each word of a paragraph counts what the n-grams that hang on
+it could add at most (evidence(), derived from the weights); where the sum
+proves that the paragraph is no license, its n-grams are not made.
 
-Scanning uses SQL functions alone: paragraphs to score, their n-grams, a
-join with the weight table (its size is fixed by the training texts), a softmax,
-and the overlap with the predicted family's templates.
+Scanning uses SQL functions alone: the paragraphs left, their n-grams that have
+weights, a join with the weight table (its size is fixed by the training texts),
+a softmax, and the overlap with the predicted family's templates.
 """
 
 from __future__ import annotations
@@ -265,26 +266,35 @@ def fitted() -> tuple[list[str], np.ndarray, dict[str, np.ndarray], float]:
     return classes, b, {g: w[k] for g, k in vocabulary.items() if kept[k]}, float(temperature)
 
 
+#: Bounds of the classes of evidence: words of a class count as its upper end.
+CLASSES = (1.0, 0.93, 0.8, 0.65, 0.5, 0.35, 0.2, 0.1)
+
+
 @functools.cache
-def evidence() -> tuple[str, ...]:
-    """Words without which no text gives a row: the n-grams free of them cannot, all together,
-    raise the odds of any family against `unknown` to its share of LEAST_LICENSE."""
+def evidence() -> tuple[tuple[float, tuple[str, ...]], ...]:
+    """(worth, words): a text whose distinct words are worth less than 1 in all gives no row.
+
+    Every n-gram hangs on one of its words, and a word is worth the most that
+    its n-grams, all together, move any family from its odds against `unknown` in
+    an empty text towards its share of LEAST_LICENSE, of the way there.
+    """
     classes, bias, weights, temperature = fitted()
     unknown = classes.index(UNKNOWN)
-    grams = {g: np.maximum(w - w[unknown], 0) for g, w in weights.items()}
     share = LEAST_LICENSE / (1 - LEAST_LICENSE) / (len(classes) - 1)
-    short = bias[unknown] - bias + temperature * np.log(share) - 1e-6
-    short[unknown] = np.inf
-    out: list[str] = []
-    while grams and (sum(grams.values()) >= short).any():
-        worth: dict[str, float] = {}
-        over = sum(grams.values()) >= short
-        for g, w in grams.items():
-            for word in set(g.split()) - COMMON:
-                worth[word] = worth.get(word, 0.0) + float(w[over].sum())
-        out.append(max(sorted(worth), key=worth.__getitem__))
-        grams = {g: w for g, w in grams.items() if out[-1] not in g.split()}
-    return tuple(out)
+    way = np.maximum(bias[unknown] - bias + temperature * np.log(share) - 1e-6, 1e-9)
+    way[unknown] = np.inf
+    moved: dict[str, np.ndarray] = {}
+    for g, w in sorted(weights.items()):
+        word = max(sorted(set(g.split()) - COMMON), key=len)
+        moved[word] = moved.get(word, 0.0) + np.maximum(w - w[unknown], 0)
+    worth = {word: float((m / way).max()) for word, m in moved.items()}
+    edges = [np.inf, *CLASSES, 0.0]
+    out = [(high, tuple(word for word, v in worth.items() if low < v <= high)) for high, low in zip(edges, edges[1:])]
+    return tuple((min(high, 1.0), own) for high, own in out if own)
+
+
+def may_be_license(words: list[str]) -> bool:
+    return sum(worth * len(set(own).intersection(words)) for worth, own in evidence()) >= 1
 
 
 def _pairs(words: list[str]) -> list[str]:
@@ -297,12 +307,15 @@ def paragraphs_of(text: str | None) -> list[str]:
 
 
 def _paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, row, paragraph, words of all paragraphs that hold a word of evidence(). row
-    tells repeated documents apart."""
-    listed = F.array(*map(F.lit, evidence()))
+    """doc_id, row, paragraph, words of all paragraphs that may be a license. row tells
+    repeated documents apart."""
+    listed = lambda own: F.array(*map(F.lit, own))
     whole = docs.where(F.col("text").isNotNull()).select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(F.regexp_replace("text", WRAPPED, "$1 "), "\n")).alias("paragraph", "line"))
     words = F.filter(F.split(F.lower("line"), "[^a-z0-9]+"), lambda w: w != "")
-    return whole.select("doc_id", "row", "paragraph", words.alias("words")).where(F.arrays_overlap("words", listed))
+    found = F.array_intersect(words, listed([w for _, own in evidence() for w in own]))
+    worth = functools.reduce(lambda a, b: a + b, [F.size(F.array_intersect("found", listed(own))) * worth for worth, own in evidence()])
+    some = whole.withColumn("found", found).where(F.size("found") > 0).where(worth >= 1)
+    return some.select("doc_id", "row", "paragraph", words.alias("words"))
 
 
 def _runs(words: Column, n: int) -> Column:
@@ -330,20 +343,24 @@ def license_paragraphs(docs: DataFrame) -> DataFrame:
     weight_table = _table(spark, [{"gram": g, "w": w.tolist()} for g, w in weights.items()], "gram string, w array<double>")
     templates = _table(spark, [{"family": label, "template": _pairs(words_of(t))} for label, texts in TEMPLATES.items() for t in texts], "family string, template array<string>")
     rows = _paragraphs(pick(docs, "doc_id", "text"))
-    hits = rows.select("doc_id", "row", "paragraph", "words", F.explode(F.array_distinct(F.concat(*[_runs(F.col("words"), n) for n in NGRAMS]))).alias("gram")).join(F.broadcast(weight_table), "gram")
+    words = F.col("words")
+    grams = F.array_intersect(F.concat(*[_runs(words, n) for n in NGRAMS]), F.from_json(F.lit(json.dumps(sorted(weights))), "array<string>"))
+    pairs = F.when(F.size(words) > 1, F.array_distinct(_runs(words, 2))).otherwise(words)
+    known = F.from_json(F.lit(json.dumps(sorted({p for texts in TEMPLATES.values() for t in texts for p in _pairs(words_of(t))}))), "array<string>")
+    rows = rows.select("doc_id", "row", "paragraph", grams.alias("grams"), pairs.alias("pairs"))
+    rows = rows.select("doc_id", "row", "paragraph", "grams", F.size("pairs").alias("n"), F.array_intersect("pairs", known).alias("pairs"))
+    hits = rows.select("doc_id", "row", "paragraph", "n", "pairs", F.explode("grams").alias("gram")).join(F.broadcast(weight_table), "gram")
     sums = [F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(len(classes))]
-    summed = hits.groupBy("row", "paragraph").agg(F.first("doc_id").alias("doc_id"), F.first("words").alias("words"), *sums)
+    summed = hits.groupBy("row", "paragraph").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("pairs").alias("pairs"), *sums)
     logits = F.array(*[(F.round(F.col(f"s{k}") + float(bias[k]), 9) / temperature) for k in range(len(classes))])
-    scored = summed.select("doc_id", "row", "paragraph", "words", logits.alias("z"))
+    scored = summed.select("doc_id", "row", "paragraph", "n", "pairs", logits.alias("z"))
     top = F.array_max("z")
     scored = scored.withColumn("best", F.array_position("z", top) - 1).withColumn("total", F.aggregate("z", F.lit(0.0), lambda acc, z: acc + F.exp(z - top)))
     scored = scored.where(1 - F.exp(F.col("z")[unknown] - top) / F.col("total") >= LEAST_LICENSE)
     named = F.array(*map(F.lit, classes))[F.col("best").cast("int")]
     scored = scored.withColumn("probability", 1 / F.col("total")).withColumn("family", F.when(F.col("probability") >= LEAST_PROBABILITY, named).otherwise(UNKNOWN))
-    words = F.col("words")
-    pairs = F.when(F.size(words) > 1, F.array_distinct(_runs(words, 2))).otherwise(words)
-    compared = scored.withColumn("pairs", pairs).join(F.broadcast(templates), "family", "left")
-    shared = F.size(F.array_intersect("pairs", "template")) / F.greatest(F.least(F.size("pairs"), F.size("template")), F.lit(1))
+    compared = scored.join(F.broadcast(templates), "family", "left")
+    shared = F.size(F.array_intersect("pairs", "template")) / F.greatest(F.least("n", F.size("template")), F.lit(1))
     result = compared.groupBy("row", "paragraph").agg(
         F.first("doc_id").alias("doc_id"), F.first("family").alias("family"), F.round(F.first("probability"), 6).alias("probability"), F.coalesce(F.max(F.when(F.col("template").isNotNull(), shared)), F.lit(0.0)).alias("overlap")
     )

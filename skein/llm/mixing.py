@@ -8,8 +8,9 @@ for the most often that any document may be repeated.
 The weights are realised as budgeted block permutations: each source's
 documents are hashed into blocks, and each pass orders the blocks, and the
 documents in them, by hashes of the pass. Full passes take all blocks; the
-last one takes whole blocks until the source's budget is met, and documents of
-the block on the edge. Only that block is ever ordered by document.
+last one takes whole blocks until the source's budget is met. The block on the
+edge is cut into slices of its order, taken whole in the same way, and only
+the slice on the edge is ever ordered by document: a millionth of a source.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .common import checkpoint, pick
 #: Blocks of all sources together, about, and of one source at most.
 BLOCKS, BLOCKS_OF_SOURCE = 65_536, 1_024
 SECTIONS, ROUNDS = 32, 5
+#: Slices of the order of a block on the edge, as bits.
+SLICE_BITS = 10
 #: Rows of a plan table that are broadcast at most (some 10 MB); beyond, it is joined by shuffle.
 BROADCAST_ROWS = 200_000
 SEED = 9
@@ -126,32 +129,43 @@ def mix(docs: DataFrame, target: Target, doc_id: str = "doc_id", text: str = "te
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     col = lambda n: F.col(f"c{names.index(n)}")
-    rows = plain.withColumn("t", token_count(col(text))).withColumn("s", F.coalesce(F.concat(F.lit("="), col(source)), F.lit("")))
-    key = F.coalesce(col(doc_id).cast("string"), F.lit(""))
-    sources = checkpoint(rows.groupBy(F.col("s").alias("source")).agg(F.sum("t").alias("tokens")))
+    rows = plain.withColumn("s", F.coalesce(F.concat(F.lit("="), col(source)), F.lit(""))).withColumn("key", F.coalesce(col(doc_id).cast("string"), F.lit("")))
+    # words are counted once, into a narrow table
+    counted = checkpoint(rows.select("s", "key", token_count(col(text)).alias("t")))
+    sources = checkpoint(counted.groupBy(F.col("s").alias("source")).agg(F.sum("t").alias("tokens")))
     chosen = _sent(checkpoint(plan(sources, fit_exponent(sources, target), target))).select(F.col("source").alias("s"), "passes", "rest", "blocks")
-    rows = rows.join(chosen, "s").withColumn("b", F.pmod(F.xxhash64(F.lit(SEED), key), F.col("blocks")).cast("int"))
+    block = F.pmod(F.xxhash64(F.lit(SEED), "key"), F.col("blocks")).cast("int")
+    # a document's place in its block's order in the last pass
+    place_in = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "passes", "key"), 44)
+    part = F.shiftright(place_in, 20 - SLICE_BITS).cast("int")
+    small = counted.join(chosen, "s").withColumn("b", block)
+
+    def cut(table: DataFrame, left: Column, order: list[Column]) -> DataFrame:
+        """table (s, ..., bt) of pieces in order: left for each, whether it is taken whole, or on the edge."""
+        before = F.sum("bt").over(Window.partitionBy("s").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+        return table.withColumn("left", left - F.coalesce(before, F.lit(0))).withColumn("whole", (F.col("left") > 0) & (F.col("bt") <= F.col("left"))).withColumn("edge", (F.col("left") > 0) & (F.col("bt") > F.col("left")))
 
     # of the last pass: which blocks are taken whole, and what is left for the one on the edge
-    order = F.xxhash64(F.lit(SEED), "passes", "s", "b")
-    table = rows.groupBy("s", "b").agg(F.sum("t").alias("bt"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
-    before = F.sum("bt").over(Window.partitionBy("s").orderBy(order, "b").rowsBetween(Window.unboundedPreceding, -1))
-    table = table.withColumn("left", F.col("rest") - F.coalesce(before, F.lit(0)))
-    table = checkpoint(table.select("s", "b", "left", ((F.col("left") > 0) & (F.col("bt") <= F.col("left"))).alias("whole"), ((F.col("left") > 0) & (F.col("bt") > F.col("left"))).alias("edge")))
-    rows = rows.join(_sent(table), ["s", "b"])
+    by_block = small.groupBy("s", "b").agg(F.sum("t").alias("bt"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
+    by_block = checkpoint(cut(by_block, F.col("rest"), [F.xxhash64(F.lit(SEED), "passes", "s", "b"), F.col("b")]).select("s", "b", "left", "whole", "edge"))
+    on_edge = _sent(by_block.where("edge").select("s", "b", F.col("left").alias("rest_of_block")))
+    by_slice = small.join(on_edge, ["s", "b"]).groupBy("s", "b", part.alias("part")).agg(F.sum("t").alias("bt"), F.first("rest_of_block").alias("rest_of_block"))
+    by_slice = checkpoint(cut(by_slice, F.col("rest_of_block"), [F.col("part")]).where("left > 0").select("s", "b", "part", F.col("left").alias("rest_of_slice"), F.col("whole").alias("slice_whole")))
+    rows = rows.join(chosen, "s").withColumn("b", block).join(_sent(by_block.select("s", "b", "whole", "edge")), ["s", "b"])
 
     def taken(part: DataFrame, passes: Column) -> DataFrame:
         out = part.withColumn("k", F.explode(passes))
-        place = F.shiftright(F.xxhash64(F.lit(SEED), "k", "s", "b"), 1).bitwiseAND(~0xFFFFF) + F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "k", key), 44)
+        place = F.shiftright(F.xxhash64(F.lit(SEED), "k", "s", "b"), 1).bitwiseAND(~0xFFFFF) + F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "k", "key"), 44)
         made = {PASS: F.col("k"), "block": F.col("b"), ORDER: place}
         keep = [F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n.lower() not in made]
         return out.select(*keep, *(c.alias(n) for n, c in made.items()))
 
-    counted = F.col("passes") + F.col("whole").cast("int")
-    full = taken(rows, F.when(counted > 0, F.sequence(F.lit(0), counted - 1)).otherwise(F.array().cast("array<int>")))
-    in_block = Window.partitionBy("s", "b").orderBy(F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "passes", key), 44), key).rowsBetween(Window.unboundedPreceding, -1)
-    edge = rows.where("edge").withColumn("had", F.coalesce(F.sum("t").over(in_block), F.lit(0))).where("had < left")
-    return full.union(taken(edge, F.array("passes")))
+    counted_passes = F.col("passes") + F.col("whole").cast("int")
+    full = taken(rows, F.when(counted_passes > 0, F.sequence(F.lit(0), counted_passes - 1)).otherwise(F.array().cast("array<int>")))
+    edge = rows.where("edge").withColumn("part", part).join(_sent(by_slice), ["s", "b", "part"])
+    in_slice = Window.partitionBy("s", "b", "part").orderBy(place_in, "key").rowsBetween(Window.unboundedPreceding, -1)
+    last = edge.where("not slice_whole").withColumn("t", token_count(col(text))).withColumn("had", F.coalesce(F.sum("t").over(in_slice), F.lit(0))).where("had < rest_of_slice")
+    return full.union(taken(edge.where("slice_whole"), F.array("passes"))).union(taken(last, F.array("passes")))
 
 
 def mixed(docs: DataFrame, target: Target) -> DataFrame:

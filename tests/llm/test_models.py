@@ -23,11 +23,12 @@ def tables(spark, sf_dir, *names):
 
 
 def test_toxicity_held_out(spark, sf_dir):
-    docs, labels = tables(spark, sf_dir.replace("0.001", "0.01"), "documents", "labels")
+    docs, labels = tables(spark, sf_dir.replace("0.001", "0.1"), "documents", "labels")
     got = toxicity.toxicity_scores(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
     y, s = got.toxic.to_numpy(), got.score.to_numpy()
     assert len(got) == labels.where(common.fold(F.col("doc_id"), 5) == 0).count()
-    assert ((s >= 0.5) == (got.predicted == 1)).all() and s[y == 1].mean() > 3 * s[y == 0].mean() and s[y == 0].max() < 0.95
+    assert ((s >= 0.5) == (got.predicted == 1)).all()
+    assert (s[y == 1] >= 0.5).mean() >= 0.85 and (s[y == 0] >= 0.5).mean() <= 0.02
     out = toxicity.toxicity_scores(odd(spark), labels).collect()
     assert len(out) == len(ODD) and all(0 <= r["score"] <= 1 for r in out)
     assert toxicity.toxicity_scores(odd(spark).limit(0), labels.limit(0)).count() == 0
@@ -206,8 +207,10 @@ def budgets(tokens, exponent, target):
     return {s: v / total for s, v in w.items()}, times
 
 
+@pytest.mark.parametrize("bits", [10, 2, 0])
 @pytest.mark.parametrize("target", [mixing.Target(repetition=1.6), mixing.Target(entropy=1.2), mixing.Target(repetition=2.0, keep_all=True)])
-def test_mixing(spark, target):
+def test_mixing(spark, monkeypatch, target, bits):
+    monkeypatch.setattr(mixing, "SLICE_BITS", bits)
     rng = np.random.default_rng(6)
     rows = [(k, "t " * int(rng.integers(1, 60)), ["big"] * 6 + ["mid"] * 3 + ["low"]) for k in range(900)]
     rows = [(k, t, s[k % 10] if k % 50 else "rare") for k, t, s in rows]
@@ -238,6 +241,11 @@ def test_mixing(spark, target):
         assert passes == list(range(len(passes))) and all(len(each[s, p]) == sum(x[2] == s for x in rows) for p in passes[:-1])
     if target.keep_all:
         assert {r["doc_id"] for r in got} == set(size)
+    # a last pass is the start of its order: no document left out comes before one taken
+    for s in tokens:
+        last = max(p for t, p in each if t == s)
+        placed = sorted((r["place"], r["doc_id"]) for r in got if r["source"] == s and r["pass"] == last)
+        assert len(placed) == len(set(placed))
 
 
 def test_mixing_of_odd_tables(spark):
@@ -319,13 +327,19 @@ def test_wrapped_notices(spark):
     assert got[0, 2]["family"] == "mit" and got[0, 2]["confirmed"] and [k for k in got if k[0] == 0] == [(0, 2)]
 
 
-def test_no_text_without_evidence_gives_a_row():
+def test_evidence_loses_no_row():
     rng = np.random.default_rng(4)
-    classes, _, weights, _ = licenses.fitted()
-    free = sorted({w for g in weights for w in g.split()} - set(licenses.evidence()))
-    for _ in range(300):
-        assert model_family(list(rng.choice(free, rng.integers(1, 40))))[2] < licenses.LEAST_LICENSE
-    assert model_family(free)[2] < licenses.LEAST_LICENSE
+    _, _, weights, _ = licenses.fitted()
+    vocabulary = sorted({w for g in weights for w in g.split()})
+    notices = [licenses.words_of(t) for own in licenses.TEMPLATES.values() for t in own]
+    passed = 0
+    for k in range(1500):
+        words = list(rng.choice(vocabulary, rng.integers(1, 25))) if k % 3 else notices[rng.integers(len(notices))][: rng.integers(2, 12)]
+        own = licenses.may_be_license(words)
+        passed += own
+        assert own or model_family(words)[2] < licenses.LEAST_LICENSE
+    assert 0 < passed < 1500
+    assert not licenses.may_be_license(licenses.words_of(PLAIN[0]))
 
 
 def test_pipeline(spark, sf_dir):
@@ -340,7 +354,12 @@ def test_pipeline(spark, sf_dir):
             assert out.columns == columns
     ids = lambda d: [r[0] for r in d.select("doc_id").collect()]
     before, after = seen["language identification"]
-    assert set(ids(after)) == {r["doc_id"] for r in before.collect() if r["text"] and any(map(str.isalpha, r["text"]))}
+    want = {r["doc_id"] for r in language.identify_languages(before).where("lang_pred <> 'und' and score >= 0.5").collect()}
+    lettered = {r["doc_id"] for r in before.collect() if r["text"] and any(map(str.isalpha, r["text"]))}
+    assert set(ids(after)) == want <= lettered and len(want) >= 0.99 * len(lettered)
+    before, after = seen["toxicity"]
+    (labels,) = tables(spark, sf_dir, "labels")
+    assert set(ids(after)) == {r["doc_id"] for r in toxicity.toxicity_scores(before, labels).where("predicted = 0").collect()}
     before, after = seen["simhash near-dedup"]
     assert len(ids(after)) == len(set(ids(after))) < len(ids(before))
     before, after = seen["source mixing"]
@@ -350,11 +369,28 @@ def test_pipeline(spark, sf_dir):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_language_stage_keeps_what_is_wanted(spark, sf_dir, monkeypatch):
+    docs = common.table(spark, sf_dir, "documents")
+    predicted = {r["doc_id"]: r for r in language.identify_languages(docs).collect()}
+    monkeypatch.setattr(corpus_pipeline, "LANGUAGES", ("en", "xx"))
+    monkeypatch.setattr(corpus_pipeline, "LEAST_SCORE", 0.9)
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, sf_dir).collect()}
+    assert kept == {i for i, r in predicted.items() if r["lang_pred"] == "en" and r["score"] >= 0.9} and 0 < len(kept) < len(predicted)
+
+
 def test_stages_take_odd_tables(spark, sf_dir):
     docs = odd(spark).withColumn("n_chars", F.lit(1).cast("long"))
-    for table in (docs, docs.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            assert stage(spark, table, sf_dir).count() >= 0
+    texts = lambda d: sorted((r["text"] or "") for r in d.select("text").collect())
+    own = sorted((t or "") for _, t in ODD)
+    want = {  # of rows without an id all stay; equal texts with ids are one
+        "language identification": sorted(t for _, t in ODD if t and any(map(str.isalpha, t))), "toxicity": own,
+        "simhash near-dedup": sorted(["", "42 !?", "a b", "Word und " * 20_000, ""]), "source mixing": own, "sentencepiece encoding": own,
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert texts(out) == want[name], name
+        assert name == corpus_pipeline.STAGES[-1][0] or out.columns == docs.columns
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
 
 
 def test_language_stage_without_languages(spark, sf_dir):
