@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 CACHE_WORDS = 400_000
 #: Bytes of text that a text function holds as Python strings at once (a longer text is alone).
 PIECE_BYTES = 4 << 20
+#: Rows of a narrow table that are broadcast at most (some 10 MB); beyond, it is joined by shuffle.
+BROADCAST_ROWS = 200_000
 #: Bytes of text that a training sample brings to the driver at most.
 SAMPLE_BYTES = 64 << 20
 
@@ -81,6 +83,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(small: DataFrame) -> DataFrame:
+    """A materialised table, broadcast if its counted rows are few: what it is joined with then stays where it is."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id written as text, modulo folds; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds

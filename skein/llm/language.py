@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, pick, pieces, texts_of
+from .common import broadcast_if_small, checkpoint, fold, pick, pieces, texts_of
 
 WINDOW = 192
 WIDTHS = (2, 3, 5)
@@ -153,7 +153,7 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = SAMPLE
     # the counts say which hashes can be among a language's first; the others never meet in a task
     ids = keyed.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     reach = ids.groupBy("lang").agg((F.lit(3.0 * per_language + 100) / F.count("*")).alias("reach"))
-    near = ids.join(reach, "lang").where(F.shiftrightunsigned("h", 11) * 2.0**-53 < F.col("reach"))
+    near = ids.join(broadcast_if_small(checkpoint(reach)), "lang").where(F.shiftrightunsigned("h", 11) * 2.0**-53 < F.col("reach"))
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 11), "doc_id"))).where(F.col("rank") <= per_language)
     chosen = ranked.orderBy("rank", "lang").limit(rows).select("doc_id", "lang").distinct()
     return [(r["text"] or "", r["lang"]) for r in texts_of(keyed, chosen, ["lang"], rows)]

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import broadcast_if_small as _sent
 from .common import checkpoint, pick
 
 #: Blocks of all sources together, about, and of one source at most.
@@ -28,8 +29,6 @@ BLOCKS, BLOCKS_OF_SOURCE = 65_536, 1_024
 SECTIONS, ROUNDS = 32, 5
 #: Slices of the order of a block on the edge, as bits.
 SLICE_BITS = 10
-#: Rows of a plan table that are broadcast at most (some 10 MB); beyond, it is joined by shuffle.
-BROADCAST_ROWS = 200_000
 SEED = 9
 PASS, ORDER = "pass", "place"
 
@@ -48,11 +47,6 @@ class Target:
     keep_all: bool = False
 
 
-def _sent(small: DataFrame) -> DataFrame:
-    """A materialised table, broadcast if its counted rows are few: the documents then stay where they are."""
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
-
-
 def token_count(text: Column) -> Column:
     """Words between white space; 0 for null."""
     return F.coalesce(F.size(F.filter(F.split(text, "[ \t\n\r\f\\x0B]+"), lambda w: w != "")), F.lit(0)).cast("long")
