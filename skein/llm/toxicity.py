@@ -1,8 +1,8 @@
 """Toxicity scores by FTRL-proximal logistic regression on hashed word n-grams and skip-grams.
 
-A text's features are the distinct words, pairs of neighbours, and pairs with
-one word between them, hashed into BITS bits. Each coordinate has its
-own learning rate; the L1 term keeps most weights at exactly zero, so that the
+A text's features are the distinct words, the stems of longer words, pairs of
+neighbours, and pairs with one word between them, hashed into BITS bits. Each
+coordinate has its own learning rate; the L1 term keeps most weights at exactly zero, so that the
 model travels as a short sorted table of (index, weight).
 """
 
@@ -23,14 +23,17 @@ BITS = 20
 #: Labelled rows that training reads at most.
 SAMPLE_ROWS = 12_000
 FOLDS, HELD_OUT = 5, 0
+#: Letters of a stem.
+STEM = 6
 _WORD = re.compile(r"\w+")
 _HASH = WordHasher()
 
 
 def features(text: str | None, bits: int = BITS) -> np.ndarray:
     """Feature indices of a whole text, with repeats."""
-    h = _HASH(_WORD.findall((text or "").lower()))
-    parts = [mix(h)]
+    words = _WORD.findall((text or "").lower())
+    h = _HASH(words)
+    parts = [mix(h), mix(_HASH([w[:STEM] for w in words if len(w) > STEM]) ^ np.uint64(STEM))]
     for gap in (1, 2):  # 1: neighbours, 2: skip-grams
         if len(h) > gap:
             parts.append(mix(h[:-gap] * np.uint64(2 * gap + 1) + (h[gap:] ^ np.uint64(gap))))
