@@ -380,7 +380,7 @@ def test_language_stage_keeps_what_is_wanted(spark, sf_dir, monkeypatch):
 
 def test_stages_take_odd_tables(spark, sf_dir):
     docs = odd(spark).withColumn("n_chars", F.lit(1).cast("long"))
-    texts = lambda d: sorted((r["text"] or "") for r in d.select("text").collect())
+    texts = lambda d: sorted((r["text"] or "") for r in d.collect())
     own = sorted((t or "") for _, t in ODD)
     want = {  # of rows without an id all stay; equal texts with ids are one
         "language identification": sorted(t for _, t in ODD if t and any(map(str.isalpha, t))), "toxicity": own,
