@@ -46,8 +46,8 @@ class Engine:
     def now(self) -> str:
         return dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
 
-    def reindex(self, full: bool = False) -> tuple[int, int]:
-        return self.store.reindex(self.config.all_roots(), self.config.codex_home, full)
+    def reindex(self, full: bool = False, progress=None) -> tuple[int, int]:
+        return self.store.reindex(self.config.all_roots(), self.config.codex_home, full, progress)
 
     def list_recent(self, f: Filters) -> DataFrame:
         return search.list_recent(self.store.table("sessions"), f)
@@ -65,9 +65,7 @@ class Engine:
         return search.parse_warnings(self.store.table("sessions")).first()["n"]
 
     def export(self, value: str, form: str = "markdown") -> str:
-        shape = render.exported(form)
-        session = self.resolve(value)
-        return self.store.rows().where(F.col("id") == session["id"]).select(shape.alias("t")).first()["t"]
+        return self._shown(value, render.exported(form))
 
     def health(self) -> DataFrame:
         """provider, binary_found, roots, discovered_files, sessions, sample_resume."""
@@ -89,7 +87,7 @@ class Engine:
 
     def resume_command(self, value: str) -> str:
         command, cwd = self.resume_plan(self.resolve(value))
-        line = " ".join(command)
+        line = render.command_line(command)
         return f"cd {shlex.quote(cwd)} && {line}" if cwd else line
 
     def preview(self, value: str) -> str:
@@ -99,23 +97,23 @@ class Engine:
 
     def search_text(self, query: str, f: Filters, repo: str | None = None) -> str:
         title = F.coalesce(text.truncated(F.col("title"), 120), F.lit("(untitled)"))
-        line = F.format_string("## %s [%s] (score: %d)\n- ID: %s\n- Provider: %s\n- CWD: %s\n- Updated: %s\n- Match: %s — %s\n\n", title, "provider", "score", "id", "provider", F.coalesce("cwd", F.lit("-")), _minute(), "match_source", "match_snippet")
+        line = F.format_string("## %s [%s] (score: %d)\n- ID: %s\n- Provider: %s\n- CWD: %s\n- Updated: %s\n- Match: %s — %s\n\n", title, "provider", "score", "id", "provider", F.coalesce("cwd", F.lit("-")), render.minute(F.col("updated_at")), "match_source", "match_snippet")
         rows = self.search(query, f, repo).select(line.alias("t")).collect()
         return "".join(r["t"] for r in rows) or "No sessions found matching the query."
 
     def list_text(self, f: Filters) -> str:
         title = F.coalesce(text.truncated(F.col("title"), 120), F.lit("(untitled)"))
-        line = F.format_string("- **%s** [%s] — %s | CWD: %s | ID: %s\n", title, "provider", _minute(), F.coalesce("cwd", F.lit("-")), "id")
+        line = F.format_string("- **%s** [%s] — %s | CWD: %s | ID: %s\n", title, "provider", render.minute(F.col("updated_at")), F.coalesce("cwd", F.lit("-")), "id")
         rows = self.list_recent(f).select(line.alias("t")).collect()
         return "".join(r["t"] for r in rows) or "No sessions found."
 
-    def session_text(self, value: str, max_lines: int | None = None) -> str:
-        s = self.resolve(value)
-        body = s["transcript_text"] if max_lines is None else "\n".join(udfs._lines(s["transcript_text"])[:max_lines])
-        updated = s["updated_at"].strftime("%Y-%m-%d %H:%M") if s["updated_at"] else "-"
-        facts = [("ID", s["id"]), ("Provider", s["provider"]), ("Provider Session ID", s["provider_session_id"]), ("CWD", s["cwd"] or "-"), ("Updated", updated), ("Messages", s["message_count"] or 0)]
-        return f"# {s['title'] or '(untitled)'}\n\n" + "".join(f"- {k}: {v}\n" for k, v in facts) + f"\n## Transcript\n\n{body}"
+    def _shown(self, value: str, shape) -> str:
+        """What shape gives for the one session that value names."""
+        session = self.resolve(value)
+        return self.store.rows().where(F.col("id") == session["id"]).select(shape.alias("t")).first()["t"]
 
+    def session_text(self, value: str, max_lines: int | None = None) -> str:
+        return self._shown(value, render.session_text(max_lines))
 
-def _minute():
-    return F.coalesce(F.date_format("updated_at", "yyyy-MM-dd HH:mm"), F.lit("-"))
+    def detail_text(self, value: str) -> str:
+        return self._shown(value, render.detail_text())

@@ -16,6 +16,10 @@ from .schema import Filters, provider
 from .sources.config import Config, expand
 
 
+#: Files from which a refresh reports its progress.
+LONG = 20
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="skein")
     p.add_argument("--config")
@@ -59,12 +63,18 @@ def paths_text(config: Config) -> str:
     return "\n".join(f"{k}: {v}" for k, v in [*lines, ("Codex metadata home", config.codex_home)])
 
 
+def progress(seen: int, updated: int) -> None:
+    """Says on standard error how far a long refresh is."""
+    if seen >= LONG and updated:
+        print(f"indexing: {updated} of {seen} files", file=sys.stderr)
+
+
 def run(args: argparse.Namespace, engine: Engine) -> str:
     """Runs a command and returns what it prints."""
     if args.command == "paths":
         return paths_text(engine.config)
     if args.command == "reindex":
-        seen, updated = engine.reindex(args.full)
+        seen, updated = engine.reindex(args.full, progress)
         return f"{seen} files seen, {updated} indexed"
     engine.reindex()
     as_of = text.as_timestamp(engine.now())
@@ -75,8 +85,7 @@ def run(args: argparse.Namespace, engine: Engine) -> str:
         hits = engine.search(args.query, filters(args, engine.config), current_repo(engine.config))
         return "\n".join(r["t"] for r in hits.select(render.hit_text(as_of, args.query).alias("t")).collect()) or "no sessions found"
     if args.command == "show":
-        s = engine.resolve(args.id)
-        return s["transcript_text"] if args.raw else render.detail_text(s)
+        return engine.resolve(args.id)["transcript_text"] if args.raw else engine.detail_text(args.id)
     if args.command == "preview":
         return engine.preview(args.id)
     if args.command == "export":
@@ -95,7 +104,7 @@ def run(args: argparse.Namespace, engine: Engine) -> str:
             )
         return "\n".join(out)
     command, cwd = engine.resume_plan(engine.resolve(args.id))
-    shown = (f"cd {shlex.quote(cwd)} && " if cwd else "") + " ".join(command)
+    shown = (f"cd {shlex.quote(cwd)} && " if cwd else "") + render.command_line(command)
     if args.dry_run:
         return shown
     if args.yes or input(f"Run {shown}? [y/N]: ").strip().lower() in ("y", "yes"):

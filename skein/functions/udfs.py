@@ -177,6 +177,13 @@ def json_line(line: str):
         return None
 
 
+def tagged(body: str | None, tag: str) -> str | None:
+    """What the first <tag> and the first </tag> after it hold, without white space around."""
+    _, opened, rest = (body or "").partition(f"<{tag}>")
+    inner, closed, _ = rest.partition(f"</{tag}>")
+    return inner.strip() if opened and closed else None
+
+
 def _on_texts(f, kind):
     @F.arrow_udf(kind)
     def run(values: pa.Array) -> pa.Array:
@@ -197,6 +204,10 @@ def fuzzy(c: Column, query: str) -> Column:
     return _on_texts(functools.partial(fuzzy_score, pattern=query), "long")(c)
 
 
+def between_tags(c: Column, tag: str) -> Column:
+    return _on_texts(functools.partial(tagged, tag=tag), "string")(c)
+
+
 def turns(c: Column) -> Column:
     @F.arrow_udf("array<struct<role:string,body:string>>")
     def run(values: pa.Array) -> pa.Array:

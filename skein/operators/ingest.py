@@ -46,19 +46,12 @@ def codex_line(v) -> dict:
     return {}
 
 
-def tagged(body: str, tag: str) -> str | None:
-    """What the first <tag> and the first </tag> after it hold, without white space around."""
-    _, opened, rest = body.partition(f"<{tag}>")
-    inner, closed, _ = rest.partition(f"</{tag}>")
-    return inner.strip() if opened and closed else None
-
-
 def cursor_text(v) -> str:
     content = _get(v, "message", "content")
     if isinstance(content, list):
         content = "\n".join(x["text"] for x in content if _get(x, "type") == "text" and isinstance(_get(x, "text"), str))
     body = _string(content) or ""
-    inner = tagged(body, "user_query")
+    inner = udfs.tagged(body, "user_query")
     return (body if inner is None else inner).strip()
 
 

@@ -31,7 +31,10 @@ def exported(form: str) -> Column:
             "parse_version raw_metadata_json parse_warning discovery_source transcript_text".split()
         )
         zulu = lambda n: F.regexp_replace(rfc3339(F.col(n)), r"\+00:00$", "Z")
-        return F.to_json(F.struct(*[(zulu(n) if n in times else F.col(n)).alias(n) for n in names]), {"ignoreNullFields": "false", "pretty": "true"})
+        quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+        value = lambda n: F.col(n).cast("string") if n == "message_count" else quoted(zulu(n) if n in times else F.col(n))
+        lines = [F.concat(F.lit(f'  "{n}": '), F.when(F.col(n).isNull(), "null").otherwise(value(n))) for n in names]
+        return F.concat(F.lit("{\n"), F.concat_ws(",\n", *lines), F.lit("\n}"))
     raise ValueError(f"unsupported export format: {form}")
 
 
@@ -59,14 +62,34 @@ def hit_text(as_of: Column, query: str) -> Column:
     return F.concat(head, rest, F.coalesce(F.concat(F.lit("\n  warning="), "parse_warning"), F.lit("")))
 
 
-def detail_text(s) -> str:
-    """All fields of one collected session, a line each."""
-    when = lambda t: t.strftime("%Y-%m-%dT%H:%M:%S.%f").rstrip("0").rstrip(".") + "+00:00" if t else "-"
-    lines = [
-        ("ID", s["id"]), ("Provider", s["provider"]), ("Provider Session ID", s["provider_session_id"]), ("Title", s["title"] or "-"), ("Summary", s["summary"] or "-"),
-        ("CWD", s["cwd"] or "-"), ("Repo Root", s["repo_root"] or "-"), ("Created", when(s["created_at"])), ("Updated", when(s["updated_at"])),
-        ("Messages", s["message_count"] or 0), ("Source Path", s["source_path"]), ("Discovery", s["discovery_source"]),
+def detail_text() -> Column:
+    """All fields of a session, a line each."""
+    dash = lambda c: F.coalesce(c, F.lit("-"))
+    fields = [
+        ("ID", F.col("id")), ("Provider", F.col("provider")), ("Provider Session ID", F.col("provider_session_id")), ("Title", dash(F.col("title"))), ("Summary", dash(F.col("summary"))),
+        ("CWD", dash(F.col("cwd"))), ("Repo Root", dash(F.col("repo_root"))), ("Created", dash(rfc3339(F.col("created_at")))), ("Updated", dash(rfc3339(F.col("updated_at")))),
+        ("Messages", F.coalesce(F.col("message_count"), F.lit(0)).cast("string")), ("Source Path", F.col("source_path")), ("Discovery", F.col("discovery_source")),
     ]
-    if s["parse_warning"]:
-        lines.append(("Parse Warning", s["parse_warning"]))
-    return "\n".join(f"{k}: {v}" for k, v in lines)
+    warning = F.when(F.col("parse_warning") != "", F.concat(F.lit("\nParse Warning: "), "parse_warning"))
+    return F.concat(F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), v) for k, v in fields]), F.coalesce(warning, F.lit("")))
+
+
+def session_text(max_lines: int | None = None) -> Column:
+    """Facts and transcript of a session."""
+    body = F.col("transcript_text") if max_lines is None else text.first_lines(F.col("transcript_text"), max_lines)
+    facts = [
+        ("ID", F.col("id")), ("Provider", F.col("provider")), ("Provider Session ID", F.col("provider_session_id")), ("CWD", F.coalesce("cwd", F.lit("-"))),
+        ("Updated", minute(F.col("updated_at"))), ("Messages", F.coalesce(F.col("message_count"), F.lit(0)).cast("string")),
+    ]
+    listed = [F.concat(F.lit(f"- {k}: "), v, F.lit("\n")) for k, v in facts]
+    return F.concat(F.lit("# "), F.coalesce("title", F.lit("(untitled)")), F.lit("\n\n"), *listed, F.lit("\n## Transcript\n\n"), body)
+
+
+def minute(c: Column) -> Column:
+    return F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm"), F.lit("-"))
+
+
+def command_line(parts: list[str]) -> str:
+    """Words of a command, those with a space in quotation marks."""
+    quoted = lambda w: '"' + w.replace("\\", "\\\\").replace('"', '\\"') + '"'
+    return " ".join(quoted(w) if " " in w else w for w in parts)

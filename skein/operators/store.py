@@ -1,27 +1,34 @@
-"""The index on disk: Parquet snapshots, swapped by renaming a pointer file.
-
-A snapshot holds sessions, transcripts (the fat column on its own), files_seen
-and the full-text tables. A refresh reads only files whose time or size
-changed, merges them over the old rows and writes the next snapshot; readers
-keep theirs until the pointer moves, and the one before stays until the next.
+"""The index on disk: Parquet tables in layers, and a manifest that names them.
+
+A layer holds rows of sessions, transcripts (the fat column on its own),
+files_seen and the full-text tables. A refresh reads only files whose time or
+size changed and writes their rows as one more layer, so its cost follows what
+changed; a reader lays later layers over earlier ones by key. After MAX_LAYERS
+the layers are written as one. The manifest is replaced last and by a rename,
+so readers keep theirs until it moves; layers that no manifest of the last two
+names are deleted. Paths are those of any store that Spark can write.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import os
-import shutil
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..sources import files as source
+from ..sources import fs
 from . import fts, ingest
 
 TABLES = {"sessions": schema.SESSIONS, "transcripts": schema.TRANSCRIPTS, "files_seen": schema.FILES_SEEN}
 KEYS = {"sessions": ["id"], "transcripts": ["session_id"], "files_seen": ["provider", "source_path"]}
-POINTER = "current"
+MANIFEST = "manifest.json"
+MAX_LAYERS = 8
 
 
 def changed_files(found: DataFrame, seen: DataFrame) -> DataFrame:
@@ -30,86 +37,96 @@ def changed_files(found: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def latest(rows: DataFrame, keys: list[str], *order) -> DataFrame:
-    """Of rows with equal keys the last one."""
+    """Of rows with equal keys the first in order."""
     last = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
 def merged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """new over old by keys; rows of old that new does not name stay."""
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*old.columns))
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new.select(*old.columns))
 
 
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        os.makedirs(path, exist_ok=True)
 
-    def version(self) -> int:
-        try:
-            with open(os.path.join(self.path, POINTER)) as f:
-                return int(f.read())
-        except (OSError, ValueError):
-            return 0
+    def _manifest(self) -> dict:
+        """{"next": number of the next layer, "layers": [names], "before": [names of the one before]}."""
+        found = fs.read_text(self.spark, os.path.join(self.path, MANIFEST))
+        return json.loads(found) if found else {"next": 1, "layers": [], "before": []}
 
-    def _dir(self, version: int, table: str) -> str:
-        return os.path.join(self.path, f"v{version}", table)
+    def _part(self, layer: str, table: str) -> DataFrame:
+        return self.spark.read.parquet(os.path.join(self.path, layer, table))
 
-    def table(self, name: str) -> DataFrame:
-        version = self.version()
-        if version == 0:
+    def table(self, name: str, layers: list[str] | None = None) -> DataFrame:
+        parts = [self._part(layer, name) for layer in (self._manifest()["layers"] if layers is None else layers)]
+        if not parts:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.parquet(self._dir(version, name))
+        return functools.reduce(lambda old, new: merged(old, new, KEYS[name]), parts)
 
-    def index(self) -> tuple[DataFrame, DataFrame]:
-        """Postings and lengths of the full text."""
-        version = self.version()
-        if version == 0:
+    def index(self, layers: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+        """Postings and lengths of the full text. A layer replaces all terms of its sessions."""
+        layers = self._manifest()["layers"] if layers is None else layers
+        if not layers:
             empty = self.rows()
             return fts.postings(empty), fts.lengths(empty)
-        return self.spark.read.parquet(self._dir(version, "postings")), self.spark.read.parquet(self._dir(version, "lengths"))
-
-    def rows(self) -> DataFrame:
-        return self.table("sessions").join(self.table("transcripts").withColumnRenamed("session_id", "id"), "id", "left").withColumn("transcript_text", F.coalesce("transcript_text", F.lit("")))
+        out = []
+        for name in ("postings", "lengths"):
+            now = self._part(layers[0], name)
+            for layer in layers[1:]:
+                now = now.join(self._part(layer, "lengths").select("id"), "id", "left_anti").unionByName(self._part(layer, name).select(*now.columns))
+            out.append(now)
+        return out[0], out[1]
+
+    def rows(self, layers: list[str] | None = None) -> DataFrame:
+        transcripts = self.table("transcripts", layers).withColumnRenamed("session_id", "id")
+        return self.table("sessions", layers).join(transcripts, "id", "left").withColumn("transcript_text", F.coalesce("transcript_text", F.lit("")))
 
     def clear(self) -> None:
-        self._publish({n: self.spark.createDataFrame([], s) for n, s in TABLES.items()}, None)
+        self._publish({n: self.spark.createDataFrame([], s) for n, s in TABLES.items()}, alone=True)
 
-    def _publish(self, tables: dict[str, DataFrame], changed: DataFrame | None) -> None:
-        """Write the next snapshot; of the full text only the changed sessions are indexed anew."""
-        now = self.version()
-        then = now + 1
-        shutil.rmtree(os.path.join(self.path, f"v{then}"), ignore_errors=True)
+    def _write(self, layer: str, tables: dict[str, DataFrame], index: tuple[DataFrame, DataFrame] | None = None) -> None:
+        at = lambda name: os.path.join(self.path, layer, name)
         for name, rows in tables.items():
             if name == "sessions":
-                rows = rows.repartition("provider").sortWithinPartitions("provider", F.desc("updated_at"))
-            rows.write.parquet(self._dir(then, name))
-        sessions, transcripts = (self.spark.read.parquet(self._dir(then, n)) for n in ("sessions", "transcripts"))
-        full = sessions.join(transcripts.withColumnRenamed("session_id", "id"), "id", "left")
-        if changed is None or now == 0:
-            postings, lengths = fts.postings(full), fts.lengths(full)
-        else:
-            fresh = full.join(changed.select("id"), "id", "left_semi")
-            postings, lengths = (old.join(changed.select("id"), "id", "left_anti").unionByName(new) for old, new in zip(self.index(), (fts.postings(fresh), fts.lengths(fresh))))
-        postings.repartition("term").sortWithinPartitions("term", "id").write.parquet(self._dir(then, "postings"))
-        lengths.write.parquet(self._dir(then, "lengths"))
-        temporary = os.path.join(self.path, f".{POINTER}.new")
-        with open(temporary, "w") as f:
-            f.write(str(then))
-        os.replace(temporary, os.path.join(self.path, POINTER))
-        shutil.rmtree(os.path.join(self.path, f"v{then - 2}"), ignore_errors=True)
-
-    def reindex(self, roots: list[tuple[str, str]], codex_home: str = "", full: bool = False, **lookups) -> tuple[int, int]:
-        """(files found, files read). Sessions of deleted files stay until a full refresh. Where
-        files claim one session id, the one discovered last (by path) counts."""
-        if full:
-            self.clear()
+                rows = rows.repartitionByRange("provider", "updated_at").sortWithinPartitions("provider", F.desc("updated_at"))
+            rows.write.mode("overwrite").parquet(at(name))
+        full = self.rows([layer])
+        postings, lengths = index or (fts.postings(full), fts.lengths(full))
+        # ranges of (term, id): a common term is spread over tasks
+        postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(at("postings"))
+        lengths.write.mode("overwrite").parquet(at("lengths"))
+
+    def _publish(self, tables: dict[str, DataFrame], alone: bool = False) -> None:
+        """Write rows as a layer over the others, or alone."""
+        now = self._manifest()
+        layer, following = f"v{now['next']}", now["next"] + 1
+        self._write(layer, tables)
+        layers = [layer] if alone else [*now["layers"], layer]
+        if len(layers) > MAX_LAYERS:
+            whole, following = f"v{following}", following + 1
+            self._write(whole, {n: self.table(n, layers) for n in TABLES}, self.index(layers))
+            fs.delete(self.spark, os.path.join(self.path, layer))
+            layers = [whole]
+        fs.replace_text(self.spark, os.path.join(self.path, MANIFEST), json.dumps({"next": following, "layers": layers, "before": now["layers"]}))
+        for old in set(now["before"]) - set(now["layers"]) - set(layers):
+            fs.delete(self.spark, os.path.join(self.path, old))
+
+    def reindex(self, roots: list[tuple[str, str]], codex_home: str = "", full: bool = False, progress: Callable[[int, int], None] | None = None, **lookups) -> tuple[int, int]:
+        """(files found, files read). Sessions of deleted files stay until a full refresh, which
+        replaces the index only when it is complete. Where files claim one session id, the one
+        discovered last (by path) counts. progress gets (files found, files to read) before
+        they are read and again when the index holds them."""
         found = source.discover(self.spark, roots)
-        changed = changed_files(found, self.table("files_seen")).cache()
+        seen_before = self.spark.createDataFrame([], TABLES["files_seen"]) if full else self.table("files_seen")
+        changed = changed_files(found, seen_before).cache()
         try:
             seen, updated = found.count(), changed.count()
+            if progress:
+                progress(seen, updated)
             if updated == 0:
-                if self.version() == 0:
+                if full or not self._manifest()["layers"]:
                     self.clear()
                 return seen, 0
             contents = source.read_files(changed)
@@ -118,15 +135,18 @@ class Store:
             try:
                 winners = latest(new, ["id"], F.desc("source_path"))
                 at = F.lit(time.strftime("%Y-%m-%d %H:%M:%S", time.gmtime())).cast("timestamp")
-                noted = changed.select("provider", "source_path", "mtime_ns", "size_bytes", at.alias("last_indexed_at"), F.lit(None).cast("string").alias("content_hash"))
-                tables = {
-                    "sessions": merged(self.table("sessions"), winners.select(*schema.SESSIONS.names), KEYS["sessions"]),
-                    "transcripts": merged(self.table("transcripts"), winners.select(F.col("id").alias("session_id"), "transcript_text"), KEYS["transcripts"]),
-                    "files_seen": merged(self.table("files_seen"), noted, KEYS["files_seen"]),
-                }
-                self._publish(tables, winners)
+                self._publish(
+                    {
+                        "sessions": winners.select(*schema.SESSIONS.names),
+                        "transcripts": winners.select(F.col("id").alias("session_id"), "transcript_text"),
+                        "files_seen": changed.select("provider", "source_path", "mtime_ns", "size_bytes", at.alias("last_indexed_at"), F.lit(None).cast("string").alias("content_hash")),
+                    },
+                    alone=full,
+                )
             finally:
                 new.unpersist()
+            if progress:
+                progress(seen, updated)
             return seen, updated
         finally:
             changed.unpersist()

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, udfs
-from ..operators import fts, render, search
+from ..operators import fts, ingest, render, search, store
 from ..schema import Filters
-from . import views
+from ..sources import files
+from . import transcripts, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -20,6 +21,8 @@ LISTED = ("id", "provider", "title", "summary", "cwd", "repo_root", "created_at"
 SINCE = "2023-12-20 00:00:00"
 #: A phrase and words for search, each in a minority of the sessions.
 QUERY, RARE, NOTHING = "und der", "thering keit", "zzqxj wvvk"
+#: Words that many sessions hold.
+COMMON = "the en"
 SESSION_FIELDS = ("title", "summary", "preview_text", "transcript_text")
 
 
@@ -190,12 +193,19 @@ def fts_bm25_topk(spark, d):
     return fts.top(fts.postings(s, SESSION_FIELDS), fts.lengths(s, SESSION_FIELDS), RARE, 30)
 
 
+def _two_phase_sql(q: str, limit: int, base: str = "sessions", more: str = "") -> str:
+    """Candidates of the index, or all of base if it has none, ranked."""
+    pool = f", pool as (select * from {base} where id in (select id from top) or not exists (select 1 from top))"
+    return _sessions_sql(_TOP + str(limit), more + ", " + _bm25_sql(base, "id", SESSION_FIELDS, q.split(), limit * search.CANDIDATES) + pool + _rank_sql(q, base="pool"))
+
+
 _QUERIES["search_two_phase"] = _search(RARE, Filters(limit=5), index=True)
-_SQL["search_two_phase"] = _sessions_sql(_TOP + "5", ", " + _bm25_sql("sessions", "id", SESSION_FIELDS, RARE.split(), 25) + ", pool as (select * from sessions where id in (select id from top))" + _rank_sql(RARE, base="pool"))
+_SQL["search_two_phase"] = _two_phase_sql(RARE, 5)
 _QUERIES["search_fallback"] = _search(NOTHING, Filters(limit=15), index=True)
-_SQL["search_fallback"] = _sessions_sql(_TOP + "15", _rank_sql(NOTHING))
-_QUERIES["search_prefiltered"] = _search(RARE, Filters(provider="claude", limit=4), index=True, prefilter=True)
-_SQL["search_prefiltered"] = _sessions_sql(_TOP + "4", ", base as (select * from sessions where provider = 'claude'), allterms as (select 1), " + _bm25_sql("base", "id", SESSION_FIELDS, RARE.split(), 20) + ", pool as (select * from base where id in (select id from top))" + _rank_sql(RARE, base="pool"))
+_SQL["search_fallback"] = _two_phase_sql(NOTHING, 15)
+for _name, _q in (("search_prefiltered", RARE), ("search_prefiltered_common", COMMON)):
+    _QUERIES[_name] = _search(_q, Filters(provider="claude", limit=4), index=True, prefilter=True)
+    _SQL[_name] = _two_phase_sql(_q, 4, "base", ", base as (select * from sessions where provider = 'claude')")
 
 
 @query(_sessions_sql("select id, provider, title from sessions where id = 'Codex:1' or provider_session_id = 'Codex:1' or lower(id) like 'codex:1%' or lower(provider_session_id) like 'codex:1%'"))
@@ -244,14 +254,22 @@ select f.path_id, f.mtime, f.size from found f where not exists (select 1 from s
 def incremental_anti_join(spark, d):
     log = views.table(spark, d, "events").select(F.col("user_id").alias("path_id"), "event_id", (F.col("value") * 1000).alias("v"))
     size = F.round(F.col("v")).cast("long")
-    state = lambda rows: rows.groupBy("path_id").agg(F.max("event_id").alias("mtime"), F.max_by(size, "event_id").alias("size"))
-    return state(log).join(state(log.where("event_id % 3 <> 0")), ["path_id", "mtime", "size"], "left_anti")
+    state = lambda rows: rows.groupBy(F.lit("claude").alias("provider"), F.col("path_id").alias("source_path")).agg(F.max("event_id").alias("mtime_ns"), F.max_by(size, "event_id").alias("size_bytes"))
+    changed = store.changed_files(state(log), state(log.where("event_id % 3 <> 0")))
+    return changed.select(F.col("source_path").alias("path_id"), F.col("mtime_ns").alias("mtime"), F.col("size_bytes").alias("size"))
 
 
 @query("""select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1""")
 def upsert_latest_wins(spark, d):
-    last = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return views.table(spark, d, "events").withColumn("rn", F.row_number().over(last)).where("rn = 1").select("user_id", "event_id", "event_type")
+    return store.latest(views.table(spark, d, "events"), ["user_id"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_id", "event_type")
+
+
+@query("""with old as (select user_id, max(event_id) as event_id from events where event_id % 3 <> 0 group by 1), new as (select user_id, max(event_id) as event_id from events where event_id % 3 = 0 and user_id % 2 = 0 group by 1)
+select user_id, event_id from new union all select user_id, event_id from old where user_id not in (select user_id from new)""")
+def upsert_merge(spark, d):
+    state = lambda rows: rows.groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+    events = views.table(spark, d, "events")
+    return store.merged(state(events.where("event_id % 3 <> 0")), state(events.where("event_id % 3 = 0 and user_id % 2 = 0")), ["user_id"])
 
 
 @query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
@@ -279,17 +297,156 @@ def resume_command(spark, d):
     return views.sessions(spark, d).select("id", render.resume_command().alias("command"))
 
 
-@query()
+_JSON_FIELDS = sorted("id provider provider_session_id title summary cwd repo_root created_at updated_at last_message_at preview_text source_path message_count parse_version raw_metadata_json parse_warning discovery_source transcript_text".split())
+_ZULU = "strftime({0}, '%Y-%m-%dT%H:%M:%S') || case when microsecond({0}) % 1000000 = 0 then '' else '.' || lpad(cast(microsecond({0}) % 1000000 as varchar), 6, '0') end || 'Z'"
+_OWN_JSON = {"last_message_at": "updated_at", "source_path": "'/s/' || id", "parse_version": "provider || '-v1'", "raw_metadata_json": "null", "discovery_source": "'jsonl'"}
+
+
+def _json_value(name: str) -> str:
+    value = _OWN_JSON.get(name, name)
+    if name == "message_count":
+        return "cast(message_count as varchar)"
+    return f"cast(to_json({_ZULU.format(value) if name.endswith('_at') else f'cast({value} as varchar)'}) as varchar)"
+
+
+@query(_sessions_sql("select id, '{' || chr(10) || " + " || ',' || chr(10) || ".join(f"""'  "{n}": ' || coalesce({_json_value(n)}, 'null')""" for n in _JSON_FIELDS) + " || chr(10) || '}' as exported from sessions"))
+def export_json(spark, d):
+    rows = views.sessions(spark, d).withColumn("last_message_at", F.col("updated_at")).withColumn("source_path", F.concat(F.lit("/s/"), "id")).withColumn("parse_version", F.concat("provider", F.lit("-v1")))
+    rows = rows.withColumn("raw_metadata_json", F.lit(None).cast("string")).withColumn("discovery_source", F.lit("jsonl"))
+    return rows.select("id", render.exported("json").alias("exported"))
+
+
+_STAMP = "coalesce(strftime(updated_at, '%Y-%m-%d %H:%M'), '-')"
+
+
+@query(_sessions_sql(f"""select id, '# ' || coalesce(title, '(untitled)') || chr(10) || chr(10) || '- ID: ' || id || chr(10) || '- Provider: ' || provider || chr(10) || '- Provider Session ID: ' || provider_session_id || chr(10) || '- CWD: ' || coalesce(cwd, '-') || chr(10)
+ || '- Updated: ' || {_STAMP} || chr(10) || '- Messages: ' || message_count || chr(10) || chr(10) || '## Transcript' || chr(10) || chr(10) || array_to_string(list_slice(string_split(transcript_text, chr(10)), 1, 3), chr(10)) as shown from sessions"""))
+def session_text(spark, d):
+    return views.sessions(spark, d).select("id", render.session_text(3).alias("shown"))
+
+
+_RFC = _ZULU.replace("'Z'", "'+00:00'")
+
+
+@query(_sessions_sql("select id, " + " || chr(10) || ".join(f"'{k}: ' || coalesce({v}, '-')" for k, v in (
+    ("ID", "id"), ("Provider", "provider"), ("Provider Session ID", "provider_session_id"), ("Title", "title"), ("Summary", "summary"), ("CWD", "cwd"), ("Repo Root", "repo_root"),
+    ("Created", _RFC.format("created_at")), ("Updated", _RFC.format("updated_at")), ("Messages", "cast(message_count as varchar)"), ("Source Path", "'/s'"), ("Discovery", "'jsonl'"),
+)) + " || case when parse_warning <> '' then chr(10) || 'Parse Warning: ' || parse_warning else '' end as shown from sessions"))
+def session_detail(spark, d):
+    rows = views.sessions(spark, d).withColumn("source_path", F.lit("/s")).withColumn("discovery_source", F.lit("jsonl"))
+    return rows.select("id", render.detail_text().alias("shown"))
+
+
+_HEAD_SQL = """case when body = '' then '(empty)' when len(string_split(body, chr(10))) <= n then body else array_to_string(list_slice(string_split(body, chr(10)), 1, n), chr(10)) || chr(10) || '  […]' end"""
+
+
+@query(f"""with {views.MESSAGES_SQL}, numbered as (select session_id as id, role, row_number() over (partition by session_id order by seq) as k, regexp_replace(regexp_replace(text, '^\\n+', ''), '[\\s]+$', '') as body from messages),
+ends as (select id, min(k) filter (role = 'user') as fu, min(k) filter (role = 'assistant') as fa, max(k) filter (role = 'user') as lu, max(k) filter (role = 'assistant') as la, count(*) as turns from numbered group by id),
+picks as (select id, turns, fu as k, 'First prompt' as label, 8 as n from ends where fu is not null union all select id, turns, fa, 'First reply', 4 from ends where fa is not null
+  union all select id, turns, lu, 'Final prompt', 8 from ends where lu <> fu union all select id, turns, la, 'Final reply', 14 from ends where la <> fa),
+placed as (select *, k - lag(k) over (partition by id order by k) - 1 as gap from picks join numbered using (id, k)),
+parts as (select id, k, turns, case when gap > 0 then '⋯ ' || gap || ' more turn' || case when gap = 1 then '' else 's' end || ' hidden ⋯' || chr(10) || chr(10) else '' end || '── ' || label || ' ──' || chr(10) || chr(10) || {_HEAD_SQL} as part from placed)
+select id, string_agg(part, chr(10) || chr(10) order by k) || chr(10) || chr(10) || '(' || any_value(turns) || ' turn' || case when any_value(turns) = 1 then '' else 's' end || ' total)' as summary from parts group by id""")
 def transcript_summary(spark, d):
-    """Turns of each transcript and its short form (tests hold it against a model)."""
+    """First and final prompt and reply of each transcript."""
     return views.sessions(spark, d).select("id", udfs.summary("transcript_text").alias("summary"))
 
 
-@query()
+@query(f"""with {views.MESSAGES_SQL} select session_id as id, row_number() over (partition by session_id order by seq) - 1 as place, role, regexp_replace(regexp_replace(text, '^\\n+', ''), '\\n+$', '') as body from messages""")
+def transcript_turns(spark, d):
+    """The turns that a transcript is parsed back into."""
+    return views.sessions(spark, d).select("id", F.posexplode(udfs.turns(F.col("transcript_text"))).alias("place", "turn")).select("id", "place", "turn.role", "turn.body")
+
+
+def _snippet_sql(q: str, n: int) -> str:
+    """The surroundings of the query or of its first word that occurs, by bytes of whole characters."""
+    w = "trim(regexp_replace(transcript_text, '[\\s\\x{85}\\p{Z}]+', ' ', 'g'))"
+    keys = list(dict.fromkeys([q.lower(), *q.lower().split()]))
+    key = "case " + " ".join(f"when contains(low, '{k}') then '{k}'" for k in keys) + " end"
+    cut = f"left(w, cast(list_max(list_filter(range(0, {n - 2}), lambda i: strlen(left(w, cast(i as int))) <= {n - 3})) as int))"
+    head = f"list_max(list_filter(range(greatest(pos - {n // 2} - 1, 0), pos), lambda i: strlen(left(w, cast(i as int))) <= greatest(0, ahead - {n // 2})))"
+    tail = f"list_min(list_filter(range(pos - 1, pos + length(key) + {n // 2} + 1), lambda i: strlen(left(w, cast(i as int))) >= least(strlen(w), ahead + strlen(key) + {n // 2})))"
+    return f""", body as (select id, {w} as w, {views.ASCII.format(w)} as low from sessions), keyed as (select *, {key} as key from body),
+placed as (select *, cast(strpos(low, key) as bigint) as pos, strlen(left(low, cast(strpos(low, key) - 1 as int))) as ahead from keyed),
+cut as (select *, case when key is not null then {head} end as a, case when key is not null then {tail} end as b from placed)
+select id, case when w = '' then '(no snippet available)' when key is null then case when strlen(w) <= {n} then w else {cut} || '...' end
+ else case when a > 0 then '...' else '' end || substring(w, cast(a + 1 as int), cast(b - a as int)) || case when b < length(w) then '...' else '' end end as snippet from cut"""
+
+
+@query(f"with {views.SESSIONS_SQL}" + _snippet_sql(QUERY, 160))
 def match_snippet(spark, d):
     return views.sessions(spark, d).select("id", udfs.snippet(F.col("transcript_text"), QUERY).alias("snippet"))
 
 
+_FOLDED = ("first_at", "last_at", "first_user", "last_user", "message_count", "line_count", "transcript_text")
+
+
+def _parsed(provider: str) -> Query:
+    """What the line loop and the folds of one provider make of its files."""
+
+    def run(spark, d):
+        rows = ingest.folded(ingest.messages(ingest.decoded(transcripts.contents(spark, d).where(F.col("provider") == provider))))
+        return rows.select("source_path", *_FOLDED)
+
+    return run
+
+
+for _p in ("claude", "codex", "cursor", "antigravity"):
+    _QUERIES[f"parse_{_p}"] = _parsed(_p)
+    _SQL[f"parse_{_p}"] = f"with {transcripts.LINES_SQL} select {transcripts._PATH} as source_path, {', '.join(_FOLDED)} from files where provider = '{_p}' and conv_id % 15 <> 14"
+
+_INGESTED = ("id", "provider", "provider_session_id", "title", "summary", "cwd", "repo_root", "created_at", "updated_at", "preview_text", "source_path", "message_count", "parse_version", "parse_warning", "discovery_source", "transcript_text")
+
+
+@query(f"with {transcripts.SESSIONS_SQL} select {', '.join(_INGESTED)}, updated_at as last_message_at, line_count from ingested")
+def ingested_sessions(spark, d):
+    """Session files of all providers, some unreadable, with codex's side tables, as sessions."""
+    return transcripts.sessions(spark, d).select(*_INGESTED, "last_message_at", F.get_json_object("raw_metadata_json", "$.line_count").cast("long").alias("line_count"))
+
+
+@query(f"with {transcripts.SESSIONS_SQL} select id, provider, parse_warning from ingested where parse_warning is not null")
+def unreadable_files(spark, d):
+    return transcripts.sessions(spark, d).where(search.matching(Filters(warnings_only=True))).select("id", "provider", "parse_warning")
+
+
+_PATHS = """select event_id, (['claude','codex','cursor','antigravity'])[event_id % 4 + 1] as provider, '/h/' || (['p','memory','subagents','agent-transcripts','agent-transcripts/k/subagents','.system_generated/logs'])[event_id % 6 + 1] || '/'
+ || (['a.jsonl','transcript.jsonl','b.json','.jsonl','c.JSONL','transcript.jsonl.bak','d.txt'])[event_id % 7 + 1] as path from events"""
+
+
+@query(f"""with paths as ({_PATHS}), named as (select *, list_last(string_split(path, '/')) as name, string_split(path, '/') as parts from paths)
+select event_id, coalesce(case provider when 'antigravity' then name = 'transcript.jsonl' else name like '_%.jsonl' and case provider when 'claude' then not list_contains(parts, 'memory') and not list_contains(parts, 'subagents')
+ when 'cursor' then list_contains(parts, 'agent-transcripts') and not list_contains(parts, 'subagents') else true end end, false) as is_session from named""")
+def discovered_paths(spark, d):
+    """Which paths are session files of which provider."""
+    pick = lambda *names: lambda n: F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % n + 1).cast("int"))
+    folder = pick("p", "memory", "subagents", "agent-transcripts", "agent-transcripts/k/subagents", ".system_generated/logs")(6)
+    name = pick("a.jsonl", "transcript.jsonl", "b.json", ".jsonl", "c.JSONL", "transcript.jsonl.bak", "d.txt")(7)
+    path = F.concat(F.lit("/h/"), folder, F.lit("/"), name)
+    return views.table(spark, d, "events").select("event_id", files.is_session(path, views.provider_of(F.col("event_id"))).alias("is_session"))
+
+
+_TIMES = """select event_id, ts, case event_id % 5 when 0 then strftime(ts, '%Y-%m-%dT%H:%M:%SZ') when 1 then strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:00' when 2 then strftime(ts, '%Y-%m-%d') when 3 then strftime(ts, '%Y-%m-%dT%H:%M:%S') else 'x' end as written from events"""
+
+
+@query(f"""with times as ({_TIMES}) select event_id, case event_id % 5 when 0 then date_trunc('second', ts) when 1 then date_trunc('second', ts) - interval 2 hour when 2 then cast(date_trunc('day', ts) as timestamp) end as moment,
+ cast(floor(epoch(ts)) as bigint) as seconds, date_trunc('second', ts) as from_seconds from times""")
+def parsed_times(spark, d):
+    """Times with an offset and dates as moments, others as null; Unix seconds."""
+    ts, k = F.col("ts").cast("timestamp"), F.col("event_id") % 5
+    iso = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    written = F.when(k == 0, F.concat(iso, F.lit("Z"))).when(k == 1, F.concat(iso, F.lit("+02:00"))).when(k == 2, F.date_format(ts, "yyyy-MM-dd")).when(k == 3, iso).otherwise("x")
+    seconds = F.unix_timestamp(ts)
+    return views.table(spark, d, "events").select("event_id", text.moment(written).alias("moment"), seconds.alias("seconds"), F.timestamp_seconds(seconds).alias("from_seconds"))
+
+
+@query("select role || '-' || conv_id as tag, count(*) as n from conversations where contains(text, ' ') group by 1")
+def tagged_counts(spark, d):
+    """Text between tags, as ingestion cuts it out."""
+    own = F.concat(F.lit("a <t> "), "role", F.lit("-"), "conv_id", F.lit(" </t> </t> <t>"))
+    rows = views.table(spark, d, "conversations").where(F.contains("text", F.lit(" ")))
+    return rows.select(udfs.between_tags(own, "t").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
 @query()
 def fuzzy_title(spark, d):
     return views.sessions(spark, d).select("id", udfs.fuzzy(F.col("title"), "undder").alias("fuzzy"))

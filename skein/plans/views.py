@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import ingest
 from ..schema import PROVIDERS
 
 AS_OF = "2024-02-01 00:00:00"
@@ -25,17 +26,22 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", F.concat(provider_of(F.col("conv_id")), F.lit(":"), F.col("conv_id")).alias("session_id"), F.col("turn").alias("seq"), "role", "text")
 
 
-def folds(rows: DataFrame) -> DataFrame:
-    """First and last thing a user said that says something, number of messages, transcript."""
-    says = (F.col("role") == "user") & text.substantive(F.col("text"))
-    line = text.transcript_line(F.col("role"), F.lit(None).cast("timestamp"), F.col("text"))
-    said = F.when(says, F.col("text"))
-    return rows.groupBy("conv_id", "session_id").agg(
-        F.min_by(said, F.when(says, F.col("seq"))).alias("first_user"), F.max_by(said, F.when(says, F.col("seq"))).alias("last_user"), F.count("*").alias("message_count"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("transcript_text"),
+def lines(rows: DataFrame) -> DataFrame:
+    """Messages as the decoded lines that ingestion folds, all of them kept."""
+    null = lambda kind: F.lit(None).cast(kind)
+    return rows.select(
+        provider_of(F.col("conv_id")).alias("provider"), F.col("session_id").alias("source_path"), F.lit(0).cast("long").alias("mtime_ns"), F.lit(0).cast("long").alias("size_bytes"), F.col("seq").alias("line_no"),
+        "session_id", null("string").alias("cwd"), null("string").alias("ts"), null("string").alias("start"), "role", "text", null("boolean").alias("is_meta"), null("string").alias("last_prompt"),
+        null("timestamp").alias("at"), F.lit(True).alias("kept"), null("timestamp").alias("mtime"),
     )
 
 
+def folds(rows: DataFrame) -> DataFrame:
+    """First and last thing a user said, number of messages, transcript: ingestion's folds."""
+    out = ingest.folded(lines(rows))
+    return out.select(F.substring_index("source_path", ":", -1).cast("long").alias("conv_id"), F.col("source_path").alias("session_id"), "first_user", "last_user", "message_count", "transcript_text")
+
+
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All session columns that the queries use, transcript_text among them."""
     f = folds(messages(spark, sf_dir))
@@ -67,8 +73,8 @@ MESSAGES_SQL = """messages as (select conv_id, (['claude','codex','cursor','anti
 
 FOLDS_SQL = f"""{MESSAGES_SQL},
 folds as (select conv_id, session_id,
-  arg_min(text, seq) filter (role = 'user' and {SUBSTANTIVE}) as first_user,
-  arg_max(text, seq) filter (role = 'user' and {SUBSTANTIVE}) as last_user,
+  arg_min(text, seq) filter (role = 'user' and (conv_id % 4 = 1 or {SUBSTANTIVE})) as first_user,
+  arg_max(text, seq) filter (role = 'user' and (conv_id % 4 = 1 or {SUBSTANTIVE})) as last_user,
   count(*) as message_count,
   string_agg('[unknown-time] ' || role || chr(10) || text, chr(10) || chr(10) order by seq) as transcript_text
   from messages group by conv_id, session_id)"""

@@ -26,6 +26,7 @@ class Config:
     codex_home: str = field(default_factory=lambda: expand("~/.codex"))
     default_limit: int = 50
     prefer_current_repo: bool = True
+    preview_lines: int = 12
 
     @staticmethod
     def path() -> Path:
@@ -43,10 +44,11 @@ class Config:
                 own.enabled[p] = section.get("enabled", True)
                 if section.get("paths"):
                     own.roots[p] = [expand(x) for x in section["paths"]]
-        index, search = data.get("index", {}), data.get("search", {})
+        index, search, ui = (data.get(section, {}) for section in ("index", "search", "ui"))
         own.store = expand(index.get("db_path", own.store))
         own.cache = expand(index.get("cache_dir", own.cache))
         own.default_limit = search.get("default_limit", own.default_limit)
+        own.preview_lines = ui.get("preview_lines", own.preview_lines)
         own.prefer_current_repo = search.get("prefer_current_repo", own.prefer_current_repo)
         return own
 

@@ -152,17 +152,21 @@ def repo_root(cwd: str | None) -> str | None:
     return None
 
 
-def workspace(encoded: str | None) -> str | None:
+def workspace(encoded: str | None, top: str = "/Users") -> str | None:
     """The existing directory that a project name with dashes for slashes stands for, more
-    slashes first; None if there is none."""
+    slashes first; None if there is none. Only directories that exist are gone into."""
     parts = (encoded or "").split("-")
     if parts[0] != "Users" or len(parts) < 3:
         return None
-    n = len(parts) - 2  # places where a dash may stay
-    for kept in range(1 << n):
-        path = parts[1]
-        for k, part in enumerate(parts[2:]):
-            path += ("-" if kept >> (n - 1 - k) & 1 else "/") + part
-        if os.path.exists("/Users/" + path):
-            return "/Users/" + path
-    return None
+
+    def below(folder: str, k: int) -> str | None:
+        if k == len(parts):
+            return folder
+        for end in range(k + 1, len(parts) + 1):
+            path = f"{folder}/{'-'.join(parts[k:end])}"
+            if os.path.exists(path) if end == len(parts) else os.path.isdir(path):
+                if found := below(path, end):
+                    return found
+        return None
+
+    return below(top, 1)

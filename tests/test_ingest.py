@@ -10,7 +10,7 @@ import pytest
 
 from skein import cli, rpc
 from skein.api import Engine, parse_since
-from skein.operators import ingest
+from skein.functions import udfs
 from skein.schema import Filters, provider
 from skein.sources import files
 from skein.sources.config import Config
@@ -159,7 +159,7 @@ def test_small_pieces(tmp_path):
     for bad in ("2024", "2024-01-02T00:00:00", "x"):
         with pytest.raises(ValueError):
             parse_since(bad)
-    assert ingest.tagged("a <t> b </t> c", "t") == "b" and ingest.tagged("<t> b", "t") is None and ingest.tagged("</t> <t>", "t") is None
+    assert udfs.tagged("a <t> b </t> c", "t") == "b" and udfs.tagged("<t> b", "t") is None and udfs.tagged("</t> <t>", "t") is None
     assert files.workspace("empty-window") is None and files.workspace("Users-x") is None
     (tmp_path / "r" / ".git").mkdir(parents=True)
     (tmp_path / "r" / "a").mkdir()

@@ -11,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def normal(df):
     df = df[sorted(df.columns)]
-    show = lambda x: "NULL" if x is None or x is pd.NaT or x != x else repr(round(float(x), 9)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    show = lambda x: "NULL" if x is None or x is pd.NaT or x is pd.NA or x != x else repr(round(float(x), 9)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
     return sorted(tuple(map(show, row)) for row in df.astype(object).values.tolist())
 
 
