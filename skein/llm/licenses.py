@@ -309,13 +309,16 @@ def paragraphs_of(text: str | None) -> list[str]:
 def _paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, row, paragraph, words of all paragraphs that may be a license. row tells
     repeated documents apart."""
-    listed = lambda own: F.array(*map(F.lit, own))
-    whole = docs.where(F.col("text").isNotNull()).select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(F.regexp_replace("text", WRAPPED, "$1 "), "\n")).alias("paragraph", "line"))
-    words = F.filter(F.split(F.lower("line"), "[^a-z0-9]+"), lambda w: w != "")
-    found = F.array_intersect(words, listed([w for _, own in evidence() for w in own]))
-    worth = functools.reduce(lambda a, b: a + b, [F.size(F.array_intersect("found", listed(own))) * worth for worth, own in evidence()])
-    some = whole.withColumn("found", found).where(F.size("found") > 0).where(worth >= 1)
-    return some.select("doc_id", "row", "paragraph", words.alias("words"))
+    cut = lambda line: F.split(F.lower(line), "[^a-z0-9]+")
+    listed = [w for _, own in evidence() for w in own]
+    lines = F.split(F.regexp_replace("text", WRAPPED, "$1 "), "\n")
+    # step by step inside one array that is then unfolded: the optimizer copies no step into the next ones
+    found = F.transform(lines, lambda line, k: F.struct(k.alias("paragraph"), line.alias("line"), F.array_distinct(F.filter(cut(line), lambda w: w.isin(listed))).alias("found")))
+    within = lambda own, words: F.size(F.filter(own, lambda w: w.isin(list(words))))
+    worth = lambda own: functools.reduce(lambda a, b: a + b, [within(own, words) * value for value, words in evidence()])
+    kept = F.filter(F.filter(found, lambda x: F.size(x["found"]) > 0), lambda x: worth(x["found"]) >= 1)
+    worded = F.transform(kept, lambda x: F.struct(x["paragraph"].alias("paragraph"), F.filter(cut(x["line"]), lambda w: w != "").alias("words")))
+    return docs.where(F.col("text").isNotNull()).select("doc_id", F.monotonically_increasing_id().alias("row"), F.inline(worded))
 
 
 def _runs(words: Column, n: int) -> Column:
