@@ -201,7 +201,10 @@ def snippet(c: Column, query: str, n: int = 160) -> Column:
 
 
 def fuzzy(c: Column, query: str) -> Column:
-    return _on_texts(functools.partial(fuzzy_score, pattern=query), "long")(c)
+    """fuzzy_score of c; only values that hold the query as a subsequence go through Python."""
+    flags = "(?s)" if any(ch.isupper() for ch in query) else "(?siu)"
+    letters = [re.sub(r"([^\w\s]|_)", r"\\\1", ch) for ch in query]
+    return _on_texts(functools.partial(fuzzy_score, pattern=query), "long")(F.when(c.rlike(flags + ".*".join(letters)), c))
 
 
 def between_tags(c: Column, tag: str) -> Column:

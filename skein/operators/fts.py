@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -76,6 +76,47 @@ def bm25(index: DataFrame, docs: DataFrame, query: str) -> DataFrame:
     return scored.groupBy("id").agg(F.sum(F.col("idf") * tf).alias("bm25"))
 
 
+def scanned(rows: DataFrame, query: str, fields=FIELDS, key: str = "id") -> DataFrame:
+    """(id, bm25) as bm25 gives it, of rows without an index: each text is cut into words once, and
+    only counts of the query's phrases leave it. The counts are dealt by id, so that totals and
+    scores read the same exchange."""
+    wanted = text.query_terms(query)
+    if not wanted:
+        return rows.select(F.col(key).alias("id"), F.lit(0.0).alias("bm25")).limit(0)
+    gap = F.array(F.lit(""))  # no phrase crosses fields
+    words = functools.reduce(lambda a, b: F.concat(a, gap, b), [text.tokens(F.coalesce(F.col(f), F.lit(""))) for f in fields])
+    # unfolded from an array of one, so that the optimizer does not copy the cutting into every count
+    one = rows.select(F.col(key).alias("id"), F.inline(F.array(F.struct(words.alias("words")))))
+    counts = one.select("id", (F.size("words") - (len(fields) - 1)).cast("long").alias("len"), *[_times(F.col("words"), p).alias(f"tf{k}") for k, p in enumerate(wanted)]).repartition("id")
+    stats = counts.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(wanted))])
+    some = counts.where(functools.reduce(lambda a, b: a | b, [F.col(f"tf{k}") > 0 for k in range(len(wanted))])).join(F.broadcast(stats))  # one row of totals
+    score = F.lit(0.0)
+    for k in range(len(wanted)):
+        idf = F.log((F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
+        tf = F.col(f"tf{k}") * (K1 + 1) / (F.col(f"tf{k}") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+        score = score + F.when(F.col(f"tf{k}") > 0, F.when(idf <= 0, 1e-6).otherwise(idf) * tf).otherwise(0.0)
+    return some.select("id", score.alias("bm25"))
+
+
+def _times(words: Column, phrase: list[str]) -> Column:
+    """How often the words hold the phrase."""
+    if len(phrase) == 1:
+        return F.size(F.filter(words, lambda w: w == phrase[0])).cast("long")
+    last = F.size(words) - len(phrase)
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    here = lambda i: functools.reduce(lambda a, b: a & b, [F.get(words, i + k) == p for k, p in enumerate(phrase)])
+    return F.size(F.filter(starts, here)).cast("long")
+
+
 def top(index: DataFrame, docs: DataFrame, query: str, k: int) -> DataFrame:
     """The k best documents of a query: (id, bm25), ties to the smaller id."""
-    return bm25(index, docs, query).withColumn("bm25", F.round("bm25", 6)).orderBy(F.desc("bm25"), "id").limit(k)
+    return _best(bm25(index, docs, query), k)
+
+
+def top_scanned(rows: DataFrame, query: str, k: int, fields=FIELDS, key: str = "id") -> DataFrame:
+    """As top, of rows without an index."""
+    return _best(scanned(rows, query, fields, key), k)
+
+
+def _best(scores: DataFrame, k: int) -> DataFrame:
+    return scores.withColumn("bm25", F.round("bm25", 6)).orderBy(F.desc("bm25"), "id").limit(k)

@@ -39,7 +39,10 @@ def list_recent(sessions: DataFrame, f: Filters) -> DataFrame:
     return sessions.where(matching(f)).orderBy(F.desc_nulls_last("updated_at"), "id").limit(f.limit)
 
 
-def with_transcripts(sessions: DataFrame, transcripts: DataFrame) -> DataFrame:
+def with_transcripts(sessions: DataFrame, transcripts: DataFrame | None) -> DataFrame:
+    """sessions with their transcript_text, unless they have it."""
+    if "transcript_text" in sessions.columns:
+        return sessions
     own = transcripts.select(F.col("session_id").alias("id"), "transcript_text")
     return sessions.join(own, "id", "left").withColumn("transcript_text", F.coalesce("transcript_text", F.lit("")))
 
@@ -88,7 +91,7 @@ def ranked(rows: DataFrame, query: str, as_of, current_repo: str | None = None,
 
 
 def search(
-    sessions: DataFrame, transcripts: DataFrame, query: str, f: Filters, as_of, current_repo: str | None = None, index: tuple[DataFrame, DataFrame] | None = None,
+    sessions: DataFrame, transcripts: DataFrame | None, query: str, f: Filters, as_of, current_repo: str | None = None, index: tuple[DataFrame, DataFrame] | None = None,
     fuzzy: Callable[[Column, str], Column] | None = None, snippet: Callable[[Column, str], Column] | None = None, prefilter: bool = False,
 ) -> DataFrame:
     """The best sessions for a query, best first.
@@ -103,9 +106,8 @@ def search(
         postings, lengths = index
         if prefilter:
             postings, lengths = (d.join(pool.select("id"), "id", "left_semi") for d in index)
-        found = fts.top(postings, lengths, query, f.limit * CANDIDATES).select("id").collect()  # a bounded few
-        if found:
-            pool = pool.join(F.broadcast(sessions.sparkSession.createDataFrame(found, postings.select("id").schema)), "id", "left_semi")
+        found = fts.top(postings, lengths, query, f.limit * CANDIDATES).agg(F.collect_list("id").alias("_found"))  # one row, of a bounded few
+        pool = pool.join(F.broadcast(found)).where((F.size("_found") == 0) | F.array_contains("_found", F.col("id"))).drop("_found")
     hits = ranked(with_transcripts(pool, transcripts), query, as_of, current_repo, fuzzy).where("score > 0")
     top = hits.orderBy(F.desc("score"), F.desc_nulls_last("updated_at"), "id").limit(f.limit)
     return top.withColumn("match_snippet", snippet(F.col("match_value"), query)) if snippet else top

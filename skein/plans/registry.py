@@ -144,8 +144,7 @@ def _search(q: str, f: Filters, repo: str | None = None, index: bool = False, pr
     def run(spark, d):
         s = views.sessions(spark, d)
         built = (fts.postings(s, SESSION_FIELDS), fts.lengths(s, SESSION_FIELDS)) if index else None
-        transcripts = s.select(F.col("id").alias("session_id"), "transcript_text")
-        return search.search(s.drop("transcript_text"), transcripts, q, f, views.AS_OF, repo, built, prefilter=prefilter).select(*HIT)
+        return search.search(s, None, q, f, views.AS_OF, repo, built, prefilter=prefilter).select(*HIT)
 
     return run
 
@@ -235,7 +234,7 @@ def max_lines(spark, d):
 def _ranked_table(name: str, key: str, field: str, q: str, k: int) -> Query:
     def run(spark, d):
         rows = views.table(spark, d, name)
-        return fts.top(fts.postings(rows, (field,), key), fts.lengths(rows, (field,), key), q, k)
+        return fts.top_scanned(rows, q, k, (field,), key)
 
     return run
 

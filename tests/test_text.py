@@ -28,13 +28,14 @@ def test_truncate_model_keeps_whole_characters(value, n):
 
 
 def test_preview(spark):
-    short, long = column(spark, [" \t", "a " * 100], text.preview)
-    assert short == "(no preview available)" and len(long.encode()) <= 140
+    blank, short, cut, whole = column(spark, ["\u00a0\n", "  kept as\tit is ", "ü" * 71, "ü" * 70], text.preview)
+    assert blank == "(no preview available)" and short == "kept as it is"
+    assert cut == "ü" * 68 + "..." and whole == "ü" * 70  # 137 bytes hold 68 letters of two bytes
 
 
 def test_highlight(spark):
     mark = lambda q, v: column(spark, [v], lambda c: text.highlighted(c, q))[0]
-    assert mark("beta", "alpha beta gamma") == "alpha [[beta]] gamma"
+    assert mark("Ärger", "viel ärger und ÄRGER.") == "viel [[ärger]] und [[ÄRGER]]."
     assert mark("the", "The end of the") == "[[The]] end of [[the]]"  # a whole query is marked, stop word or not
     assert mark("the rain", "the RAIN, a rain, the") == "[[the RAIN]], a [[rain]], the"
     assert mark("a.b", "a.b axb") == "[[a.b]] axb"
@@ -79,11 +80,14 @@ def test_tokens(spark):
 
 
 def test_snippet():
-    words = "alpha beta gamma delta epsilon zeta eta theta"
-    assert "delta" in udfs.snippet_of(words, "delta", 20) and udfs.snippet_of(words, "delta", 20).startswith("...")
-    assert udfs.snippet_of("", "x") == "(no snippet available)"
+    assert udfs.snippet_of("", "x") == udfs.snippet_of(" \n", "x") == "(no snippet available)"
+    # 10 bytes on either side, moved outwards to whole letters
+    assert udfs.snippet_of("ab" * 20 + "KEY" + "é" * 20, "key", 20) == "..." + "ab" * 5 + "KEY" + "é" * 5 + "..."
     assert udfs.snippet_of("é" * 50 + "needle" + "é" * 50, "NEEDLE", 21).count("é") == 10
-    assert udfs.snippet_of("a b c", "zz c", 160) == "a b c"
+    assert udfs.snippet_of("key at the start", "key", 8) == "key at ..." and udfs.snippet_of("the end is key", "key", 8) == "... is key"
+    # the whole query first, then its words in order, then the start of the text
+    assert udfs.snippet_of("one two, two three", "two three", 2) == "... two three" and udfs.snippet_of("late word, early", "none early late", 2) == "... early"
+    assert udfs.snippet_of("a  b\tc", "zz d", 160) == "a b c" and udfs.snippet_of("x" * 30, "q", 10) == "x" * 7 + "..."
 
 
 def test_fuzzy():
@@ -93,21 +97,44 @@ def test_fuzzy():
     assert udfs.fuzzy_score("x", "") == 0 and udfs.fuzzy_score(None, "x") == 0
 
 
-def test_turns_and_summary():
-    three = "[t] user\nhello\n\n[t] assistant\nhi\nthere\n\n[t] user\nbye"
-    assert udfs.turns_of("noise\n" + three) == [("user", "hello"), ("assistant", "hi\nthere"), ("user", "bye")]
-    eight = "\n\n".join(f"[t] {'user' if k % 2 == 0 else 'assistant'}\nturn {k}" for k in range(8))
-    out = udfs.summary_of(eight)
-    assert "turn 0" in out and "turn 7" in out and "turn 3" not in out and "⋯ 4 more turns hidden ⋯" in out and out.endswith("(8 turns total)")
-    two = udfs.summary_of("[t] user\na\n\n[t] assistant\nb")
-    assert "hidden" not in two and "Final" not in two and two.endswith("(2 turns total)")
-    assert udfs.body_head("\n".join(map(str, range(30))), 8).endswith("7\n  […]") and udfs.body_head(" \n", 3) == "(empty)"
-    assert udfs.summary_of("") == "(no transcript content)"
+def turn(role, body):
+    return f"[2024-05-06 07:08:09 UTC] {role}\n{body}"
+
+
+def test_turns():
+    own = "\n\n".join([turn("user", "first\n\nwith a gap"), turn("assistant", "[1] a list\n[2] user manual"), turn("user", "")])
+    assert udfs.turns_of("lost words\n" + own) == [("user", "first\n\nwith a gap"), ("assistant", "[1] a list\n[2] user manual"), ("user", "")]
+    assert udfs.turns_of(turn("system", "x")) == [] and udfs.turns_of(turn("user", "a") + "\n[no role\n[t]  user \nb") == [("user", "a\n[no role"), ("user", "b")]
+    assert udfs.turns_of(None) == [] and udfs.turns_of("[t] user\r\nline\r\n") == [("user", "line")]
+
+
+def test_summary():
+    five = "\n\n".join(turn(r, b) for r, b in [("assistant", "opens"), ("user", "asks"), ("user", "asks more"), ("assistant", "works"), ("user", "closes")])
+    assert udfs.summary_of(five) == "\n\n".join(["── First reply ──", "opens", "── First prompt ──", "asks", "⋯ 1 more turn hidden ⋯", "── Final reply ──", "works", "── Final prompt ──", "closes", "(5 turns total)"])
+    assert udfs.summary_of(turn("user", "alone \n\n")) == "── First prompt ──\n\nalone\n\n(1 turn total)"
+    assert udfs.summary_of("no header") == "(no transcript content)"
+    assert udfs.body_head("a\nb\nc", 3) == "a\nb\nc" and udfs.body_head("a\nb\nc\nd", 3) == "a\nb\nc\n  […]" and udfs.body_head("\n \t", 3) == "(empty)"
 
 
 def test_text_in():
-    assert udfs.text_in([{"type": "text", "text": " hello "}, {"content": [{"text": "world"}]}]) == "hello\nworld"
-    assert udfs.text_in({"input": {"command": "ls"}, "thinking": "x"}) == "" and udfs.text_in({"input": {"content": "y"}}) == "y"
+    nested = {"output": "last", "text": " own ", "input": ["in", {"text": 5, "content": "deep"}], "message": {"text": " "}, "content": [{"type": "x", "text": "c"}], "thinking": "never"}
+    assert udfs.text_in(nested) == "own\nc\nin\ndeep\nlast"  # text, content, message, input, output
+    assert udfs.text_in([1, None, "  ", {"args": {"text": "no"}}]) == "" and udfs.text_in("\u00a0x ") == "x"
+
+
+def test_fuzzy_column_is_the_model(spark):
+    values = ["foo bar", "FooBar", "f.o*o", "", None, "oof", "f\noo", "ſoo", "Ünder foo"]
+    for q in ("foo", "Fo", "f.o", "ü", "", "s"):
+        assert column(spark, values, lambda c, q=q: udfs.fuzzy(c, q)) == [udfs.fuzzy_score(v, q) for v in values]
+
+
+def test_scan_is_the_index(spark):
+    from skein.operators import fts
+
+    rows = spark.createDataFrame([(1, "a b c", "d a"), (2, "b a-b", None), (3, "", "c d"), (4, "Été été x", "a b"), (5, "x y", "z")], "id long, p string, q string")
+    for query in ("a", "a b", "a-b", "ete zz", "c-d", "x a-b b", " -- "):
+        indexed = fts.top(fts.postings(rows, ("p", "q")), fts.lengths(rows, ("p", "q")), query, 10).collect()
+        assert [tuple(r) for r in fts.top_scanned(rows, query, 10, ("p", "q")).collect()] == [tuple(r) for r in indexed]
 
 
 def test_json_line():
