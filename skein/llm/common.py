@@ -1,7 +1,7 @@
 """Helpers shared by the operators of this subpackage.
 
-Nothing here holds state between calls except per-worker word caches, which
-are cleared at a fixed size.
+Nothing here holds state between calls except per-worker caches, which are
+cleared at a fixed size and when another operator's cache is used in the worker.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words kept in a worker's hash cache before it is emptied.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Bytes of text that a text function holds as Python strings at once (a longer text is alone).
 PIECE_BYTES = 4 << 20
 #: Rows of a narrow table that are broadcast at most (some 10 MB); beyond, it is joined by shuffle.
@@ -106,6 +106,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: The cache that this process used last.
+_USED: list[dict] = []
+
+
+def use_cache(cache: dict, most: int) -> None:
+    """Call before using a cache: at most one of a process holds anything, and at most about `most` entries."""
+    if not _USED or _USED[0] is not cache:
+        for other in _USED:
+            other.clear()
+        _USED[:] = [cache]
+    if len(cache) > most:
+        cache.clear()
+
+
 class WordHasher:
     """64-bit ids of words, remembered so that each distinct word is hashed once per worker."""
 
@@ -114,8 +128,7 @@ class WordHasher:
 
     def __call__(self, words: list[str]) -> np.ndarray:
         seen = self.seen
-        if len(seen) > CACHE_WORDS:
-            seen.clear()
+        use_cache(seen, CACHE_WORDS)
         try:
             return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
         except KeyError:

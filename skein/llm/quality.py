@@ -21,15 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, fold, labelled_sample, mix, pick, pieces
+from .common import CACHE_WORDS, fold, labelled_sample, mix, pick, pieces, use_cache
 
 BITS = 14
 #: Labelled rows that training reads at most.
 SAMPLE_ROWS = 6_000
 FOLDS, HELD_OUT = 5, 1
 _SHAPES = [(re.compile(p), s) for p, s in ((r"[A-ZÀ-ÖØ-Þ]{2,}", "U"), (r"[A-ZÀ-ÖØ-Þ]", "u"), (r"[^\W\d_]+", "a"), (r"\d+", "0"))]
-_SEEN: dict[str, int] = {}
-_SHAPE: dict[str, int] = {}
+_SEEN: dict[str, tuple[int, int]] = {}
 #: Hashes of "differs from the word before" and "repeats it".
 _SAME = mix(np.array([77, 78], np.uint64))
 
@@ -45,14 +44,12 @@ def _word(w: str) -> tuple[int, int]:
 def occurrences(text: str | None) -> tuple[np.ndarray, int]:
     """(indices of a whole text's features, with repeats; number of words)."""
     words = (text or "").split()
-    if len(_SEEN) > CACHE_WORDS:
-        _SEEN.clear()
-        _SHAPE.clear()
+    use_cache(_SEEN, CACHE_WORDS)
     for w in words:
         if w not in _SEEN:
-            _SEEN[w], _SHAPE[w] = _word(w)
-    word = np.fromiter(map(_SEEN.__getitem__, words), np.uint64, len(words))
-    shape = np.fromiter(map(_SHAPE.__getitem__, words), np.uint64, len(words))
+            _SEEN[w] = _word(w)
+    both = np.fromiter(map(_SEEN.__getitem__, words), np.dtype((np.uint64, 2)), len(words))
+    word, shape = both[:, 0], both[:, 1]
     same = (word[1:] == word[:-1]).astype(np.intp)
     parts = [word, shape, mix(shape[1:] * np.uint64(3) + shape[:-1]), _SAME[same]]
     return (np.concatenate(parts) >> np.uint64(64 - BITS)).astype(np.int64), len(words)

@@ -7,7 +7,9 @@ byte fallback. verify_parity compares with the sentencepiece package.
 Encoding splits a normalised text where no piece can cross: before a marker
 that follows another character (only if no piece has one inside) and around
 line ends (only if no piece holds one). Distinct chunks are encoded in
-multithreaded batches and remembered, so the whole text's ids are exact.
+multithreaded batches and remembered, so the whole text's ids are exact. Of
+unigram lattices with equal scores the backend's is taken, which may be
+another one than the package's.
 """
 
 from __future__ import annotations
@@ -24,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, pieces
+from .common import pick, pieces, use_cache
 
 MARK = "▁"
 #: Chunks remembered by a worker before its cache is emptied; longer ones are not kept.
-CACHE_CHUNKS, CACHE_CHARS = 500_000, 48
+CACHE_CHUNKS, CACHE_CHARS = 200_000, 48
 #: New chunks in one string.
 JOINED = 32
 #: Fixed values of the public model format: kinds of pieces and of models.
@@ -165,8 +167,7 @@ class Codec:
     def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other as int32, offsets of the texts)."""
         chunks = [self.split(self.normalize(t or "")) for t in texts]
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
+        use_cache(self.cache, CACHE_CHUNKS)
         long: dict[str, bytes] = {}
         new = list(dict.fromkeys(c for c in chain.from_iterable(chunks) if c not in self.cache))
         for c, coded in zip(new, self._encode_new(new)):
@@ -241,7 +242,7 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, text: str =
         if key not in _CODECS:
             _CODECS[key] = Codec(sent.value)
         codec = _CODECS[key]
-        for rows in pieces(texts):
+        for rows in pieces(texts, 1 << 20):  # a text has some chunks for each word
             flat, ends = codec.encode_flat(rows)
             back = codec.decode([flat[a:b].tolist() for a, b in zip(ends, ends[1:])])
             want = [t or "" for t in rows] if codec.plain else [codec.normalize(t or "").replace(MARK, " ")[codec.model.dummy_prefix :] for t in rows]
