@@ -1,11 +1,13 @@
 """Trained operators on held-out rows, the codec's round trip and parity, mixing, licenses and the pipeline."""
 
 import math
+import struct
 import time
 from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -175,8 +177,6 @@ def test_codec(spark, sf_dir):
     codec = sentencepiece_codec.Codec(data)
     plain = [t for t in texts if "▁" not in t]
     assert codec.decode(codec.encode(plain)) == plain
-    import sentencepiece
-
     sp = sentencepiece.SentencePieceProcessor(model_proto=data)
     some = [[1, 5, 300, 301, 2], [], [0], [259, 100]]
     assert codec.decode(some)[1] == "" and codec.decode(some)[0] == sp.decode(some[0])
@@ -185,20 +185,46 @@ def test_codec(spark, sf_dir):
     assert sentencepiece_codec.encode_documents(odd(spark).limit(0)).count() == 0
 
 
-def test_unigram_model():
-    def field(n, value):
-        if isinstance(value, int):
-            return bytes([n << 3, value]) if n < 16 else bytes([(n << 3) & 127 | 128, n >> 4, value])
-        return bytes([n << 3 | 2, len(value)]) + value
+def field(n, value):
+    """A field of a protobuf message."""
+    if isinstance(value, int):
+        return bytes([n << 3, value]) if n < 16 else bytes([(n << 3) & 127 | 128, n >> 4, value])
+    size = len(value)
+    return bytes([n << 3 | 2]) + (bytes([size]) if size < 128 else bytes([size & 127 | 128, size >> 7])) + value
+
+
+def made_model(pieces, *trainer):
+    body = b"".join(field(1, field(1, p if isinstance(p, bytes) else p.encode()) + bytes([2 << 3 | 5]) + struct.pack("<f", s) + field(3, k)) for p, s, k in pieces)
+    return body + field(2, b"".join(trainer)) + field(3, field(1, b"identity"))
 
-    import struct
 
-    pieces = [(b"<unk>", 0.0, 2), ("▁a".encode(), -1.0, 1), (b"b", -2.0, 1), (b"ab", -1.5, 1), ("▁".encode(), -3.0, 1), (b"a", -2.5, 1)]
-    data = b"".join(field(1, field(1, p) + bytes([2 << 3 | 5]) + struct.pack("<f", s) + field(3, k)) for p, s, k in pieces)
-    data += field(2, field(3, 1)) + field(3, field(1, b"identity"))
+def test_unigram_model():
+    data = made_model([("<unk>", 0.0, 2), ("▁a", -1.0, 1), ("b", -2.0, 1), ("ab", -1.5, 1), ("▁", -3.0, 1), ("a", -2.5, 1)], field(3, 1))
     assert sentencepiece_codec.verify_parity(data, ["ab a", "b", "aab  ab", ""]) == []
 
 
+def test_unigram_model_with_byte_fallback():
+    """Scores decide between lattices; what no piece spells becomes bytes, and comes back."""
+    rng = np.random.default_rng(13)
+    words = sorted({"".join(rng.choice(list("abcde"), rng.integers(2, 6))) for _ in range(120)})
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), *((f"<0x{k:02X}>", 0.0, 6) for k in range(256)), ("▁", -4.0, 1)]
+    pieces += [(c, -6.0 - k / 7, 1) for k, c in enumerate("abcde")] + [(w if k % 2 else "▁" + w, -float(rng.uniform(5, 14)), 1) for k, w in enumerate(words)]
+    data = made_model(pieces, field(3, 1), field(35, 1))
+    model = sentencepiece_codec.PieceModel.parse(data)
+    assert model.kind == sentencepiece_codec.UNIGRAM and model.byte_fallback and len(model.pieces) == len(pieces)
+    texts = [" ".join("".join(rng.choice(list("abcdeé漢\U0001f642z"), rng.integers(1, 9), p=[0.18] * 5 + [0.03, 0.03, 0.02, 0.02])) for _ in range(rng.integers(1, 30))) for _ in range(200)]
+    texts += ["", " ", "a\nb", "zzz", "é", "ab  ab", "\ta"]
+    codec = sentencepiece_codec.Codec(data)
+    coded = codec.encode(texts)
+    theirs = sentencepiece.SentencePieceProcessor(model_proto=data)
+    score = lambda ids: sum(-99.0 if 2 <= i < 258 else pieces[i][1] for i in ids)
+    wrong = sentencepiece_codec.verify_parity(data, texts)
+    assert len(wrong) <= 2 and all(score(codec.encode([t])[0]) == pytest.approx(score(theirs.encode(t)), abs=1e-9) for t in wrong)  # ties
+    assert any(2 <= i < 258 for ids in coded for i in ids)
+    assert codec.decode(coded) == [" ".join(t.split(" ")).strip(" ").replace("  ", " ") for t in texts]
+    assert codec.decode(coded) == theirs.decode(coded)
+
+
 def budgets(tokens, exponent, target):
     p = {s: n / sum(tokens.values()) for s, n in tokens.items() if n}
     w = {s: v**exponent for s, v in p.items()}

@@ -270,6 +270,66 @@ def test_prints_against_model(spark):
         assert r["near_next"] == pytest.approx(phrase_prints.likeness(p, prints[[(k + 1) % len(rows)]])[0])
 
 
+M64 = (1 << 64) - 1
+
+
+def slow_mix(x):
+    x ^= x >> 32
+    x = x * 0x9E3779B97F4A7C15 & M64
+    x ^= x >> 29
+    x = x * 0xD6E8FEB86659FD93 & M64
+    return x ^ x >> 32
+
+
+def zeros(x, none):
+    return (x & -x).bit_length() - 1 if x else none
+
+
+def slow_level(names, points=None):
+    """Names of the next level, symbol by symbol: runs, coin tossing, phrases from local maxima.
+    Labels come from the code points on the first level and from the names on the others."""
+    runs = []
+    for k, name in enumerate(names):
+        mark = name if points is None else points[k]
+        if runs and runs[-1][1] == mark:
+            runs[-1][2] += 1
+        else:
+            runs.append([name, mark, 1])
+    names = [slow_mix(n + k * 0xA24BAED4963EE407 & M64) if k > 1 else n for n, _, k in runs]
+    marks = names if points is None else [m for _, m, _ in runs]
+    labels, top = [], 63 if points is None else 31
+    for k, m in enumerate(marks):
+        low = zeros(m ^ marks[k - 1], 64) if k else zeros(m | 1 << top, 64)
+        labels.append((m >> low & 1) | low << 1)
+    for _ in range(3):
+        lows = [zeros(m ^ labels[k - 1], 8) if k else zeros(m | 64, 8) for k, m in enumerate(labels)]
+        labels = [(m >> low & 1) | low << 1 for m, low in zip(labels, lows)]
+        labels[0] &= 1
+    starts = [k for k in range(len(labels)) if k == 0 or (k < len(labels) - 1 and labels[k] > labels[k - 1] and labels[k + 1] <= labels[k])]
+    place = [slow_mix((1 << 20) + k) | 1 for k in range(64)]
+    return [slow_mix(sum(names[k] * place[k - a & 63] for k in range(a, b)) & M64) for a, b in zip(starts, [*starts[1:], len(names)])]
+
+
+def slow_print(text):
+    """The fingerprint of one text by plain integers."""
+    least = [None] * 64
+    names, points, level = [slow_mix(ord(c) + 1) for c in text], [ord(c) for c in text], 0
+    while names:
+        names, points, level = slow_level(names, points), None, level + 1
+        if level >= 2 or len(names) == 1:
+            for x in names:
+                value = ((x >> 8) & 0xFFFF) % 0xFFFE + 1
+                least[x % 64] = min(value, least[x % 64] or value)
+        if len(names) == 1:
+            break
+    return "".join(f"{v or 0:04x}" for v in least)
+
+
+def test_prints_by_plain_integers():
+    texts = [t or "" for _, t in varied(18, 12) + ODD[:8]] + ["a", "ab", "aaaaaaa", "abababab", "\U0001f642é漢" * 30, "x" * 500 + "y", "\x00\x00a", "the quick brown fox " * 40]
+    assert phrase_prints.as_hex(phrase_prints.fingerprint_many(texts)) == [slow_print(t) for t in texts]
+
+
 def test_prints_follow_equal_parts():
     rng = np.random.default_rng(4)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
