@@ -5,12 +5,14 @@ import io
 import json
 import os
 import sqlite3
+import time
 
 import pytest
 
 from skein import cli, rpc
 from skein.api import Engine, parse_since
 from skein.functions import udfs
+from skein.operators import render, store
 from skein.schema import Filters, provider
 from skein.sources import files
 from skein.sources.config import Config
@@ -145,6 +147,15 @@ def test_ingest_search_and_refresh(spark, home):
     server.serve(io.StringIO('{"id":1,"method":"ping"}\n\n{"method":"notifications/x"}\n'), out)
     assert out.getvalue().count("\n") == 1
 
+    os.environ["TZ"] = "America/New_York"  # times are UTC wherever the driver is
+    time.tzset()
+    try:
+        assert "Updated: 2024-01-02T00:00:00+00:00" in e.detail_text("claude:s1") and "Created: 2024-01-01T10:00:00+00:00" in e.detail_text("claude:s1")
+        assert "- Updated: 2024-01-02 00:00\n" in e.session_text("claude:s1")
+    finally:
+        del os.environ["TZ"]
+        time.tzset()
+
     run = lambda *argv: cli.run(cli.parser().parse_args(argv), e)
     assert "claude:s1" in run("show", "claude:s1") and run("show", "claude:s1", "--raw").startswith("[2024-01-01")
     assert "[[zebra]]" in run("search", "zebra") and "conv9" in run("list", "--provider", "Antigravity") and "files discovered: 3" in run("doctor") and "Store:" in run("paths")
@@ -161,6 +172,13 @@ def test_small_pieces(tmp_path):
             parse_since(bad)
     assert udfs.tagged("a <t> b </t> c", "t") == "b" and udfs.tagged("<t> b", "t") is None and udfs.tagged("</t> <t>", "t") is None
     assert files.workspace("empty-window") is None and files.workspace("Users-x") is None
+    for made in ("me/my-app/web", "me/my/app", "me/x-y-z"):
+        (tmp_path / "u" / made).mkdir(parents=True)
+    below = lambda name: files.workspace(name, str(tmp_path / "u"))
+    assert below("Users-me-my-app-web") == str(tmp_path / "u/me/my-app/web") and below("Users-me-my-app") == str(tmp_path / "u/me/my/app")  # more slashes first
+    assert below("Users-me-x-y-z") == str(tmp_path / "u/me/x-y-z") and below("Users-me-q") is None
+    assert below("Users-" + "-".join("abcdefgh" * 5)) is None  # 40 dashes take no time
+    assert render.command_line(["codex", "resume", 'a "b']) == 'codex resume "a \\"b"'
     (tmp_path / "r" / ".git").mkdir(parents=True)
     (tmp_path / "r" / "a").mkdir()
     assert files.repo_root(str(tmp_path / "r" / "a")) == str(tmp_path / "r")
@@ -170,6 +188,34 @@ def test_small_pieces(tmp_path):
     assert Config.load(tmp_path / "none.toml").default_limit == 50
 
 
+def test_layers_are_merged_and_compacted(spark, home, monkeypatch):
+    monkeypatch.setattr(store, "MAX_LAYERS", 2)
+    e = Engine(spark, home)
+    seen = []
+    assert e.reindex(progress=lambda *n: seen.append(n)) == (6, 6) and seen == [(6, 6), (6, 6)]
+    path = os.path.join(home.roots["claude"][0], "p", "s1.jsonl")
+    counts = []
+    for k in range(3):
+        with open(path, "a") as f:
+            f.write(json.dumps(say("user", f"Line {k} quagga", f"2024-01-0{k + 3}T00:00:00Z")) + "\n")
+        assert e.reindex() == (6, 1)
+        layers = e.store._manifest()["layers"]
+        counts.append(len(layers))
+        r = rows_of(e)
+        assert len(r) == 6 and r["claude:s1"]["message_count"] == 4 + k
+        assert e.store.table("files_seen").count() == 6 and e.store.table("transcripts").count() == 6
+        assert [h["id"] for h in e.search("quagga", Filters(limit=3), as_of="2024-03-05 00:00:00").collect()] == ["claude:s1"]
+        postings, lengths = e.store.index()
+        assert postings.where("term = 'quagga'").select("tf").collect()[0][0] >= k + 1 and lengths.count() == 6
+        assert set(os.listdir(home.store)) >= set(layers)
+    assert counts == [2, 1, 2]
+    before = rows_of(e)
+    monkeypatch.setattr(store.source, "read_files", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        e.reindex(full=True)
+    assert rows_of(e) == before  # a full refresh that fails leaves the index as it was
+
+
 def test_refresher_waits():
     now, calls = [0.0], []
     r = Refresher(lambda: calls.append(1), clock=lambda: now[0])
