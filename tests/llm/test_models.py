@@ -6,6 +6,7 @@ import time
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -64,9 +65,12 @@ def test_windows_cover_whole_texts():
 
 
 def test_quality_held_out(spark, sf_dir):
-    docs, labels = tables(spark, sf_dir.replace("0.001", "0.01"), "documents", "labels")
+    docs, labels = tables(spark, sf_dir.replace("0.001", "0.1"), "documents", "labels")
     got = quality.quality_grades(docs, quality.grade_table(labels)).join(labels, "doc_id").where("held_out").toPandas()
-    assert (got.selected == (got.quality == 1)).mean() > 0.9 and got.expected_grade.between(0, 2).all()
+    good = got.quality == 1
+    assert (got.selected == good).mean() > 0.98 and got.selected[good].mean() > 0.99 and got.expected_grade.between(0, 2).all()
+    toxic = good & (got.toxic == 1)
+    assert got.expected_grade[toxic].mean() < got.expected_grade[good & ~toxic].mean() and got.expected_grade[~good].mean() < 0.2
     assert len(quality.quality_grades(odd(spark), quality.grade_table(labels)).collect()) == len(ODD)
     assert quality.quality_grades(odd(spark), quality.grade_table(labels).limit(0)).where("expected_grade <> 0").count() == 0
 
@@ -114,6 +118,42 @@ def article_of(page):
     return "\n".join(p.blocks)
 
 
+def test_grades_by_the_formula(spark):
+    """Shares of hashed features, cumulative links and the expected grade, one text at a time."""
+    rows = [(" ".join(["bad"] * (3 - g) + ["good"] * g + [f"w{k}"]), g) for g in range(4) for k in range(30)]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")
+    graded = spark.createDataFrame([(k, g) for k, (_, g) in enumerate(rows)], "doc_id long, grade int")
+    m = quality.train(common.labelled_sample(docs, graded, "grade", quality.FOLDS, quality.HELD_OUT, 1000))
+    got = {r["doc_id"]: r for r in quality.quality_grades(docs, graded, reach=2).collect()}
+    for k, (t, _) in enumerate(rows):
+        index, share = quality.features(t)
+        margin = sum(float(m.weight[i]) * float(v) for i, v in zip(index, share))
+        above = [1 / (1 + math.exp(c - margin)) for c in m.thresholds]  # P(grade >= 1), ...
+        p = [1 - above[0], above[0] - above[1], above[1] - above[2], above[2]]
+        assert min(p) > 0 and sum(p) == pytest.approx(1)
+        assert got[k]["expected_grade"] == pytest.approx(sum(g * x for g, x in enumerate(p)), abs=1e-4)
+        assert got[k]["tail_probability"] == pytest.approx(above[1], abs=1e-4) and got[k]["selected"] == (got[k]["tail_probability"] >= 0.5)
+
+
+def test_pieces_are_bounded():
+    texts = ["x" * n for n in (5, 0, 30, 5, 5, 5, 100, 1)] + [None, "é" * 4]
+    got = list(common.pieces([pa.array(texts[:6]), pa.array(texts[6:])], 12))
+    assert [t for own in got for t in own] == texts and all(len(own) == 1 or sum(len((t or "").encode()) for t in own) <= 12 for own in got)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(10))], names=["t", "k"])
+    assert [k for b in common.row_pieces([batch], "t", 12) for k in b.column("k").to_pylist()] == list(range(10))
+    assert list(common.pieces([pa.array([], pa.string())])) == []
+
+
+def test_samples_are_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(k, "x" * 100) for k in range(50)] + [(3, "y" * 100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id long, toxic int")
+    chosen = labels.where("doc_id % 2 = 0").select("doc_id")
+    sample = lambda n, size: [r["text"] for r in common.texts_of(docs, chosen, [], n, size)]
+    assert len(sample(100, 10**6)) == 25 and len(sample(7, 10**6)) == 7 and len(sample(100, 950)) == 9 and sample(100, 99) == []
+    assert sample(100, 950) == sample(100, 10**6)[:9]
+    assert common.labelled_sample(docs, labels, "toxic", 5, 0, 1000) == common.labelled_sample(docs.repartition(3), labels, "toxic", 5, 0, 1000)
+
+
 def test_html(spark, sf_dir):
     net = html_labeller.trained()
     page = """<html><head><title>T</title><script>var a="</p><p>no";</script></head><body><nav><ul><li><a href=/>Home</a></li><li><a href=/a>About us</a></li></ul></nav>
