@@ -140,24 +140,39 @@ class WordHasher:
             return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
 
 
-def texts_of(docs: DataFrame, chosen: DataFrame, columns: list[str], n: int, limit: int = SAMPLE_BYTES) -> list:
-    """Rows (text, *columns) of docs for the chosen ids (doc_id and maybe other columns, few rows), in the
+class Sample:
+    """Rows (text, label) held as an Arrow table; each pass makes Python values of a few at a time."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table
+
+    def __len__(self) -> int:
+        return self.table.num_rows
+
+    def __iter__(self) -> Iterator[tuple[str, object]]:
+        for batch in self.table.to_batches(max_chunksize=256):
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield text or "", label
+
+
+def texts_of(docs: DataFrame, chosen: DataFrame, label: str, n: int, limit: int = SAMPLE_BYTES) -> Sample:
+    """Rows (text, label) of docs for the chosen ids (doc_id and maybe other columns, few rows), in the
     order of a hash of the id: the first n at most, and no more than hold `limit` bytes of text.
 
     Sizes come to the driver first, texts only of the rows that are kept.
     """
     keys = [c for c in chosen.columns if c in docs.columns]
     joined = docs.join(F.broadcast(chosen), keys).withColumn("h", F.xxhash64("doc_id")).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)))
-    order = ["h", "doc_id", *columns, "size"]
+    order = ["h", "doc_id", label, "size"]
     sizes = joined.select(*order).orderBy(*order).limit(n).collect()
     kept = int(np.searchsorted(np.cumsum([r["size"] for r in sizes]), limit, side="right")) if sizes else 0
     if not kept:
-        return []
+        return Sample(pa.table({"text": pa.array([], pa.string()), "label": pa.array([], pa.string())}))
     edge = sizes[kept - 1]["h"]
-    return joined.where(F.col("h") <= edge).orderBy(*order, "text").limit(kept).select("text", *columns).collect()
+    return Sample(joined.where(F.col("h") <= edge).orderBy(*order, "text").limit(kept).select("text", label).toArrow())
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, n: int) -> list[tuple[str, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, n: int) -> Sample:
     """At most n labelled rows outside the held-out fold, as (text, label), in a fixed order.
 
     The ids come first, from the narrow labels table, in the order of a hash of
@@ -166,4 +181,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     """
     chosen = pick(labels, "doc_id", label).where(F.col(label).isNotNull() & (fold(F.col("doc_id"), folds) != held))
     chosen = chosen.where("doc_id is not null").dropDuplicates().orderBy(F.xxhash64("doc_id"), label).limit(n)
-    return [(r["text"] or "", r[label]) for r in texts_of(pick(docs, "doc_id", "text"), chosen, [label], n)]
+    return texts_of(pick(docs, "doc_id", "text"), chosen, label, n)

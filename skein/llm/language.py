@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpoint, fold, pick, pieces, texts_of
+from .common import Sample, broadcast_if_small, checkpoint, fold, pick, pieces, texts_of
 
 WINDOW = 192
 WIDTHS = (2, 3, 5)
@@ -72,7 +72,7 @@ def _masks() -> np.ndarray:
     return np.concatenate([np.repeat((np.arange(wide * EMBED) < w * EMBED)[:, None], FILTERS, axis=1) for w in WIDTHS], axis=1).astype(np.float32)
 
 
-def train(rows: list[tuple[str, str]], epochs: int = 8, rate: float = 0.004, batch: int = 64, seed: int = 5) -> ByteCnn:
+def train(rows: Sample | list[tuple[str, str]], epochs: int = 8, rate: float = 0.004, batch: int = 64, seed: int = 5) -> ByteCnn:
     """Fit on (text, language) rows with Adam; no rows give a network without languages."""
     rng = np.random.default_rng(seed)
     langs = sorted({lang for _, lang in rows})
@@ -80,7 +80,7 @@ def train(rows: list[tuple[str, str]], epochs: int = 8, rate: float = 0.004, bat
     mask = _masks()
     init = lambda *shape: rng.normal(0, shape[0] ** -0.5, shape).astype(np.float32)
     net = ByteCnn(langs, rng.normal(0, 0.5, (256, EMBED)).astype(np.float32), init(wide * EMBED, width) * mask, np.zeros(width, np.float32), init(width, max(1, len(langs))), np.zeros(max(1, len(langs)), np.float32))
-    if not rows:
+    if not langs:
         return net
     xs, ys = [], []
     for text, lang in rows:
@@ -147,7 +147,7 @@ def predict(net: ByteCnn, texts: list[str | None]) -> tuple[list[str], np.ndarra
     return langs, scores
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = SAMPLE_ROWS) -> Sample:
     """The bounded training sample, chosen by a hash of the id outside the held-out fold."""
     keyed = pick(docs, "doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
     # the counts say which hashes can be among a language's first; the others never meet in a task
@@ -156,7 +156,7 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = SAMPLE
     near = ids.join(broadcast_if_small(checkpoint(reach)), "lang").where(F.shiftrightunsigned("h", 11) * 2.0**-53 < F.col("reach"))
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 11), "doc_id"))).where(F.col("rank") <= per_language)
     chosen = ranked.orderBy("rank", "lang").limit(rows).select("doc_id", "lang").distinct()
-    return [(r["text"] or "", r["lang"]) for r in texts_of(keyed, chosen, ["lang"], rows)]
+    return texts_of(keyed, chosen, "lang", rows)
 
 
 def identifier(spark, net: ByteCnn):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, fold, labelled_sample, mix, pick, pieces, use_cache
+from .common import CACHE_WORDS, Sample, fold, labelled_sample, mix, pick, pieces, use_cache
 
 BITS = 14
 #: Labelled rows that training reads at most.
@@ -81,7 +81,7 @@ class OrdinalModel:
         return out
 
 
-def train(rows: list[tuple[str, int]], epochs: int = 6, rate: float = 0.5, l2: float = 1e-5, seed: int = 3) -> OrdinalModel:
+def train(rows: Sample | list[tuple[str, int]], epochs: int = 6, rate: float = 0.5, l2: float = 1e-5, seed: int = 3) -> OrdinalModel:
     """Fit on (text, grade) rows by Adagrad. With fewer than two grades there is nothing to
     order: all weights are zero and every text has the one grade (or grade 0)."""
     grades = sorted({g for _, g in rows})

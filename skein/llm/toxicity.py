@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, fold, labelled_sample, mix, pick, pieces
+from .common import Sample, WordHasher, fold, labelled_sample, mix, pick, pieces
 
 BITS = 20
 #: Labelled rows that training reads at most.
@@ -54,7 +54,7 @@ class FtrlModel:
 
 
 def train(
-    rows: list[tuple[str, int]], bits: int = BITS, epochs: int = 5, alpha: float = 1.0, beta: float = 1.0, l1: float = 5.0, l2: float = 0.1, least: int = 3
+    rows: Sample | list[tuple[str, int]], bits: int = BITS, epochs: int = 5, alpha: float = 1.0, beta: float = 1.0, l1: float = 5.0, l2: float = 0.1, least: int = 3
 ) -> FtrlModel:
     """Fit on (text, 0 or 1) rows in the order given. Features of fewer than `least`
     texts are left out: the L1 term would hold them at zero. Without rows of both labels
