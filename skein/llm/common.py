@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words kept in a worker's hash cache before it is emptied.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 #: Bytes of text that a text function holds as Python strings at once (a longer text is alone).
 PIECE_BYTES = 4 << 20
 #: Rows of a narrow table that are broadcast at most (some 10 MB); beyond, it is joined by shuffle.

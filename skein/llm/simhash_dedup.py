@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHasher, checkpoint, mix, pick, pieces
+from .common import WordHasher, broadcast_if_small, checkpoint, mix, pick, pieces
 from .components import connected_components
 from .simhash_index import links as near_fingerprints
 
@@ -232,7 +232,9 @@ def _linked(texts: DataFrame, rows: DataFrame) -> DataFrame:
 def _groups(texts: DataFrame, cells: DataFrame) -> DataFrame:
     """texts (doc_id, text), cells (same, doc_id, cell) -> (node, root): the exact links' groups."""
     parts = cells.groupBy("cell").agg(F.ceil(F.count("*") / CELL_PART).cast("int").alias("parts"))
-    big = checkpoint(parts.where("parts > 1"))
+    # tables of a row for each large cell: sent where the rows are, so that no cell meets in one task
+    large = checkpoint(parts.where("parts > 1"))
+    big = broadcast_if_small(large)
     cut = cells.join(big, "cell", "left").withColumn("low", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("same"), F.col("parts"))).otherwise(0).cast("int"))
     cut = cut.select("same", "doc_id", "cell", "low", F.lit(-1).alias("high"))
     slot = F.pmod(F.xxhash64("same", F.lit(1)), F.lit(LEADERS))
@@ -240,14 +242,14 @@ def _groups(texts: DataFrame, cells: DataFrame) -> DataFrame:
     leaders = first.select("x.same", "x.doc_id", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("low"), F.lit(-1).alias("high"))
     links = checkpoint(_linked(texts, cut.unionByName(leaders)))
     groups = checkpoint(connected_components(links))
-    if big.isEmpty():
+    if large.isEmpty():
         return groups
     # of the big cells: what is not in the largest group meets every part
     placed = cells.join(big, "cell").join(groups.withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
     most = placed.groupBy("cell", "root").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max(F.struct("n", "root")).alias("most"))
-    rest = placed.join(most.select("cell", F.col("most.root").alias("largest")), "cell").where("root <> largest").select("same", "doc_id", "cell", "parts")
+    rest = placed.join(broadcast_if_small(checkpoint(most.select("cell", F.col("most.root").alias("largest")))), "cell").where("root <> largest").select("same", "doc_id", "cell", "parts")
     rest = checkpoint(rest)
-    sizes = rest.groupBy("cell").agg(F.ceil(F.count("*") / CELL_PART).cast("int").alias("rests"))
+    sizes = broadcast_if_small(checkpoint(rest.groupBy("cell").agg(F.ceil(F.count("*") / CELL_PART).cast("int").alias("rests"))))
     asks = rest.join(sizes, "cell").select("same", "doc_id", "cell", F.pmod(F.xxhash64("same"), F.col("rests")).cast("int").alias("high"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("low"))
     own = cut.drop("high").join(sizes, "cell").select("same", "doc_id", "cell", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("high"), "low")
     more = _linked(texts, asks.unionByName(own))
