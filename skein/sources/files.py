@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .ignores import Ignores, global_patterns
+
 LISTED = "provider string, source_path string, mtime_ns long, size_bytes long"
 CONTENT = LISTED + ", content string, error string"
 THREADS = "id string, title string, cwd string, created_at long, updated_at long, rollout_path string, first_user_message string"
@@ -31,33 +33,36 @@ def _entry(provider: str, path: str) -> tuple[str, str, int, int]:
 
 
 class _Listing(DataSourceReader):
-    def __init__(self, roots: list[tuple[str, str]]):
-        self.roots = roots
+    def __init__(self, roots: list[tuple[str, str]], ignores: list[str]):
+        self.roots, self.ignored = roots, Ignores(ignores)
 
     def partitions(self) -> list[InputPartition]:
         """One for what lies right in a root, one for each directory in it; missing roots have none."""
         out = []
         for provider, root in self.roots:
             if os.path.isdir(root):
-                out.append(InputPartition((provider, root, False)))
-                out += [InputPartition((provider, e.path, True)) for e in sorted(os.scandir(root), key=lambda e: e.name) if e.is_dir(follow_symlinks=False)]
+                out.append(InputPartition((provider, root, root, False)))
+                folders = [e for e in sorted(os.scandir(root), key=lambda e: e.name) if e.is_dir(follow_symlinks=False)]
+                out += [InputPartition((provider, root, e.path, True)) for e in folders if not self.ignored(e.name, True)]
         return out or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if partition.value is None:
             return
-        provider, top, deep = partition.value
+        provider, root, top, deep = partition.value
         for folder, dirs, names in os.walk(top, followlinks=False):
+            below = os.path.relpath(folder, root) + "/" if folder != root else ""
             if deep:
                 yield _entry(provider, folder)  # a directory may bear the name of a session file
             for name in names:
-                yield _entry(provider, os.path.join(folder, name))
-            if not deep:
-                dirs.clear()
+                if not self.ignored(below + name, False):
+                    yield _entry(provider, os.path.join(folder, name))
+            dirs[:] = [d for d in dirs if not self.ignored(below + d, True)] if deep else []
 
 
 class SessionFiles(DataSource):
-    """Format `sessionfiles`; option roots: JSON list of [provider, directory]."""
+    """Format `sessionfiles`; options roots: JSON list of [provider, directory], ignores: JSON
+    list of git ignore lines."""
 
     @classmethod
     def name(cls) -> str:
@@ -67,7 +72,7 @@ class SessionFiles(DataSource):
         return LISTED
 
     def reader(self, schema) -> DataSourceReader:
-        return _Listing([tuple(x) for x in json.loads(self.options.get("roots", "[]"))])
+        return _Listing([tuple(x) for x in json.loads(self.options.get("roots", "[]"))], json.loads(self.options.get("ignores", "[]")))
 
 
 def is_session(path: Column, provider: Column) -> Column:
@@ -82,10 +87,11 @@ def is_session(path: Column, provider: Column) -> Column:
     )
 
 
-def discover(spark: SparkSession, roots: list[tuple[str, str]]) -> DataFrame:
-    """provider, source_path, mtime_ns, size_bytes of all session files below the roots."""
+def discover(spark: SparkSession, roots: list[tuple[str, str]], ignores: list[str] | None = None) -> DataFrame:
+    """provider, source_path, mtime_ns, size_bytes of all session files below the roots, but for
+    those that the user's global git ignore file (or the lines given) hides."""
     spark.dataSource.register(SessionFiles)
-    files = spark.read.format("sessionfiles").option("roots", json.dumps(roots)).load()
+    files = spark.read.format("sessionfiles").option("roots", json.dumps(roots)).option("ignores", json.dumps(global_patterns() if ignores is None else ignores)).load()
     return files.where(is_session(F.col("source_path"), F.col("provider")))
 
 

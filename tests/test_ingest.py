@@ -14,7 +14,7 @@ from skein.api import Engine, parse_since
 from skein.functions import udfs
 from skein.operators import render, store
 from skein.schema import Filters, provider
-from skein.sources import files
+from skein.sources import files, ignores
 from skein.sources.config import Config
 from skein.streaming.refresh import Refresher
 
@@ -188,6 +188,23 @@ def test_small_pieces(tmp_path):
     assert Config.load(tmp_path / "none.toml").default_limit == 50
 
 
+def test_global_ignores(spark, home, tmp_path, monkeypatch):
+    monkeypatch.setenv("HOME", str(tmp_path))
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "xdg"))
+    assert ignores.global_patterns() == []
+    (tmp_path / "xdg/git").mkdir(parents=True)
+    (tmp_path / "xdg/git/ignore").write_text("bad.jsonl\n")
+    assert ignores.global_patterns() == ["bad.jsonl"]
+    (tmp_path / "own").write_text("# mine\n*.jsonl\n!rollout-*\nlogs/\n")
+    (tmp_path / ".gitconfig").write_text("[user]\n excludesfile = /no\n[core]\n\tExcludesFile = ~/own\n")
+    found = lambda *a: {r["source_path"].rsplit("/", 1)[1] for r in files.discover(spark, home.all_roots(), *a).collect()}
+    assert found() == {f"rollout-{CODEX_ID}.jsonl"}
+    assert found([]) == {"s1.jsonl", "bad.jsonl", "dir.jsonl", f"rollout-{CODEX_ID}.jsonl", "k.jsonl", "transcript.jsonl"}
+    hides = lambda line, path, folder=False: ignores.Ignores([line])(path, folder)
+    assert hides("a", "x/a") and hides("/a", "a") and not hides("/a", "x/a") and not hides("a/", "a") and hides("a/", "x/a", True)
+    assert hides("x/**/a", "x/y/z/a") and hides("x/**/a", "x/a") and hides("x/**", "x/y") and not hides("x/*", "x/y/z") and hides("[!b]?c", "aac") and not hides("", "a") and not hides("#a", "#a") and hides("\\#a", "#a")
+
+
 def test_layers_are_merged_and_compacted(spark, home, monkeypatch):
     monkeypatch.setattr(store, "MAX_LAYERS", 2)
     e = Engine(spark, home)
