@@ -18,9 +18,9 @@ them. The index alone cannot: at a likeness of 0.8 two fingerprints differ in
 
 A cell of more than CELL_PART classes is cut into parts, to each of which the
 cell's leaders are added: most members of a group of copies are linked through
-them. What is then outside of the cell's largest group meets every part, so the
-work on a cell grows with its size and not with its square, unless most of it
-is apart. Groups of step 3 beyond a size are split so that every pair of parts
+them. What is then outside of the cell's largest group meets every part of it, or,
+in a cell of more than KEYED_PARTS parts, the classes with which it shares a key;
+so the work on a cell grows with its size and not with its square. Groups of step 3 beyond a size are split so that every pair of parts
 meets in a task of its own. No candidate is lost, and no task holds more than
 two parts.
 """
@@ -47,6 +47,8 @@ BANDS, BAND = 40, 5
 RADIUS = 3
 #: Most members of a part, and leaders of a cell.
 GROUP_PART, CELL_PART, LEADERS = 20_000, 500, 8
+#: Parts of a cell beyond which its rest meets by key and not by part: a row has as many keys.
+KEYED_PARTS = BANDS
 #: Most members of a group whose pairs are compared one by one.
 SMALL = 16
 _HASH = WordHasher()
@@ -229,8 +231,8 @@ def _linked(texts: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.select("same", "doc_id", "cell", "low", "high").join(texts, "doc_id").groupBy("cell", "low", "high").applyInArrow(link, "u binary, v binary")
 
 
-def _groups(texts: DataFrame, cells: DataFrame) -> DataFrame:
-    """texts (doc_id, text), cells (same, doc_id, cell) -> (node, root): the exact links' groups."""
+def _groups(texts: DataFrame, cells: DataFrame, keys: DataFrame) -> DataFrame:
+    """texts (doc_id, text), cells (same, doc_id, cell), keys (same, keys) -> (node, root): the exact links' groups."""
     parts = cells.groupBy("cell").agg(F.ceil(F.count("*") / CELL_PART).cast("int").alias("parts"))
     # tables of a row for each large cell: sent where the rows are, so that no cell meets in one task
     large = checkpoint(parts.where("parts > 1"))
@@ -244,16 +246,25 @@ def _groups(texts: DataFrame, cells: DataFrame) -> DataFrame:
     groups = checkpoint(connected_components(links))
     if large.isEmpty():
         return groups
-    # of the big cells: what is not in the largest group meets every part
+    # of the large cells: what is not in the largest group meets whatever it may link to
     placed = cells.join(big, "cell").join(groups.withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
     most = placed.groupBy("cell", "root").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max(F.struct("n", "root")).alias("most"))
-    rest = placed.join(broadcast_if_small(checkpoint(most.select("cell", F.col("most.root").alias("largest")))), "cell").where("root <> largest").select("same", "doc_id", "cell", "parts")
-    rest = checkpoint(rest)
-    sizes = broadcast_if_small(checkpoint(rest.groupBy("cell").agg(F.ceil(F.count("*") / CELL_PART).cast("int").alias("rests"))))
-    asks = rest.join(sizes, "cell").select("same", "doc_id", "cell", F.pmod(F.xxhash64("same"), F.col("rests")).cast("int").alias("high"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("low"))
-    own = cut.drop("high").join(sizes, "cell").select("same", "doc_id", "cell", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("high"), "low")
-    more = _linked(texts, asks.unionByName(own))
-    return connected_components(links.unionByName(more))
+    most = broadcast_if_small(checkpoint(most.select("cell", F.col("most.root").alias("largest"))))
+    members = checkpoint(placed.join(most, "cell").select("same", "doc_id", "cell", "parts", (F.col("root") != F.col("largest")).alias("rest")))
+    whole = members.where(F.col("parts") <= KEYED_PARTS).select("same", "doc_id", "cell", "rest")
+    keyed = members.where(F.col("parts") > KEYED_PARTS).join(keys, "same").select("same", "doc_id", F.explode("keys").alias("cell"), "rest")
+    return connected_components(links.unionByName(_linked(texts, _meetings(whole.unionByName(keyed)))))
+
+
+def _meetings(members: DataFrame) -> DataFrame:
+    """members (same, doc_id, cell, rest) -> same, doc_id, cell, low, high: every part of a cell's rest with every part of the cell."""
+    sizes = members.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("rest").alias("r")).where("r > 0 and n > 1")
+    sizes = sizes.select("cell", F.ceil(F.col("n") / CELL_PART).cast("int").alias("parts"), F.ceil(F.col("r") / CELL_PART).cast("int").alias("rests"))
+    rows = members.join(broadcast_if_small(checkpoint(sizes)), "cell")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = rows.where("rest").select("same", "doc_id", "cell", each("parts").alias("low"), F.pmod(F.xxhash64("same"), F.col("rests")).cast("int").alias("high"))
+    own = rows.select("same", "doc_id", "cell", F.pmod(F.xxhash64("same"), F.col("parts")).cast("int").alias("low"), each("rests").alias("high"))
+    return asks.unionByName(own)
 
 
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
@@ -291,7 +302,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     found = _candidates(classes).unionByName(_same_fingerprints(classes.where("size > 0").select("node", "fp")))
     cells = connected_components(found).withColumnRenamed("root", "cell")
     placed = checkpoint(classes.select("same", "doc_id", "node").join(cells, "node").select("same", "doc_id", "cell"))
-    groups = _groups(own, placed).withColumnRenamed("node", "same")
+    groups = _groups(own, placed, classes.select("same", "keys")).withColumnRenamed("node", "same")
     grouped = classes.select("same", "doc_id").join(groups, "same", "left").withColumn("root", F.coalesce("root", "same"))
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("group_id"))
     return rows.select("doc_id", "same").join(grouped.join(least, "root").select("same", "root", "group_id"), "same")

@@ -135,9 +135,10 @@ def jaccard_roots(rows):
     return union(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if alike(sets[a], sets[b])])
 
 
-@pytest.mark.parametrize("part", [3_000, 4])
-def test_near_duplicate_groups(spark, monkeypatch, part):
+@pytest.mark.parametrize("part, keyed", [(3_000, 40), (4, 40), (4, 0)])
+def test_near_duplicate_groups(spark, monkeypatch, part, keyed):
     monkeypatch.setattr(simhash_dedup, "CELL_PART", part)
+    monkeypatch.setattr(simhash_dedup, "KEYED_PARTS", keyed)
     monkeypatch.setattr(simhash_dedup, "GROUP_PART", part * 2)
     rows = varied(90, 5) + [r for r in ODD if r[0] is not None]
     got = dict(map(tuple, simhash_dedup.near_duplicate_groups(docs(spark, rows)).collect()))
@@ -221,9 +222,11 @@ def test_repeated_ids_of_other_texts(spark):
     assert sorted(out) == sorted([(1, a), (5, c), (6, d), (6, e)])
 
 
-def test_a_large_cell_costs_in_proportion(spark, monkeypatch):
+@pytest.mark.parametrize("keyed, most", [(1000, 4), (0, 45)])
+def test_a_large_cell_costs_in_proportion(spark, monkeypatch, keyed, most):
     """Near copies of one text, and some that only a copy links to: all groups, few rows met."""
     monkeypatch.setattr(simhash_dedup, "CELL_PART", 40)
+    monkeypatch.setattr(simhash_dedup, "KEYED_PARTS", keyed)
     rng = np.random.default_rng(26)
     base = [f"w{k}" for k in range(300)]
     rows = []
@@ -241,7 +244,7 @@ def test_a_large_cell_costs_in_proportion(spark, monkeypatch):
     monkeypatch.setattr(simhash_dedup, "_linked", lambda texts, r: (met.append(r.count()), linked(texts, r))[1])
     got = dict(map(tuple, simhash_dedup.near_duplicate_groups(spark.createDataFrame(rows, SCHEMA)).collect()))
     assert set(got.values()) == {0} and len(got) == 2012
-    assert met[0] < 1.3 * 2012 and sum(met) < 4 * 2012
+    assert met[0] < 1.3 * 2012 and sum(met) < most * 2012
 
 
 def test_set_forest():
