@@ -49,6 +49,8 @@ RADIUS = 3
 GROUP_PART, CELL_PART, LEADERS = 20_000, 500, 8
 #: Parts of a cell beyond which its rest meets by key and not by part: a row has as many keys.
 KEYED_PARTS = BANDS
+#: Groups whose pairs a task holds at once.
+GROUPS = 1_000
 #: Most members of a group whose pairs are compared one by one.
 SMALL = 16
 _HASH = WordHasher()
@@ -175,7 +177,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
 
     @F.arrow_udf("array<struct<u:long,v:long>>")
     def search(groups: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in groups:
+        for batch in (whole.slice(at, GROUPS) for whole in groups for at in range(0, len(whole), GROUPS)):
             flat = batch.flatten()
             node, size, parity = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("node", "size", "parity"))
             parity = parity.view(np.uint64)
