@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHasher, broadcast_if_small, checkpoint, mix, pick, pieces
+from .common import BROADCAST_ROWS, WordHasher, broadcast_if_small, checkpoint, mix, pick, pieces
 from .components import connected_components
 from .simhash_index import links as near_fingerprints
 
@@ -230,7 +230,12 @@ def _linked(texts: DataFrame, rows: DataFrame) -> DataFrame:
         found = set_forest([shingle_set(text[s]) for s in same])
         return pa.table({"u": pa.array([same[a] for a, _ in found], pa.binary()), "v": pa.array([same[b] for _, b in found], pa.binary())})
 
-    return rows.select("same", "doc_id", "cell", "low", "high").join(texts, "doc_id").groupBy("cell", "low", "high").applyInArrow(link, "u binary, v binary")
+    rows = checkpoint(rows.select("same", "doc_id", "cell", "low", "high"))
+    # where few documents meet, the texts of the others stay where they are
+    few = checkpoint(rows.select("doc_id").distinct())
+    if few.count() <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(few), "doc_id", "left_semi")
+    return rows.join(texts, "doc_id").groupBy("cell", "low", "high").applyInArrow(link, "u binary, v binary")
 
 
 def _groups(texts: DataFrame, cells: DataFrame, keys: DataFrame) -> DataFrame:
