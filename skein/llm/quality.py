@@ -12,6 +12,7 @@ repeated neighbours in the text, each family in BITS bits.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,17 +29,18 @@ BITS = 14
 SAMPLE_ROWS = 6_000
 FOLDS, HELD_OUT = 5, 1
 _SHAPES = [(re.compile(p), s) for p, s in ((r"[A-ZÀ-ÖØ-Þ]{2,}", "U"), (r"[A-ZÀ-ÖØ-Þ]", "u"), (r"[^\W\d_]+", "a"), (r"\d+", "0"))]
-_SEEN: dict[str, tuple[int, int]] = {}
+#: word -> hashes of the word and of its shape, packed
+_SEEN: dict[str, bytes] = {}
 #: Hashes of "differs from the word before" and "repeats it".
 _SAME = mix(np.array([77, 78], np.uint64))
 
 
-def _word(w: str) -> tuple[int, int]:
+def _word(w: str) -> bytes:
     shape = w
     for pattern, mark in _SHAPES:
         shape = pattern.sub(mark, shape)
     of = lambda s: xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), 17)
-    return of(w.lower()), of("shape " + shape[:12] + str(min(len(w) // 8, 4)))
+    return struct.pack("<QQ", of(w.lower()), of("shape " + shape[:12] + str(min(len(w) // 8, 4))))
 
 
 def occurrences(text: str | None) -> tuple[np.ndarray, int]:
@@ -48,7 +50,7 @@ def occurrences(text: str | None) -> tuple[np.ndarray, int]:
     for w in words:
         if w not in _SEEN:
             _SEEN[w] = _word(w)
-    both = np.fromiter(map(_SEEN.__getitem__, words), np.dtype((np.uint64, 2)), len(words))
+    both = np.frombuffer(b"".join(map(_SEEN.__getitem__, words)), "<u8").reshape(-1, 2)
     word, shape = both[:, 0], both[:, 1]
     same = (word[1:] == word[:-1]).astype(np.intp)
     parts = [word, shape, mix(shape[1:] * np.uint64(3) + shape[:-1]), _SAME[same]]
