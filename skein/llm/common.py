@@ -6,6 +6,7 @@ cleared at a fixed size and when another operator's cache is used in the worker.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import zlib
 from collections.abc import Iterator
@@ -17,13 +18,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words kept in a worker's hash cache before it is emptied.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 #: Bytes of text that a text function holds as Python strings at once (a longer text is alone).
 PIECE_BYTES = 4 << 20
 #: Rows of a narrow table that are broadcast at most (some 10 MB); beyond, it is joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Bytes of text that a training sample brings to the driver at most.
 SAMPLE_BYTES = 64 << 20
+#: Parts in which it comes.
+SAMPLE_PARTS = 16
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -149,6 +152,11 @@ class Sample:
     def __len__(self) -> int:
         return self.table.num_rows
 
+    def release(self) -> None:
+        """Give the texts' memory back."""
+        self.table = self.table.slice(0, 0)
+        pa.default_memory_pool().release_unused()
+
     def __iter__(self) -> Iterator[tuple[str, object]]:
         for batch in self.table.to_batches(max_chunksize=256):
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -169,7 +177,12 @@ def texts_of(docs: DataFrame, chosen: DataFrame, label: str, n: int, limit: int
     if not kept:
         return Sample(pa.table({"text": pa.array([], pa.string()), "label": pa.array([], pa.string())}))
     edge = sizes[kept - 1]["h"]
-    return Sample(joined.where(F.col("h") <= edge).orderBy(*order, "text").limit(kept).select("text", label).toArrow())
+    some = joined.where(F.col("h") <= edge).repartitionByRange(SAMPLE_PARTS, "h").sortWithinPartitions(*order, "text").select("text", label)
+    # part by part, so that the driver's JVM never holds the whole sample
+    rows, tables = itertools.islice(some.toLocalIterator(), kept), []
+    while part := list(itertools.islice(rows, 256)):
+        tables.append(pa.table({"text": pa.array([r[0] for r in part], pa.string()), "label": pa.array([r[1] for r in part])}))
+    return Sample(pa.concat_tables(tables))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, n: int) -> Sample:

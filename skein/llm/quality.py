@@ -92,6 +92,9 @@ def train(rows: Sample | list[tuple[str, int]], epochs: int = 6, rate: float = 0
         return OrdinalModel(weight, np.zeros(0), grades or [0])
     y = np.array([grades.index(g) for _, g in rows])
     x = [features(t) for t, _ in rows]
+    _SEEN.clear()
+    if isinstance(rows, Sample):
+        rows.release()
     n = len(grades) - 1
     share = np.clip([(y <= k).mean() for k in range(n)], 0.01, 0.99)
     start = np.log(share / (1 - share))

@@ -30,7 +30,7 @@ from .common import pick, pieces, use_cache
 
 MARK = "▁"
 #: Chunks remembered by a worker before its cache is emptied; longer ones are not kept.
-CACHE_CHUNKS, CACHE_CHARS = 500_000, 48
+CACHE_CHUNKS, CACHE_CHARS = 250_000, 48
 #: New chunks in one string.
 JOINED = 32
 #: Fixed values of the public model format: kinds of pieces and of models.

@@ -72,6 +72,8 @@ def train(
         i = np.unique(features(t, bits))
         x.append(i[seen[i] >= least].astype(np.int32))
     _HASH.seen.clear()
+    if isinstance(rows, Sample):
+        rows.release()
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     zb = nb = 0.0
 

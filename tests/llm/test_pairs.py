@@ -222,6 +222,23 @@ def test_repeated_ids_of_other_texts(spark):
     assert sorted(out) == sorted([(1, a), (5, c), (6, d), (6, e)])
 
 
+def test_groups_of_real_documents(spark, sf_dir):
+    """All pairs of sf0.01 compared as sets of word tuples."""
+    table = spark.read.parquet(sf_dir.replace("0.001", "0.01") + "/documents.parquet")
+    rows = table.select("doc_id", "text").collect()
+    sets = []
+    for r in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r["text"] or ""))
+        sets.append(frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset())
+    size = np.array(list(map(len, sets)))
+    pairs = [(a, b) for a in range(len(sets)) for b in np.flatnonzero((5 * size[:a] >= 4 * size[a]) & (4 * size[:a] <= 5 * size[a])).tolist() if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    roots = union(len(sets), pairs)
+    least = {}
+    for k, r in enumerate(rows):
+        least[roots[k]] = min(r["doc_id"], least.get(roots[k], r["doc_id"]))
+    assert dict(map(tuple, simhash_dedup.near_duplicate_groups(table).collect())) == {r["doc_id"]: least[roots[k]] for k, r in enumerate(rows)}
+
+
 @pytest.mark.parametrize("keyed, most", [(1000, 4), (0, 45)])
 def test_a_large_cell_costs_in_proportion(spark, monkeypatch, keyed, most):
     """Near copies of one text, and some that only a copy links to: all groups, few rows met."""
