@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Words kept in a worker's hash cache before it is emptied.
 CACHE_WORDS = 150_000
+#: Rows of an Arrow batch, which JVM and Python both hold, and Spark's default.
+ARROW_ROWS, DEFAULT_ROWS = 500, "10000"
 #: Bytes of text that a text function holds as Python strings at once (a longer text is alone).
 PIECE_BYTES = 4 << 20
 #: Rows of a narrow table that are broadcast at most (some 10 MB); beyond, it is joined by shuffle.
@@ -43,6 +45,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Give Arrow batches ARROW_ROWS rows where the session has Spark's own default, the same for
+    all operators; a setting of the user's stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) == DEFAULT_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def _cut(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
     """(start, length) of runs of at most `limit` bytes of text (one value at least). Spark
     bounds the batches themselves by its maxBytesPerBatch."""

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, pick, pieces
+from .common import WordHasher, bound_batches, pick, pieces
 
 #: Element names of the HTML standard.
 BLOCK_TAGS = frozenset(
@@ -519,6 +519,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     repeated rows and null ids stay as they are; the network is trained on the
     driver at the first use in a process, which takes about a minute; an empty table gives an empty result; other columns are ignored.
     """
+    bound_batches(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(trained())
 
     @F.arrow_udf("string")

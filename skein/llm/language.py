@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Sample, broadcast_if_small, checkpoint, fold, pick, pieces, texts_of
+from .common import Sample, bound_batches, broadcast_if_small, checkpoint, fold, pick, pieces, texts_of
 
 WINDOW = 192
 WIDTHS = (2, 3, 5)
@@ -161,6 +161,7 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = SAMPLE
 
 def identifier(spark, net: ByteCnn):
     """A column function text -> struct(lang_pred, score); the broadcast network has some thousand weights."""
+    bound_batches(spark)
     sent = spark.sparkContext.broadcast(net)
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pick, row_pieces
+from .common import bound_batches, mix, pick, row_pieces
 
 BINS = 64
 FIRST_LEVEL = 2
@@ -225,6 +225,7 @@ def document_prints(docs: DataFrame) -> DataFrame:
             prints = fingerprint_many(texts)
             yield _rows([None] * len(texts), texts, texts, prints, prints)
 
+    bound_batches(docs.sparkSession)
     rows = pick(docs, "doc_id", "text")
     ordered = _in_order(rows.where("doc_id is not null")).mapInArrow(run, SCHEMA)
     return ordered.unionByName(rows.where("doc_id is null").mapInArrow(alone, SCHEMA))

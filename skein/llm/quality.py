@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, Sample, fold, labelled_sample, mix, pick, pieces, use_cache
+from .common import CACHE_WORDS, Sample, bound_batches, fold, labelled_sample, mix, pick, pieces, use_cache
 
 BITS = 14
 #: Labelled rows that training reads at most.
@@ -144,6 +144,7 @@ def quality_grades(docs: DataFrame, graded: DataFrame, reach: int = 1, rows: int
     empty result; other columns are ignored.
     """
     model = train(labelled_sample(docs, graded, "grade", FOLDS, HELD_OUT, rows))
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<expected_grade:double,tail_probability:double>")

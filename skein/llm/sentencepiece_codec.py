@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, pieces, use_cache
+from .common import bound_batches, pick, pieces, use_cache
 
 MARK = "▁"
 #: Chunks remembered by a worker before its cache is emptied; longer ones are not kept.
@@ -234,6 +234,7 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, text: str =
         data = f.read()
     if wrong := verify_parity(data, PROBES):
         raise ValueError(f"no parity on {wrong}")
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(data)
 
     @F.arrow_udf("struct<token_ids:array<int>,round_trip:boolean>")

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WordHasher, broadcast_if_small, checkpoint, mix, pick, pieces
+from .common import BROADCAST_ROWS, WordHasher, bound_batches, broadcast_if_small, checkpoint, mix, pick, pieces
 from .components import connected_components
 from .simhash_index import links as near_fingerprints
 
@@ -287,6 +287,7 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
 
 def _grouped(docs: DataFrame) -> DataFrame:
     """near_duplicate_groups with the class of each row, same, and the name of its group, root."""
+    bound_batches(docs.sparkSession)
     own = pick(docs, "doc_id", "text").where("doc_id is not null")
 
     @F.arrow_udf("struct<same:binary,size:long,parity:long,fp:long,keys:array<long>>")

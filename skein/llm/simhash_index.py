@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, pick, pieces
+from .common import bound_batches, checkpoint, pick, pieces
 from .components import connected_components
 
 SEED = 42
@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
         for own in pieces(texts):
             yield pa.array(np.array([fingerprint(t, k) for t in own], np.uint64).view(np.int64))
 
+    bound_batches(docs.sparkSession)
     return pick(docs, "doc_id", "text").select("doc_id", of("text").alias("fp"))
 
 

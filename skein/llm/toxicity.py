@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sample, WordHasher, fold, labelled_sample, mix, pick, pieces
+from .common import Sample, WordHasher, bound_batches, fold, labelled_sample, mix, pick, pieces
 
 BITS = 20
 #: Labelled rows that training reads at most.
@@ -107,6 +107,7 @@ def score_texts(model: FtrlModel, dense: np.ndarray, texts: list[str | None]) ->
 
 def scorer(spark, model: FtrlModel):
     """A column function text -> score with the model broadcast (its size is bounded by 2**BITS weights)."""
+    bound_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
