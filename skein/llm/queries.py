@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cross_polytope, html_labeller, language, licenses, mixing, phrase_prints, quality, sentencepiece_codec, simhash_index, toxicity
+from . import centroids, cross_polytope, fill_in_middle, html_labeller, language, licenses, mixing, phrase_prints, quality, sentencepiece_codec, sharding, simhash_index, toxicity
 from .common import table
 
 
@@ -61,9 +61,30 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of the embeddings around 8 centroids after 10 rounds."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, seed=3)
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document in a tree of 40 shards, and its shard in one of 41."""
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.Tree.even(40))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts, form and digests of every document's rearranged text."""
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (
+    op1_neighbours, op2_html, op3_mixing, op4_simhash, op5_toxicity, op6_quality, op7_licenses, op8_sentencepiece, op9_fingerprints, op10_language,
+    op11_centroids, op12_sharding, op13_fill_in_middle,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neighbours, op2_html, op3_mixing, op4_simhash, op5_toxicity, op6_quality, op7_licenses, op8_sentencepiece, op9_fingerprints, op10_language)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_centroids": centroids.CLUSTER_SQL, "op12_sharding": sharding.SHARD_SQL, "op13_fill_in_middle": fill_in_middle.DIGEST_SQL}
