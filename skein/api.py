@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text, udfs
+from .functions.fuzzy import fuzzy
 from .operators import render, search
 from .operators.store import Store
 from .schema import PROVIDERS, Filters
@@ -53,7 +54,7 @@ class Engine:
         return search.list_recent(self.store.table("sessions"), f)
 
     def search(self, query: str, f: Filters, repo: str | None = None, as_of: str | None = None, prefilter: bool = False) -> DataFrame:
-        return search.search(self.store.table("sessions"), self.store.table("transcripts"), query, f, as_of or self.now(), repo, self.store.index(), udfs.fuzzy, udfs.snippet, prefilter)
+        return search.search(self.store.table("sessions"), self.store.table("transcripts"), query, f, as_of or self.now(), repo, self.store.index(), fuzzy, udfs.snippet, prefilter)
 
     def resolve(self, value: str):
         return search.resolve_one(self.store.rows(), value)

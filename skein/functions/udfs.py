@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from .text import LOWER, UPPER
 
 _ASCII = str.maketrans(UPPER, LOWER)
-#: Scores of the fuzzy matcher.
-MATCH, GAP_START, GAP_MORE, HEAD, BREAK, CAMEL, RUN, CASE, FIRST = 16, -3, -1, 8, 7, 6, 4, -2, 2
 
 
 def compact(value: str) -> str:
@@ -50,46 +48,6 @@ def snippet_of(value: str | None, query: str, n: int = 160) -> str:
     return truncate(body, n)
 
 
-def fuzzy_score(value: str | None, pattern: str) -> int:
-    """Best score of the pattern as a subsequence of value, 0 if it is none. Case counts if the
-    pattern has an upper-case letter. Every pattern character scores MATCH and what its place
-    and neighbourhood add; gaps cost. An empty pattern scores 0."""
-    value = value or ""
-    if not pattern or len(pattern) > len(value):
-        return 0
-    smart = any(c.isupper() for c in pattern)
-    same = (lambda a, b: a == b) if smart else (lambda a, b: a.lower() == b.lower())
-
-    def bonus(k: int) -> int:
-        if k == 0:
-            return HEAD
-        before, own = value[k - 1], value[k]
-        if not before.isalnum():
-            return BREAK
-        return CAMEL if before.islower() and own.isupper() else 0
-
-    best: list[int | None] = [None] * len(value)  # score of a match that ends here
-    for p, want in enumerate(pattern):
-        new: list[int | None] = [None] * len(value)
-        open_gap: int | None = None  # best earlier end with the gap's cost so far
-        for k, own in enumerate(value):
-            if k >= 2 and best[k - 2] is not None:
-                open_gap = max(x for x in (open_gap + GAP_MORE if open_gap is not None else None, best[k - 2] + GAP_START) if x is not None)
-            elif open_gap is not None:
-                open_gap += GAP_MORE
-            if not same(own, want):
-                continue
-            gain = MATCH + bonus(k) * (FIRST if p == 0 else 1) + (CASE if own != want else 0)
-            if p == 0:
-                new[k] = gain
-                continue
-            near = best[k - 1] + RUN if k and best[k - 1] is not None else None
-            came = [x for x in (near, open_gap) if x is not None]
-            new[k] = max(came) + gain if came else None
-        best = new
-    return max((x for x in best if x is not None), default=0)
-
-
 _HEADER = re.compile(r"\[[^\]]*\](.*)\Z", re.S)
 
 
@@ -200,13 +158,6 @@ def snippet(c: Column, query: str, n: int = 160) -> Column:
     return _on_texts(functools.partial(snippet_of, query=query, n=n), "string")(c)
 
 
-def fuzzy(c: Column, query: str) -> Column:
-    """fuzzy_score of c; only values that hold the query as a subsequence go through Python."""
-    flags = "(?s)" if any(ch.isupper() for ch in query) else "(?siu)"
-    letters = [re.sub(r"([^\w\s]|_)", r"\\\1", ch) for ch in query]
-    return _on_texts(functools.partial(fuzzy_score, pattern=query), "long")(F.when(c.rlike(flags + ".*".join(letters)), c))
-
-
 def between_tags(c: Column, tag: str) -> Column:
     return _on_texts(functools.partial(tagged, tag=tag), "string")(c)
 

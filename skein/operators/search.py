@@ -47,12 +47,10 @@ def with_transcripts(sessions: DataFrame, transcripts: DataFrame | None) -> Data
     return sessions.join(own, "id", "left").withColumn("transcript_text", F.coalesce("transcript_text", F.lit("")))
 
 
-def _source_score(value: Column, whole: int, query: str, words: list[str], fuzzy: Column | None) -> tuple[Column, Column]:
-    """(score, number of the query's words) of one source."""
-    low = text.ascii_lower(value)
-    hits = functools.reduce(lambda a, b: a + b, [F.contains(low, F.lit(w)).cast("int") for w in words], F.lit(0))
-    score = F.when(F.contains(low, F.lit(query)), whole).otherwise(0) + hits * TOKEN_SCORE
-    return (score if fuzzy is None else score + fuzzy), hits
+def _once(rows: DataFrame, **made: Column) -> DataFrame:
+    """rows with columns that are computed once: unfolded from an array of one, so that the optimizer
+    does not copy them into each use."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in made.items())))))
 
 
 def recency(updated: Column, as_of: Column) -> Column:
@@ -68,26 +66,23 @@ def ranked(rows: DataFrame, query: str, as_of, current_repo: str | None = None,
     it the score is exact substring matching, recency and repository alone.
     """
     low = query.translate(str.maketrans(text.UPPER, text.LOWER))
-    words = low.split()
-    scores, hits = [], []
-    for name, column, whole in SOURCES:
-        value = F.coalesce(F.col(column), F.lit(""))
-        s, h = _source_score(value, whole, low, words, fuzzy(value, query) if fuzzy and name in FUZZY_SOURCES else None)
-        scores.append(s)
-        hits.append(h)
-    out = rows.select("*", *(s.cast("long").alias(f"s_{n}") for s, (n, _, _) in zip(scores, SOURCES)), F.greatest(*hits).alias("most_hits") if words else F.lit(0).alias("most_hits"))
-    each = [F.col(f"s_{n}") for n, _, _ in SOURCES]
-    best, source, value = F.greatest(*each), F.lit(SOURCES[0][0]), F.coalesce(F.col("title"), F.lit(""))
-    for name, column, _ in reversed(SOURCES):
-        source = F.when(F.col(f"s_{name}") == best, name).otherwise(source)
-        value = F.when(F.col(f"s_{name}") == best, F.coalesce(F.col(column), F.lit(""))).otherwise(value)
-    score = functools.reduce(lambda a, b: a + b, each) + recency(F.col("updated_at"), text.as_timestamp(as_of))
+    words, names = low.split(), [n for n, _, _ in SOURCES]
+    out = _once(rows, **{f"_v_{n}": F.coalesce(F.col(c), F.lit("")) for n, c, _ in SOURCES})
+    out = _once(out, **{f"_l_{n}": text.ascii_lower(F.col(f"_v_{n}")) for n in names})
+    near = {n: F.col(f"_f_{n}") for n in FUZZY_SOURCES} if fuzzy else {}
+    out = out.select("*", *(fuzzy(F.col(f"_v_{n}"), query).alias(f"_f_{n}") for n in near))
+    hits = {n: functools.reduce(lambda a, b: a + b, [F.contains(f"_l_{n}", F.lit(w)).cast("int") for w in words], F.lit(0)) for n in names}
+    out = _once(out, **{f"_h_{n}": hits[n] for n in names}, **{f"_w_{n}": F.when(F.contains(f"_l_{n}", F.lit(low)), whole).otherwise(0) for n, _, whole in SOURCES})
+    each = {n: F.col(f"_w_{n}") + F.col(f"_h_{n}") * TOKEN_SCORE + near.get(n, F.lit(0)) for n in names}
+    best, source, value = F.greatest(*each.values()), F.lit(names[0]), F.col(f"_v_{names[0]}")
+    for n in reversed(names):
+        source, value = F.when(each[n] == best, n).otherwise(source), F.when(each[n] == best, F.col(f"_v_{n}")).otherwise(value)
+    score = functools.reduce(lambda a, b: a + b, each.values()) + recency(F.col("updated_at"), text.as_timestamp(as_of))
     if len(words) > 1:
-        score = score + F.when(F.col("most_hits") == len(words), ALL_TOKENS_SCORE).otherwise(0)
+        score = score + F.when(F.greatest(*(F.col(f"_h_{n}") for n in names)) == len(words), ALL_TOKENS_SCORE).otherwise(0)
     if current_repo is not None:
         score = score + F.when(F.coalesce(F.col("repo_root") == current_repo, F.lit(False)), REPO_SCORE).otherwise(0)
-    out = out.withColumn("match_source", source).withColumn("match_value", value).withColumn("score", score.cast("long"))
-    return out.drop("most_hits", *(f"s_{n}" for n, _, _ in SOURCES))
+    return out.select(*rows.columns, source.alias("match_source"), value.alias("match_value"), score.cast("long").alias("score"))
 
 
 def search(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text, udfs
+from ..functions import fuzzy, text, udfs
 from ..operators import fts, ingest, render, search, store
 from ..schema import Filters
 from ..sources import files
@@ -114,14 +114,14 @@ def skip_filter(spark, d):
     return views.table(spark, d, "conversations").select("conv_id", "turn", text.skipped(marked, F.col("conv_id") % 2 == 0).alias("skipped"))
 
 
-def _rank_sql(q: str, repo: str | None = None, fields=search.SOURCES, base: str = "sessions", recency: bool = True) -> str:
+def _rank_sql(q: str, repo: str | None = None, fields=search.SOURCES, base: str = "sessions", recency: bool = True, near: tuple = ()) -> str:
     low = q.lower()
     words = low.split()
     parts, hits = [], []
     for name, column, whole in fields:
         v = views.ASCII.format(f"coalesce({column}, '')")
         h = " + ".join(f"cast(contains({v}, '{w}') as int)" for w in words) or "0"
-        parts.append(f"case when contains({v}, '{low}') then {whole} else 0 end + ({h}) * 40 as s_{name}, {h} as h_{name}")
+        parts.append(f"case when contains({v}, '{low}') then {whole} else 0 end + ({h}) * 40{f' + f_{name}' if name in near else ''} as s_{name}, {h} as h_{name}")
         hits.append(f"h_{name}")
     best = f"greatest({', '.join(f's_{n}' for n, _, _ in fields)})"
     source = "case " + " ".join(f"when s_{n} = {best} then '{n}'" for n, _, _ in fields) + " end"
@@ -446,6 +446,37 @@ def tagged_counts(spark, d):
     return rows.select(udfs.between_tags(own, "t").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-@query()
+def _fuzzy_sql(q: str, columns: dict[str, str], base: str = "sessions") -> str:
+    """fuzzy(id, name, fuzzy): the best alignment of a lower-case query in each column, a step for each of its
+    characters: m is the best score with this character matched at j, p with j skipped, b what a run earns."""
+    lit = lambda x: "'" + x.replace("'", "''") + "'"
+    kind = lambda c: f"case when contains({lit(fuzzy.HARD)}, {c}) then 'h' when contains({lit(fuzzy.SOFT)}, {c}) then 's' when {c} between 'A' and 'Z' then 'u' else 'l' end"
+    values = " union all ".join(f"select id, {lit(n)} as name, coalesce({c}, '') as value from {base}" for n, c in columns.items())
+    steps, own = "", "partition by id, name order by j"
+    for k, ch in enumerate(q):
+        low = -1 if k == 0 else -1000000
+        steps += f""",
+fz_e{k} as (select *, greatest(coalesce(lag(b) over ({own}), 0), place, 4) as e, coalesce(lag(m) over ({own}), -1000000) as pm, coalesce(lag(p) over ({own}), {low}) as pp from fz{k}),
+fz_m{k} as (select id, name, j, ch, place, case when pm + e >= pp + place then e else place end as b,
+  case when {views.ASCII.format("ch")} = {lit(ch)} then greatest(pm + e, pp + place) + case when ch = {lit(ch)} then 16 else 14 end else -1000000 end as m from fz_e{k}),
+fz{k + 1} as (select *, coalesce(max(m + j) over ({own} rows between unbounded preceding and 1 preceding), -1000000) - j - 3 as p from fz_m{k})"""
+    return f"""fz_values as ({values}),
+fz_places as (select id, name, value, unnest(range(1, length(value) + 1)) as j from fz_values),
+fz_chars as (select id, name, j, substring(value, j, 1) as ch, substring(value, j - 1, 1) as before from fz_places),
+fz0 as (select id, name, j, ch, case when j = 1 then 16 when {kind("before")} = 'h' then 8 when {kind("before")} = 's' then 7 when {kind("ch")} = 'u' and {kind("before")} = 'l' then 6 else 0 end as place, 0 as b, -1000000 as m, -1 as p from fz_chars){steps},
+fuzzy as (select v.id, v.name, cast(coalesce(max(f.m) filter (f.m > 0), 0) as bigint) as fuzzy from fz_values v left join fz{len(q)} f using (id, name) group by v.id, v.name)"""
+
+
+@query(_sessions_sql("select id, fuzzy from fuzzy", ", " + _fuzzy_sql("undder", {"title": "title"})))
 def fuzzy_title(spark, d):
-    return views.sessions(spark, d).select("id", udfs.fuzzy(F.col("title"), "undder").alias("fuzzy"))
+    return views.sessions(spark, d).select("id", fuzzy.fuzzy(F.col("title"), "undder").alias("fuzzy"))
+
+
+FUZZY_QUERY = "unddr src"
+
+
+@query(_sessions_sql(_TOP + "20", ", " + _fuzzy_sql(FUZZY_QUERY, {n: c for n, c, _ in search.SOURCES if n in search.FUZZY_SOURCES}) + f""",
+near as (select id, {', '.join(f"max(fuzzy) filter (name = '{n}') as f_{n}" for n in search.FUZZY_SOURCES)} from fuzzy group by id), pool as (select * from sessions join near using (id))""" + _rank_sql(FUZZY_QUERY, base="pool", near=search.FUZZY_SOURCES)))
+def search_fuzzy(spark, d):
+    """Ranked search as the engine runs it, fuzzy scores included."""
+    return search.search(views.sessions(spark, d), None, FUZZY_QUERY, Filters(limit=20), views.AS_OF, fuzzy=fuzzy.fuzzy).select(*HIT)

@@ -90,13 +90,6 @@ def test_snippet():
     assert udfs.snippet_of("a  b\tc", "zz d", 160) == "a b c" and udfs.snippet_of("x" * 30, "q", 10) == "x" * 7 + "..."
 
 
-def test_fuzzy():
-    assert udfs.fuzzy_score("foo bar", "fb") > 0 and udfs.fuzzy_score("foo bar", "bf") == 0
-    assert udfs.fuzzy_score("fooBar", "B") > 0 and udfs.fuzzy_score("foobar", "B") == 0  # smart case
-    assert udfs.fuzzy_score("foobar", "foo") > udfs.fuzzy_score("fxoxo", "foo")
-    assert udfs.fuzzy_score("x", "") == 0 and udfs.fuzzy_score(None, "x") == 0
-
-
 def turn(role, body):
     return f"[2024-05-06 07:08:09 UTC] {role}\n{body}"
 
@@ -122,12 +115,6 @@ def test_text_in():
     assert udfs.text_in([1, None, "  ", {"args": {"text": "no"}}]) == "" and udfs.text_in("\u00a0x ") == "x"
 
 
-def test_fuzzy_column_is_the_model(spark):
-    values = ["foo bar", "FooBar", "f.o*o", "", None, "oof", "f\noo", "ſoo", "Ünder foo"]
-    for q in ("foo", "Fo", "f.o", "ü", "", "s"):
-        assert column(spark, values, lambda c, q=q: udfs.fuzzy(c, q)) == [udfs.fuzzy_score(v, q) for v in values]
-
-
 def test_scan_is_the_index(spark):
     from skein.operators import fts
 
