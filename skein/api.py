@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import re
 import shlex
 import shutil
 
@@ -22,17 +23,22 @@ BINARIES = {"claude": "claude", "codex": "codex", "cursor": "cursor"}
 SAMPLES = {"claude": "claude --resume <session-id>", "codex": "codex resume <session-id>", "cursor": "not supported", "antigravity": "N/A"}
 
 
+#: A date, or a date and a time with an offset, as RFC 3339 has them.
+RFC3339 = re.compile(r"(\d{4}-\d{2}-\d{2})(?:[Tt ](\d{2}:\d{2}:\d{2}(?:\.\d+)?)([Zz]|[+-]\d{2}:\d{2}))?")
+
+
 def parse_since(value: str) -> dt.datetime:
-    """A date, or a time with an offset, as UTC."""
+    """A date, or a time with an offset, as UTC; digits of a second after the sixth are cut off."""
+    m = RFC3339.fullmatch(value)
     try:
-        at = dt.datetime.fromisoformat(value.replace("z", "Z"))
-    except ValueError:
+        if m is None or not value.isascii():
+            raise ValueError
+        if m[2] is None:
+            return dt.datetime.fromisoformat(m[1])
+        at = dt.datetime.fromisoformat(f"{m[1]}T{m[2][:15]}{m[3].upper()}")
+        return at.astimezone(dt.timezone.utc).replace(tzinfo=None)
+    except (ValueError, OverflowError):
         raise ValueError(f"invalid --since value: {value}") from None
-    if at.tzinfo is None:
-        if len(value) != 10:
-            raise ValueError(f"invalid --since value: {value}")
-        return at
-    return at.astimezone(dt.timezone.utc).replace(tzinfo=None)
 
 
 def current_repo(config: Config) -> str | None:
@@ -57,7 +63,7 @@ class Engine:
         return search.search(self.store.table("sessions"), self.store.table("transcripts"), query, f, as_of or self.now(), repo, self.store.index(), fuzzy, udfs.snippet, prefilter)
 
     def resolve(self, value: str):
-        return search.resolve_one(self.store.rows(), value)
+        return self.store.find(value).first()
 
     def counts_by_provider(self) -> DataFrame:
         return search.counts_by_provider(self.store.table("sessions"))
@@ -110,8 +116,7 @@ class Engine:
 
     def _shown(self, value: str, shape) -> str:
         """What shape gives for the one session that value names."""
-        session = self.resolve(value)
-        return self.store.rows().where(F.col("id") == session["id"]).select(shape.alias("t")).first()["t"]
+        return self.store.find(value).select(shape.alias("t")).first()["t"]
 
     def session_text(self, value: str, max_lines: int | None = None) -> str:
         return self._shown(value, render.session_text(max_lines))

@@ -63,10 +63,10 @@ def paths_text(config: Config) -> str:
     return "\n".join(f"{k}: {v}" for k, v in [*lines, ("Codex metadata home", config.codex_home)])
 
 
-def progress(seen: int, updated: int) -> None:
-    """Says on standard error how far a long refresh is."""
+def progress(seen: int, updated: int, done: int) -> None:
+    """Says on standard error, in one line that is written over, how far a long refresh is."""
     if seen >= LONG and updated:
-        print(f"indexing: {updated} of {seen} files", file=sys.stderr)
+        print(f"\rindexing: {done} of {updated} changed files ({seen} found)", end="\n" if done == updated else "", file=sys.stderr, flush=True)
 
 
 def run(args: argparse.Namespace, engine: Engine) -> str:

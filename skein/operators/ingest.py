@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text, udfs
 from ..sources import files as source
 
-LINE = "provider string, source_path string, mtime_ns long, size_bytes long, line_no long, session_id string, cwd string, ts string, start string, role string, text string, is_meta boolean, last_prompt string"
-_FIELDS = ("session_id", "cwd", "ts", "start", "role", "text", "is_meta", "last_prompt")
+FIELDS = "session_id string, cwd string, ts string, start string, role string, text string, is_meta boolean, last_prompt string"
+_KINDS = pa.schema([(f.split()[0], pa.bool_() if f.endswith("boolean") else pa.string()) for f in FIELDS.split(", ")])
 NO_PREVIEW, FAILED = "(no preview available)", "(parse failed)"
 ROLES = {"USER_EXPLICIT": "user", "USER": "user", "MODEL": "assistant"}
 
@@ -78,23 +78,29 @@ def lines_of(content: str) -> list[str]:
     return [p.removesuffix("\r") for p in parts]
 
 
+def decoded_line(provider: str, line: str) -> dict:
+    """The fields of a line; blank and broken ones have none."""
+    value = udfs.json_line(line) if line.strip() else None
+    return DECODERS[provider](value) if value is not None else {}
+
+
+def read(files: DataFrame, range_bytes: int | None = None, counted=None) -> DataFrame:
+    """The decoded lines of listed files, read in byte ranges."""
+    return source.read_lines(files, decoded_line, _KINDS, FIELDS, range_bytes, counted)
+
+
 def decoded(contents: DataFrame) -> DataFrame:
-    """A row for each line of each readable file, numbered from 1, and a row 0 for the file
-    itself; blank and broken lines have no fields."""
+    """As read, of files that come with their content or the error of reading it; place numbers the lines from 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"is_meta": pa.bool_()}
         for batch in batches:
             for row in batch.to_pylist():
-                values = [{}]
-                for line in lines_of(row["content"]):
-                    value = udfs.json_line(line) if line.strip() else None
-                    values.append(DECODERS[row["provider"]](value) if value is not None else {})
+                values = [{}, *(decoded_line(row["provider"], line) for line in lines_of(row["content"] or ""))]
                 n = len(values)
-                head = [pa.array([row["provider"]] * n), pa.array([row["source_path"]] * n), pa.array([row["mtime_ns"]] * n, pa.int64()), pa.array([row["size_bytes"]] * n, pa.int64()), pa.array(range(n), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*head, *(pa.array([v.get(f) for v in values], kinds.get(f, pa.string())) for f in _FIELDS)], names=["provider", "source_path", "mtime_ns", "size_bytes", "line_no", *_FIELDS])
+                head = [pa.array([row["provider"]] * n), pa.array([row["source_path"]] * n), pa.array([row["mtime_ns"]] * n, pa.int64()), pa.array([row["size_bytes"]] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([row["error"]] * n, pa.string())]
+                yield pa.RecordBatch.from_arrays([*head, *(pa.array([v.get(f.name) for v in values], f.type) for f in _KINDS)], names=["provider", "source_path", "mtime_ns", "size_bytes", "place", "error", *_KINDS.names])
 
-    return contents.where("error is null").select("provider", "source_path", "mtime_ns", "size_bytes", "content").mapInArrow(run, LINE)
+    return contents.select("provider", "source_path", "mtime_ns", "size_bytes", "content", "error").mapInArrow(run, f"{source.PLACED}, {FIELDS}")
 
 
 def messages(lines: DataFrame) -> DataFrame:
@@ -110,7 +116,7 @@ def messages(lines: DataFrame) -> DataFrame:
 
 def folded(rows: DataFrame) -> DataFrame:
     """One row for each file: the folds of its lines in file order."""
-    n = F.col("line_no")
+    n = F.col("place")
     first = lambda c, when: F.min_by(F.when(when, c), F.when(when & c.isNotNull(), n))
     last = lambda c, when: F.max_by(F.when(when, c), F.when(when & c.isNotNull(), n))
     any_line, kept = F.lit(True), F.col("kept")
@@ -118,9 +124,10 @@ def folded(rows: DataFrame) -> DataFrame:
     timed = kept | (F.col("provider") == "antigravity")
     line = text.transcript_line(F.col("role"), F.col("at"), F.col("text"))
     prompt = F.when(text.substantive(F.col("last_prompt")), F.col("last_prompt"))
-    body = F.transform(F.array_sort(F.collect_list(F.when(kept, F.struct("line_no", line.alias("line"))))), lambda x: x["line"])
+    body = F.transform(F.array_sort(F.collect_list(F.when(kept, F.struct("place", line.alias("line"))))), lambda x: x["line"])
     return rows.groupBy("provider", "source_path").agg(
-        F.first("mtime_ns").alias("mtime_ns"), F.first("size_bytes").alias("size_bytes"), F.first("mtime").alias("mtime"), F.max(n).alias("line_count"),
+        F.first("mtime_ns").alias("mtime_ns"), F.first("size_bytes").alias("size_bytes"), F.first("mtime").alias("mtime"), F.count_if(n > 0).alias("line_count"),
+        F.min_by("error", F.when(F.col("error").isNotNull(), n)).alias("error"),
         last(F.col("session_id"), any_line).alias("said_id"), first(F.col("cwd"), any_line).alias("cwd"), first(text.moment(F.col("start")), any_line).alias("start"),
         first(F.col("at"), timed).alias("first_at"), last(F.col("at"), timed).alias("last_at"), first(F.col("text"), user).alias("first_user"), last(F.col("text"), user).alias("last_user"),
         last(prompt, any_line).alias("last_prompt"), F.count_if(kept).alias("message_count"), F.array_join(body, "\n\n").alias("transcript_text"),
@@ -143,9 +150,10 @@ def _looked_up(rows: DataFrame, key: Column, name: str, find: Callable[[str], st
     return keyed.join(known, "_key", "left").drop("_key")
 
 
-def sessions(contents: DataFrame, threads: DataFrame, titles: DataFrame, repo_root: Callable = source.repo_root, workspace: Callable = source.workspace) -> DataFrame:
-    """Files with content or error -> session columns, transcript_text, mtime_ns and size_bytes."""
-    rows = folded(messages(decoded(contents)))
+def sessions(lines: DataFrame, threads: DataFrame, titles: DataFrame, repo_root: Callable = source.repo_root, workspace: Callable = source.workspace) -> DataFrame:
+    """Decoded lines of files -> session columns, transcript_text, mtime_ns and size_bytes; a file
+    with an error in any of its ranges is a session of that warning alone."""
+    rows = folded(messages(lines))
     of = lambda p: F.col("provider") == p
     from_path = F.nullif(F.regexp_extract("source_path", r"([0-9a-f]{8}-[0-9a-f-]{27})\.jsonl$", 1), F.lit(""))
     parts = F.split("source_path", "/")
@@ -168,17 +176,13 @@ def sessions(contents: DataFrame, threads: DataFrame, titles: DataFrame, repo_ro
     updated = F.when(of("cursor"), F.col("mtime")).when(of("codex"), F.coalesce(F.col("last_at"), F.timestamp_seconds("t_updated"))).otherwise(F.col("last_at"))
     plain = F.to_json(F.struct("line_count", F.col("source_path").alias("session_path")))
     meta = F.when(of("codex"), F.to_json(F.struct("line_count", "rollout_path", F.col("source_path").alias("session_path")), {"ignoreNullFields": "false"})).otherwise(plain)
-    good = rows.select(
-        F.concat_ws(":", "provider", "psid").alias("id"), "provider", F.col("psid").alias("provider_session_id"), text.truncated(title, 100).alias("title"), summary.alias("summary"), "cwd", "repo_root",
-        created.alias("created_at"), updated.alias("updated_at"), updated.alias("last_message_at"), F.coalesce(text.preview(shown), F.lit(NO_PREVIEW)).alias("preview_text"), "source_path", "message_count",
-        F.concat("provider", F.lit("-v1")).alias("parse_version"), meta.alias("raw_metadata_json"), F.lit(None).cast("string").alias("parse_warning"),
-        F.when(of("codex"), "jsonl+sqlite").otherwise("jsonl").alias("discovery_source"), "transcript_text", "mtime_ns", "size_bytes",
-    )
-    none = F.lit(None).cast("string")
-    failed = contents.where("error is not null").select(
-        F.concat_ws(":", F.col("provider"), _stem()).alias("id"), "provider", _stem().alias("provider_session_id"), *(none.alias(c) for c in ("title", "summary", "cwd", "repo_root")),
-        *(F.lit(None).cast("timestamp").alias(c) for c in ("created_at", "updated_at", "last_message_at")), F.lit(FAILED).alias("preview_text"), "source_path", F.lit(0).cast("long").alias("message_count"),
-        F.concat("provider", F.lit("-v1")).alias("parse_version"), none.alias("raw_metadata_json"), F.col("error").alias("parse_warning"), F.lit("jsonl").alias("discovery_source"),
-        F.lit("").alias("transcript_text"), "mtime_ns", "size_bytes",
+    sound = F.col("error").isNull()
+    own = lambda c, kind="string": F.when(sound, c).otherwise(F.lit(None).cast(kind))
+    stem = F.when(sound, F.col("psid")).otherwise(_stem())
+    moments = [own(c, "timestamp").alias(n) for n, c in (("created_at", created), ("updated_at", updated), ("last_message_at", updated))]
+    return rows.select(
+        F.concat_ws(":", F.col("provider"), stem).alias("id"), "provider", stem.alias("provider_session_id"), own(text.truncated(title, 100)).alias("title"), own(summary).alias("summary"),
+        own(F.col("cwd")).alias("cwd"), own(F.col("repo_root")).alias("repo_root"), *moments, F.when(sound, F.coalesce(text.preview(shown), F.lit(NO_PREVIEW))).otherwise(FAILED).alias("preview_text"),
+        "source_path", F.when(sound, F.col("message_count")).otherwise(0).alias("message_count"), F.concat("provider", F.lit("-v1")).alias("parse_version"), own(meta).alias("raw_metadata_json"),
+        F.col("error").alias("parse_warning"), F.when(of("codex") & sound, "jsonl+sqlite").otherwise("jsonl").alias("discovery_source"), F.when(sound, F.col("transcript_text")).otherwise("").alias("transcript_text"), "mtime_ns", "size_bytes",
     )
-    return good.unionByName(failed)

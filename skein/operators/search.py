@@ -114,8 +114,8 @@ def resolve(sessions: DataFrame, value: str) -> DataFrame:
     return sessions.where(exact | text.starts_like(F.col("id"), value) | text.starts_like(F.col("provider_session_id"), value))
 
 
-def resolve_one(sessions: DataFrame, value: str):
-    found = resolve(sessions, value).limit(2).collect()
+def only(found: list, value: str):
+    """The one that was found for value."""
     if not found:
         raise LookupError(f"no session matches '{value}'")
     if len(found) > 1:
@@ -123,6 +123,10 @@ def resolve_one(sessions: DataFrame, value: str):
     return found[0]
 
 
+def resolve_one(sessions: DataFrame, value: str):
+    return only(resolve(sessions, value).limit(2).collect(), value)
+
+
 def counts_by_provider(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy("provider").agg(F.count("*").alias("n"))
 

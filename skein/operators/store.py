@@ -1,12 +1,18 @@
-"""The index on disk: Parquet tables in layers, and a manifest that names them.
+"""The index on disk: Parquet tables in layers, and numbered manifests that name them.
 
 A layer holds rows of sessions, transcripts (the fat column on its own),
-files_seen and the full-text tables. A refresh reads only files whose time or
-size changed and writes their rows as one more layer, so its cost follows what
-changed; a reader lays later layers over earlier ones by key. After MAX_LAYERS
-the layers are written as one. The manifest is replaced last and by a rename,
-so readers keep theirs until it moves; layers that no manifest of the last two
-names are deleted. Paths are those of any store that Spark can write.
+files_seen, the names that sessions are found by, and the full-text tables. A
+refresh reads only files whose time or size changed and writes their rows as one
+more layer, so its cost follows what changed; of equal keys the later layer's
+rows count. After MAX_LAYERS the layers are written as one.
+
+Several writers may work at once. Each writes its layer under a name of its own
+and then creates the manifest with the next number, which succeeds for one of
+them; the others lay their layer over the new manifest, or, if the layers that
+came between hold files of theirs, start again from what is now there. The
+manifest says of each layer which older ones it replaces rows of, as counted
+when it was written, so that a read compares keys only where that is so.
+Readers use the last manifest; layers that the last two do not name are deleted.
 """
 
 from __future__ import annotations
@@ -14,21 +20,34 @@ from __future__ import annotations
 import functools
 import json
 import os
+import threading
 import time
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..functions import text
 from ..sources import files as source
 from ..sources import fs
-from . import fts, ingest
+from . import fts, ingest, search
 
 TABLES = {"sessions": schema.SESSIONS, "transcripts": schema.TRANSCRIPTS, "files_seen": schema.FILES_SEEN}
-KEYS = {"sessions": ["id"], "transcripts": ["session_id"], "files_seen": ["provider", "source_path"]}
-MANIFEST = "manifest.json"
+#: Columns that name a row of each table; all but files_seen have the rows of a session.
+KEYS = {"sessions": ["id"], "transcripts": ["session_id"], "files_seen": ["provider", "source_path"], "names": ["id"], "postings": ["id"], "lengths": ["id"]}
+MANIFESTS = "manifests"
 MAX_LAYERS = 8
+#: Attempts of a writer, and manifests that are kept.
+ATTEMPTS, KEPT = 20, 20
+#: Seconds between reports of progress, and files from one to the next.
+REPORT_SECONDS, REPORT_FILES = 0.2, 10
+
+
+class Conflict(Exception):
+    """Another writer has committed files of this one."""
 
 
 def changed_files(found: DataFrame, seen: DataFrame) -> DataFrame:
@@ -47,106 +66,229 @@ def merged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new.select(*old.columns))
 
 
+def names_of(sessions: DataFrame) -> DataFrame:
+    """(low, id): what a session is found by, in small letters: its id and its provider's."""
+    each = F.explode(F.array_distinct(F.array(text.ascii_lower(F.col("id")), text.ascii_lower(F.col("provider_session_id")))))
+    return sessions.select(each.alias("low"), "id").where("low is not null")
+
+
+@contextmanager
+def reporting(done: Callable[[], int], total: int, report: Callable[[int], None]) -> Iterator[None]:
+    """While the block runs, report(n) each time done() has passed another REPORT_FILES, and the total at the end."""
+    over, said = threading.Event(), 0
+
+    def watch() -> None:
+        nonlocal said
+        while not over.wait(REPORT_SECONDS):
+            now = min(done(), total - 1)  # what is read again after a loss counts again
+            if now // REPORT_FILES > said // REPORT_FILES:
+                said = now
+                report(now)
+
+    thread = threading.Thread(target=watch, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        over.set()
+        thread.join()
+    report(total)
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def _at(self, *parts: str) -> str:
+        return os.path.join(self.path, *parts)
+
     def _manifest(self) -> dict:
-        """{"next": number of the next layer, "layers": [names], "before": [names of the one before]}."""
-        found = fs.read_text(self.spark, os.path.join(self.path, MANIFEST))
-        return json.loads(found) if found else {"next": 1, "layers": [], "before": []}
+        """{"number", "layers": [names], "over": {layer: {older layer: [sessions, files] that it replaces}}, "dropped": [layers that this one let go]}."""
+        for name in sorted((n for n in fs.names(self.spark, self._at(MANIFESTS)) if n.endswith(".json")), reverse=True):
+            try:
+                return {"number": int(name.removesuffix(".json")), **json.loads(fs.read_text(self.spark, self._at(MANIFESTS, name)) or "")}
+            except ValueError:  # not closed yet
+                continue
+        return {"number": 0, "layers": [], "over": {}, "dropped": []}
 
     def _part(self, layer: str, table: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.path, layer, table))
-
-    def table(self, name: str, layers: list[str] | None = None) -> DataFrame:
-        parts = [self._part(layer, name) for layer in (self._manifest()["layers"] if layers is None else layers)]
-        if not parts:
-            return self.spark.createDataFrame([], TABLES[name])
-        return functools.reduce(lambda old, new: merged(old, new, KEYS[name]), parts)
-
-    def index(self, layers: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-        """Postings and lengths of the full text. A layer replaces all terms of its sessions."""
-        layers = self._manifest()["layers"] if layers is None else layers
-        if not layers:
-            empty = self.rows()
+        return self.spark.read.parquet(self._at(layer, table))
+
+    def _layered(self, name: str, manifest: dict) -> DataFrame:
+        """The rows of all layers without those that later ones replace; no join for a layer of which none does."""
+        parts, which, keys = [], int(name == "files_seen"), KEYS[name]
+        by = "files_seen" if which else "lengths"
+        for k, layer in enumerate(manifest["layers"]):
+            part = self._part(layer, name)
+            later = [x for x in manifest["layers"][k + 1 :] if manifest["over"].get(x, {}).get(layer, [1, 1])[which]]
+            if later:
+                gone = functools.reduce(DataFrame.unionByName, (self._part(x, by).select(*KEYS[by]) for x in later)).toDF(*keys).distinct()
+                part = part.join(gone, keys, "left_anti").select(*part.columns)
+            parts.append(part)
+        return functools.reduce(DataFrame.unionByName, parts)
+
+    def table(self, name: str, manifest: dict | None = None) -> DataFrame:
+        manifest = self._manifest() if manifest is None else manifest
+        return self._layered(name, manifest) if manifest["layers"] else self.spark.createDataFrame([], TABLES[name])
+
+    def index(self, manifest: dict | None = None) -> tuple[DataFrame, DataFrame]:
+        """Postings and lengths of the full text."""
+        manifest = self._manifest() if manifest is None else manifest
+        if not manifest["layers"]:
+            empty = self.rows(manifest)
             return fts.postings(empty), fts.lengths(empty)
-        out = []
-        for name in ("postings", "lengths"):
-            now = self._part(layers[0], name)
-            for layer in layers[1:]:
-                now = now.join(self._part(layer, "lengths").select("id"), "id", "left_anti").unionByName(self._part(layer, name).select(*now.columns))
-            out.append(now)
-        return out[0], out[1]
-
-    def rows(self, layers: list[str] | None = None) -> DataFrame:
-        transcripts = self.table("transcripts", layers).withColumnRenamed("session_id", "id")
-        return self.table("sessions", layers).join(transcripts, "id", "left").withColumn("transcript_text", F.coalesce("transcript_text", F.lit("")))
+        return self._layered("postings", manifest), self._layered("lengths", manifest)
+
+    def rows(self, manifest: dict | None = None) -> DataFrame:
+        manifest = self._manifest() if manifest is None else manifest
+        transcripts = self.table("transcripts", manifest).withColumnRenamed("session_id", "id")
+        return self.table("sessions", manifest).join(transcripts, "id", "left").withColumn("transcript_text", F.coalesce("transcript_text", F.lit("")))
+
+    def named(self, value: str, manifest: dict | None = None) -> DataFrame:
+        """(id) of the sessions whose id or provider id is or begins with value, as search.resolve finds them.
+
+        A value without wildcards is a range of the sorted names, which Parquet's
+        statistics cut down to the row groups that hold it; with % or _ all sessions are looked at.
+        """
+        manifest = self._manifest() if manifest is None else manifest
+        if not manifest["layers"] or "%" in value or "_" in value:
+            return search.resolve(self.table("sessions", manifest), value).select("id")
+        low = value.translate(str.maketrans(text.UPPER, text.LOWER))
+        return self._layered("names", manifest).where((F.col("low") >= low) & (F.col("low") < low + "\U0010ffff")).select("id").distinct()
+
+    def find(self, value: str):
+        """The one session that value names, with its transcript_text; raises LookupError."""
+        manifest = self._manifest()
+        key = search.only([r["id"] for r in self.named(value, manifest).limit(2).collect()], value)
+        session = self.table("sessions", manifest).where(F.col("id") == key)
+        own = self.table("transcripts", manifest).where(F.col("session_id") == key).select(F.col("session_id").alias("id"), "transcript_text")
+        return session.join(own, "id", "left").withColumn("transcript_text", F.coalesce("transcript_text", F.lit("")))
 
     def clear(self) -> None:
-        self._publish({n: self.spark.createDataFrame([], s) for n, s in TABLES.items()}, alone=True)
+        self._publish({n: self.spark.createDataFrame([], s) for n, s in TABLES.items()}, self._manifest(), alone=True)
 
     def _write(self, layer: str, tables: dict[str, DataFrame], index: tuple[DataFrame, DataFrame] | None = None) -> None:
-        at = lambda name: os.path.join(self.path, layer, name)
+        found_by = {"sessions": "id", "transcripts": "session_id"}
         for name, rows in tables.items():
             if name == "sessions":
                 rows = rows.repartitionByRange("provider", "updated_at").sortWithinPartitions("provider", F.desc("updated_at"))
-            rows.write.mode("overwrite").parquet(at(name))
-        full = self.rows([layer])
+            options = {f"parquet.bloom.filter.enabled#{found_by[name]}": "true"} if name in found_by else {}
+            rows.write.mode("overwrite").options(**options).parquet(self._at(layer, name))
+        names_of(self._part(layer, "sessions")).repartitionByRange("low").sortWithinPartitions("low").write.mode("overwrite").parquet(self._at(layer, "names"))
+        full = self._part(layer, "sessions").join(self._part(layer, "transcripts").withColumnRenamed("session_id", "id"), "id", "left")
         postings, lengths = index or (fts.postings(full), fts.lengths(full))
         # ranges of (term, id): a common term is spread over tasks
-        postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(at("postings"))
-        lengths.write.mode("overwrite").parquet(at("lengths"))
+        postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(self._at(layer, "postings"))
+        lengths.write.mode("overwrite").parquet(self._at(layer, "lengths"))
+
+    def _replaced(self, layer: str, older: list[str]) -> dict[str, list[int]]:
+        """How many sessions and files of each older layer the layer has rows of: two small joins for each."""
+        shared = lambda table, old: self._part(old, table).select(*KEYS[table]).join(self._part(layer, table).select(*KEYS[table]), KEYS[table], "left_semi").count()
+        return {old: [shared("lengths", old), shared("files_seen", old)] for old in older}
+
+    def _commit(self, layer: str, base: dict, alone: bool = False) -> dict:
+        """Put the layer over those of the last manifest, or alone in the place of base's."""
+        known: dict[str, list[int]] = {}
+        for _ in range(ATTEMPTS):
+            now = self._manifest()
+            between = [x for x in now["layers"] if x not in base["layers"]]
+            kept = between if alone else now["layers"]
+            known |= self._replaced(layer, [x for x in kept if x not in known])
+            if any(known[x][1] for x in between):
+                raise Conflict(layer)
+            layers = [layer, *kept] if alone else [*kept, layer]
+            over = {x: {k: n for k, n in now["over"].get(x, {}).items() if k in layers} for x in kept}
+            if alone:  # kept layers lie over this one
+                over = {x: {**o, layer: known[x]} for x, o in over.items()} | {layer: {}}
+            else:
+                over[layer] = {x: known[x] for x in kept}
+            if self._put(now, layers, over):
+                return self._manifest()
+        raise Conflict(f"{layer}: other writers came first {ATTEMPTS} times")
+
+    def _put(self, now: dict, layers: list[str], over: dict) -> bool:
+        """Create the manifest after now; False if another writer has."""
+        number = now["number"] + 1
+        dropped = [x for x in now["layers"] if x not in layers]
+        if not fs.put_new(self.spark, self._at(MANIFESTS, f"{number:010d}.json"), json.dumps({"layers": layers, "over": over, "dropped": dropped})):
+            return False
+        for old in now["dropped"]:
+            fs.delete(self.spark, self._at(old))
+        if number > KEPT:
+            fs.delete(self.spark, self._at(MANIFESTS, f"{number - KEPT:010d}.json"))
+        return True
 
-    def _publish(self, tables: dict[str, DataFrame], alone: bool = False) -> None:
-        """Write rows as a layer over the others, or alone."""
-        now = self._manifest()
-        layer, following = f"v{now['next']}", now["next"] + 1
+    def _publish(self, tables: dict[str, DataFrame], base: dict, alone: bool = False) -> None:
+        """Write rows as a layer over the others, or alone; then, if there are many, all layers as one."""
+        layer = f"v{uuid.uuid4().hex}"
         self._write(layer, tables)
-        layers = [layer] if alone else [*now["layers"], layer]
-        if len(layers) > MAX_LAYERS:
-            whole, following = f"v{following}", following + 1
-            self._write(whole, {n: self.table(n, layers) for n in TABLES}, self.index(layers))
-            fs.delete(self.spark, os.path.join(self.path, layer))
-            layers = [whole]
-        fs.replace_text(self.spark, os.path.join(self.path, MANIFEST), json.dumps({"next": following, "layers": layers, "before": now["layers"]}))
-        for old in set(now["before"]) - set(now["layers"]) - set(layers):
-            fs.delete(self.spark, os.path.join(self.path, old))
-
-    def reindex(self, roots: list[tuple[str, str]], codex_home: str = "", full: bool = False, progress: Callable[[int, int], None] | None = None, **lookups) -> tuple[int, int]:
+        try:
+            now = self._commit(layer, base, alone)
+        except Conflict:
+            fs.delete(self.spark, self._at(layer))
+            raise
+        if len(now["layers"]) > MAX_LAYERS:
+            self._compact(now)
+
+    def _compact(self, old: dict) -> None:
+        """Write the layers of a manifest as one that takes their place under those that came since; given up if they are no longer there."""
+        whole = f"v{uuid.uuid4().hex}"
+        self._write(whole, {n: self.table(n, old) for n in TABLES}, self.index(old))
+        for _ in range(ATTEMPTS):
+            now = self._manifest()
+            n = len(old["layers"])
+            if now["layers"][:n] != old["layers"]:
+                break
+            since = now["layers"][n:]
+            summed = lambda o: [sum(o.get(x, [1, 1])[k] for x in old["layers"]) for k in (0, 1)]
+            over = {x: {**{k: v for k, v in now["over"][x].items() if k in since}, whole: summed(now["over"][x])} for x in since}
+            if self._put(now, [whole, *since], {whole: {}, **over}):
+                return
+        fs.delete(self.spark, self._at(whole))
+
+    def reindex(self, roots: list[tuple[str, str]], codex_home: str = "", full: bool = False, progress: Callable[[int, int, int], None] | None = None, **lookups) -> tuple[int, int]:
         """(files found, files read). Sessions of deleted files stay until a full refresh, which
         replaces the index only when it is complete. Where files claim one session id, the one
-        discovered last (by path) counts. progress gets (files found, files to read) before
-        they are read and again when the index holds them."""
-        found = source.discover(self.spark, roots)
-        seen_before = self.spark.createDataFrame([], TABLES["files_seen"]) if full else self.table("files_seen")
+        discovered last (by path) counts. progress gets (files found, files to read, files read so far) about
+        every ten files while they are read, and once at the end."""
+        for _ in range(ATTEMPTS):
+            found = source.discover(self.spark, roots).cache()
+            try:
+                base, seen = self._manifest(), found.count()
+                return seen, self.apply(found, base, codex_home, full, progress and (lambda of, n: progress(seen, of, n)), **lookups)
+            except Conflict:
+                continue
+            finally:
+                found.unpersist()
+        raise Conflict("other writers refresh the same files")
+
+    def apply(self, found: DataFrame, base: dict, codex_home: str = "", full: bool = False, progress: Callable[[int, int], None] | None = None, **lookups) -> int:
+        """Read those of the found files that base does not know as they are, and publish them; how many they are."""
+        seen_before = self.spark.createDataFrame([], TABLES["files_seen"]) if full else self.table("files_seen", base)
         changed = changed_files(found, seen_before).cache()
         try:
-            seen, updated = found.count(), changed.count()
-            if progress:
-                progress(seen, updated)
+            updated = changed.count()
             if updated == 0:
-                if full or not self._manifest()["layers"]:
-                    self.clear()
-                return seen, 0
-            contents = source.read_files(changed)
+                if full or not base["layers"]:
+                    self._publish({n: self.spark.createDataFrame([], s) for n, s in TABLES.items()}, base, alone=True)
+                return 0
+            read = self.spark.sparkContext.accumulator(0)
             side = source.threads(self.spark, os.path.join(codex_home, "state_5.sqlite")), source.index_titles(self.spark, os.path.join(codex_home, "session_index.jsonl"))
-            new = ingest.sessions(contents, *side, **lookups).cache()
+            new = ingest.sessions(ingest.read(changed, counted=read), *side, **lookups).cache()
             try:
                 winners = latest(new, ["id"], F.desc("source_path"))
                 at = F.lit(time.strftime("%Y-%m-%d %H:%M:%S", time.gmtime())).cast("timestamp")
-                self._publish(
-                    {
-                        "sessions": winners.select(*schema.SESSIONS.names),
-                        "transcripts": winners.select(F.col("id").alias("session_id"), "transcript_text"),
-                        "files_seen": changed.select("provider", "source_path", "mtime_ns", "size_bytes", at.alias("last_indexed_at"), F.lit(None).cast("string").alias("content_hash")),
-                    },
-                    alone=full,
-                )
+                with reporting(lambda: read.value, updated, lambda n: progress and progress(updated, n)):
+                    self._publish(
+                        {
+                            "sessions": winners.select(*schema.SESSIONS.names),
+                            "transcripts": winners.select(F.col("id").alias("session_id"), "transcript_text"),
+                            "files_seen": changed.select("provider", "source_path", "mtime_ns", "size_bytes", at.alias("last_indexed_at"), F.lit(None).cast("string").alias("content_hash")),
+                        },
+                        base, alone=full,
+                    )
             finally:
                 new.unpersist()
-            if progress:
-                progress(seen, updated)
-            return seen, updated
+            return updated
         finally:
             changed.unpersist()

@@ -385,7 +385,7 @@ def _parsed(provider: str) -> Query:
 
     def run(spark, d):
         rows = ingest.folded(ingest.messages(ingest.decoded(transcripts.contents(spark, d).where(F.col("provider") == provider))))
-        return rows.select("source_path", *_FOLDED)
+        return rows.where("error is null").select("source_path", *_FOLDED)
 
     return run
 

@@ -82,7 +82,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.when(F.col("conv_id") % 8 == 1, F.concat(F.lit("c"), "conv_id")).otherwise(uuid)
     threads = convs.where("conv_id % 3 = 0").select(own.alias("id"), F.when(F.col("conv_id") % 2 == 1, F.concat(F.lit("Side "), "conv_id")).alias("title"), F.lit("/side").alias("cwd"), F.lit(60).cast("long").alias("created_at"), F.lit(120).cast("long").alias("updated_at"), F.lit("/r").alias("rollout_path"), F.lit("Side first").alias("first_user_message"))
     titles = convs.where("conv_id % 5 = 0").select(own.alias("id"), F.concat(F.lit("Index "), "conv_id").alias("thread_name"))
-    return ingest.sessions(contents(spark, sf_dir), threads, titles, repo_root=_repo, workspace=_workspace)
+    return ingest.sessions(ingest.decoded(contents(spark, sf_dir)), threads, titles, repo_root=_repo, workspace=_workspace)
 
 
 def _repo(cwd: str | None) -> str | None:

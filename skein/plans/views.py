@@ -30,7 +30,7 @@ def lines(rows: DataFrame) -> DataFrame:
     """Messages as the decoded lines that ingestion folds, all of them kept."""
     null = lambda kind: F.lit(None).cast(kind)
     return rows.select(
-        provider_of(F.col("conv_id")).alias("provider"), F.col("session_id").alias("source_path"), F.lit(0).cast("long").alias("mtime_ns"), F.lit(0).cast("long").alias("size_bytes"), F.col("seq").alias("line_no"),
+        provider_of(F.col("conv_id")).alias("provider"), F.col("session_id").alias("source_path"), F.lit(0).cast("long").alias("mtime_ns"), F.lit(0).cast("long").alias("size_bytes"), F.col("seq").alias("place"), null("string").alias("error"),
         "session_id", null("string").alias("cwd"), null("string").alias("ts"), null("string").alias("start"), "role", "text", null("boolean").alias("is_meta"), null("string").alias("last_prompt"),
         null("timestamp").alias("at"), F.lit(True).alias("kept"), null("timestamp").alias("mtime"),
     )

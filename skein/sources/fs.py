@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -23,20 +27,43 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def replace_text(spark: SparkSession, path: str, content: str) -> None:
-    """Write a small file under another name and rename it, so that readers see all of it or the old one."""
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What is in a folder, sorted; nothing if there is none."""
+    _, place, fs = _at(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
+
+
+def put_new(spark: SparkSession, path: str, content: str) -> bool:
+    """Write a small file that does not exist yet; False, and nothing is written, if it does.
+
+    In a local file system the whole file appears at once, by a link; others create it
+    exclusively, so that a reader may find it empty until it is closed.
+    """
     jvm, place, fs = _at(spark, path)
-    fresh = jvm.org.apache.hadoop.fs.Path(f"{path}.new")
-    stream = fs.create(fresh, True)
+    if fs.getUri().getScheme() == "file":
+        own = place.toUri().getPath()
+        os.makedirs(os.path.dirname(own), exist_ok=True)
+        fresh = f"{own}.{uuid.uuid4().hex}.new"
+        with open(fresh, "w", encoding="utf-8") as f:
+            f.write(content)
+        try:
+            os.link(fresh, own)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(fresh)
+        return True
+    try:
+        stream = fs.create(place, False)
+    except Py4JJavaError as e:
+        if fs.exists(place):
+            return False
+        raise e
     try:
         stream.write(bytearray(content.encode()))
     finally:
         stream.close()
-    overwrite = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri() if place.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = overwrite
-    context.rename(fresh, place, options)
+    return True
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -209,7 +209,7 @@ def test_layers_are_merged_and_compacted(spark, home, monkeypatch):
     monkeypatch.setattr(store, "MAX_LAYERS", 2)
     e = Engine(spark, home)
     seen = []
-    assert e.reindex(progress=lambda *n: seen.append(n)) == (6, 6) and seen == [(6, 6), (6, 6)]
+    assert e.reindex(progress=lambda *n: seen.append(n)) == (6, 6) and seen == [(6, 6, 6)]
     path = os.path.join(home.roots["claude"][0], "p", "s1.jsonl")
     counts = []
     for k in range(3):
@@ -227,7 +227,7 @@ def test_layers_are_merged_and_compacted(spark, home, monkeypatch):
         assert set(os.listdir(home.store)) >= set(layers)
     assert counts == [2, 1, 2]
     before = rows_of(e)
-    monkeypatch.setattr(store.source, "read_files", lambda *a: 1 / 0)
+    monkeypatch.setattr(store.ingest, "read", lambda *a, **k: 1 / 0)
     with pytest.raises(ZeroDivisionError):
         e.reindex(full=True)
     assert rows_of(e) == before  # a full refresh that fails leaves the index as it was
