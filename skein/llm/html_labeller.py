@@ -114,7 +114,7 @@ def tokens_of(page: str) -> Iterator[tuple[str, str, str]]:
                 kind, close = "raw", page.find("]]>", start)
                 stop = end if close < 0 else close + 3
             elif start > last:  # no tag ends any more
-                start = max(page.find("<!--", start), page.find("<![CDATA[", start))
+                start = min((k for k in (page.find("<!--", start), page.find("<![CDATA[", start)) if k >= 0), default=-1)
                 continue
             elif page[start + 1] in "!?":
                 stop = page.find(">", start) + 1

@@ -161,6 +161,9 @@ def test_html(spark, sf_dir):
     <div class="ad">Buy now</div><article><h1>A  &amp; B&nbsp;head</h1><p>First <b>para</b> of the text, with some words.<br><p>Second one &eacute; here, as long as the first.</p></article>
     <div class="comments"><div class="comment"><p>Great post, thanks</p></div></div><footer>&copy; all rights reserved</footer></body></html>"""
     assert html_labeller.extract(net, [page, None, ""]) == ["A & B head\nFirst para of the text, with some words.\nSecond one é here, as long as the first.", "", ""]
+    for page in ("5 < 6 <!-- secret <![CDATA[ x", "5 < 6 <!-- secret", "5 < 6"):  # what opens first decides, also where no tag ends any more
+        assert [b.text for b in html_labeller.blocks_of(page)] == ["5 < 6"]
+    assert "".join(b.text for b in html_labeller.blocks_of("5 < 6 <![CDATA[ x <!-- y")).replace(" ", "") == "5<6x<!--y"
     assert [b.text for b in html_labeller.blocks_of("a < b<br>c <i>d</i><style>x</style><!-- y --><p>&am z")] == ["a < b c d", "&am z"]
     rng = np.random.default_rng(77)
     wrong = total = 0
