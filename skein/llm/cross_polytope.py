@@ -127,25 +127,26 @@ def functions_for(n: int, dim: int) -> int:
 def fit_probes(queries: np.ndarray, neighbours: list[np.ndarray], functions: int) -> tuple[int, int]:
     """(functions, probes): the least number of probes a table with which SAMPLE_RECALL of the
     queries' true neighbours share a probed bucket with them in some table. Where MOST_PROBES
-    are too few, buckets get wider by a function less; with one function all buckets can be
-    probed. queries: rows; neighbours: rows for each query."""
+    are too few, buckets get wider by a function less; with one function all of them, two for
+    each padded component, can be probed. queries: rows; neighbours: rows for each query."""
     if not sum(map(len, neighbours)):
         return functions, 1
     x = unit(queries)
     sizes = list(map(len, neighbours))
     owner = np.repeat(np.arange(len(x)), sizes)
     near = unit(np.concatenate([n for n in neighbours if len(n)]))
-    place = np.full(len(near), MOST_PROBES)
+    most = MOST_PROBES if functions > 1 else 2 << max(0, x.shape[1] - 1).bit_length()
+    place = np.full(len(near), most)
     for t in range(TABLES):
         own = codes_of(near, t, functions)
-        lists = np.concatenate([probed(x[at : at + STEP], t, functions, MOST_PROBES) for at in range(0, len(x), STEP)])
+        lists = np.concatenate([probed(x[at : at + STEP], t, functions, most) for at in range(0, len(x), STEP)])
         for at in range(0, len(near), STEP):
             hit = lists[owner[at : at + STEP]] == own[at : at + STEP, None]
-            place[at : at + STEP] = np.minimum(place[at : at + STEP], np.where(hit.any(axis=1), hit.argmax(axis=1), MOST_PROBES))
+            place[at : at + STEP] = np.minimum(place[at : at + STEP], np.where(hit.any(axis=1), hit.argmax(axis=1), most))
     worst = int(np.sort(place)[math.ceil(SAMPLE_RECALL * len(place)) - 1])
-    if worst == MOST_PROBES and functions > 1:
+    if worst == most and functions > 1:
         return fit_probes(queries, neighbours, functions - 1)
-    return functions, min(MOST_PROBES, worst + 1)
+    return functions, min(most, worst + 1)
 
 
 class Block:
