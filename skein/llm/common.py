@@ -25,9 +25,9 @@ ARROW_ROWS, DEFAULT_ROWS = 500, "10000"
 PIECE_BYTES = 4 << 20
 #: Rows of a narrow table that are broadcast at most (some 10 MB); beyond, it is joined by shuffle.
 BROADCAST_ROWS = 200_000
-#: Bytes of text that a training sample brings to the driver at most.
+#: Bytes of text that a training sample brings to the driver at most, and parts in which it comes; a text
+#: that would be more than a part of it teaches nothing, so that no text can take the place of all others.
 SAMPLE_BYTES = 64 << 20
-#: Parts in which it comes.
 SAMPLE_PARTS = 16
 
 
@@ -176,18 +176,23 @@ class Sample:
 def texts_of(docs: DataFrame, chosen: DataFrame, label: str, n: int, limit: int = SAMPLE_BYTES) -> Sample:
     """Rows (text, label) of docs for the chosen ids (doc_id and maybe other columns, few rows), in the
     order of a hash of the id: the first n at most, and no more than hold `limit` bytes of text.
+    Texts over a SAMPLE_PARTS-th of that are passed over; if there is nothing else, it raises
+    ValueError, for a model of no rows would look like one that has learned.
 
     Sizes come to the driver first, texts only of the rows that are kept.
     """
     keys = [c for c in chosen.columns if c in docs.columns]
     joined = docs.join(F.broadcast(chosen), keys).withColumn("h", F.xxhash64("doc_id")).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)))
     order = ["h", "doc_id", label, "size"]
-    sizes = joined.select(*order).orderBy(*order).limit(n).collect()
+    short = joined.where(F.col("size") <= limit // SAMPLE_PARTS)
+    sizes = short.select(*order).orderBy(*order).limit(n).collect()
     kept = int(np.searchsorted(np.cumsum([r["size"] for r in sizes]), limit, side="right")) if sizes else 0
     if not kept:
+        if n and joined.limit(1).count():
+            raise ValueError(f"all labelled texts have over {limit // SAMPLE_PARTS} bytes: nothing can be learned from them")
         return Sample(pa.table({"text": pa.array([], pa.string()), "label": pa.array([], pa.string())}))
     edge = sizes[kept - 1]["h"]
-    some = joined.where(F.col("h") <= edge).repartitionByRange(SAMPLE_PARTS, "h").sortWithinPartitions(*order, "text").select("text", label)
+    some = short.where(F.col("h") <= edge).repartitionByRange(SAMPLE_PARTS, "h").sortWithinPartitions(*order, "text").select("text", label)
     # part by part, so that the driver's JVM never holds the whole sample
     rows, tables = itertools.islice(some.toLocalIterator(), kept), []
     while part := list(itertools.islice(rows, 256)):

@@ -149,8 +149,13 @@ def test_samples_are_bounded_by_bytes(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id long, toxic int")
     chosen = labels.where("doc_id % 2 = 0").select("doc_id")
     sample = lambda n, size: [t for t, _ in common.texts_of(docs.withColumn("toxic", F.lit(1)), chosen, "toxic", n, size)]
-    assert len(sample(100, 10**6)) == 25 and len(sample(7, 10**6)) == 7 and len(sample(100, 950)) == 9 and sample(100, 99) == []
-    assert sample(100, 950) == sample(100, 10**6)[:9]
+    assert len(sample(100, 10**6)) == 25 and len(sample(7, 10**6)) == 7 and len(sample(100, 1650)) == 16
+    assert sample(100, 1650) == sample(100, 10**6)[:16]
+    with pytest.raises(ValueError, match="all labelled texts"):  # and no untrained model
+        sample(100, 16 * 100 - 1)
+    assert sample(0, 10**6) == [] and list(common.texts_of(docs.withColumn("toxic", F.lit(1)).limit(0), chosen, "toxic", 9)) == []
+    long = spark.createDataFrame([(k, "z" * 5_000_000 if k % 3 else f"short {k}") for k in range(12)], "doc_id long, text string").withColumn("toxic", F.lit(1))
+    assert sorted(t for t, _ in common.texts_of(long, long.select("doc_id"), "toxic", 100)) == ["short 0", "short 3", "short 6", "short 9"]  # long texts shut out no others
     both = [list(common.labelled_sample(d, labels, "toxic", 5, 0, 1000)) for d in (docs, docs.repartition(3))]
     assert both[0] == both[1] and all(y == 1 or t[0] in "xy" for t, y in both[0])
 
