@@ -60,7 +60,10 @@ class Engine:
         return search.list_recent(self.store.table("sessions"), f)
 
     def search(self, query: str, f: Filters, repo: str | None = None, as_of: str | None = None, prefilter: bool = False) -> DataFrame:
-        return search.search(self.store.table("sessions"), self.store.table("transcripts"), query, f, as_of or self.now(), repo, self.store.index(), fuzzy, udfs.snippet, prefilter)
+        now = self.store._manifest()
+        best = None if prefilter else self.store.best(query, f.limit * search.CANDIDATES, now)
+        tables = self.store.table("sessions", now), self.store.table("transcripts", now)
+        return search.search(*tables, query, f, as_of or self.now(), repo, self.store.index(now), fuzzy, udfs.snippet, prefilter, best and best.best)
 
     def resolve(self, value: str):
         return self.store.find(value).first()

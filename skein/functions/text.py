@@ -132,12 +132,19 @@ def highlighted(c: Column, query: str) -> Column:
 
 
 def _plain_letters() -> tuple[str, str]:
-    """Accented letters up to U+024F and the letters they are made of."""
-    pairs = [(chr(k), unicodedata.normalize("NFD", chr(k))[0]) for k in range(0xC0, 0x250) if unicodedata.decomposition(chr(k)) and "<" not in unicodedata.decomposition(chr(k))]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    """Accented letters of the Latin, Greek and Cyrillic scripts and the letters they are made of, by
+    canonical decomposition; then the combining marks themselves, which stand for nothing."""
+    pairs = []
+    for k in (*range(0xC0, 0x530), *range(0x1E00, 0x2000)):
+        base, *marks = unicodedata.normalize("NFD", chr(k))
+        if marks and base.isalpha() and all(unicodedata.combining(m) for m in marks):
+            pairs.append((chr(k), base))
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    return "".join(a for a, _ in pairs) + marks, "".join(b for _, b in pairs)
 
 
 ACCENTED, PLAIN = _plain_letters()
+_UNACCENTED = {ord(a): (PLAIN[k] if k < len(PLAIN) else None) for k, a in enumerate(ACCENTED)}
 
 
 def tokens(c: Column) -> Column:
@@ -150,7 +157,7 @@ def query_terms(query: str) -> list[list[str]]:
     """For each word of a query its index terms: one, or a phrase if signs part it."""
     out = []
     for word in query.split():
-        low = "".join(PLAIN[ACCENTED.index(ch)] if ch in ACCENTED else ch for ch in word.lower())
+        low = word.lower().translate(_UNACCENTED)
         if parts := [p for p in re.split(r"[\W_]+", low) if p]:
             out.append(parts)
     return out

@@ -126,7 +126,7 @@ def folded(rows: DataFrame) -> DataFrame:
     prompt = F.when(text.substantive(F.col("last_prompt")), F.col("last_prompt"))
     body = F.transform(F.array_sort(F.collect_list(F.when(kept, F.struct("place", line.alias("line"))))), lambda x: x["line"])
     return rows.groupBy("provider", "source_path").agg(
-        F.first("mtime_ns").alias("mtime_ns"), F.first("size_bytes").alias("size_bytes"), F.first("mtime").alias("mtime"), F.count_if(n > 0).alias("line_count"),
+        F.first("mtime_ns").alias("mtime_ns"), F.first("size_bytes").alias("size_bytes"), F.first("mtime").alias("mtime"), F.count_if((n > 0) & F.col("error").isNull()).alias("line_count"),
         F.min_by("error", F.when(F.col("error").isNotNull(), n)).alias("error"),
         last(F.col("session_id"), any_line).alias("said_id"), first(F.col("cwd"), any_line).alias("cwd"), first(text.moment(F.col("start")), any_line).alias("start"),
         first(F.col("at"), timed).alias("first_at"), last(F.col("at"), timed).alias("last_at"), first(F.col("text"), user).alias("first_user"), last(F.col("text"), user).alias("last_user"),

@@ -87,21 +87,22 @@ def ranked(rows: DataFrame, query: str, as_of, current_repo: str | None = None,
 
 def search(
     sessions: DataFrame, transcripts: DataFrame | None, query: str, f: Filters, as_of, current_repo: str | None = None, index: tuple[DataFrame, DataFrame] | None = None,
-    fuzzy: Callable[[Column, str], Column] | None = None, snippet: Callable[[Column, str], Column] | None = None, prefilter: bool = False,
+    fuzzy: Callable[[Column, str], Column] | None = None, snippet: Callable[[Column, str], Column] | None = None, prefilter: bool = False, best: DataFrame | None = None,
 ) -> DataFrame:
     """The best sessions for a query, best first.
 
     index (postings, lengths) names the candidates: the best CANDIDATES * limit of
     all sessions, or of those that pass the filters with prefilter. If it has
     none, all filtered sessions are ranked, so that recent ones still show; if
-    filters remove all candidates, nothing is found.
+    filters remove all candidates, nothing is found. best: the best of all sessions, where they are known already.
     """
     pool = sessions.where(matching(f))
     if index is not None:
         postings, lengths = index
         if prefilter:
             postings, lengths = (d.join(pool.select("id"), "id", "left_semi") for d in index)
-        found = fts.top(postings, lengths, query, f.limit * CANDIDATES).agg(F.collect_list("id").alias("_found"))  # one row, of a bounded few
+        first = fts.top(postings, lengths, query, f.limit * CANDIDATES) if best is None or prefilter else best
+        found = first.agg(F.collect_list("id").alias("_found"))  # one row, of a bounded few
         pool = pool.join(F.broadcast(found)).where((F.size("_found") == 0) | F.array_contains("_found", F.col("id"))).drop("_found")
     hits = ranked(with_transcripts(pool, transcripts), query, as_of, current_repo, fuzzy).where("score > 0")
     top = hits.orderBy(F.desc("score"), F.desc_nulls_last("updated_at"), "id").limit(f.limit)

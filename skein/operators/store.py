@@ -103,13 +103,14 @@ class Store:
         return os.path.join(self.path, *parts)
 
     def _manifest(self) -> dict:
-        """{"number", "layers": [names], "over": {layer: {older layer: [sessions, files] that it replaces}}, "dropped": [layers that this one let go]}."""
+        """{"number", "layers": [names], "over": {layer: {older layer: [sessions, files] that it replaces}},
+        "totals": {layer: [sessions, words]}, "dropped": [layers that this one let go]}."""
         for name in sorted((n for n in fs.names(self.spark, self._at(MANIFESTS)) if n.endswith(".json")), reverse=True):
             try:
                 return {"number": int(name.removesuffix(".json")), **json.loads(fs.read_text(self.spark, self._at(MANIFESTS, name)) or "")}
             except ValueError:  # not closed yet
                 continue
-        return {"number": 0, "layers": [], "over": {}, "dropped": []}
+        return {"number": 0, "layers": [], "over": {}, "totals": {}, "dropped": []}
 
     def _part(self, layer: str, table: str) -> DataFrame:
         return self.spark.read.parquet(self._at(layer, table))
@@ -139,6 +140,15 @@ class Store:
             return fts.postings(empty), fts.lengths(empty)
         return self._layered("postings", manifest), self._layered("lengths", manifest)
 
+    def best(self, query: str, k: int, manifest: dict | None = None) -> fts.Pruned | None:
+        """The k best sessions of the full text by impacts; None where only the postings give them: for a
+        phrase, and while a layer replaces rows of another, whose counts hold both."""
+        manifest = self._manifest() if manifest is None else manifest
+        if not manifest["layers"] or any(n[0] for over in manifest["over"].values() for n in over.values()):
+            return None
+        parts = [fts.Part(self._part(x, "impacts"), self._part(x, "headers"), docs, words, words / docs) for x in manifest["layers"] for docs, words in [manifest["totals"][x]] if docs]
+        return fts.top_pruned(parts, query, k) if parts else None
+
     def rows(self, manifest: dict | None = None) -> DataFrame:
         manifest = self._manifest() if manifest is None else manifest
         transcripts = self.table("transcripts", manifest).withColumnRenamed("session_id", "id")
@@ -167,26 +177,40 @@ class Store:
     def clear(self) -> None:
         self._publish({n: self.spark.createDataFrame([], s) for n, s in TABLES.items()}, self._manifest(), alone=True)
 
-    def _write(self, layer: str, tables: dict[str, DataFrame], index: tuple[DataFrame, DataFrame] | None = None) -> None:
-        found_by = {"sessions": "id", "transcripts": "session_id"}
-        for name, rows in tables.items():
-            if name == "sessions":
-                rows = rows.repartitionByRange("provider", "updated_at").sortWithinPartitions("provider", F.desc("updated_at"))
-            options = {f"parquet.bloom.filter.enabled#{found_by[name]}": "true"} if name in found_by else {}
-            rows.write.mode("overwrite").options(**options).parquet(self._at(layer, name))
-        names_of(self._part(layer, "sessions")).repartitionByRange("low").sortWithinPartitions("low").write.mode("overwrite").parquet(self._at(layer, "names"))
-        full = self._part(layer, "sessions").join(self._part(layer, "transcripts").withColumnRenamed("session_id", "id"), "id", "left")
+    def _write(self, layer: str, tables: dict[str, DataFrame], index: tuple[DataFrame, DataFrame] | None = None) -> list[int]:
+        """Write the tables of a layer and what is derived from them; its [sessions, words]."""
+
+        def write(name: str, rows: DataFrame, *order, deal=None, **options: str) -> DataFrame:
+            if order:  # ranges, so that what is common is spread over tasks
+                rows = rows.repartitionByRange(*(deal or order)).sortWithinPartitions(*order)
+            rows.write.mode("overwrite").options(**{f"parquet.{k}": v for k, v in options.items()}).parquet(self._at(layer, name))
+            return self._part(layer, name)
+
+        sessions = write("sessions", tables["sessions"], "provider", F.desc("updated_at"), **{"bloom.filter.enabled#id": "true"})
+        transcripts = write("transcripts", tables["transcripts"], **{"bloom.filter.enabled#session_id": "true"})
+        write("files_seen", tables["files_seen"])
+        write("names", names_of(sessions), "low")
+        full = sessions.join(transcripts.withColumnRenamed("session_id", "id"), "id", "left")
         postings, lengths = index or (fts.postings(full), fts.lengths(full))
-        # ranges of (term, id): a common term is spread over tasks
-        postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(self._at(layer, "postings"))
-        lengths.write.mode("overwrite").parquet(self._at(layer, "lengths"))
+        postings, lengths = write("postings", postings, "term", "id"), write("lengths", lengths)
+        docs, words = lengths.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+        order = ("term", F.desc("level"), "id")
+        rows = fts.impacts(postings, lengths, words / docs if docs else 0.0)
+        impacts = write("impacts", rows, *order, **{"page.size": str(64 << 10), "page.row.count.limit": "4096"})  # pages are what is left out at a time
+        write("headers", fts.headers(impacts), "term", "level")
+        return [docs, words]
 
     def _replaced(self, layer: str, older: list[str]) -> dict[str, list[int]]:
-        """How many sessions and files of each older layer the layer has rows of: two small joins for each."""
-        shared = lambda table, old: self._part(old, table).select(*KEYS[table]).join(self._part(layer, table).select(*KEYS[table]), KEYS[table], "left_semi").count()
-        return {old: [shared("lengths", old), shared("files_seen", old)] for old in older}
-
-    def _commit(self, layer: str, base: dict, alone: bool = False) -> dict:
+        """How many sessions and files of each older layer the layer has rows of: two joins on the narrow key tables."""
+        out = {x: [0, 0] for x in older}
+        for k, table in enumerate(("lengths", "files_seen")):
+            if older:
+                each = functools.reduce(DataFrame.unionByName, (self._part(x, table).select(*KEYS[table], F.lit(x).alias("layer")) for x in older))
+                for r in each.join(self._part(layer, table).select(*KEYS[table]), KEYS[table], "left_semi").groupBy("layer").count().collect():  # a row a layer
+                    out[r["layer"]][k] = r["count"]
+        return out
+
+    def _commit(self, layer: str, totals: list[int], base: dict, alone: bool = False) -> dict:
         """Put the layer over those of the last manifest, or alone in the place of base's."""
         known: dict[str, list[int]] = {}
         for _ in range(ATTEMPTS):
@@ -202,15 +226,16 @@ class Store:
                 over = {x: {**o, layer: known[x]} for x, o in over.items()} | {layer: {}}
             else:
                 over[layer] = {x: known[x] for x in kept}
-            if self._put(now, layers, over):
+            if self._put(now, layers, over, {layer: totals}):
                 return self._manifest()
         raise Conflict(f"{layer}: other writers came first {ATTEMPTS} times")
 
-    def _put(self, now: dict, layers: list[str], over: dict) -> bool:
+    def _put(self, now: dict, layers: list[str], over: dict, totals: dict) -> bool:
         """Create the manifest after now; False if another writer has."""
         number = now["number"] + 1
-        dropped = [x for x in now["layers"] if x not in layers]
-        if not fs.put_new(self.spark, self._at(MANIFESTS, f"{number:010d}.json"), json.dumps({"layers": layers, "over": over, "dropped": dropped})):
+        known = {x: n for x, n in (now["totals"] | totals).items() if x in layers}
+        made = {"layers": layers, "over": over, "totals": known, "dropped": [x for x in now["layers"] if x not in layers]}
+        if not fs.put_new(self.spark, self._at(MANIFESTS, f"{number:010d}.json"), json.dumps(made)):
             return False
         for old in now["dropped"]:
             fs.delete(self.spark, self._at(old))
@@ -221,9 +246,9 @@ class Store:
     def _publish(self, tables: dict[str, DataFrame], base: dict, alone: bool = False) -> None:
         """Write rows as a layer over the others, or alone; then, if there are many, all layers as one."""
         layer = f"v{uuid.uuid4().hex}"
-        self._write(layer, tables)
+        totals = self._write(layer, tables)
         try:
-            now = self._commit(layer, base, alone)
+            now = self._commit(layer, totals, base, alone)
         except Conflict:
             fs.delete(self.spark, self._at(layer))
             raise
@@ -233,7 +258,7 @@ class Store:
     def _compact(self, old: dict) -> None:
         """Write the layers of a manifest as one that takes their place under those that came since; given up if they are no longer there."""
         whole = f"v{uuid.uuid4().hex}"
-        self._write(whole, {n: self.table(n, old) for n in TABLES}, self.index(old))
+        totals = self._write(whole, {n: self.table(n, old) for n in TABLES}, self.index(old))
         for _ in range(ATTEMPTS):
             now = self._manifest()
             n = len(old["layers"])
@@ -242,10 +267,19 @@ class Store:
             since = now["layers"][n:]
             summed = lambda o: [sum(o.get(x, [1, 1])[k] for x in old["layers"]) for k in (0, 1)]
             over = {x: {**{k: v for k, v in now["over"][x].items() if k in since}, whole: summed(now["over"][x])} for x in since}
-            if self._put(now, [whole, *since], {whole: {}, **over}):
+            if self._put(now, [whole, *since], {whole: {}, **over}, {whole: totals}):
                 return
         fs.delete(self.spark, self._at(whole))
 
+    def absorb(self, found: DataFrame, codex_home: str = "", **lookups) -> int:
+        """Publish those of the found files that the store does not know as they are; how many they are."""
+        for _ in range(ATTEMPTS):
+            try:
+                return self.apply(found, self._manifest(), codex_home, **lookups)
+            except Conflict:  # what the other writer has published is known now
+                continue
+        raise Conflict("other writers refresh the same files")
+
     def reindex(self, roots: list[tuple[str, str]], codex_home: str = "", full: bool = False, progress: Callable[[int, int, int], None] | None = None, **lookups) -> tuple[int, int]:
         """(files found, files read). Sessions of deleted files stay until a full refresh, which
         replaces the index only when it is complete. Where files claim one session id, the one

@@ -192,6 +192,24 @@ def fts_bm25_topk(spark, d):
     return fts.top(fts.postings(s, SESSION_FIELDS), fts.lengths(s, SESSION_FIELDS), RARE, 30)
 
 
+#: Words that most documents hold.
+OFTEN = "und the der"
+
+
+def _documents_part(spark, d) -> fts.Part:
+    rows = views.table(spark, d, "documents")
+    lengths = fts.lengths(rows, ("text",), "doc_id")
+    docs, words = lengths.agg(F.count("*"), F.sum("len")).first()
+    own = fts.impacts(fts.postings(rows, ("text",), "doc_id"), lengths, words / docs)
+    return fts.Part(own, fts.headers(own), docs, words, words / docs)
+
+
+@query(f"with {_bm25_sql('documents', 'doc_id', ('text',), OFTEN.split(), 10)} select id, bm25 from top")
+def fts_pruned_topk(spark, d):
+    """The best documents of common words, by those impact levels that can hold them."""
+    return fts.top_pruned([_documents_part(spark, d)], OFTEN, 10).best
+
+
 def _two_phase_sql(q: str, limit: int, base: str = "sessions", more: str = "") -> str:
     """Candidates of the index, or all of base if it has none, ranked."""
     pool = f", pool as (select * from {base} where id in (select id from top) or not exists (select 1 from top))"

@@ -31,7 +31,7 @@ def _entry(provider: str, path: str) -> tuple[str, str, int, int]:
         return provider, path, 0, 0
 
 
-class _Listing(DataSourceReader):
+class Listing(DataSourceReader):
     def __init__(self, roots: list[tuple[str, str]], ignores: list[str]):
         self.roots, self.ignored = roots, Ignores(ignores)
 
@@ -71,7 +71,7 @@ class SessionFiles(DataSource):
         return LISTED
 
     def reader(self, schema) -> DataSourceReader:
-        return _Listing([tuple(x) for x in json.loads(self.options.get("roots", "[]"))], json.loads(self.options.get("ignores", "[]")))
+        return Listing([tuple(x) for x in json.loads(self.options.get("roots", "[]"))], json.loads(self.options.get("ignores", "[]")))
 
 
 def is_session(path: Column, provider: Column) -> Column:

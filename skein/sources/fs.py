@@ -33,26 +33,29 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
 
 
+def put_new_file(path: str, content: str) -> bool:
+    """put_new for a path of this machine or a mounted one, without Spark: the whole file appears at once, by a link."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    fresh = f"{path}.{uuid.uuid4().hex}.new"
+    with open(fresh, "w", encoding="utf-8") as f:
+        f.write(content)
+    try:
+        os.link(fresh, path)
+    except FileExistsError:
+        return False
+    finally:
+        os.unlink(fresh)
+    return True
+
+
 def put_new(spark: SparkSession, path: str, content: str) -> bool:
     """Write a small file that does not exist yet; False, and nothing is written, if it does.
 
-    In a local file system the whole file appears at once, by a link; others create it
-    exclusively, so that a reader may find it empty until it is closed.
+    Other file systems than the local one create it exclusively, so that a reader may find it empty until it is closed.
     """
-    jvm, place, fs = _at(spark, path)
+    _, place, fs = _at(spark, path)
     if fs.getUri().getScheme() == "file":
-        own = place.toUri().getPath()
-        os.makedirs(os.path.dirname(own), exist_ok=True)
-        fresh = f"{own}.{uuid.uuid4().hex}.new"
-        with open(fresh, "w", encoding="utf-8") as f:
-            f.write(content)
-        try:
-            os.link(fresh, own)
-        except FileExistsError:
-            return False
-        finally:
-            os.unlink(fresh)
-        return True
+        return put_new_file(place.toUri().getPath(), content)
     try:
         stream = fs.create(place, False)
     except Py4JJavaError as e:

@@ -1,16 +1,24 @@
-"""Keeping the index fresh: at most one refresh in a while, or one for each trigger of a stream.
+"""Keeping the index fresh: at most one refresh in a while, or a stream of changed files.
 
-Session files grow in place, so a file stream, which knows files by name alone,
-would miss their new lines; each refresh compares times and sizes instead.
+Session files grow in place, so Spark's file stream, which knows files by name
+alone, would miss their new lines; the stream here follows times and sizes.
 """
 
 from __future__ import annotations
 
+import json
 import logging
+import os
 import time
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import store as layers
+from ..sources import files as source
+from ..sources.ignores import global_patterns
+from .changes import SessionChanges
 
 LEAST_SECONDS = 1.5
 
@@ -33,7 +41,23 @@ class Refresher:
         return True
 
 
-def watch(spark: SparkSession, reindex: Callable[[], object], seconds: float = 5.0):
-    """A streaming query that refreshes the index on each trigger; stop() ends it."""
-    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    return ticks.writeStream.trigger(processingTime=f"{seconds} seconds").foreachBatch(lambda batch, n: reindex() and None).start()
+def changes(spark, roots: list[tuple[str, str]], log: str, ignores: list[str] | None = None) -> DataFrame:
+    """A stream of the session files below the roots, each as often as its time or size changes: LISTED
+    columns and listing, the number of the listing that found it so."""
+    spark.dataSource.register(SessionChanges)
+    reader = spark.readStream.format("sessionchanges").option("roots", json.dumps(roots)).option("log", log)
+    files = reader.option("ignores", json.dumps(global_patterns() if ignores is None else ignores)).load()
+    return files.where(source.is_session(F.col("source_path"), F.col("provider")))
+
+
+def watch(store: layers.Store, roots: list[tuple[str, str]], checkpoint: str, codex_home: str = "", seconds: float | None = 5.0, **lookups):
+    """A streaming query that publishes changed files as they come (with seconds None: those there are,
+    then it ends). A batch that is run again after a loss finds its files in the store and adds nothing."""
+
+    def publish(batch: DataFrame, number: int) -> None:
+        found = layers.latest(batch, ["provider", "source_path"], F.desc("listing")).select("provider", "source_path", "mtime_ns", "size_bytes")
+        layers.Store(batch.sparkSession, store.path).absorb(found, codex_home, **lookups)
+
+    trigger = {"availableNow": True} if seconds is None else {"processingTime": f"{seconds} seconds"}
+    stream = changes(store.spark, roots, os.path.join(checkpoint, "listings"))
+    return stream.writeStream.trigger(**trigger).option("checkpointLocation", checkpoint).foreachBatch(publish).start()
