@@ -78,12 +78,11 @@ class Engine:
         return self._shown(value, render.exported(form))
 
     def health(self) -> DataFrame:
-        """provider, binary_found, roots, discovered_files, sessions, sample_resume."""
-        found = source.discover(self.spark, [(p, r) for p in PROVIDERS for r in self.config.roots[p]]).groupBy("provider").agg(F.count("*").alias("discovered_files"))
+        """provider, binary_found, roots, sample_resume, discovered_files, sessions."""
+        found = source.discover(self.spark, [(p, r) for p in PROVIDERS for r in self.config.roots[p]])
         known = [(p, bool(p in BINARIES and shutil.which(BINARIES[p])), self.config.roots[p], SAMPLES[p]) for p in PROVIDERS]
         rows = self.spark.createDataFrame(known, "provider string, binary_found boolean, roots array<string>, sample_resume string")
-        counts = self.counts_by_provider().withColumnRenamed("n", "sessions")
-        return rows.join(found, "provider", "left").join(counts, "provider", "left").fillna(0, ["discovered_files", "sessions"])
+        return search.health(rows, found, self.store.table("sessions"))
 
     def resume_plan(self, session) -> tuple[list[str], str | None]:
         """Command and directory that resume a session; raises where that is not possible."""
@@ -106,15 +105,11 @@ class Engine:
     # texts of the tool server
 
     def search_text(self, query: str, f: Filters, repo: str | None = None) -> str:
-        title = F.coalesce(text.truncated(F.col("title"), 120), F.lit("(untitled)"))
-        line = F.format_string("## %s [%s] (score: %d)\n- ID: %s\n- Provider: %s\n- CWD: %s\n- Updated: %s\n- Match: %s — %s\n\n", title, "provider", "score", "id", "provider", F.coalesce("cwd", F.lit("-")), render.minute(F.col("updated_at")), "match_source", "match_snippet")
-        rows = self.search(query, f, repo).select(line.alias("t")).collect()
+        rows = self.search(query, f, repo).select(render.search_line().alias("t")).collect()
         return "".join(r["t"] for r in rows) or "No sessions found matching the query."
 
     def list_text(self, f: Filters) -> str:
-        title = F.coalesce(text.truncated(F.col("title"), 120), F.lit("(untitled)"))
-        line = F.format_string("- **%s** [%s] — %s | CWD: %s | ID: %s\n", title, "provider", render.minute(F.col("updated_at")), F.coalesce("cwd", F.lit("-")), "id")
-        rows = self.list_recent(f).select(line.alias("t")).collect()
+        rows = self.list_recent(f).select(render.list_line().alias("t")).collect()
         return "".join(r["t"] for r in rows) or "No sessions found."
 
     def _shown(self, value: str, shape) -> str:

@@ -51,14 +51,23 @@ def cut_bytes(c: Column, n: int) -> Column:
     return F.when(F.octet_length(c) <= n, c).otherwise(F.decode(F.substring(raw, F.lit(1), at), "UTF-8"))
 
 
+def clipped(w: Column, n: int) -> Column:
+    """Compact text cut to n bytes, `...` included."""
+    return F.when(F.octet_length(w) <= n, w).otherwise(F.concat(cut_bytes(w, n - 3), F.lit("...")))
+
+
 def truncated(c: Column, n: int) -> Column:
     """Compact text of at most n bytes, `...` included."""
-    w = compact(c)
-    return F.when(F.octet_length(w) <= n, w).otherwise(F.concat(cut_bytes(w, n - 3), F.lit("...")))
+    return clipped(compact(c), n)
+
+
+def preview_of(w: Column) -> Column:
+    """The preview of a compact text."""
+    return F.when(w == "", "(no preview available)").otherwise(clipped(w, 140))
 
 
 def preview(c: Column) -> Column:
-    return F.when(strip(c) == "", "(no preview available)").otherwise(truncated(c, 140))
+    return preview_of(compact(c))
 
 
 def moment(c: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, udfs
+from ..functions.rows import once
 from ..sources import files as source
 
 FIELDS = "session_id string, cwd string, ts string, start string, role string, text string, is_meta boolean, last_prompt string"
@@ -170,8 +171,11 @@ def sessions(lines: DataFrame, threads: DataFrame, titles: DataFrame, repo_root:
     rows = _looked_up(rows, F.col("cwd"), "repo_root", repo_root)
     prompt = F.when(of("claude"), F.col("last_prompt")).when(of("antigravity"), F.col("last_user"))
     title = F.when(of("codex"), F.coalesce("t_title", "i_title", "first_user")).otherwise(F.coalesce(prompt, "last_user", "first_user"))
-    summary = text.truncated(F.when(of("codex"), F.coalesce("t_first", "first_user")).otherwise(F.col("first_user")), 180)
+    first = F.when(of("codex"), F.coalesce("t_first", "first_user")).otherwise(F.col("first_user"))
+    rows = once(rows, w_title=text.compact(title), w_first=text.compact(first))
+    summary = text.clipped(F.col("w_first"), 180)
     shown = F.when(of("codex"), F.coalesce(F.col("last_user"), F.col("first_user"), summary)).otherwise(F.coalesce(prompt, "last_user", "first_user"))
+    rows = once(rows, w_shown=text.compact(shown))
     created = F.when(of("codex"), F.coalesce(F.col("start"), F.timestamp_seconds("t_created"))).otherwise(F.col("first_at"))
     updated = F.when(of("cursor"), F.col("mtime")).when(of("codex"), F.coalesce(F.col("last_at"), F.timestamp_seconds("t_updated"))).otherwise(F.col("last_at"))
     plain = F.to_json(F.struct("line_count", F.col("source_path").alias("session_path")))
@@ -181,8 +185,8 @@ def sessions(lines: DataFrame, threads: DataFrame, titles: DataFrame, repo_root:
     stem = F.when(sound, F.col("psid")).otherwise(_stem())
     moments = [own(c, "timestamp").alias(n) for n, c in (("created_at", created), ("updated_at", updated), ("last_message_at", updated))]
     return rows.select(
-        F.concat_ws(":", F.col("provider"), stem).alias("id"), "provider", stem.alias("provider_session_id"), own(text.truncated(title, 100)).alias("title"), own(summary).alias("summary"),
-        own(F.col("cwd")).alias("cwd"), own(F.col("repo_root")).alias("repo_root"), *moments, F.when(sound, F.coalesce(text.preview(shown), F.lit(NO_PREVIEW))).otherwise(FAILED).alias("preview_text"),
+        F.concat_ws(":", F.col("provider"), stem).alias("id"), "provider", stem.alias("provider_session_id"), own(text.clipped(F.col("w_title"), 100)).alias("title"), own(summary).alias("summary"),
+        own(F.col("cwd")).alias("cwd"), own(F.col("repo_root")).alias("repo_root"), *moments, F.when(sound, F.coalesce(text.preview_of(F.col("w_shown")), F.lit(NO_PREVIEW))).otherwise(FAILED).alias("preview_text"),
         "source_path", F.when(sound, F.col("message_count")).otherwise(0).alias("message_count"), F.concat("provider", F.lit("-v1")).alias("parse_version"), own(meta).alias("raw_metadata_json"),
         F.col("error").alias("parse_warning"), F.when(of("codex") & sound, "jsonl+sqlite").otherwise("jsonl").alias("discovery_source"), F.when(sound, F.col("transcript_text")).otherwise("").alias("transcript_text"), "mtime_ns", "size_bytes",
     )

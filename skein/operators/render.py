@@ -85,6 +85,19 @@ def session_text(max_lines: int | None = None) -> Column:
     return F.concat(F.lit("# "), F.coalesce("title", F.lit("(untitled)")), F.lit("\n\n"), *listed, F.lit("\n## Transcript\n\n"), body)
 
 
+def search_line() -> Column:
+    """A search result of the tool server."""
+    title = F.coalesce(text.truncated(F.col("title"), 120), F.lit("(untitled)"))
+    shape = "## %s [%s] (score: %d)\n- ID: %s\n- Provider: %s\n- CWD: %s\n- Updated: %s\n- Match: %s — %s\n\n"
+    return F.format_string(shape, title, "provider", "score", "id", "provider", F.coalesce("cwd", F.lit("-")), minute(F.col("updated_at")), "match_source", "match_snippet")
+
+
+def list_line() -> Column:
+    """A listed session of the tool server."""
+    title = F.coalesce(text.truncated(F.col("title"), 120), F.lit("(untitled)"))
+    return F.format_string("- **%s** [%s] — %s | CWD: %s | ID: %s\n", title, "provider", minute(F.col("updated_at")), F.coalesce("cwd", F.lit("-")), "id")
+
+
 def minute(c: Column) -> Column:
     return F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm"), F.lit("-"))
 

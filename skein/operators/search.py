@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.rows import once
 from ..schema import Filters
 from . import fts
 
@@ -47,12 +48,6 @@ def with_transcripts(sessions: DataFrame, transcripts: DataFrame | None) -> Data
     return sessions.join(own, "id", "left").withColumn("transcript_text", F.coalesce("transcript_text", F.lit("")))
 
 
-def _once(rows: DataFrame, **made: Column) -> DataFrame:
-    """rows with columns that are computed once: unfolded from an array of one, so that the optimizer
-    does not copy them into each use."""
-    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in made.items())))))
-
-
 def recency(updated: Column, as_of: Column) -> Column:
     """Two points for each of the last 90 days that a session is younger than."""
     days = F.least(F.greatest(text.days_since(updated, as_of), F.lit(0)), F.lit(90))
@@ -67,12 +62,12 @@ def ranked(rows: DataFrame, query: str, as_of, current_repo: str | None = None,
     """
     low = query.translate(str.maketrans(text.UPPER, text.LOWER))
     words, names = low.split(), [n for n, _, _ in SOURCES]
-    out = _once(rows, **{f"_v_{n}": F.coalesce(F.col(c), F.lit("")) for n, c, _ in SOURCES})
-    out = _once(out, **{f"_l_{n}": text.ascii_lower(F.col(f"_v_{n}")) for n in names})
+    out = once(rows, **{f"_v_{n}": F.coalesce(F.col(c), F.lit("")) for n, c, _ in SOURCES})
+    out = once(out, **{f"_l_{n}": text.ascii_lower(F.col(f"_v_{n}")) for n in names})
     near = {n: F.col(f"_f_{n}") for n in FUZZY_SOURCES} if fuzzy else {}
     out = out.select("*", *(fuzzy(F.col(f"_v_{n}"), query).alias(f"_f_{n}") for n in near))
     hits = {n: functools.reduce(lambda a, b: a + b, [F.contains(f"_l_{n}", F.lit(w)).cast("int") for w in words], F.lit(0)) for n in names}
-    out = _once(out, **{f"_h_{n}": hits[n] for n in names}, **{f"_w_{n}": F.when(F.contains(f"_l_{n}", F.lit(low)), whole).otherwise(0) for n, _, whole in SOURCES})
+    out = once(out, **{f"_h_{n}": hits[n] for n in names}, **{f"_w_{n}": F.when(F.contains(f"_l_{n}", F.lit(low)), whole).otherwise(0) for n, _, whole in SOURCES})
     each = {n: F.col(f"_w_{n}") + F.col(f"_h_{n}") * TOKEN_SCORE + near.get(n, F.lit(0)) for n in names}
     best, source, value = F.greatest(*each.values()), F.lit(names[0]), F.col(f"_v_{names[0]}")
     for n in reversed(names):
@@ -132,5 +127,12 @@ def counts_by_provider(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy("provider").agg(F.count("*").alias("n"))
 
 
+def health(known: DataFrame, found: DataFrame, sessions: DataFrame) -> DataFrame:
+    """known (provider and what is known of it) with discovered_files of found files and sessions that are indexed, 0 where there are none."""
+    files = found.groupBy("provider").agg(F.count("*").alias("discovered_files"))
+    counts = counts_by_provider(sessions).withColumnRenamed("n", "sessions")
+    return known.join(files, "provider", "left").join(counts, "provider", "left").fillna(0, ["discovered_files", "sessions"])
+
+
 def parse_warnings(sessions: DataFrame) -> DataFrame:
     return sessions.where(matching(Filters(warnings_only=True))).agg(F.count("*").alias("n"))

@@ -82,9 +82,21 @@ def count_parse_warnings(spark, d):
 
 @query(_sessions_sql("select p.provider, coalesce(n, 0) as n from (values ('claude'), ('codex'), ('cursor'), ('antigravity')) p(provider) left join (select provider, count(*) as n from sessions where message_count > 6 group by provider) using (provider)"))
 def provider_health_counts(spark, d):
-    known = spark.range(1).select(F.explode(F.array(*map(F.lit, ("claude", "codex", "cursor", "antigravity")))).alias("provider"))
-    counts = search.counts_by_provider(views.sessions(spark, d).where("message_count > 6"))
-    return known.join(counts, "provider", "left").select("provider", F.coalesce("n", F.lit(0)).alias("n"))
+    busy = views.sessions(spark, d).where("message_count > 6")
+    return search.health(_known(spark), transcripts.contents(spark, d), busy).select("provider", F.col("sessions").alias("n"))
+
+
+def _known(spark):
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, views.PROVIDERS))).alias("provider"))
+
+
+@query(f"""with known(provider) as (values ('claude'), ('codex'), ('cursor'), ('antigravity')), files as (select distinct conv_id, (['claude','codex','cursor','antigravity'])[conv_id % 4 + 1] as provider from conversations where conv_id % 4 <> 2),
+found as (select provider, count(*) as n from files group by 1), {views.SESSIONS_SQL}, indexed as (select provider, count(*) as n from sessions where updated_at >= timestamp '{SINCE}' group by 1)
+select provider, coalesce(found.n, 0) as discovered_files, coalesce(indexed.n, 0) as sessions from known left join found using (provider) left join indexed using (provider)""")
+def provider_health(spark, d):
+    """Discovered files and indexed sessions of each provider, one of them without files here."""
+    found = transcripts.contents(spark, d).where("provider <> 'cursor'")
+    return search.health(_known(spark), found, views.sessions(spark, d).where(search.matching(Filters(since=SINCE))))
 
 
 @query(f"with {views.FOLDS_SQL} select session_id, first_user, last_user, message_count from folds")
@@ -161,6 +173,18 @@ for _name, _q, _f, _repo, _where in (
     _SQL[_name] = _sessions_sql(_TOP + str(_f.limit), f", pool as (select * from sessions where {_where})" + _rank_sql(_q, _repo, base="pool"))
 
 
+def _apart(spark, d):
+    """Sessions, and their transcripts in a table of their own, as the store has them; some are missing there."""
+    s = views.sessions(spark, d)
+    return s.drop("transcript_text"), s.where("conv_id % 5 <> 3").select(F.col("id").alias("session_id"), "transcript_text")
+
+
+@query(_sessions_sql(_TOP + "25", ", pool as (select * replace (case when conv_id % 5 <> 3 then transcript_text else '' end as transcript_text) from sessions)" + _rank_sql(QUERY, base="pool")))
+def search_joined(spark, d):
+    """Ranked search that joins the transcripts."""
+    return search.search(*_apart(spark, d), QUERY, Filters(limit=25), views.AS_OF).select(*HIT)
+
+
 @query(_sessions_sql("select id, score, match_source from ranked", _rank_sql(QUERY)))
 def best_match_source(spark, d):
     return search.ranked(views.sessions(spark, d), QUERY, views.AS_OF).select("id", "score", "match_source")
@@ -375,21 +399,69 @@ def transcript_turns(spark, d):
     return views.sessions(spark, d).select("id", F.posexplode(udfs.turns(F.col("transcript_text"))).alias("place", "turn")).select("id", "place", "turn.role", "turn.body")
 
 
-def _snippet_sql(q: str, n: int) -> str:
+def _snippet_sql(q: str, n: int, value: str = "transcript_text", base: str = "sessions") -> str:
     """The surroundings of the query or of its first word that occurs, by bytes of whole characters."""
-    w = "trim(regexp_replace(transcript_text, '[\\s\\x{85}\\p{Z}]+', ' ', 'g'))"
+    w = f"trim(regexp_replace({value}, '[\\s\\x{{85}}\\p{{Z}}]+', ' ', 'g'))"
     keys = list(dict.fromkeys([q.lower(), *q.lower().split()]))
     key = "case " + " ".join(f"when contains(low, '{k}') then '{k}'" for k in keys) + " end"
     cut = f"left(w, cast(list_max(list_filter(range(0, {n - 2}), lambda i: strlen(left(w, cast(i as int))) <= {n - 3})) as int))"
     head = f"list_max(list_filter(range(greatest(pos - {n // 2} - 1, 0), pos), lambda i: strlen(left(w, cast(i as int))) <= greatest(0, ahead - {n // 2})))"
     tail = f"list_min(list_filter(range(pos - 1, pos + length(key) + {n // 2} + 1), lambda i: strlen(left(w, cast(i as int))) >= least(strlen(w), ahead + strlen(key) + {n // 2})))"
-    return f""", body as (select id, {w} as w, {views.ASCII.format(w)} as low from sessions), keyed as (select *, {key} as key from body),
+    return f""", body as (select id, {w} as w, {views.ASCII.format(w)} as low from {base}), keyed as (select *, {key} as key from body),
 placed as (select *, cast(strpos(low, key) as bigint) as pos, strlen(left(low, cast(strpos(low, key) - 1 as int))) as ahead from keyed),
 cut as (select *, case when key is not null then {head} end as a, case when key is not null then {tail} end as b from placed)
 select id, case when w = '' then '(no snippet available)' when key is null then case when strlen(w) <= {n} then w else {cut} || '...' end
  else case when a > 0 then '...' else '' end || substring(w, cast(a + 1 as int), cast(b - a as int)) || case when b < length(w) then '...' else '' end end as snippet from cut"""
 
 
+def _marked_sql(value: str) -> str:
+    """value with the words of QUERY marked."""
+    words = "|".join(sorted([QUERY, *QUERY.split()], key=lambda w: -len(w)))
+    return f"regexp_replace({value}, '(?i)({words})', '[[\\1]]', 'g')"
+
+
+_PAD = "{0} || repeat(' ', greatest(0, {1} - length({0})))"
+_AGE_SQL = f"""case when updated_at is null then '-' when {_AGE} < 60 then 'just now' when {_AGE} < 3600 then cast(floor({_AGE} / 60) as bigint) || 'm ago'
+ when {_AGE} < 86400 then cast(floor({_AGE} / 3600) as bigint) || 'h ago' when {_AGE} < 2592000 then cast(floor({_AGE} / 86400) as bigint) || 'd ago' else strftime(updated_at, '%Y-%m-%d') end"""
+_HEAD_ROW = f"{_AGE_SQL} || '  ' || {_PAD.format('provider', 6)} || '  ' || {_PAD.format('provider_session_id', 38)} || '  ' || "
+_TITLE_72 = f"coalesce({views._bytes_cut('title', 72)}, preview_text)"
+_WARNED = "coalesce(chr(10) || '  warning=' || parse_warning, '')"
+
+
+@query(_sessions_sql(f"select id, {_HEAD_ROW} {_PAD.format(_TITLE_72, 72)} || chr(10) || '  cwd=' || coalesce(cwd, '-') || '  preview=' || preview_text || {_WARNED} as shown from sessions"))
+def listed_rows(spark, d):
+    """Sessions as a listing prints them."""
+    return views.sessions(spark, d).select("id", render.row_text(text.as_timestamp(views.AS_OF)).alias("shown"))
+
+
+_HITS_SQL = f", hits as (select * from ranked where score > 0 order by score desc, updated_at desc nulls last, id limit 25), found as (with _ as (select 1)" + _snippet_sql(QUERY, 160, "match_value", "hits") + "), shown as (select * from hits join found using (id))"
+
+
+@query(_sessions_sql(f"""select id, {_HEAD_ROW} {_marked_sql(_TITLE_72)} || ' match=' || match_source || ' score=' || score || chr(10) || '  cwd=' || coalesce(cwd, '-') || '  preview=' || {_marked_sql('preview_text')}
+ || chr(10) || '  hit[' || match_source || ']: ' || {_marked_sql('snippet')} || {_WARNED} as shown from shown""", _rank_sql(QUERY) + _HITS_SQL))
+def hit_rows(spark, d):
+    """Search results as the command line prints them."""
+    hits = search.search(views.sessions(spark, d), None, QUERY, Filters(limit=25), views.AS_OF, snippet=udfs.snippet)
+    return hits.select("id", render.hit_text(text.as_timestamp(views.AS_OF), QUERY).alias("shown"))
+
+
+_TITLE_120 = f"coalesce({views._bytes_cut('title', 120)}, '(untitled)')"
+_STAMP_SQL = "coalesce(strftime(updated_at, '%Y-%m-%d %H:%M'), '-')"
+
+
+@query(_sessions_sql(f"""select id, '## ' || {_TITLE_120} || ' [' || provider || '] (score: ' || score || ')' || chr(10) || '- ID: ' || id || chr(10) || '- Provider: ' || provider || chr(10) || '- CWD: ' || coalesce(cwd, '-') || chr(10)
+ || '- Updated: ' || {_STAMP_SQL} || chr(10) || '- Match: ' || match_source || ' — ' || snippet || chr(10) || chr(10) as shown from shown""", _rank_sql(QUERY) + _HITS_SQL))
+def tool_search_lines(spark, d):
+    """Search results as the tool server gives them."""
+    return search.search(views.sessions(spark, d), None, QUERY, Filters(limit=25), views.AS_OF, snippet=udfs.snippet).select("id", render.search_line().alias("shown"))
+
+
+@query(_sessions_sql(f"select id, '- **' || {_TITLE_120} || '** [' || provider || '] — ' || {_STAMP_SQL} || ' | CWD: ' || coalesce(cwd, '-') || ' | ID: ' || id || chr(10) as shown from sessions"))
+def tool_list_lines(spark, d):
+    """Sessions as the tool server lists them."""
+    return views.sessions(spark, d).select("id", render.list_line().alias("shown"))
+
+
 @query(f"with {views.SESSIONS_SQL}" + _snippet_sql(QUERY, 160))
 def match_snippet(spark, d):
     return views.sessions(spark, d).select("id", udfs.snippet(F.col("transcript_text"), QUERY).alias("snippet"))
