@@ -16,18 +16,19 @@ them. The index alone cannot: at a likeness of 0.8 two fingerprints differ in
 4. The components of the candidates are cells; a cell's texts meet once, and a
    search over the documents not yet linked gives the exact links' forest.
 
-A cell of more than CELL_PART classes is cut into parts, to each of which the
+A cell of more than CELL_PART classes or PART_SHINGLES shingles is cut into parts, to each of which the
 cell's leaders are added: most members of a group of copies are linked through
 them. What is then outside of the cell's largest group meets every part of it, or,
-in a cell of more than KEYED_PARTS parts, the classes with which it shares a key;
-so the work on a cell grows with its size and not with its square. Groups of step 3 beyond a size are split so that every pair of parts
-meets in a task of its own. No candidate is lost, and no task holds more than
-two parts.
+in a cell of more than KEYED_PARTS parts, the classes with which it shares a key
+or that candidates of the SimHash index join it with: the same candidates, met
+key by key. A key of more than GROUP_PART classes gives each of them one edge, to the
+first class of like size, and edges between sizes that may link, so that it costs
+what its rows cost. No candidate is lost, and no task holds more than two parts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,8 @@ SHINGLE, SIMILARITY = 5, (4, 5)  # at least 4/5
 BANDS, BAND = 40, 5
 #: Bits in which the fingerprints of candidates of the SimHash index differ at most.
 RADIUS = 3
-#: Most members of a part, and leaders of a cell.
-GROUP_PART, CELL_PART, LEADERS = 20_000, 500, 8
+#: Members of a key that are compared in one task, classes and shingles of a part of a cell, about, and leaders of a cell.
+GROUP_PART, CELL_PART, PART_SHINGLES, LEADERS = 20_000, 500, 2_000_000, 8
 #: Parts of a cell beyond which its rest meets by key and not by part: a row has as many keys.
 KEYED_PARTS = BANDS
 #: Groups whose pairs a task holds at once.
@@ -161,13 +162,18 @@ def set_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def _pairs_of_parts(rows: DataFrame, key: str, limit: int, spread: Column) -> DataFrame:
-    """rows with columns low and high: keys of more rows than limit are cut into parts by
-    spread, and each row goes to every pair of parts that has its own."""
-    big = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("parts"))
-    cut = rows.join(big, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    cut = cut.withColumn("part", F.pmod(spread, F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return cut.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("parts", "part", "other")
+def _stars(hot: DataFrame) -> DataFrame:
+    """hot (node, size, key): the rows of keys with very many classes -> (u, v): edges whose components hold
+    all links of each key. Sizes fall into steps of the ratio that a link allows: classes
+    of one step may link and are joined with the first of them, steps of which the sizes may
+    link by their first ones. An edge a row, by a partial aggregation."""
+    ratio = SIMILARITY[1] / SIMILARITY[0]
+    stepped = hot.withColumn("step", F.when(F.col("size") > 0, F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(ratio)))).otherwise(-9))
+    first = checkpoint(stepped.groupBy("key", "step").agg(F.min("node").alias("v")))
+    own = stepped.join(broadcast_if_small(first), ["key", "step"]).select(F.col("node").alias("u"), "v")
+    before = Window.partitionBy("key").orderBy("step")  # of some tens of steps
+    near = first.withColumn("u", F.lag("v").over(before)).withColumn("gap", F.col("step") - F.lag("step").over(before)).where("gap <= 2")
+    return own.unionByName(near.select("u", "v"))
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
@@ -205,9 +211,14 @@ def _candidates(classes: DataFrame) -> DataFrame:
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), links)
 
     keyed = classes.select("node", "size", "parity", F.explode("keys").alias("key"))
-    met = _pairs_of_parts(keyed, "key", GROUP_PART, F.xxhash64("node"))
-    groups = met.groupBy("key", "low", "high").agg(F.collect_list(F.struct("node", "size", "parity")).alias("g")).where(F.size("g") > 1)
-    return groups.select(F.inline(search("g"))).where("u <> v").distinct()
+    big = checkpoint(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_PART).select("key"))
+    crowded = not big.isEmpty()
+    some = keyed.join(broadcast_if_small(big), "key", "left_anti") if crowded else keyed
+    groups = some.groupBy("key").agg(F.collect_list(F.struct("node", "size", "parity")).alias("g")).where(F.size("g") > 1)
+    found = groups.select(F.inline(search("g")))
+    if crowded:
+        found = found.unionByName(_stars(keyed.join(broadcast_if_small(big), "key", "left_semi").select("node", "size", "key")))
+    return found.where("u <> v").distinct()
 
 
 def _same_fingerprints(classes: DataFrame) -> DataFrame:
@@ -238,9 +249,15 @@ def _linked(texts: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.join(texts, "doc_id").groupBy("cell", "low", "high").applyInArrow(link, "u binary, v binary")
 
 
-def _groups(texts: DataFrame, cells: DataFrame, keys: DataFrame) -> DataFrame:
-    """texts (doc_id, text), cells (same, doc_id, cell), keys (same, keys) -> (node, root): the exact links' groups."""
-    parts = cells.groupBy("cell").agg(F.ceil(F.count("*") / CELL_PART).cast("int").alias("parts"))
+def _parts(n: Column, shingles: Column) -> Column:
+    """Of how many parts a cell of n classes with so many shingles is."""
+    return F.ceil(F.greatest(n / CELL_PART, shingles / PART_SHINGLES)).cast("int")
+
+
+def _groups(texts: DataFrame, cells: DataFrame, keys: Callable[[], DataFrame]) -> DataFrame:
+    """texts (doc_id, text), cells (same, doc_id, size, cell), keys, called where it is needed, (same, key)
+    -> (node, root): the exact links' groups."""
+    parts = cells.groupBy("cell").agg(_parts(F.count("*"), F.sum("size")).alias("parts"))
     # tables of a row for each large cell: sent where the rows are, so that no cell meets in one task
     large = checkpoint(parts.where("parts > 1"))
     big = broadcast_if_small(large)
@@ -257,16 +274,19 @@ def _groups(texts: DataFrame, cells: DataFrame, keys: DataFrame) -> DataFrame:
     placed = cells.join(big, "cell").join(groups.withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
     most = placed.groupBy("cell", "root").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max(F.struct("n", "root")).alias("most"))
     most = broadcast_if_small(checkpoint(most.select("cell", F.col("most.root").alias("largest"))))
-    members = checkpoint(placed.join(most, "cell").select("same", "doc_id", "cell", "parts", (F.col("root") != F.col("largest")).alias("rest")))
-    whole = members.where(F.col("parts") <= KEYED_PARTS).select("same", "doc_id", "cell", "rest")
-    keyed = members.where(F.col("parts") > KEYED_PARTS).join(keys, "same").select("same", "doc_id", F.explode("keys").alias("cell"), "rest")
-    return connected_components(links.unionByName(_linked(texts, _meetings(whole.unionByName(keyed)))))
+    members = checkpoint(placed.join(most, "cell").select("same", "doc_id", "size", "cell", "parts", (F.col("root") != F.col("largest")).alias("rest")))
+    meet = members.where(F.col("parts") <= KEYED_PARTS).select("same", "doc_id", "size", "cell", "rest")
+    crowd = members.where(F.col("parts") > KEYED_PARTS)
+    if not crowd.isEmpty():
+        meet = meet.unionByName(crowd.join(keys(), "same").select("same", "doc_id", "size", F.col("key").alias("cell"), "rest"))
+    return connected_components(links.unionByName(_linked(texts, _meetings(meet))))
 
 
 def _meetings(members: DataFrame) -> DataFrame:
-    """members (same, doc_id, cell, rest) -> same, doc_id, cell, low, high: every part of a cell's rest with every part of the cell."""
-    sizes = members.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("rest").alias("r")).where("r > 0 and n > 1")
-    sizes = sizes.select("cell", F.ceil(F.col("n") / CELL_PART).cast("int").alias("parts"), F.ceil(F.col("r") / CELL_PART).cast("int").alias("rests"))
+    """members (same, doc_id, size, cell, rest) -> same, doc_id, cell, low, high: every part of a cell's rest with every part of the cell."""
+    of_rest = F.sum(F.when(F.col("rest"), F.col("size")))
+    sizes = members.groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("s"), F.count_if("rest").alias("r"), of_rest.alias("q")).where("r > 0 and n > 1")
+    sizes = sizes.select("cell", _parts(F.col("n"), F.col("s")).alias("parts"), _parts(F.col("r"), F.col("q")).alias("rests"))
     rows = members.join(broadcast_if_small(checkpoint(sizes)), "cell")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asks = rows.where("rest").select("same", "doc_id", "cell", each("parts").alias("low"), F.pmod(F.xxhash64("same"), F.col("rests")).cast("int").alias("high"))
@@ -307,10 +327,16 @@ def _grouped(docs: DataFrame) -> DataFrame:
     named = rows.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("parity").alias("parity"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     classes = checkpoint(named.withColumn("node", node))
     # the empty set has no bands, and is alone in its class
-    found = _candidates(classes).unionByName(_same_fingerprints(classes.where("size > 0").select("node", "fp")))
-    cells = connected_components(found).withColumnRenamed("root", "cell")
-    placed = checkpoint(classes.select("same", "doc_id", "node").join(cells, "node").select("same", "doc_id", "cell"))
-    groups = _groups(own, placed, classes.select("same", "keys")).withColumnRenamed("node", "same")
+    prints = checkpoint(_same_fingerprints(classes.where("size > 0").select("node", "fp")))
+    cells = connected_components(_candidates(classes).unionByName(prints)).withColumnRenamed("root", "cell")
+    placed = checkpoint(classes.select("same", "doc_id", "size", "node").join(cells, "node").select("same", "doc_id", "size", "cell"))
+
+    def keys() -> DataFrame:
+        """The bands' keys, and one for each component of the SimHash index's candidates."""
+        joined = classes.select("same", "node").join(connected_components(prints), "node")
+        return classes.select("same", F.explode("keys").alias("key")).unionByName(joined.select("same", F.xxhash64(F.lit("print"), "root").alias("key")))
+
+    groups = _groups(own, placed, keys).withColumnRenamed("node", "same")
     grouped = classes.select("same", "doc_id").join(groups, "same", "left").withColumn("root", F.coalesce("root", "same"))
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("group_id"))
     return rows.select("doc_id", "same").join(grouped.join(least, "root").select("same", "root", "group_id"), "same")

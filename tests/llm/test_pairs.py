@@ -149,6 +149,24 @@ def test_near_duplicate_groups(spark, monkeypatch, part, keyed):
     assert got == {i: least[roots[k]] for k, (i, _) in enumerate(rows)}
 
 
+def test_shingles_bound_parts(spark, monkeypatch):
+    """Parts of few shingles: long texts meet in as many more tasks."""
+    monkeypatch.setattr(simhash_dedup, "PART_SHINGLES", 300)
+    rows = varied(60, 6)
+    got = dict(map(tuple, simhash_dedup.near_duplicate_groups(docs(spark, rows)).collect()))
+    roots = jaccard_roots(rows)
+    assert got == {i: rows[roots[k]][0] for k, (i, _) in enumerate(rows)}
+
+
+def test_a_key_of_a_million_classes_is_linear(spark):
+    """An edge for each class and a few for the sizes, in whose components all sizes that may link are together."""
+    hot = spark.range(0, 1_000_000, 1, 8).select(F.col("id").alias("node"), F.when(F.col("id") % 1000 == 0, 90_000 + F.col("id") % 7).otherwise(40 + F.col("id") % 50).alias("size"), F.lit(7).cast("long").alias("key"))
+    edges = simhash_dedup._stars(hot)
+    assert 1_000_000 <= edges.count() < 1_000_100
+    parts = simhash_dedup.connected_components(edges.where("u <> v")).groupBy("root").count().collect()
+    assert sorted(r["count"] for r in parts) == [1000, 999_000]
+
+
 def edited_pairs(n, sizes=(12, 40, 200), seed=21):
     """Pairs of texts whose likeness is 0.8 or little more: the second has a block appended."""
     rng = np.random.default_rng(seed)
