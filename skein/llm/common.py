@@ -6,6 +6,7 @@ cleared at a fixed size and when another operator's cache is used in the worker.
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import tempfile
 import zlib
@@ -123,11 +124,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 _USED: list[dict] = []
 
 
+def give_back() -> None:
+    """Return what was freed to the system, for the next operator's worker shares an executor's memory with it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def use_cache(cache: dict, most: int) -> None:
     """Call before using a cache: at most one of a process holds anything, and at most about `most` entries."""
     if not _USED or _USED[0] is not cache:
         for other in _USED:
             other.clear()
+            give_back()
         _USED[:] = [cache]
     if len(cache) > most:
         cache.clear()
