@@ -337,7 +337,8 @@ def license_paragraphs(docs: DataFrame) -> DataFrame:
     LEAST_PROBABILITY, else `unknown`; overlap is the largest share of word pairs
     that the paragraph and one of the family's templates have in common, of the
     smaller of the two (0 for unknown); confirmed if it is at least LEAST_OVERLAP.
-    Null and empty texts give no row; repeated documents and null ids give their
+    Null and empty texts give no row; very long texts are cut into lines by the task that
+    reads them, and only lines that may be a license go on; repeated documents and null ids give their
     own rows; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession

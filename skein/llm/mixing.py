@@ -163,6 +163,8 @@ def mix(docs: DataFrame, target: Target, doc_id: str = "doc_id", text: str = "te
 
 
 def mixed(docs: DataFrame, target: Target) -> DataFrame:
-    """doc_id, source, pass, block, place of every taken document, without its text."""
+    """doc_id, source, pass, block, place of every taken document, without its text. Nulls, empty and very
+    long texts, repeated rows and empty tables are as in mix: whole texts are counted; columns of docs
+    with these names, or with others that differ by case, are not read."""
     slim = pick(docs, "doc_id", "text", "source")
     return mix(slim, target).select("doc_id", "source", PASS, "block", ORDER)

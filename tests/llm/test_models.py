@@ -328,6 +328,11 @@ def test_mixing_of_odd_tables(spark):
     got = mixing.mixed(x, mixing.Target(repetition=2.0, keep_all=True)).collect()
     assert sorted(str(r["doc_id"]) for r in got if r["pass"] == 0) == ["1", "1", "2", "3", "None"]
     assert mixing.mixed(x.limit(0), mixing.Target(repetition=2.0)).count() == 0
+    clashing = x.select("*", F.lit(9).alias("pass"), F.lit("b").alias("BLOCK"), F.lit(1).alias("place"), F.lit("other words").alias("Text"), F.lit(0).alias("s"))
+    made = mixing.mix(clashing, mixing.Target(repetition=2.0, keep_all=True))
+    assert sorted(made.columns) == sorted(["doc_id", "text", "source", "Text", "s", "pass", "block", "place"])
+    key = lambda rows: sorted((str(r["doc_id"]), r["pass"], r["block"], r["place"]) for r in rows)
+    assert key(made.select("doc_id", "pass", "block", "place").collect()) == key(got)
     with pytest.raises(ValueError):
         mixing.fit_exponent(x, mixing.Target())
 

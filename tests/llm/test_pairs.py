@@ -466,7 +466,7 @@ def test_probes_are_the_nearest_buckets():
 def test_neighbours_of_odd_vectors(spark):
     copies = [(i * 100 if i < 3 else i, [1.0, 0.0, 0.5]) for i in range(30)]
     odd = [(500, None), (600, [0.0, 0.0, 0.0]), (700, [float("nan"), 1.0, 2.0]), (800, [1.0, 2.0]), (None, [1.0, 1.0, 1.0]), (900, [1.0, None, 0.4]), (1000, [float("inf"), 0.0, 1.0]), (1100, [])]
-    rows = spark.createDataFrame(copies + copies[:2] + odd, "vec_id long, embedding array<float>")
+    rows = spark.createDataFrame([(*r, 7, "x", [1.0]) for r in copies + copies[:2] + odd], "vec_id long, embedding array<float>, query_id int, score string, Embedding array<double>")
     got = cross_polytope.nearest_neighbours(rows, lambda i: i % 100 == 0).collect()
     assert {r["query_id"] for r in got} == {0, 100, 200} and len(got) == 30
     assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 100] == [0, 3, 4, 5, 6, 7, 8, 9, 10, 11]
