@@ -33,7 +33,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents whose predicted language is one of LANGUAGES with a score of LEAST_SCORE or more.
 
     Texts that are null or have no letter are in no language and go. Where no
-    language can be learned, all others stay.
+    language can be learned, all others stay. Whole texts are read, whatever their length; null ids
+    and repeated rows are judged like others; an empty table gives an empty one; columns of any name stay.
     """
     net = language.train(language.sample(docs))
     if not net.langs:  # nothing to learn from: all that has a letter stays
@@ -44,19 +45,34 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, fitted on this stage's labelled ones, scores below one half."""
+    """Documents that the toxicity model, fitted on this stage's labelled ones, scores below one half.
+
+    Null texts score as empty ones, by the share of toxic labels alone; a score of one half goes. Without
+    labels that share counts as a tenth, and all stay. Whole texts are read; null ids and repeated rows are judged like
+    others; an empty table gives an empty one; columns of any name stay.
+    """
     score = toxicity.scorer(spark, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return _where(docs, "score", score, lambda s: s < 0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (5-word shingles, likeness of 0.8 or more):
-    candidates from the SimHash index and, as that alone misses links, from min-hash bands."""
+    candidates from the SimHash index and, as that alone misses most links, from min-hash bands.
+
+    Most of the links are found by the bands, not by SimHash. Null texts count as empty and empty ones are
+    equal; of repeated rows one stays; of a group the smallest id stays; rows without an id all stay.
+    Whole texts are compared; an empty table gives an empty one; columns of any name stay.
+    """
     return simhash_dedup.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, dealt and sorted in the order of its passes."""
+    """Documents as often as the mix takes them, dealt and sorted in the order of its passes.
+
+    Null sources are one source; null and empty texts have no words, and a source of only those is
+    taken once; repeated rows are documents of their own; very long texts are counted whole; an empty table gives
+    an empty one; columns of any name stay.
+    """
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     mixed = mixing.mix(plain, MIX, *(f"c{names.index(n)}" for n in ("doc_id", "text", "source")))
@@ -65,7 +81,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids."""
+    """Documents with their token ids.
+
+    Null and empty texts have none; whole texts are encoded; repeated rows stay; an empty table gives an
+    empty one; columns of any name stay but those that the encoding makes, which are replaced.
+    """
     return sentencepiece_codec.encode_documents(docs)
 
 
