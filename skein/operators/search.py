@@ -97,8 +97,9 @@ def search(
         if prefilter:
             postings, lengths = (d.join(pool.select("id"), "id", "left_semi") for d in index)
         first = fts.top(postings, lengths, query, f.limit * CANDIDATES) if best is None or prefilter else best
-        found = first.agg(F.collect_list("id").alias("_found"))  # one row, of a bounded few
-        pool = pool.join(F.broadcast(found)).where((F.size("_found") == 0) | F.array_contains("_found", F.col("id"))).drop("_found")
+        if ids := [r["id"] for r in first.select("id").collect()]:  # a bounded few, looked up in both tables
+            pool = pool.where(F.col("id").isin(ids))
+            transcripts = transcripts if transcripts is None else transcripts.where(F.col("session_id").isin(ids))
     hits = ranked(with_transcripts(pool, transcripts), query, as_of, current_repo, fuzzy).where("score > 0")
     top = hits.orderBy(F.desc("score"), F.desc_nulls_last("updated_at"), "id").limit(f.limit)
     return top.withColumn("match_snippet", snippet(F.col("match_value"), query)) if snippet else top

@@ -8,9 +8,12 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from skein.api import Engine
 from skein.functions import text
 from skein.operators import fts, ingest, search, store
+from skein.schema import Filters
 from skein.sources import files, fs
+from skein.sources.config import Config
 from skein.streaming import changes, refresh
 
 
@@ -243,6 +246,10 @@ def test_store_answers_by_impacts(spark, tmp_path, roots):
     plan = got.best._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(term,shared)" in plan and "GreaterThanOrEqual(level" in plan
     assert s.best("shared-words", 3) is None  # a phrase needs positions
+    hits = Engine(spark, Config(store=s.path)).search("shared", Filters(limit=1), as_of="2024-02-01 00:00:00")
+    assert [h.id for h in hits.collect()] == ["claude:New"]
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("In(id, [") >= 1 and plan.count("In(session_id, [") >= 1  # the candidates are looked up, the tables not shuffled whole
 
 
 def test_accents_of_three_scripts(spark):
