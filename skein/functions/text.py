@@ -37,7 +37,7 @@ def strip(c: Column) -> Column:
 
 def compact(c: Column) -> Column:
     """Words joined by single spaces."""
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def cut_bytes(c: Column, n: int) -> Column:

@@ -181,7 +181,8 @@ def top_pruned(parts: list[Part], query: str, k: int) -> Pruned | None:
     if not times or not docs or not words:
         return Pruned(parts[0].impacts.select("id", F.lit(0.0).alias("bm25")).limit(0) if parts else None, 0, 0)
     avg = words / docs
-    found = [(j, r.term, r.level, r.n) for j, p in enumerate(parts) for r in p.headers.where(F.col("term").isin(*times)).collect()]  # LEVELS rows a term at most
+    headed = [p.headers.where(F.col("term").isin(*times)).select(F.lit(j).alias("part"), "term", "level", "n") for j, p in enumerate(parts)]
+    found = [tuple(r) for r in functools.reduce(DataFrame.unionByName, headed).collect()]  # LEVELS rows a term and part at most
     df = {w: sum(n for _, t, _, n in found if t == w) for w in times}
     idf = {w: max(math.log((docs - df[w] + 0.5) / (df[w] + 0.5)), 0) or 1e-6 for w in times}
     # a longer average length now raises shares by the ratio at most, a shorter one lowers them so

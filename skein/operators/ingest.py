@@ -125,7 +125,7 @@ def folded(rows: DataFrame) -> DataFrame:
     timed = kept | (F.col("provider") == "antigravity")
     line = text.transcript_line(F.col("role"), F.col("at"), F.col("text"))
     prompt = F.when(text.substantive(F.col("last_prompt")), F.col("last_prompt"))
-    body = F.transform(F.array_sort(F.collect_list(F.when(kept, F.struct("place", line.alias("line"))))), lambda x: x["line"])
+    body = F.sort_array(F.collect_list(F.when(kept, F.struct("place", line.alias("line")))))["line"]
     return rows.groupBy("provider", "source_path").agg(
         F.first("mtime_ns").alias("mtime_ns"), F.first("size_bytes").alias("size_bytes"), F.first("mtime").alias("mtime"), F.count_if((n > 0) & F.col("error").isNull()).alias("line_count"),
         F.min_by("error", F.when(F.col("error").isNotNull(), n)).alias("error"),

@@ -72,7 +72,7 @@ for _name, _filters, _where in (
 
 @query(_sessions_sql("select provider, count(*) as n from sessions group by provider"))
 def counts_by_provider(spark, d):
-    return search.counts_by_provider(views.sessions(spark, d))
+    return search.counts_by_provider(views.identities(spark, d))
 
 
 @query(_sessions_sql("select count(*) as n from sessions where parse_warning is not null and parse_warning <> ''"))

@@ -42,6 +42,12 @@ def folds(rows: DataFrame) -> DataFrame:
     return out.select(F.substring_index("source_path", ":", -1).cast("long").alias("conv_id"), F.col("source_path").alias("session_id"), "first_user", "last_user", "message_count", "transcript_text")
 
 
+def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, provider) of the same sessions, without their texts."""
+    ids = messages(spark, sf_dir).select(F.col("session_id").alias("id"), provider_of(F.col("conv_id")).alias("provider"))
+    return ids.distinct()
+
+
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All session columns that the queries use, transcript_text among them."""
     f = folds(messages(spark, sf_dir))
