@@ -203,7 +203,7 @@ def document_prints(docs: DataFrame) -> DataFrame:
     edited_fingerprint, near_edited, near_next.
 
     The next document is the one with the next doc_id, after the last the first;
-    rows of one id stand in order of text. A row without an id has no place in
+    rows of one id stand in order of text, in one task, for each is the next one's. A row without an id has no place in
     that order and follows itself, as does a single row. A null text counts as
     empty (n_chars 0, all-zero fingerprint, likeness 1 to another empty one); an
     empty table gives an empty result; other columns are ignored.
