@@ -117,11 +117,11 @@ def kept(vectors: DataFrame, dims: int) -> DataFrame:
     return rows.where(F.col("embedding").isNotNull() & (F.size("embedding") == dims)).where(sound)
 
 
-def first_centroids(rows: DataFrame, k: int, seed: int) -> np.ndarray:
+def first_centroids(rows: DataFrame, k: int, dims: int, seed: int) -> np.ndarray:
     """The k vectors whose hashed ids are smallest (equal ids: the smaller vector), as integers."""
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
     chosen = rows.orderBy(key, "embedding").limit(k).collect()
-    return np.array([[scaled(v) for v in r["embedding"]] for r in chosen], object).reshape(len(chosen), -1)
+    return np.array([[scaled(v) for v in r["embedding"]] for r in chosen], object).reshape(len(chosen), dims)
 
 
 def _combined(a: tuple, b: tuple) -> tuple:
@@ -162,7 +162,7 @@ def cluster(vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, dims:
     """
     spark = vectors.sparkSession
     rows = kept(vectors, dims)
-    c = first_centroids(rows, k, seed)
+    c = first_centroids(rows, k, dims, seed)
     if not len(c):
         return spark.createDataFrame([], SCHEMA)
     table = checkpoint(packed(rows))
