@@ -32,6 +32,16 @@ def test_query(spark, sf_dir, db, name):
         assert sorted(got.columns) == sorted(want.columns) and normal(got) == normal(want)
 
 
+@pytest.mark.parametrize("name", ["search_lexical", "search_two_phase", "ingested_sessions", "hit_rows"])
+def test_generated_code_compiles(spark, sf_dir, name):
+    """No fallback to interpreted code where a generated class grows too large."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert registry.queries()[name](spark, sf_dir).collect()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
 def test_entry(spark):
     import __spark_entry__
 
