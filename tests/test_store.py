@@ -181,6 +181,8 @@ def test_names_are_ranges(spark, tmp_path, roots):
     assert s.find("sess2").first().transcript_text.endswith("question 2 about shared words")
     with pytest.raises(LookupError, match="ambiguous"):
         s.find("sess")
+    s.clear()
+    assert ids(s) == [] and s.index()[0].count() == 0 and s.best("shared", 3) is None and s.named("sess1").collect() == []
 
 
 def test_progress_rises_while_files_are_read():
