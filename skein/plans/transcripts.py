@@ -75,14 +75,19 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("provider", path.alias("source_path"), mtime.alias("mtime_ns"), F.octet_length("content").cast("long").alias("size_bytes"), F.when(~bad, F.col("content")).alias("content"), F.when(bad, "UnicodeDecodeError: bad").alias("error"))
 
 
-def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sessions that ingestion makes of those files, with side tables for some of codex's."""
+def side(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Side tables for some of codex's files: threads, and titles of the index."""
     convs = views.table(spark, sf_dir, "conversations").select("conv_id").distinct().where("conv_id % 4 = 1")
     uuid = F.concat(F.lit("0a1b2c3d-0000-4000-8000-"), _hex(F.col("conv_id")))
     own = F.when(F.col("conv_id") % 8 == 1, F.concat(F.lit("c"), "conv_id")).otherwise(uuid)
     threads = convs.where("conv_id % 3 = 0").select(own.alias("id"), F.when(F.col("conv_id") % 2 == 1, F.concat(F.lit("Side "), "conv_id")).alias("title"), F.lit("/side").alias("cwd"), F.lit(60).cast("long").alias("created_at"), F.lit(120).cast("long").alias("updated_at"), F.lit("/r").alias("rollout_path"), F.lit("Side first").alias("first_user_message"))
     titles = convs.where("conv_id % 5 = 0").select(own.alias("id"), F.concat(F.lit("Index "), "conv_id").alias("thread_name"))
-    return ingest.sessions(ingest.decoded(contents(spark, sf_dir)), threads, titles, repo_root=_repo, workspace=_workspace)
+    return threads, titles
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions that ingestion makes of those files."""
+    return ingest.sessions(ingest.decoded(contents(spark, sf_dir)), *side(spark, sf_dir), **LOOKUPS)
 
 
 def _repo(cwd: str | None) -> str | None:
@@ -93,6 +98,10 @@ def _workspace(project: str | None) -> str | None:
     return "/u/" + project if project and not project.endswith("2") else None
 
 
+#: In the place of a look at directories.
+LOOKUPS = {"repo_root": _repo, "workspace": _workspace}
+
+
 _TRIM = "trim(regexp_replace({}, '^[\\s\\x{{85}}\\p{{Z}}]+|[\\s\\x{{85}}\\p{{Z}}]+$', '', 'g'))"
 _ISO = f"timestamp '{START}' + to_hours(cast(conv_id as int)) + to_minutes(cast(turn as int))"
 _MTIME = f"timestamp '{START}' + to_microseconds(conv_id * 1000000 + conv_id * 123 // 1000)"
