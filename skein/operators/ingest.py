@@ -110,7 +110,7 @@ def messages(lines: DataFrame) -> DataFrame:
     body = F.coalesce("text", F.lit(""))
     said = F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False)) & (text.strip(body) != "")
     kept = F.when(of("claude"), said & ~text.skipped(body, F.col("is_meta"))).when(of("cursor"), said & text.substantive(body)).otherwise(said)
-    mtime = F.timestamp_micros((F.col("mtime_ns") / 1000).cast("long"))
+    mtime = F.timestamp_micros(F.expr("(mtime_ns - pmod(mtime_ns, 1000)) div 1000"))  # whole numbers: as a double, 18 digits of nanoseconds are rounded
     at = F.when(of("cursor"), mtime).otherwise(text.moment(F.col("ts")))
     return lines.withColumn("at", at).withColumn("kept", kept).withColumn("mtime", mtime)
 
