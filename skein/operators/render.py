@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 
-def rfc3339(c: Column) -> Column:
-    """As 2024-01-31T10:00:00.5+00:00, with three or six digits of fraction only if needed."""
+def rfc3339(c: Column, millis: bool = True) -> Column:
+    """As 2024-01-31T10:00:00.500+00:00, with a fraction only if needed, of six digits; with millis of
+    three where they say all."""
     micros = F.unix_micros(c) % 1_000_000
-    part = F.when(micros == 0, "").when(micros % 1000 == 0, F.date_format(c, ".SSS")).otherwise(F.date_format(c, ".SSSSSS"))
+    short = (micros % 1000 == 0) & F.lit(millis)
+    part = F.when(micros == 0, "").when(short, F.date_format(c, ".SSS")).otherwise(F.date_format(c, ".SSSSSS"))
     return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), part, F.lit("+00:00"))
 
 
-def exported(form: str) -> Column:
-    """A session with its transcript_text as text, markdown (md) or json."""
+def exported(form: str, millis: bool = True) -> Column:
+    """A session with its transcript_text as text, markdown (md) or json; times as rfc3339 has them."""
     heading = F.coalesce("title", "id")
     if form == "text":
         return F.concat(heading, F.lit("\n\n"), "transcript_text", F.lit("\n"))
@@ -30,7 +32,7 @@ def exported(form: str) -> Column:
             "id provider provider_session_id title summary cwd repo_root created_at updated_at last_message_at preview_text source_path message_count "
             "parse_version raw_metadata_json parse_warning discovery_source transcript_text".split()
         )
-        zulu = lambda n: F.regexp_replace(rfc3339(F.col(n)), r"\+00:00$", "Z")
+        zulu = lambda n: F.regexp_replace(rfc3339(F.col(n), millis), r"\+00:00$", "Z")
         quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
         value = lambda n: F.col(n).cast("string") if n == "message_count" else quoted(zulu(n) if n in times else F.col(n))
         lines = [F.concat(F.lit(f'  "{n}": '), F.when(F.col(n).isNull(), "null").otherwise(value(n))) for n in names]

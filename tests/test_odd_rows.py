@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_oracle import normal
 
-from skein.operators import ingest
+from skein.operators import ingest, render
 from skein.plans import registry
 
 #: Says undder, 18 letters apart: the gaps cost more than the letters earn.
@@ -29,7 +29,7 @@ def odd(tmp_path_factory):
     return at, db
 
 
-@pytest.mark.parametrize("name", ["ingested_sessions", "parse_cursor"])
+@pytest.mark.parametrize("name", ["ingested_sessions", "parse_cursor", "export_json"])
 def test_query(spark, odd, name):
     at, db = odd
     got, want = registry.queries()[name](spark, at).toPandas(), db.sql(registry.oracle_sql()[name]).df()
@@ -42,3 +42,12 @@ def test_file_times_are_cut_to_microseconds(spark):
     rows = spark.createDataFrame([(t, "cursor", "x", "user", False, None) for t in times], "mtime_ns long, provider string, text string, role string, is_meta boolean, ts string")
     got = {r[0]: r[1] for r in ingest.messages(rows).select("mtime_ns", F.unix_micros("mtime")).collect()}
     assert got == {t: t // 1000 for t in times}
+
+
+def test_fractions_of_seconds(spark):
+    """Three digits where they say all, as the engine prints times, or always six; before 1970 too."""
+    micros = [0, 43_000, 500_000, 123_456, 1_000, 1, -1_000, -1]
+    rows = spark.createDataFrame([(k, m) for k, m in enumerate(micros)], "k long, m long").withColumn("t", F.timestamp_micros("m"))
+    got = [tuple(r) for r in rows.orderBy("k").select(render.rfc3339(F.col("t")), render.rfc3339(F.col("t"), millis=False)).collect()]
+    parts = [("", ""), (".043", ".043000"), (".500", ".500000"), (".123456", ".123456"), (".001", ".001000"), (".000001", ".000001"), (".999", ".999000"), (".999999", ".999999")]
+    assert got == [tuple(f"{'1970-01-01T00:00:00' if m >= 0 else '1969-12-31T23:59:59'}{p}+00:00" for p in own) for m, own in zip(micros, parts)]
