@@ -64,12 +64,12 @@ def hit_text(as_of: Column, query: str) -> Column:
     return F.concat(head, rest, F.coalesce(F.concat(F.lit("\n  warning="), "parse_warning"), F.lit("")))
 
 
-def detail_text() -> Column:
-    """All fields of a session, a line each."""
+def detail_text(millis: bool = True) -> Column:
+    """All fields of a session, a line each; times as rfc3339 has them."""
     dash = lambda c: F.coalesce(c, F.lit("-"))
     fields = [
         ("ID", F.col("id")), ("Provider", F.col("provider")), ("Provider Session ID", F.col("provider_session_id")), ("Title", dash(F.col("title"))), ("Summary", dash(F.col("summary"))),
-        ("CWD", dash(F.col("cwd"))), ("Repo Root", dash(F.col("repo_root"))), ("Created", dash(rfc3339(F.col("created_at")))), ("Updated", dash(rfc3339(F.col("updated_at")))),
+        ("CWD", dash(F.col("cwd"))), ("Repo Root", dash(F.col("repo_root"))), ("Created", dash(rfc3339(F.col("created_at"), millis))), ("Updated", dash(rfc3339(F.col("updated_at"), millis))),
         ("Messages", F.coalesce(F.col("message_count"), F.lit(0)).cast("string")), ("Source Path", F.col("source_path")), ("Discovery", F.col("discovery_source")),
     ]
     warning = F.when(F.col("parse_warning") != "", F.concat(F.lit("\nParse Warning: "), "parse_warning"))
