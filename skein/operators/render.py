@@ -25,7 +25,7 @@ def exported(form: str, millis: bool = True) -> Column:
     if form in ("markdown", "md"):
         shape = "# %s\n\n- Provider: %s\n- Session ID: %s\n- CWD: %s\n- Updated At: %s\n\n## Preview\n\n%s\n\n## Transcript\n\n```\n%s\n```\n"
         dash = F.lit("-")
-        return F.format_string(shape, heading, "provider", "provider_session_id", F.coalesce("cwd", dash), F.coalesce(rfc3339(F.col("updated_at")), dash), "preview_text", "transcript_text")
+        return F.format_string(shape, heading, "provider", "provider_session_id", F.coalesce("cwd", dash), F.coalesce(rfc3339(F.col("updated_at"), millis), dash), "preview_text", "transcript_text")
     if form == "json":
         times = ("created_at", "updated_at", "last_message_at")
         names = sorted(

@@ -29,7 +29,7 @@ def odd(tmp_path_factory):
     return at, db
 
 
-@pytest.mark.parametrize("name", ["ingested_sessions", "parse_cursor", "export_json", "session_detail"])
+@pytest.mark.parametrize("name", ["ingested_sessions", "parse_cursor", "export_json", "session_detail", "export_markdown"])
 def test_query(spark, odd, name):
     at, db = odd
     got, want = registry.queries()[name](spark, at).toPandas(), db.sql(registry.oracle_sql()[name]).df()
