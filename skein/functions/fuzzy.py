@@ -130,11 +130,12 @@ def subsequence(query: str) -> str:
 
 
 def fuzzy(c: Column, query: str) -> Column:
-    """The score of the query in c; only values that hold it as a subsequence go through Python."""
+    """The score of the query in c, 0 also where the gaps cost more than the matches earn; only values
+    that hold the query as a subsequence go through Python."""
 
     @F.arrow_udf("long")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array(scores(batch.to_pylist(), query))
+            yield pa.array(np.maximum(scores(batch.to_pylist(), query), 0))
 
     return run(F.when(c.rlike(subsequence(query)), c)) if query else F.lit(0).cast("long")

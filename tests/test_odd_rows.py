@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_oracle import normal
 
+from skein.functions import fuzzy
 from skein.operators import ingest, render
 from skein.plans import registry
 
@@ -29,7 +30,7 @@ def odd(tmp_path_factory):
     return at, db
 
 
-@pytest.mark.parametrize("name", ["ingested_sessions", "parse_cursor", "export_json", "session_detail", "export_markdown"])
+@pytest.mark.parametrize("name", ["ingested_sessions", "parse_cursor", "export_json", "session_detail", "export_markdown", "fuzzy_title"])
 def test_query(spark, odd, name):
     at, db = odd
     got, want = registry.queries()[name](spark, at).toPandas(), db.sql(registry.oracle_sql()[name]).df()
@@ -51,3 +52,10 @@ def test_fractions_of_seconds(spark):
     got = [tuple(r) for r in rows.orderBy("k").select(render.rfc3339(F.col("t")), render.rfc3339(F.col("t"), millis=False)).collect()]
     parts = [("", ""), (".043", ".043000"), (".500", ".500000"), (".123456", ".123456"), (".001", ".001000"), (".000001", ".000001"), (".999", ".999000"), (".999999", ".999999")]
     assert got == [tuple(f"{'1970-01-01T00:00:00' if m >= 0 else '1969-12-31T23:59:59'}{p}+00:00" for p in own) for m, own in zip(micros, parts)]
+
+
+def test_no_fuzzy_score_is_below_zero(spark):
+    """An alignment whose gaps cost more than its matches earn counts as none."""
+    assert fuzzy.scores([FAR_APART], "undder")[0] == -1 + 6 * 16 - 5 * (3 + 18)
+    rows = spark.createDataFrame([(FAR_APART,), ("undder",)], "v string")
+    assert [r[0] for r in rows.select(fuzzy.fuzzy(F.col("v"), "undder")).collect()] == [0, -1 + 6 * (16 + 16)]
