@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .text import LOWER, UPPER
 
 _ASCII = str.maketrans(UPPER, LOWER)
+#: Unicode's white space. Python's own has the separators U+001C to U+001F besides, which are text to the SQL and to `text.strip`.
+SPACES = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def compact(value: str) -> str:
@@ -139,7 +141,7 @@ def tagged(body: str | None, tag: str) -> str | None:
     """What the first <tag> and the first </tag> after it hold, without white space around."""
     _, opened, rest = (body or "").partition(f"<{tag}>")
     inner, closed, _ = rest.partition(f"</{tag}>")
-    return inner.strip() if opened and closed else None
+    return inner.strip(SPACES) if opened and closed else None
 
 
 def _on_texts(f, kind):

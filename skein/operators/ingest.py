@@ -53,7 +53,7 @@ def cursor_text(v) -> str:
         content = "\n".join(x["text"] for x in content if _get(x, "type") == "text" and isinstance(_get(x, "text"), str))
     body = _string(content) or ""
     inner = udfs.tagged(body, "user_query")
-    return (body if inner is None else inner).strip()
+    return (body if inner is None else inner).strip(udfs.SPACES)
 
 
 def cursor_line(v) -> dict:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_oracle import normal
 
-from skein.functions import fuzzy
+from skein.functions import fuzzy, udfs
 from skein.operators import ingest, render
 from skein.plans import registry
 
@@ -45,6 +45,19 @@ def test_file_times_are_cut_to_microseconds(spark):
     assert got == {t: t // 1000 for t in times}
 
 
+def test_separators_are_no_white_space(spark, tmp_path):
+    """U+001C to U+001F at the ends of Cursor's texts, or alone, stay, as in the SQL; other white space goes."""
+    texts = [t for c in "\x1c\x1d\x1e\x1f\x1b \n\x85\xa0\u2003\u2028\u3000\u200b" for t in (f"{c}und{c}der{c}", c, f" {c} /exit {c}\n")]
+    rows = [(4 * k + 2, turn, role, t) for k, t in enumerate(texts) for turn, role in enumerate(("user", "assistant", "assistant", "user"))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    got, want = registry.queries()["parse_cursor"](spark, str(tmp_path)).toPandas(), db.sql(registry.oracle_sql()["parse_cursor"]).df()
+    assert len(got) and normal(got) == normal(want)
+    assert udfs.tagged("<t> \x1ca\x1f\n</t>", "t") == "\x1ca\x1f"
+    assert all((chr(k) in udfs.SPACES) == (chr(k).isspace() and not 0x1C <= k <= 0x1F) for k in range(0x110000))
+
+
 def test_fractions_of_seconds(spark):
     """Three digits where they say all, as the engine prints times, or always six; before 1970 too."""
     micros = [0, 43_000, 500_000, 123_456, 1_000, 1, -1_000, -1]
